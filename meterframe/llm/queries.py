@@ -49,3 +49,48 @@ def op10_jump_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meterframe.llm.sharding import assign
 
     return assign(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meterframe.llm.mixing import mix, taken
+
+    return taken(mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLES["op8_source_mix"] = r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         coalesce(((doc_id % 4096) + 4096) % 4096, -1) AS rng, row_number() OVER () AS rid
+  FROM documents),
+sources AS (
+  SELECT row_number() OVER (ORDER BY source NULLS LAST) AS src, source, source_size
+  FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source)),
+weighted AS (SELECT *, CAST([3, 1, 2][(src - 1) % 3 + 1] AS BIGINT) AS weight, CAST(source_size * 2 AS DOUBLE) AS bound FROM sources),
+tried AS (
+  SELECT *, (sum(source_size) OVER () * CAST(1.5 AS DOUBLE) - coalesce(sum(bound) OVER earlier, 0))
+            / (sum(weight) OVER () - coalesce(sum(weight) OVER earlier, 0)) AS tried,
+         row_number() OVER (ORDER BY bound / weight, src) AS turn
+  FROM weighted WINDOW earlier AS (ORDER BY bound / weight, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (SELECT arg_min(tried, turn) FILTER (WHERE bound / weight >= tried) AS level FROM tried),
+targets AS (SELECT src, source, source_size, coalesce(least(bound, level * weight), bound) AS target FROM tried, level),
+placed AS (
+  SELECT s.rid, s.doc_id, s.size, t.src, t.source_size, t.target,
+         CAST(coalesce(sum(s.size) OVER (PARTITION BY t.src ORDER BY s.rng, s.doc_id NULLS FIRST, s.size
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+blocks AS (
+  SELECT src, block, source_size, target, row_number() OVER (PARTITION BY src ORDER BY md5(concat_ws('|', src, block)), block) - 1 AS rank
+  FROM (SELECT src, source_size, target, unnest(range(0, CAST(ceil(source_size / 32.0) AS BIGINT))) AS block FROM targets)),
+parts AS (
+  SELECT src, block, greatest(0, least(32, source_size - block * 32,
+         floor(target + 0.5) - floor(floor(target + 0.5) / source_size) * source_size - rank * 32)) AS partial
+  FROM blocks),
+pieces AS (SELECT rid, src, pos, size, unnest(range(pos // 32, (pos + size - 1) // 32 + 1)) AS block FROM placed WHERE size > 0),
+part AS (
+  SELECT p.rid, sum(greatest(0, least(p.pos + p.size, p.block * 32 + b.partial) - greatest(p.pos, p.block * 32))) AS part
+  FROM pieces p JOIN parts b USING (src, block) GROUP BY p.rid)
+SELECT r.doc_id, r.size, r.source_size, r.target,
+       CAST(CASE WHEN r.source_size > 0 THEN floor(floor(r.target + 0.5) / r.source_size) ELSE 0 END * r.size + coalesce(part.part, 0) AS BIGINT) AS taken
+FROM placed r LEFT JOIN part USING (rid)
+"""
