@@ -94,3 +94,12 @@ SELECT r.doc_id, r.size, r.source_size, r.target,
        CAST(CASE WHEN r.source_size > 0 THEN floor(floor(r.target + 0.5) / r.source_size) ELSE 0 END * r.size + coalesce(part.part, 0) AS BIGINT) AS taken
 FROM placed r LEFT JOIN part USING (rid)
 """
+
+
+@query
+def op3_transducer_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from meterframe.llm.transducer import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
