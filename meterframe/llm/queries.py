@@ -103,3 +103,12 @@ def op3_transducer_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meterframe.llm.transducer import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op5_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from meterframe.llm.neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
