@@ -112,3 +112,18 @@ def op5_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meterframe.llm.neighbours import nearest
 
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op4_language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meterframe.llm.language import document_evidence, fit, identify
+
+    evidence = document_evidence(table(spark, sf_dir, "documents"))
+    return identify(evidence, fit(evidence))
+
+
+@query
+def op9_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meterframe.llm.quality import classify
+
+    return classify(table(spark, sf_dir, "documents"))
