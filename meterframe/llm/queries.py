@@ -127,3 +127,10 @@ def op9_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meterframe.llm.quality import classify
 
     return classify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meterframe.llm.katz import score
+
+    return score(table(spark, sf_dir, "documents"))
