@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterframe.llm.blocks import blocks, column_bytes, mix
-from meterframe.llm.shared import checkpointed, shuffle_partitions
+from meterframe.llm.shared import bucketed, checkpointed, shuffle_partitions
 
 TOP = 5
 HELD_BACK = 0.5
@@ -52,6 +52,17 @@ def _unpack(data: bytes) -> tuple[np.ndarray, ...]:
     return pickle.loads(zstandard.decompress(data))
 
 
+def _six(hashes: np.ndarray) -> np.ndarray:
+    """The low six bytes of each hash: enough to tell entries apart inside one partition."""
+    return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+
+
+def _eight(six: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(six), 8), np.uint8)
+    out[:, :6] = six
+    return out.view("<u8").ravel()
+
+
 def trains(doc_id: int | None) -> bool:
     return doc_id is None or zlib.crc32(str(doc_id).encode()) % FOLDS != 0
 
@@ -84,8 +95,8 @@ class Words:
         return np.log10((counts + 0.1) / (self.tokens + 0.1 * (self.types + 1)))
 
 
-def pages(docs: DataFrame, parts: int) -> DataFrame:
-    """(page, data): the texts' ids, folds, lengths, distinct words by table partition, and tokens as places among these."""
+def pages(docs: DataFrame) -> DataFrame:
+    """(page, data): the texts' ids, folds, lengths, distinct words, frequent ones first, and tokens as places among these."""
 
     def one(ids: list, texts: list[bytes], number: int) -> pa.RecordBatch:
         found: list[list[np.ndarray]] = [[] for _ in ids]
@@ -95,8 +106,8 @@ def pages(docs: DataFrame, parts: int) -> DataFrame:
                 found[row].append(hashes[block.first[k] : block.first[k + 1]])
         end = np.array([END])
         lengths = np.array([sum(map(len, f)) + 1 for f in found])
-        words, place = np.unique(np.concatenate([x for f in found for x in (*f, end)]), return_inverse=True)
-        order = np.argsort(words % _U(parts), kind="stable")
+        words, place, times = np.unique(np.concatenate([x for f in found for x in (*f, end)]), return_inverse=True, return_counts=True)
+        order = np.argsort(-times, kind="stable")
         moved = np.empty(len(order), np.int64)
         moved[order] = np.arange(len(order))
         known = np.array([i is not None for i in ids])
@@ -126,13 +137,21 @@ def _bounds(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.searchsorted(keys, np.arange(parts + 1))
 
 
+def _dealt(words: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of words by table partition, and where each partition begins in it."""
+    to = (words % _U(parts)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    return order, _bounds(to[order], parts)
+
+
 def _word_requests(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for page, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 _, _, train, lengths, words, tokens = _unpack(data)
                 counts = np.bincount(tokens, np.repeat(train, lengths), len(words)).astype(np.uint32)
-                at = _bounds((words % _U(parts)).astype(np.int64), parts)
+                order, at = _dealt(words, parts)
+                words, counts = words[order], counts[order]
                 for p in np.flatnonzero(np.diff(at)).tolist():
                     sent = _pack(words[at[p] : at[p + 1]], counts[at[p] : at[p + 1]])
                     yield pa.RecordBatch.from_arrays([pa.array([page], pa.int64()), pa.array([p], pa.int32()), pa.array([sent], pa.binary())], ["page", "part", "data"])
@@ -164,10 +183,11 @@ class _Page:
     def __init__(self, data: bytes, answers: dict[int, bytes], tokens: int, parts: int):
         self.ids, self.known, self.train, self.lengths, words, place = _unpack(data)
         place = place.astype(np.int64)
-        order = sorted(answers)
-        self.counts = np.concatenate([_unpack(answers[p])[0] for p in order])
-        if len(self.counts) != len(words):
+        told = np.concatenate([_unpack(answers[p])[0] for p in sorted(answers)])
+        if len(told) != len(words):
             raise ValueError("answers do not match the page")
+        self.counts = np.empty(len(words), np.int64)
+        self.counts[_dealt(words, parts)[0]] = told
         self.place, n = place, len(words)
         first = np.empty(len(place), np.int64)
         first[1:] = place[:-1]
@@ -192,7 +212,7 @@ class _Page:
         to = (base[places] + turn) % parts
         sort = np.argsort(to, kind="stable")
         self.weights, self.weight_cuts = places[sort], _bounds(to[sort], parts)
-        self.words, self.contexts, self.keys, self.parts = words, contexts, keys, parts
+        self.words, self.contexts, self.parts = words, contexts, parts
 
     def requests(self) -> Iterator[tuple[int, bytes]]:
         for p in range(self.parts):
@@ -202,7 +222,7 @@ class _Page:
                 v = self.v[here]
                 begin = np.flatnonzero(np.diff(v, prepend=-1))
                 runs = np.diff(np.append(begin, len(v))).astype(np.uint32)
-                yield p, _pack(self.contexts[v[begin]], runs, self.keys[here], self.counts[self.w[here]].astype(np.uint32), self.seen_here[here], self.contexts[weights])
+                yield p, _pack(_six(self.contexts[v[begin]]), runs, _six(self.words[self.w[here]]), self.counts[self.w[here]].astype(np.uint32), self.seen_here[here], _six(self.contexts[weights]))
 
     def scores(self, answers: dict[int, bytes], level: Words, factors: np.ndarray) -> tuple[np.ndarray, ...]:
         """(tokens, known tokens, base score, score) by text."""
@@ -232,11 +252,11 @@ def _pair_table(level: Words):
         """Adds up one partition of the pair table and answers every page."""
         sent = [_unpack(x) for x in asked.column("data").to_pylist()]
         part = asked.column("part")[0].as_py()
-        v = np.concatenate([np.repeat(x[0], x[1]) for x in sent])
-        names, context = np.unique(np.concatenate([v, *[x[5] for x in sent]]), return_inverse=True)
+        v = np.concatenate([np.repeat(_eight(x[0]), x[1]) for x in sent])
+        names, context = np.unique(np.concatenate([v, *[_eight(x[5]) for x in sent]]), return_inverse=True)
         asks = np.split(context[len(v) :], np.cumsum([len(x[5]) for x in sent])[:-1])
         context = context[: len(v)]
-        _, first, place = np.unique(np.concatenate([x[2] for x in sent]), return_index=True, return_inverse=True)
+        _, first, place = np.unique(mix(v * _U(0x9E3779B97F4A7C15) ^ np.concatenate([_eight(x[2]) for x in sent])), return_index=True, return_inverse=True)
         total = np.bincount(place, np.concatenate([x[4] for x in sent]), len(first)).astype(np.int64)
         real = total > 0
         one = level.probability(np.concatenate([x[3] for x in sent])[first].astype(np.int64))
@@ -264,7 +284,7 @@ def _freed(spark) -> None:
 def score(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     spark, parts = docs.sparkSession, shuffle_partitions(docs.sparkSession)
-    gathered = checkpointed(pages(docs, parts).repartition(parts, "page"))
+    gathered = bucketed(pages(docs), "page", parts)
     _freed(spark)
     asked = gathered.mapInArrow(_word_requests(parts), "page long, part int, data binary")
     words = checkpointed(asked.groupBy("part").applyInArrow(_word_table, _ANSWER))

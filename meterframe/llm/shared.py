@@ -34,3 +34,11 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/meterframe-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """``df`` as a table in the shared folder, bucketed by ``key``: groupings by it with as many partitions read it without a shuffle."""
+    name = f"meterframe_{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path).option("compression", "none").option("parquet.enable.dictionary", "false").saveAsTable(name)
+    return df.sparkSession.table(name)
