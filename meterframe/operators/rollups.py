@@ -51,3 +51,24 @@ def resum(rows: DataFrame, *keys: str | Column) -> DataFrame:
 def cache_ratio() -> Column:
     """Ratio of sums over the rows that know both sides."""
     return F.when(F.col("ratio_input") > 0, F.col("ratio_read") / F.col("ratio_input"))
+
+
+def summary(rows: DataFrame) -> DataFrame:
+    """Totals by period, by model, by agent and overall, from one pass over the rollup rows."""
+    axis = F.when(F.grouping("local_day") == 0, "period").when(F.grouping("model") == 0, "model").when(F.grouping("agent") == 0, "agent").otherwise("total")
+    sets = [[F.col("local_day")], [F.col("provider"), F.col("model")], [F.col("agent")], []]
+    keys = [F.col(c) for c in ("local_day", "provider", "model", "agent")]
+    return rows.groupingSets(sets, *keys).agg(axis.alias("axis"), *[F.sum(m).alias(m) for m in MEASURES]).select("axis", "local_day", "provider", "model", "agent", *MEASURES)
+
+
+def axes(rows: DataFrame, named: dict[str, tuple[str, ...]]) -> DataFrame:
+    """One table of several groupings, each by instance and its own keys; ``axis`` names the grouping."""
+    keys = ("local_day", "provider", "model", "agent")
+    bits = {name: sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in held) for name, held in named.items()}
+    name = F.lit(None).cast("string")
+    for axis, value in bits.items():
+        name = F.when(F.col("gid") == value, axis).otherwise(name)
+    sets = [[F.col("source_instance_id"), *map(F.col, held)] for held in named.values()]
+    gid = F.grouping_id("source_instance_id", *keys).alias("gid")
+    found = rows.groupingSets(sets, F.col("source_instance_id"), *map(F.col, keys)).agg(gid, F.sum("events").alias("events"), F.sum("calls").alias("calls"), F.sum("total_sum").alias("total_sum"))
+    return found.select(name.alias("axis"), "source_instance_id", *keys, "events", "calls", "total_sum")

@@ -1 +1,142 @@
-"""Registered queries."""
+"""Cost queries: tariff choice, exact amounts, daily costs and summaries, and the checks of price books."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from meterframe.operators import pricing
+from meterframe.operators.rollups import eligible
+from meterframe.registry import query
+from meterframe.sources.prices import PRICES, faults, overlaps, price_rows
+from meterframe.sources.usage import EVENTS, usage_events
+
+CONFIGURED = {"china": ("global", "api"), "france": ("eu", "api"), "germany": ("cn", "plan")}
+TTL = {"china": 5, "france": 60}
+_KEY = r"regexp_replace(regexp_replace(lower({0}), '[\s_-]+', '-', 'g'), '^-+|-+$', '', 'g')"
+_FIRST = "list_filter({0}, lambda r: {1})"
+_CONF = " OR ".join(f"(provider_ = '{p}' AND lower(r.region) = '{a}' AND lower(r.channel) = '{b}')" for p, (a, b) in CONFIGURED.items())
+_SAME = lambda rows, *names: f"list_filter({rows}, lambda r: {' AND '.join(f'lower(CAST(r.{n} AS VARCHAR)) = lower(CAST({rows}[1].{n} AS VARCHAR))' for n in names)})"
+CHOSEN = f"""{EVENTS}, {PRICES}, book AS (SELECT {_KEY.format('model')} AS model_key, list(struct_pack(priority := priority, later := -from_ms, price_id := price_id, to_ms := to_ms, provider := provider, model := model,
+   region := region, channel := channel, official := official, currency := currency, threshold := threshold, input_rate := input_rate, read_rate := read_rate, write_rate := write_rate, output_rate := output_rate, from_ms := from_ms)
+   ORDER BY priority, -from_ms, price_id) AS tariffs FROM prices GROUP BY 1),
+ e0 AS MATERIALIZED (SELECT *, {_KEY.format('model_raw')} AS mk, coalesce(lower(trim(provider_id)), '') AS provider_ FROM events_ WHERE attribution_status = 'verified' AND record_kind <> 'transport_attempt'),
+ e1 AS MATERIALIZED (SELECT e0.*, list_filter(coalesce(tariffs, []), lambda r: r.from_ms <= occurred_at_ms AND (r.to_ms IS NULL OR occurred_at_ms < r.to_ms)) AS valid FROM e0 LEFT JOIN book ON mk = model_key),
+ e2 AS MATERIALIZED (SELECT *, list_filter(valid, lambda r: lower(r.provider) = provider_ AND ({_CONF})) AS direct, list_filter(valid, lambda r: r.official) AS official FROM e1),
+ e3 AS MATERIALIZED (SELECT *, list_filter(official, lambda r: {_CONF}) AS preferred, list_filter(official, lambda r: lower(r.region) = 'global') AS worldwide FROM e2),
+ e4 AS MATERIALIZED (SELECT *, CASE WHEN len(preferred) > 0 THEN preferred WHEN len(worldwide) > 0 THEN worldwide ELSE official END AS picked FROM e3),
+ e5 AS MATERIALIZED (SELECT *, {_SAME('picked', 'priority')} AS f0 FROM e4),
+ e6 AS MATERIALIZED (SELECT *, CASE WHEN len(preferred) = 0 AND len(worldwide) > 0 AND len(list_filter(f0, lambda r: lower(r.channel) = 'api')) > 0 THEN list_filter(f0, lambda r: lower(r.channel) = 'api') ELSE f0 END AS fallback FROM e5),
+ e7 AS MATERIALIZED (SELECT *, len(direct) = 0 AND len(fallback) <> len({_SAME('fallback', 'currency', 'region', 'channel')}) AS mixed, CASE WHEN len(direct) > 0 THEN direct ELSE {_SAME('fallback', 'provider', 'region', 'channel', 'currency')} END AS rows_ FROM e6),
+ e8 AS MATERIALIZED (SELECT *, CASE WHEN len(list_filter(rows_, lambda r: lower(r.model) = lower(trim(model_raw)))) > 0 THEN list_filter(rows_, lambda r: lower(r.model) = lower(trim(model_raw)))
+   WHEN len(list_filter(rows_, lambda r: lower(r.model) = mk)) > 0 THEN list_filter(rows_, lambda r: lower(r.model) = mk) ELSE rows_ END AS spelled FROM e7),
+ e9 AS MATERIALIZED (SELECT *, {_SAME('spelled', 'priority')} AS tiers, len(spelled) <> len({_SAME('spelled', 'model')}) AS ambiguous, coalesce(input_total, input_uncached + input_cache_read + input_cache_write) AS size FROM e8),
+ e10 AS MATERIALIZED (SELECT *, CASE WHEN size IS NULL THEN tiers ELSE list_filter(tiers, lambda r: r.threshold <= size) END AS reached FROM e9),
+ e11 AS MATERIALIZED (SELECT *, list_filter(reached, lambda r: r.threshold = list_max(list_transform(reached, lambda x: x.threshold)))[1] AS tariff_, CASE WHEN coalesce(mk, '') = '' THEN 'no_model' WHEN coalesce(input_uncached, input_cache_read, input_cache_write, input_total, output_total) IS NULL THEN 'no_known_usage'
+   WHEN coalesce(input_cache_read + input_cache_write > input_total, false) THEN 'token_anomaly' WHEN mixed THEN 'channel_unknown' WHEN len(rows_) = 0 THEN CASE WHEN provider_ = '' THEN 'no_provider' WHEN provider_ NOT IN ('china', 'france', 'germany') THEN 'channel_unknown' ELSE 'no_price_row' END
+   WHEN ambiguous THEN 'model_ambiguous' WHEN size IS NULL AND len(list_filter(tiers, lambda r: r.threshold <> 0)) > 0 THEN 'tier_ambiguous' END AS why FROM e10),
+ chosen AS MATERIALIZED (SELECT *, CASE WHEN why IS NULL AND tariff_ IS NULL THEN 'no_price_row' ELSE why END AS reason, CASE WHEN why IS NULL THEN tariff_ END AS tariff, why IS NULL AND tariff_ IS NOT NULL AND len(direct) = 0 AS official_fallback FROM e11)"""
+_EXACT = {
+    "input": "CAST(coalesce(input_uncached, input_total - input_cache_read - input_cache_write) AS HUGEINT) * tariff.input_rate",
+    "read": "CAST(input_cache_read AS HUGEINT) * tariff.read_rate",
+    "write": "CAST(input_cache_write AS HUGEINT) * CASE WHEN tariff IS NULL THEN NULL WHEN input_cache_write = 0 THEN 0 WHEN provider_ IN ('china', 'france') THEN tariff.write_rate END",
+    "output": "CAST(output_total AS HUGEINT) * tariff.output_rate",
+}
+EXACT = "exact AS MATERIALIZED (SELECT *, " + ", ".join(f"{e} AS {n}_exact" for n, e in _EXACT.items()) + " FROM chosen)"
+_ROUND = "CAST(({0} + 50000000) // 100000000 AS BIGINT)"
+_IDS = "source_instance_id, source_record_key, part_key, supplier_key"
+
+
+def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = eligible(usage_events(spark, sf_dir)).where("record_kind <> 'transport_attempt'")
+    return pricing.amounts(pricing.choose(events, price_rows(spark, sf_dir), CONFIGURED), TTL)
+
+
+@query(f"WITH {CHOSEN} SELECT {_IDS}, reason, tariff.price_id AS price_id, official_fallback FROM chosen")
+def j1_j2_j4_w10_w12_tariff_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return priced(spark, sf_dir).select(*_IDS.split(", "), "reason", F.col("tariff.price_id").alias("price_id"), "official_fallback")
+
+
+@query(f"WITH {CHOSEN}, {EXACT} SELECT {_IDS}, " + ", ".join(f"{_ROUND.format(n + '_exact')} AS {n}_amount" for n in pricing.SLOTS) + " FROM exact WHERE tariff IS NOT NULL")
+def f17_event_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return priced(spark, sf_dir).where("tariff is not null").select(*_IDS.split(", "), *[f"{n}_amount" for n in pricing.SLOTS])
+
+
+_COSTS = f"costs AS (SELECT local_day, source_instance_id, coalesce(tariff.currency, '') AS currency, count(*) AS events, count(*) FILTER (official_fallback) AS fallbacks, {', '.join(f'sum({n}_exact) AS {n}_exact' for n in pricing.SLOTS)} FROM exact GROUP BY ALL)"
+
+
+@query(f"WITH {CHOSEN}, {EXACT}, {_COSTS} SELECT local_day, source_instance_id, currency, events, fallbacks, " + ", ".join(f"{_ROUND.format(n + '_exact')} AS {n}_amount" for n in pricing.SLOTS) + " FROM costs")
+def a16_a17_daily_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pricing.cost_rows(priced(spark, sf_dir), "local_day", "source_instance_id")
+
+
+@query(f"WITH {CHOSEN}, {EXACT} SELECT lower(agent) AS agent, coalesce(tariff.currency, '') AS currency, reason, count(*) AS events, count(DISTINCT tariff.price_id) AS bases, {_ROUND.format('sum(coalesce(input_exact, 0) + coalesce(output_exact, 0))')} AS amount FROM exact GROUP BY ALL")
+def a18_cost_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    total = F.sum(F.coalesce("input_exact", F.lit(0)) + F.coalesce("output_exact", F.lit(0))).cast("decimal(38,0)")
+    return priced(spark, sf_dir).groupBy(F.lower("agent").alias("agent"), F.coalesce("tariff.currency", F.lit("")).alias("currency"), "reason").agg(F.count("*").alias("events"), F.count_distinct("tariff.price_id").alias("bases"), pricing.rounded(total).alias("amount"))
+
+
+@query(
+    f"""WITH {CHOSEN}, b AS (SELECT model_raw, list_min(list_transform(tiers, lambda r: r.input_rate)) AS li, list_max(list_transform(tiers, lambda r: r.input_rate)) AS hi,
+    list_min(list_transform(tiers, lambda r: r.output_rate)) AS lo, list_max(list_transform(tiers, lambda r: r.output_rate)) AS ho, CAST(input_uncached AS HUGEINT) AS u, CAST(output_total AS HUGEINT) AS o FROM chosen WHERE len(tiers) > 0)
+    SELECT model_raw, count(*) AS events, {_ROUND.format('sum(coalesce(u * li, 0) + coalesce(o * lo, 0))')} AS low_amount, {_ROUND.format('sum(coalesce(u * hi, 0) + coalesce(o * ho, 0))')} AS high_amount FROM b GROUP BY 1"""
+)
+def a20_cost_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pricing.bounds(priced(spark, sf_dir), "model_raw")
+
+
+@query(
+    f"""WITH {PRICES} SELECT price_id FROM (SELECT *, max(coalesce(to_ms, 4611686018427387904)) OVER (PARTITION BY provider, model, region, channel, threshold ORDER BY from_ms, price_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM prices) WHERE from_ms < reach"""
+)
+def w9_interval_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps(price_rows(spark, sf_dir), ("provider", "model", "region", "channel", "threshold")).select("price_id")
+
+
+_BAD = {"input_rate": "CASE WHEN threshold = 2500 AND region = 'eu' THEN -1 ELSE input_rate END", "currency": "CASE WHEN region = 'cn' AND threshold = 5000 THEN 'XXX' ELSE currency END"}
+
+
+@query(
+    f"""WITH {PRICES}, bad AS (SELECT * REPLACE ({', '.join(f'{e} AS {c}' for c, e in _BAD.items())}) FROM prices)
+    SELECT price_id, CASE WHEN input_rate < 0 THEN 'negative_rate' ELSE 'unknown_currency' END AS fault FROM bad WHERE input_rate < 0 OR currency NOT IN ('USD', 'CNY', 'EUR')"""
+)
+def s6_price_book_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return faults(price_rows(spark, sf_dir).withColumns({c: F.expr(e) for c, e in _BAD.items()}))
+
+
+@query(
+    f"""WITH {CHOSEN}, {EXACT}, days AS (SELECT local_day, {_ROUND.format('sum(coalesce(output_exact, 0))')} AS amount FROM exact WHERE tariff.currency = 'USD' GROUP BY 1),
+    periods AS (SELECT CAST(d AS DATE) AS first_day, CAST(d + INTERVAL 3 MONTH AS DATE) AS end_day FROM (SELECT unnest(generate_series(DATE '1995-01-01', DATE '2001-10-01', INTERVAL 3 MONTH)) AS d))
+    SELECT first_day, count(*) AS days, CAST(sum(amount) AS BIGINT) AS amount FROM periods JOIN days ON local_day >= first_day AND local_day < end_day GROUP BY 1"""
+)
+def j13_costs_by_display_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = priced(spark, sf_dir).where("tariff.currency = 'USD'").groupBy("local_day").agg(pricing.rounded(F.sum(F.coalesce("output_exact", F.lit(0))).cast("decimal(38,0)")).alias("amount"))
+    periods = F.sequence(F.lit("1995-01-01").cast("date"), F.lit("2001-10-01").cast("date"), F.expr("INTERVAL 3 MONTH"))
+    first = F.array_max(F.filter(periods, lambda d: d <= F.col("local_day")))
+    return days.withColumn("first_day", first).where("first_day is not null").where(F.col("local_day") < F.add_months("first_day", 3)).groupBy("first_day").agg(F.count("*").alias("days"), F.sum("amount").alias("amount"))
+
+
+@query(
+    f"""WITH {CHOSEN}, {EXACT}, costs AS (SELECT lower(coalesce(provider_id, '')) AS provider, coalesce({_KEY.format('model_raw')}, '') AS model, {_ROUND.format('sum(coalesce(input_exact, 0))')} AS amount FROM exact WHERE tariff IS NOT NULL GROUP BY ALL),
+    used AS (SELECT lower(coalesce(provider_id, '')) AS provider, coalesce({_KEY.format('model_raw')}, '') AS model, CAST(sum(known_total_tokens) AS BIGINT) AS tokens FROM events_ WHERE attribution_status = 'verified' GROUP BY ALL)
+    SELECT provider, model, tokens, amount FROM used LEFT JOIN costs USING (provider, model)"""
+)
+def j14_costs_beside_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meterframe.functions.scalars import model_key
+
+    keys = [F.lower(F.coalesce("provider_id", F.lit(""))).alias("provider"), F.coalesce(model_key(F.col("model_raw")), F.lit("")).alias("model")]
+    costs = priced(spark, sf_dir).where("tariff is not null").groupBy(*keys).agg(pricing.rounded(F.sum(F.coalesce("input_exact", F.lit(0))).cast("decimal(38,0)")).alias("amount"))
+    used = eligible(usage_events(spark, sf_dir)).groupBy(*keys).agg(F.sum("known_total_tokens").alias("tokens"))
+    return used.join(costs, ["provider", "model"], "left")
+
+
+@query(f"WITH {EVENTS} SELECT local_day, max(part_key) AS revision FROM events_ WHERE local_day >= DATE '1996-01-01' GROUP BY 1 HAVING max(part_key) > (SELECT quantile_disc(p_partkey, 0.9) FROM part)")
+def j17_changed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    saved = spark.read.parquet(f"{sf_dir}/part.parquet").agg(F.percentile_disc(0.9, "p_partkey") if hasattr(F, "percentile_disc") else F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY p_partkey)")).first()[0]
+    days = usage_events(spark, sf_dir).groupBy("local_day").agg(F.max("part_key").alias("revision"))
+    return days.where((F.col("revision") > int(saved)) & (F.col("local_day") >= "1996-01-01"))
+
+
+@query(f"WITH {PRICES} SELECT priority, count(*) AS rows, count(DISTINCT model) AS models, min(from_ms) AS first_ms, bool_or(to_ms IS NULL) AS open_ended, row_number() OVER (ORDER BY priority) AS place FROM prices GROUP BY priority")
+def o3_price_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = price_rows(spark, sf_dir).groupBy("priority").agg(F.count("*").alias("rows"), F.count_distinct("model").alias("models"), F.min("from_ms").alias("first_ms"), F.bool_or(F.col("to_ms").isNull()).alias("open_ended"))
+    return found.withColumn("place", F.row_number().over(Window.orderBy("priority")))

@@ -1 +1,77 @@
-"""Registered queries."""
+"""Retention queries: archived periods, sealed days, floors and the view of all that is retained."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from meterframe.operators import archives, rollups
+from meterframe.plans.summaries import DIMS, HOURS, RESUM, ROLL, daily
+from meterframe.registry import query
+from meterframe.sources.usage import EVENTS, table, usage_events
+
+TODAY, FLOOR, CUTOFF = "1999-05-20", "1996-02-01", "1997-03-10"
+_SPANS = """unnest([struct_pack(grain := 'week', label := concat(isoyear(local_day), '-W', lpad(CAST(week(local_day) AS VARCHAR), 2, '0')), first_day := CAST(date_trunc('week', local_day) AS DATE), end_day := CAST(date_trunc('week', local_day) + INTERVAL 7 DAY AS DATE)),
+  struct_pack(grain := 'month', label := strftime(local_day, '%Y-%m'), first_day := CAST(date_trunc('month', local_day) AS DATE), end_day := CAST(date_trunc('month', local_day) + INTERVAL 1 MONTH AS DATE)),
+  struct_pack(grain := 'year', label := strftime(local_day, '%Y'), first_day := CAST(date_trunc('year', local_day) AS DATE), end_day := CAST(date_trunc('year', local_day) + INTERVAL 1 YEAR AS DATE))], recursive := true)"""
+_NAMES = "source_instance_id, agent, provider, model, call_category, quality_bucket"
+PERIODS = f"""periods AS (SELECT grain, label, first_day, end_day, {_NAMES}, count(DISTINCT local_day) AS active_days, {RESUM} FROM (SELECT *, {_SPANS} FROM roll)
+  WHERE end_day <= DATE '{TODAY}' AND first_day >= DATE '{FLOOR}' GROUP BY grain, label, first_day, end_day, {_NAMES})"""
+
+
+@query(ROLL + f", {PERIODS} SELECT * FROM periods")
+def a4_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.materialise_periods(daily(spark, sf_dir), TODAY, FLOOR)
+
+
+_SEALED = f"sealed AS (SELECT DISTINCT local_day, source_instance_id FROM roll WHERE local_day < DATE '{CUTOFF}' AND source_instance_id IN ('inst-1', 'inst-2', 'inst-3'))"
+
+
+@query(
+    ROLL
+    + f"""SELECT local_day < DATE '{CUTOFF}' AND source_instance_id IN ('inst-1', 'inst-2', 'inst-3') AS sealed, source_instance_id, count(*) AS rows, CAST(sum(CASE WHEN local_day < DATE '{CUTOFF}' AND source_instance_id IN ('inst-1', 'inst-2', 'inst-3') THEN events + 1 ELSE events END) AS BIGINT) AS events FROM roll GROUP BY ALL"""
+)
+def r1_r8_j7_sealed_recompute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sealed rows keep what they held (here one event more) whatever the detail says now."""
+    rows = daily(spark, sf_dir)
+    stored, _ = archives.seal(rows.where(F.col("source_instance_id").isin("inst-1", "inst-2", "inst-3")).withColumn("events", F.col("events") + 1), CUTOFF)
+    return archives.recompute(rows, stored).groupBy("sealed", "source_instance_id").agg(F.count("*").alias("rows"), F.sum("events").alias("events"))
+
+
+@query(
+    ROLL
+    + f""", {PERIODS}, archived AS (SELECT * FROM periods WHERE grain = 'month' AND first_day < DATE '1998-01-01'), view_ AS (SELECT 'daily' AS source, local_day AS first_day, {_NAMES}, {', '.join(rollups.MEASURES)} FROM roll d
+      WHERE NOT EXISTS (SELECT 1 FROM archived a WHERE {' AND '.join(f'a.{k} = d.{k}' for k in _NAMES.split(', '))} AND d.local_day >= a.first_day AND d.local_day < a.end_day)
+      UNION ALL SELECT 'archive', first_day, {_NAMES}, {', '.join(rollups.MEASURES)} FROM archived) SELECT source, agent, count(*) AS rows, {RESUM} FROM view_ GROUP BY source, agent"""
+)
+def u1_j6_retained_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = daily(spark, sf_dir)
+    archive = archives.materialise_periods(rows, TODAY, FLOOR).where("grain = 'month' AND first_day < DATE'1998-01-01'")
+    return archives.retained(rows, archive).groupBy("source", "agent").agg(F.count("*").alias("rows"), *[F.sum(m).alias(m) for m in rollups.MEASURES])
+
+
+@query("WITH days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders) SELECT day, CAST(date_trunc('week', least(date_trunc('year', day), date_trunc('month', day), date_trunc('week', day))) AS DATE) AS protected, greatest(DATE '1997-06-01', CAST(day - 89 AS DATE)) AS floor_day FROM days")
+def r3_r4_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
+    floor = archives.advance_floor(F.lit("1997-06-01").cast("date"), F.date_sub("day", 89))
+    return days.select("day", archives.protected_day(F.col("day")).alias("protected"), floor.alias("floor_day"))
+
+
+@query(
+    HOURS
+    + f""", detail AS (SELECT local_day, local_hour, {DIMS}, count(known_total_tokens) AS detail_known, CAST(sum(known_input_uncached) AS BIGINT) AS detail_uncached FROM events_ WHERE attribution_status = 'verified' AND part_key % 2 = 0 GROUP BY ALL),
+    {_SEALED} SELECT r.local_day, r.local_hour, {', '.join('r.' + n for n in _NAMES.split(', '))}, events, CASE WHEN s.local_day IS NULL THEN detail_known END AS detail_known, CASE WHEN s.local_day IS NULL THEN detail_uncached END AS detail_uncached
+    FROM roll r LEFT JOIN detail d ON r.local_hour = d.local_hour AND r.local_day = d.local_day AND {' AND '.join(f'r.{k} = d.{k}' for k in _NAMES.split(', '))} LEFT JOIN sealed s ON s.local_day = r.local_day AND s.source_instance_id = r.source_instance_id"""
+)
+def a3_hourly_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = usage_events(spark, sf_dir)
+    hours = rollups.rollup(events, "local_day", "local_hour")
+    detail = rollups.eligible(events).where("part_key % 2 = 0").withColumns({"provider": F.coalesce("provider_id", F.lit("")), "model": F.coalesce("model_raw", F.lit(""))})
+    sealed = hours.where((F.col("local_day") < CUTOFF) & F.col("source_instance_id").isin("inst-1", "inst-2", "inst-3"))
+    return archives.enrich_hours(hours, detail, sealed)
+
+
+@query(f"WITH {EVENTS} SELECT count(*) FILTER (local_day >= DATE '{CUTOFF}') AS kept, count(*) FILTER (local_day < DATE '{CUTOFF}') AS removed FROM events_")
+def r5_hard_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = F.col("local_day") >= F.lit(CUTOFF).cast("date")
+    return usage_events(spark, sf_dir).agg(F.count_if(kept).alias("kept"), F.count_if(~kept).alias("removed"))

@@ -1 +1,236 @@
-"""Registered queries."""
+"""Dashboard queries: rollups by hour, day and period, breakdowns, series, heat maps, quotas, budgets and listings."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from meterframe.functions import calendar as cal
+from meterframe.operators import activity, quotas, rollups
+from meterframe.registry import query
+from meterframe.sources.usage import EVENTS, ZONE, table, usage_events
+
+_K = "record_kind <> 'transport_attempt'"
+
+
+def _sum(name: str, short: str, unknown: bool = False) -> str:
+    out = f"CAST(sum(known_{name}) FILTER ({_K}) AS BIGINT) AS {short}_sum, count(known_{name}) FILTER ({_K}) AS {short}_known"
+    return out + (f", count(*) FILTER ({_K} AND quality_bucket <> 'unknown' AND known_{name} IS NULL) AS {short}_unknown" if unknown else "")
+
+
+_BOTH = f"{_K} AND known_input_total IS NOT NULL AND known_input_cache_read IS NOT NULL"
+MEASURES = f"""count(*) AS events, count(*) FILTER (record_kind = 'model_call') AS calls, count(*) FILTER (record_kind = 'transport_attempt') AS attempts, count(*) FILTER (record_kind = 'usage_observation') AS observations,
+ {_sum('input_total', 'input', True)}, {_sum('input_uncached', 'uncached')}, {_sum('input_cache_read', 'read')}, {_sum('input_cache_write', 'write')}, {_sum('output_total', 'output', True)}, {_sum('total_tokens', 'total', True)},
+ CAST(sum(known_input_total) FILTER ({_BOTH}) AS BIGINT) AS ratio_input, CAST(sum(known_input_cache_read) FILTER ({_BOTH}) AS BIGINT) AS ratio_read, count(*) FILTER ({_BOTH}) AS ratio_samples"""
+DIMS = "source_instance_id, agent, coalesce(provider_id, '') AS provider, coalesce(model_raw, '') AS model, call_category, quality_bucket"
+ROLL = f"WITH {EVENTS}, roll AS (SELECT local_day, {DIMS}, {MEASURES} FROM events_ WHERE attribution_status = 'verified' GROUP BY ALL) "
+HOURS = f"WITH {EVENTS}, roll AS (SELECT local_day, local_hour, {DIMS}, {MEASURES} FROM events_ WHERE attribution_status = 'verified' GROUP BY ALL) "
+WITH = f"WITH {EVENTS} "
+RESUM = ", ".join(f"CAST(sum({m}) AS BIGINT) AS {m}" for m in rollups.MEASURES)
+
+
+def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.rollup(usage_events(spark, sf_dir), "local_day")
+
+
+@query(ROLL + "SELECT * FROM roll")
+def a1_daily_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return daily(spark, sf_dir)
+
+
+@query(HOURS + "SELECT * FROM roll")
+def a2_hourly_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.rollup(usage_events(spark, sf_dir), "local_day", "local_hour")
+
+
+@query(ROLL + f"SELECT CASE WHEN grouping(local_day) = 0 THEN 'period' WHEN grouping(model) = 0 THEN 'model' WHEN grouping(agent) = 0 THEN 'agent' ELSE 'total' END AS axis, local_day, provider, model, agent, {RESUM} FROM roll GROUP BY GROUPING SETS ((local_day), (provider, model), (agent), ())")
+def a5_usage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.summary(daily(spark, sf_dir))
+
+
+@query(ROLL + f"SELECT agent, {RESUM}, CASE WHEN sum(ratio_input) > 0 THEN CAST(sum(ratio_read) AS DOUBLE) / CAST(sum(ratio_input) AS DOUBLE) END AS cache_ratio FROM roll GROUP BY agent")
+def a6_a8_metric_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.resum(daily(spark, sf_dir), "agent").withColumn("cache_ratio", rollups.cache_ratio())
+
+
+@query(
+    WITH
+    + """SELECT strftime(local_day, '%Y-%m') AS period, CASE WHEN bool_or(session_id IS NULL) THEN NULL ELSE count(DISTINCT concat(source_instance_id, '#', session_id)) END AS sessions, bool_or(session_id IS NULL) AS unknown_session,
+    count(DISTINCT local_day) AS active_days, CAST(sum(duration_ms) AS BIGINT) AS duration, count(duration_ms) AS samples, CAST(sum(duration_ms) AS DOUBLE) / count(duration_ms) AS mean
+    FROM events_ WHERE attribution_status = 'verified' AND record_kind = 'model_call' GROUP BY 1"""
+)
+def a7_sessions_and_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = rollups.eligible(usage_events(spark, sf_dir)).where("record_kind = 'model_call'")
+    return activity.sessions(calls, cal.month_label(F.col("local_day")).alias("period"))
+
+
+@query(
+    ROLL
+    + """, sums AS (SELECT local_day, CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(total_sum) AS BIGINT) AS tokens, sum(total_unknown) > 0 AS part FROM roll GROUP BY 1)
+    SELECT CAST(day AS DATE) AS day, coalesce(calls, 0) AS calls, tokens, day >= DATE '1996-01-01' AS available, coalesce(part, false) AS partial
+    FROM (SELECT unnest(generate_series(DATE '1995-10-01', DATE '1996-12-31', INTERVAL 1 DAY)) AS day) LEFT JOIN sums ON local_day = day"""
+)
+def a9_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return activity.heatmap(daily(spark, sf_dir), "1995-10-01", "1996-12-31", "1996-01-01")
+
+
+@query(ROLL + "SELECT strftime(local_day, '%Y-%m') AS period, concat(agent, ' / ', model) AS series, CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(total_sum) AS BIGINT) AS tokens FROM roll GROUP BY ALL")
+def a10_chart_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return activity.series(daily(spark, sf_dir), cal.month_label(F.col("local_day")), "agent_model")
+
+
+@query(HOURS + f"SELECT local_hour, {RESUM} FROM roll WHERE local_day BETWEEN DATE '1996-11-01' AND DATE '1996-11-07' GROUP BY 1")
+def a11_hour_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hours = rollups.rollup(usage_events(spark, sf_dir), "local_day", "local_hour")
+    return rollups.resum(hours.where(F.col("local_day").between("1996-11-01", "1996-11-07")), "local_hour")
+
+
+@query(ROLL + "SELECT CAST(isodow(local_day) AS INTEGER) AS weekday, CAST(sum(calls) FILTER (local_day >= DATE '1996-01-01') AS BIGINT) AS calls FROM roll WHERE local_day < DATE '1997-01-01' GROUP BY 1")
+def a12_weekday_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = daily(spark, sf_dir).where("local_day < DATE'1997-01-01'")
+    return rows.groupBy((F.weekday("local_day") + 1).alias("weekday")).agg(F.sum(F.when(F.col("local_day") >= "1996-01-01", F.col("calls"))).alias("calls"))
+
+
+@query(ROLL + "SELECT *, CAST(tokens AS DOUBLE) / CAST(sum(tokens) OVER () AS DOUBLE) AS share FROM (SELECT lower(provider) AS name, CAST(sum(total_sum) AS BIGINT) AS tokens FROM roll GROUP BY 1) WHERE tokens > 0")
+def a13_token_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return activity.shares(daily(spark, sf_dir), "provider")
+
+
+@query(ROLL + "SELECT strftime(local_day, '%Y') AS label, " + ", ".join(f"CAST(sum(total_sum) FILTER (call_category = '{c}') AS BIGINT) AS {c}" for c in ("main", "sub_agent", "auxiliary")) + " FROM roll GROUP BY 1")
+def a14_series_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = daily(spark, sf_dir).withColumn("label", F.date_format("local_day", "yyyy"))
+    return rows.groupBy("label").pivot("call_category", ["main", "sub_agent", "auxiliary"]).agg(F.sum("total_sum"))
+
+
+_COVER = "CASE order_key % 4 WHEN 0 THEN 'duplicate' WHEN 1 THEN 'overlap_unknown' ELSE 'exclusive' END"
+
+
+@query(
+    f"""WITH {EVENTS}, c AS (SELECT *, {_COVER} AS coverage FROM events_) SELECT source_instance_id, count(*) FILTER (coverage = 'exclusive') AS exclusive_rows, count(*) FILTER (coverage = 'duplicate') AS duplicate_rows,
+    count(*) FILTER (coverage = 'overlap_unknown') AS overlap_unknown_rows, {', '.join(f"CAST(sum(known_{t}) FILTER (coverage = 'exclusive') AS BIGINT) AS {t}" for t in ('input_total', 'output_total', 'total_tokens'))} FROM c GROUP BY 1"""
+)
+def a15_exclusive_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return activity.exclusive_totals(usage_events(spark, sf_dir).withColumn("coverage", F.expr(_COVER)))
+
+
+_AXES = {"day": ("local_day",), "model": ("model",), "agent": ("agent",), "provider_day": ("provider", "local_day"), "provider_agent": ("provider", "agent")}
+
+
+@query(
+    ROLL
+    + " UNION ALL ".join(
+        f"SELECT '{name}' AS axis, source_instance_id, {', '.join(c if c in keys else f'NULL AS {c}' for c in ('local_day', 'provider', 'model', 'agent'))}, CAST(sum(events) AS BIGINT) AS events, CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(total_sum) AS BIGINT) AS total_sum FROM roll GROUP BY source_instance_id{''.join(', ' + k for k in keys)}"
+        for name, keys in _AXES.items()
+    )
+)
+def a21_rollup_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.axes(daily(spark, sf_dir), _AXES)
+
+
+@query(
+    WITH
+    + """SELECT source_instance_id, count(*) AS session_days, CAST(sum(events) AS BIGINT) AS events, CAST(sum(duration) AS BIGINT) AS duration, CAST(max(events) AS BIGINT) AS busiest FROM
+    (SELECT local_day, source_instance_id, session_id, count(*) AS events, sum(duration_ms) AS duration FROM events_ WHERE attribution_status = 'verified' GROUP BY ALL) GROUP BY 1"""
+)
+def a22_session_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = activity.session_days(rollups.eligible(usage_events(spark, sf_dir)))
+    return days.groupBy("source_instance_id").agg(F.count("*").alias("session_days"), F.sum("events").alias("events"), F.sum("duration").alias("duration"), F.max("events").alias("busiest"))
+
+
+@query(WITH + "SELECT strftime(local_day, '%Y-%m') AS period, count(*) FILTER (attribution_status <> 'verified') AS excluded, count(*) AS events FROM events_ GROUP BY 1")
+def a23_excluded_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage_events(spark, sf_dir).groupBy(cal.month_label(F.col("local_day")).alias("period")).agg(F.count_if(F.col("attribution_status") != "verified").alias("excluded"), F.count("*").alias("events"))
+
+
+@query(
+    ROLL
+    + """SELECT strftime(local_day, '%Y-%m') AS period, agent, CAST(sum(total_sum) AS BIGINT) AS used, 3000000 AS threshold, sum(total_unknown) > 0 AS coverage_limited, coalesce(sum(total_sum) >= 3000000, false) AS exceeded FROM roll GROUP BY 1, 2"""
+)
+def a24_budget_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotas.budget_status(daily(spark, sf_dir), [cal.month_label(F.col("local_day")).alias("period"), F.col("agent")], 3_000_000)
+
+
+@query(
+    WITH
+    + """SELECT agent, CAST(sum(total) AS BIGINT) AS total, CAST(sum(samples) AS BIGINT) AS samples, CASE WHEN sum(samples) > 0 THEN CAST(sum(total) AS DOUBLE) / CAST(sum(samples) AS DOUBLE) END AS mean FROM
+    (SELECT agent, local_day, sum(duration_ms) AS total, count(duration_ms) AS samples FROM events_ WHERE attribution_status = 'verified' AND record_kind = 'model_call' GROUP BY ALL) GROUP BY 1"""
+)
+def a25_duration_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = rollups.eligible(usage_events(spark, sf_dir)).where("record_kind = 'model_call'")
+    days = calls.groupBy("agent", "local_day").agg(F.sum("duration_ms").alias("total"), F.count("duration_ms").alias("samples"))
+    return days.groupBy("agent").agg(F.sum("total").alias("total"), F.sum("samples").alias("samples")).withColumn("mean", F.when(F.col("samples") > 0, F.col("total") / F.col("samples")))
+
+
+_TABLES = ("orders", "lineitem", "events", "part", "supplier", "customer")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in _TABLES))
+def a26_table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = [table(spark, sf_dir, t).agg(F.lit(t).alias("name"), F.count("*").alias("n")) for t in _TABLES]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+@query(
+    WITH
+    + """SELECT grain, label, agent, model, count(*) AS requests, CAST(sum(output_total) AS BIGINT) AS output FROM (SELECT unnest([struct_pack(grain := 'day', label := strftime(local_day, '%Y-%m-%d')),
+    struct_pack(grain := 'week', label := concat(isoyear(local_day), '-W', lpad(CAST(week(local_day) AS VARCHAR), 2, '0'))), struct_pack(grain := 'month', label := strftime(local_day, '%Y-%m'))], recursive := true),
+    agent, coalesce(model_raw, '') AS model, output_total FROM events_) GROUP BY ALL"""
+)
+def a27_grains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.col("local_day")
+    labels = {"day": F.date_format(day, "yyyy-MM-dd"), "week": cal.week_label(day), "month": cal.month_label(day)}
+    spread = usage_events(spark, sf_dir).select("agent", F.coalesce("model_raw", F.lit("")).alias("model"), "output_total", F.explode(F.array(*[F.struct(F.lit(g).alias("grain"), c.alias("label")) for g, c in labels.items()])).alias("p"))
+    return spread.groupBy("p.grain", "p.label", "agent", "model").agg(F.count("*").alias("requests"), F.sum("output_total").alias("output"))
+
+
+@query(
+    WITH
+    + """SELECT source_instance_id, source_record_key, occurred_at_ms, agent, total_tokens, count(*) OVER () AS total FROM events_ WHERE agent = 'Brand#11' AND attribution_status = 'verified'
+    QUALIFY row_number() OVER (ORDER BY occurred_at_ms DESC, source_instance_id, source_record_key, part_key, supplier_key) BETWEEN 201 AND 400"""
+)
+def o1_detail_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = usage_events(spark, sf_dir).where("agent = 'Brand#11' AND attribution_status = 'verified'")
+    page = activity.page(events, ["source_instance_id", "source_record_key", "part_key", "supplier_key"], 200, 200)
+    return page.select("source_instance_id", "source_record_key", "occurred_at_ms", "agent", "total_tokens", "total")
+
+
+@query("SELECT event_id, ts, user_id, props FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id LIMIT 500")
+def o2_recent_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return activity.recent(table(spark, sf_dir, "events"), "event_type", "error", 9_999, "ts", "event_id").select("event_id", "ts", "user_id", "props")
+
+
+@query(
+    """SELECT user_id, CAST(ts AS DATE) AS day, arg_max(value, struct_pack(ts, event_id)) AS used, epoch_us(max(ts)) // 1000 AS observed_ms FROM events GROUP BY 1, 2"""
+)
+def w7_quota_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotas.daily_series(quotas.observations(table(spark, sf_dir, "events"))).select("user_id", "day", "used", "observed_ms")
+
+
+@query("SELECT user_id, arg_max(value, struct_pack(ts, event_id)) AS used, epoch_us(max(ts)) // 1000 AS observed_ms FROM events GROUP BY 1")
+def j12_latest_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotas.latest(quotas.observations(table(spark, sf_dir, "events")))
+
+
+@query(
+    ROLL
+    + """, days AS (SELECT source_instance_id, local_day, CAST(sum(calls) AS BIGINT) AS calls FROM roll GROUP BY ALL HAVING sum(calls) > 0),
+    runs AS (SELECT source_instance_id, island, count(*) AS run FROM (SELECT *, local_day - CAST(row_number() OVER (PARTITION BY source_instance_id ORDER BY local_day) AS INTEGER) AS island FROM days) GROUP BY ALL)
+    SELECT d.source_instance_id, count(*) AS active_days, max(run) AS longest_run, arg_max(local_day, struct_pack(calls, k := -epoch_ms(CAST(local_day AS TIMESTAMP)))) AS peak_day, max(calls) AS peak_calls
+    FROM days d JOIN (SELECT source_instance_id, max(run) AS run FROM runs GROUP BY 1) USING (source_instance_id) GROUP BY 1"""
+)
+def w8_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return activity.streaks(daily(spark, sf_dir))
+
+
+@query(
+    """WITH s AS (SELECT concat('inst-', l_suppkey % 20) AS instance, count(*) AS records, max(l_shipdate) AS last_success FROM lineitem GROUP BY 1),
+    f AS (SELECT concat('inst-', s_suppkey % 20) AS instance, count(*) FILTER (s_acctbal >= 0) AS ok_files, count(*) FILTER (s_acctbal < 0) AS failed_files, arg_max(s_name, s_suppkey) AS hostname FROM supplier GROUP BY 1)
+    SELECT instance, records, last_success, coalesce(ok_files, 0) AS ok_files, coalesce(failed_files, 0) AS failed_files, hostname FROM s LEFT JOIN f USING (instance)"""
+)
+def j15_source_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.expr("concat('inst-', l_suppkey % 20)").alias("instance")).agg(F.count("*").alias("records"), F.max("l_shipdate").alias("last_success"))
+    files = table(spark, sf_dir, "supplier").groupBy(F.expr("concat('inst-', s_suppkey % 20)").alias("instance")).agg(F.count_if(F.col("s_acctbal") >= 0).alias("ok_files"), F.count_if(F.col("s_acctbal") < 0).alias("failed_files"), F.max_by("s_name", "s_suppkey").alias("hostname"))
+    return lines.join(files, "instance", "left").fillna(0, ["ok_files", "failed_files"])
