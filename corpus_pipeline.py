@@ -35,8 +35,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly labelled scorer does not reject."""
-    found = quality.classify(docs.select(_key().alias("doc_id"), "text"))
-    return _without(docs, found.where("not kept").withColumnRenamed("doc_id", "key"))
+    return quality.classify(docs, carry=COLUMNS).where("kept").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

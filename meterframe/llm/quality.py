@@ -125,9 +125,13 @@ def fit_scorer(features: np.ndarray, good: np.ndarray, rounds: int = 300, rate:
     return np.append(weights, bias)
 
 
-def classify(docs: DataFrame, keep: float = KEEP) -> DataFrame:
-    """(doc_id, pattern, posterior, score, kept) of every row: the weak label's and the scorer's probability of good."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def classify(docs: DataFrame, keep: float = KEEP, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, pattern, posterior, score, kept) of every row: the weak label's and the scorer's probability of good.
+
+    ``carry`` names further columns of ``docs`` that the rows keep, so that a caller can filter them without a join.
+    """
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[c for c in carry if c not in ("doc_id", "text")])
+    docs = whole.select("doc_id", "text")
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = 3 ** np.arange(LABELLERS)
@@ -138,7 +142,8 @@ def classify(docs: DataFrame, keep: float = KEEP) -> DataFrame:
     voted = docs.mapInArrow(vote, "doc_id long, pattern int")
     counted = voted.groupBy("pattern").count().orderBy("pattern").toArrow()  # at most 3 ** LABELLERS rows
     if not counted.num_rows:
-        return voted.select("doc_id", "pattern", F.lit(0.0).alias("posterior"), F.lit(0.0).alias("score"), F.lit(False).alias("kept"))
+        none = (F.lit(0).alias("pattern"), F.lit(0.0).alias("posterior"), F.lit(0.0).alias("score"), F.lit(False).alias("kept"))
+        return whole.select("doc_id", *none, *[c for c in whole.columns if c in carry and c != "doc_id"])
     codes, counts = np.array(counted.column("pattern")), np.array(counted.column("count"))
     _, _, good = estimate(_decode(codes), counts)
     posterior = dict(zip(codes.tolist(), good.tolist(), strict=True))
@@ -160,6 +165,8 @@ def classify(docs: DataFrame, keep: float = KEEP) -> DataFrame:
     seen = np.array(chosen.column("pattern"), np.int64)
     model = fit_scorer(np.concatenate([matrix, _shapes(_decode(seen))], axis=1), np.array([posterior[c] for c in seen.tolist()])) if len(matrix) else np.zeros(BUCKETS + 2 * LABELLERS + 1)
 
+    passed = [c for c in whole.columns if c in carry and c != "doc_id"]
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = 3 ** np.arange(LABELLERS)
         for batch in batches:
@@ -170,6 +177,7 @@ def classify(docs: DataFrame, keep: float = KEEP) -> DataFrame:
             scores = 1 / (1 + np.exp(-np.clip(SCALE * found[:, 0] / (n + SHORT) + shape + model[-1], -500, 500)))
             weak = np.array([posterior[p] for p in pattern])
             blank = np.array([not t.strip() for t in texts], bool)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(pattern, pa.int32()), pa.array(weak, pa.float64()), pa.array(scores, pa.float64()), pa.array((scores >= keep) & ~blank)], ["doc_id", "pattern", "posterior", "score", "kept"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(pattern, pa.int32()), pa.array(weak, pa.float64()), pa.array(scores, pa.float64()), pa.array((scores >= keep) & ~blank), *[batch.column(c) for c in passed]], ["doc_id", "pattern", "posterior", "score", "kept", *passed])
 
-    return docs.mapInArrow(score, "doc_id long, pattern int, posterior double, score double, kept boolean")
+    found = "doc_id long, pattern int, posterior double, score double, kept boolean"
+    return whole.mapInArrow(score, ", ".join([found, *[f"`{c}` {whole.schema[c].dataType.simpleString()}" for c in passed]]))
