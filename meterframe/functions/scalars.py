@@ -131,7 +131,7 @@ def contradictions() -> Column:
 def component_amount(tokens: Column, rate: Column) -> Column:
     """Minor units of tokens at hundredths of a minor unit a million tokens, rounded half up."""
     exact = tokens.cast("decimal(38,0)") * rate.cast("decimal(19,0)") + F.lit(50_000_000).cast("decimal(38,0)")
-    return F.floor(exact / F.lit(100_000_000).cast("decimal(9,0)")).cast("long")
+    return F.call_function("div", exact, F.lit(100_000_000).cast("decimal(38,0)"))
 
 
 def usd_to_hundredths(usd: Column) -> Column:

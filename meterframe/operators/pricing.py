@@ -135,7 +135,7 @@ def amounts(priced: DataFrame, ttl: dict[str, int]) -> DataFrame:
 
 def rounded(total: Column) -> Column:
     """An exact numerator in minor units, rounded half up once."""
-    return F.floor((total + F.lit(UNIT // 2).cast("decimal(38,0)")) / F.lit(UNIT).cast("decimal(9,0)")).cast("long")
+    return F.call_function("div", total + F.lit(UNIT // 2).cast("decimal(38,0)"), F.lit(UNIT).cast("decimal(38,0)"))
 
 
 def cost_rows(priced: DataFrame, *keys: str) -> DataFrame:

@@ -22,4 +22,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from meterframe.plans import costs, merges, ordered, retention, rows, summaries  # noqa: E402, F401
+from meterframe.plans import costs, merges, ordered, records, retention, rows, summaries  # noqa: E402, F401
