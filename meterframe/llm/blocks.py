@@ -136,6 +136,19 @@ def shingle_hashes(block: Block, size: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(out), bounds
 
 
+def sliced(run, rows: int = 1024):
+    """A function of batches, each handled on its own, fed with slices of them; unused Arrow memory is given back at the end."""
+    import pyarrow as pa
+
+    def fed(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield from run(iter([batch.slice(at, rows)]))
+        pa.default_memory_pool().release_unused()
+
+    return fed
+
+
 def column_bytes(column) -> list[bytes]:
     """UTF-8 bytes of an Arrow string column; null counts as empty."""
     import pyarrow as pa

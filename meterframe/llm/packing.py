@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meterframe.llm.blocks import sliced
 from meterframe.llm.shared import checkpointed
 
 LENGTH = 2048
@@ -42,7 +43,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
                     out.append((doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes())))
             yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "piece", "start", "length", "ids_crc32"), x, strict=True)) for x in out], schema=pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
 
-    return docs.mapInArrow(run, SCHEMA)
+    return docs.mapInArrow(sliced(run), SCHEMA)
 
 
 class _Bins:

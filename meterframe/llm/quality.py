@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterframe.llm import trigrams
-from meterframe.llm.blocks import column_bytes
+from meterframe.llm.blocks import column_bytes, sliced
 
 BUCKETS = 2048
 #: The most documents that the scorer is fitted on.
@@ -139,7 +139,7 @@ def classify(docs: DataFrame, keep: float = KEEP, carry: tuple[str, ...] = ()) -
             codes = [int(np.dot(votes(t), base)) for t in column_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.int32())], ["doc_id", "pattern"])
 
-    voted = docs.mapInArrow(vote, "doc_id long, pattern int")
+    voted = docs.mapInArrow(sliced(vote), "doc_id long, pattern int")
     counted = voted.groupBy("pattern").count().orderBy("pattern").toArrow()  # at most 3 ** LABELLERS rows
     if not counted.num_rows:
         none = (F.lit(0).alias("pattern"), F.lit(0.0).alias("posterior"), F.lit(0.0).alias("score"), F.lit(False).alias("kept"))
@@ -160,7 +160,7 @@ def classify(docs: DataFrame, keep: float = KEEP, carry: tuple[str, ...] = ()) -
                 features = pa.array([x.astype(np.float16).tobytes() for x in _features(texts)], pa.binary())
                 yield pa.RecordBatch.from_arrays([features, pa.array([int(np.dot(votes(t), base)) for t in texts], pa.int32())], ["features", "pattern"])
 
-    chosen = picked.mapInArrow(sample, "features binary, pattern int").toArrow()
+    chosen = picked.mapInArrow(sliced(sample), "features binary, pattern int").toArrow()
     matrix = np.frombuffer(b"".join(chosen.column("features").to_pylist()), np.float16).reshape(-1, BUCKETS).astype(np.float32)
     seen = np.array(chosen.column("pattern"), np.int64)
     model = fit_scorer(np.concatenate([matrix, _shapes(_decode(seen))], axis=1), np.array([posterior[c] for c in seen.tolist()])) if len(matrix) else np.zeros(BUCKETS + 2 * LABELLERS + 1)
@@ -180,4 +180,4 @@ def classify(docs: DataFrame, keep: float = KEEP, carry: tuple[str, ...] = ()) -
             yield pa.RecordBatch.from_arrays([ids, pa.array(pattern, pa.int32()), pa.array(weak, pa.float64()), pa.array(scores, pa.float64()), pa.array((scores >= keep) & ~blank), *[batch.column(c) for c in passed]], ["doc_id", "pattern", "posterior", "score", "kept", *passed])
 
     found = "doc_id long, pattern int, posterior double, score double, kept boolean"
-    return whole.mapInArrow(score, ", ".join([found, *[f"`{c}` {whole.schema[c].dataType.simpleString()}" for c in passed]]))
+    return whole.mapInArrow(sliced(score), ", ".join([found, *[f"`{c}` {whole.schema[c].dataType.simpleString()}" for c in passed]]))

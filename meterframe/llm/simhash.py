@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterframe.llm.blocks import blocks, column_bytes, shingle_spans
+from meterframe.llm.blocks import blocks, column_bytes, shingle_spans, sliced
 from meterframe.llm.components import connected_components
 from meterframe.llm.shared import checkpointed
 
@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             found = simhashes(column_bytes(batch.column(1)), shingle)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64), pa.int64())], ["doc_id", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, bits long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sliced(run), "doc_id long, bits long")
 
 
 def _halves(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
