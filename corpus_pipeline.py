@@ -39,11 +39,11 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least doc_id, of each group that SimHash links."""
-    found = written(simhash.near_duplicates(docs.select(_key().alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "component_id"))
+    """One document, that of the least doc_id, of each group that links of verified similarity join."""
+    found = written(simhash.verified_near_duplicates(docs.select(_key().alias("key"), "text")))
     ids = docs.select(_key().alias("key"), "doc_id")
     ranked = found.distinct().join(ids.distinct(), "key")
-    least = ranked.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"))
+    least = ranked.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"))
     keys = written(least.select(F.col("first.key").alias("key")))
     kept = _without(docs, found.select("key").distinct().join(keys, "key", "left_anti"))
     if found.count() == found.select("key").distinct().count():

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterframe.llm.blocks import blocks, column_bytes, mix, shingle_hashes
+from meterframe.llm.blocks import blocks, column_bytes, mix, shingle_hashes, sliced
 from meterframe.llm.shared import checkpointed, shuffle_partitions
 
 PERMUTATIONS = 128
@@ -193,7 +193,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 25, ro
             break
         asked = tried.select("head", "cls").distinct()
         held = asked.join(texts.select(F.col("cls").alias("head"), F.col("text").alias("a")), "head").join(texts.select("cls", F.col("text").alias("b")), "cls")
-        passed = checkpointed(_verified(held, threshold))
+        passed = checkpointed(verified(held, threshold))
         links = passed if links is None else links.unionByName(passed)
         open_rows = checkpointed(tried.join(passed.select("head", "cls"), ["head", "cls"], "left_anti").select("cls", "band"))
     if links is None:
@@ -205,7 +205,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 25, ro
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")).join(found, "sha", "left").select("doc_id", "class_id")
 
 
-def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
+def verified(pairs: DataFrame, threshold: float) -> DataFrame:
+    """(head, cls) of the pairs (head, cls, a, b) whose texts a and b have that Jaccard similarity at least."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             heads, others = np.array(batch.column(0)), np.array(batch.column(1))
@@ -218,4 +220,4 @@ def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
             keep = np.array(keep, bool)
             yield pa.RecordBatch.from_arrays([pa.array(heads[keep], pa.int64()), pa.array(others[keep], pa.int64())], ["head", "cls"])
 
-    return pairs.select("head", "cls", "a", "b").mapInArrow(run, "head long, cls long")
+    return pairs.select("head", "cls", "a", "b").mapInArrow(sliced(run), "head long, cls long")

@@ -15,14 +15,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterframe.llm.blocks import blocks, column_bytes, shingle_spans, sliced
+from meterframe.llm.blocks import blocks, column_bytes, shingle_hashes, shingle_spans, sliced
 from meterframe.llm.components import connected_components
-from meterframe.llm.shared import checkpointed
+from meterframe.llm.shared import checkpointed, written
 
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
 TILE = 1 << 15
+#: Of verified near-duplicates: words in a shingle, least Jaccard similarity, and bits within which candidates lie.
+NEAR_SHINGLE = 5
+NEAR = 0.8
+NEAR_RADIUS = 14
+NEAR_TILE = 1 << 17
+#: Buckets of the shingle counts that bound a pair's similarity from above before its texts are read.
+HISTOGRAM = 64
+#: Candidates of one pair of tiles that are held before they are cut down to a least spanning forest.
+HELD = 1 << 20
 _U = np.uint64
 
 
@@ -124,3 +133,161 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     found = checkpointed(rooted.join(least, "root").select("bits", "component_id"))
     return signed.join(found, "bits").select("doc_id", "bits", "component_id")
+
+
+def _profiles(texts: list[bytes], shingle: int) -> list[bytes]:
+    """How many of a text's distinct shingles fall into each bucket."""
+    found: list[list[np.ndarray]] = [[] for _ in texts]
+    for block in blocks(enumerate(texts), overlap=shingle - 1):
+        hashes, bounds = shingle_hashes(block, shingle)
+        for k, row in enumerate(block.rows.tolist()):
+            found[row].append(hashes[bounds[k] : bounds[k + 1]])
+    sets = [np.unique(np.concatenate(x)) if x else np.zeros(0, _U) for x in found]
+    return [np.bincount((x >> _U(58)).astype(np.int64), minlength=HISTOGRAM).astype(np.uint32).tobytes() for x in sets]
+
+
+def _set(bits: np.ndarray) -> np.ndarray:
+    """np.flatnonzero, quick where few are set."""
+    some = np.flatnonzero(np.packbits(bits))
+    place = (some[:, None] * 8 + np.arange(8)).ravel()
+    place = place[place < len(bits)]
+    return place[bits[place]]
+
+
+def _spanning(n: int, i: np.ndarray, j: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the pairs of a spanning forest of least distances, component of each of n nodes)."""
+    label, kept = np.arange(n), []
+    for d in np.unique(far):
+        at = np.flatnonzero(far == d)
+        while len(at):
+            x, y = label[i[at]], label[j[at]]
+            at, x, y = (v[x != y] for v in (at, x, y))
+            if len(at):
+                high, low = np.maximum(x, y), np.minimum(x, y)
+                order = np.lexsort((low, high))
+                roots, first = np.unique(high[order], return_index=True)
+                kept.append(at[order[first]])
+                label[roots] = low[order[first]]
+                while (label[label] != label).any():
+                    label = label[label]
+    return np.concatenate(kept) if kept else np.zeros(0, np.int64), label
+
+
+def _near(a: np.ndarray, b: np.ndarray, radius: int, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(u, v, is_open) of the pairs within the radius of two tiles of records (node, bits, class) whose classes differ.
+
+    All of them if ``whole``, or where a component has at most four for each node; of a larger component only a
+    spanning forest of least distances, and each of its nodes beside itself, marked as open.
+    """
+    every = a if b is a else np.concatenate([a, b])
+    offset = 0 if b is a else len(a)
+    i = j = np.zeros(0, np.int64)
+    far = np.zeros(0, np.uint8)
+    cut = np.zeros(len(every), bool)
+    fresh: list[tuple[np.ndarray, ...]] = []
+    held = 0
+    rows = max(1, (1 << 18) // max(1, len(b)))
+    for at in range(0, len(a), rows):
+        distance = np.bitwise_count(a["bits"][at : at + rows, None] ^ b["bits"][None, :])
+        place = _set(distance.ravel() <= radius)
+        x, y = np.divmod(place, len(b))
+        d, x, y = distance[x, y], x + at, y + offset
+        apart = every["cls"][x] != every["cls"][y] if b is not a else (x < y) & (every["cls"][x] != every["cls"][y])
+        fresh.append((x[apart], y[apart], d[apart]))
+        held += len(fresh[-1][0])
+        if not whole and held > HELD:
+            i, j, far = (np.concatenate([v, *w]) for v, w in zip((i, j, far), zip(*fresh, strict=True), strict=True))
+            cut[i] = cut[j] = True
+            kept, _ = _spanning(len(every), i, j, far)
+            i, j, far, fresh, held = i[kept], j[kept], far[kept], [], 0
+    if fresh:
+        i, j, far = (np.concatenate([v, *w]) for v, w in zip((i, j, far), zip(*fresh, strict=True), strict=True))
+    node = every["node"]
+    if whole:
+        return node[i], node[j], np.zeros(len(i), bool)
+    kept, label = _spanning(len(every), i, j, far)
+    pairs, nodes = np.bincount(label[i], minlength=len(every)), np.bincount(label, minlength=len(every))
+    large = pairs > 4 * nodes
+    large[label[cut]] = True
+    part = ~large[label[i]]
+    part[kept] = True
+    opened = np.flatnonzero(large[label])
+    return np.concatenate([node[i[part]], node[opened]]), np.concatenate([node[j[part]], node[opened]]), np.repeat([False, True], [part.sum(), len(opened)])
+
+
+def candidates(nodes: DataFrame, radius: int = NEAR_RADIUS, tile: int = NEAR_TILE, whole: bool = False) -> DataFrame:
+    """(u, v, is_open) of a table of (node, bits, cls): the pairs of ``_near`` of all pairs of tiles."""
+    n = nodes.count()
+    tiles = max(1, -(-n // tile), min(16, -(-n // 2048)))
+    record = np.dtype([("node", np.int64), ("bits", _U), ("cls", np.int64)])
+    grouped = nodes.select(F.pmod(F.xxhash64("node"), F.lit(tiles)).cast("int").alias("part"), F.struct("node", "bits", "cls").alias("one")).groupBy("part").agg(F.collect_list("one").alias("held"))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p, held in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = np.empty(len(held.values), record)
+                for name in record.names:
+                    data[name] = np.asarray(held.values.field(name), np.int64).view(record[name])
+                data = data.tobytes()
+                for q in range(tiles):
+                    yield pa.RecordBatch.from_arrays([pa.array([min(p, q)], pa.int32()), pa.array([max(p, q)], pa.int32()), pa.array([p], pa.int32()), pa.array([data], pa.binary())], ["a", "b", "p", "held"])
+
+    def compare(table: pa.Table) -> pa.Table:
+        sides = [np.frombuffer(x, record) for x in table.column("held").to_pylist()]
+        same = table.column("a")[0].as_py() == table.column("b")[0].as_py()
+        u, v, opened = _near(sides[0], sides[0] if same else sides[1], radius, whole) if same or len(sides) > 1 else (*np.zeros((2, 0), np.int64), np.zeros(0, bool))
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "is_open": pa.array(opened, pa.bool_())})
+
+    return grouped.mapInArrow(spread, "a int, b int, p int, held binary").groupBy("a", "b").applyInArrow(compare, "u long, v long, is_open boolean")
+
+
+def _verified(pairs: DataFrame, profiles: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (u, v) whose texts are that similar. The texts of a pair are read only if its profiles leave it possible."""
+    from meterframe.llm import fingerprints
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(c.to_pylist()), np.uint32).reshape(-1, HISTOGRAM).astype(np.int64) for c in batch.columns[2:])
+            both = np.minimum(a, b).sum(axis=1)
+            keep = both >= threshold * (a.sum(axis=1) + b.sum(axis=1) - both)
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], ["u", "v"])
+
+    def beside(table: DataFrame, value: str) -> DataFrame:
+        return table.select(F.col("node").alias("u"), F.col(value).alias("a")), table.select(F.col("node").alias("v"), F.col(value).alias("b"))
+
+    left, right = beside(profiles, "profile")
+    likely = written(pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(sliced(possible), "u long, v long"))
+    asked = written(likely.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    left, right = beside(written(docs.select("node", "text").join(asked, "node").dropDuplicates(["node"])), "text")
+    held = likely.join(left, "u").join(right, "v").select(F.col("u").alias("head"), F.col("v").alias("cls"), "a", "b")
+    return fingerprints.verified(held, threshold).select(F.col("head").alias("u"), F.col("cls").alias("v"))
+
+
+def verified_near_duplicates(docs: DataFrame, radius: int = NEAR_RADIUS, threshold: float = NEAR) -> DataFrame:
+    """(key, class_id) of every row of (key, text), the classes being those of all candidates of Jaccard >= threshold.
+
+    Candidates are distinct texts whose fingerprints of five-word shingles lie within the radius; each is verified on
+    whole texts, unless other verified links have joined its two texts already. Equal texts are one class.
+    """
+    docs = docs.select("key", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumn("node", F.xxhash64("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = column_bytes(batch.column(2))
+            found = simhashes(texts, NEAR_SHINGLE).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found), pa.array(_profiles(texts, NEAR_SHINGLE), pa.binary())], ["key", "node", "bits", "profile"])
+
+    signed = written(docs.select("key", "node", "text").mapInArrow(sliced(run), "key long, node long, bits long, profile binary"))
+    nodes = signed.select("node", "bits", F.col("node").alias("cls")).distinct()
+    found = written(candidates(nodes, radius))
+    profiles = signed.select("node", "profile").dropDuplicates(["node"])
+    links = written(_verified(found.where("not is_open").select("u", "v"), profiles, docs, threshold))
+    classes = connected_components(links)
+    opened = found.where("is_open").select(F.col("u").alias("node")).distinct()
+    if not opened.isEmpty():
+        again = nodes.select("node", "bits").join(opened, "node").join(classes, "node", "left").select("node", "bits", F.coalesce("root", "node").alias("cls"))
+        more = written(candidates(checkpointed(again), radius, whole=True).select("u", "v"))
+        links = written(links.unionByName(_verified(more, profiles, docs, threshold)))
+        classes = connected_components(links)
+    return signed.select("key", "node").join(classes, "node", "left").select("key", F.coalesce("root", "node").alias("class_id"))

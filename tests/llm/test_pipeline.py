@@ -52,3 +52,46 @@ def test_registered():
 
     names = entry.queries()
     assert "pipeline" in names and {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in names if n.startswith("op")}
+
+
+def edited(text, at):
+    """``text`` with its words at these places replaced."""
+    return " ".join(f"new{k}" if k in at else w for k, w in enumerate(text.split(" ")))
+
+
+def test_edited_copies_are_dropped(spark):
+    base = " ".join(f"w{i}" for i in range(400))
+    other = " ".join(f"v{i}" for i in range(400))
+    chain = [edited(base, range(0, 70 * k, 10)) for k in range(4)]  # neighbours in the chain alike, its ends not
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate([*chain, other, edited(other, range(0, 400, 60)), edited(other, range(0, 400, 12)), base.upper(), "", None])]
+    shingled = [set(zip(*(t.split()[k:] for k in range(5)))) for t in (r[1] or "" for r in rows)]
+
+    def alike(a, b):
+        return not a | b or len(a & b) >= 0.8 * len(a | b)
+
+    assert alike(shingled[4], shingled[5]) and not alike(shingled[4], shingled[6]) and not alike(shingled[0], shingled[3])
+    least = list(range(len(rows)))
+    sets = shingled[:7] + [shingled[0]] + shingled[8:]
+    for _ in rows:
+        for i in range(len(rows)):
+            least[i] = min(least[j] for j in range(len(rows)) if alike(sets[i], sets[j]))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(least))
+
+
+def test_dense_candidates_lose_no_verified_link(spark):
+    """Many candidates of one centre: only those of a spanning forest are verified at first, and the others if still apart."""
+    from meterframe.llm import simhash
+
+    base = " ".join(f"w{i}" for i in range(400))
+    texts = [edited(base, {(11 * k + 37 * m) % 400 for m in range(8)}) for k in range(40)] + [edited(base, set(range(k % 5, 400, 14))) for k in range(20)]
+    rows = [(i, t) for i, t in enumerate(dict.fromkeys(texts))]
+    shingled = [set(zip(*(t.split()[k:] for k in range(5)))) for _, t in rows]
+    bits = simhash.simhashes([t.encode() for _, t in rows], 5)
+    near = [[len(a & b) >= 0.8 * len(a | b) and bin(int(x ^ y)).count("1") <= 14 for b, y in zip(shingled, bits)] for a, x in zip(shingled, bits)]
+    least = list(range(len(rows)))
+    for _ in rows:
+        least = [min(least[j] for j in range(len(rows)) if near[i][j]) for i in range(len(rows))]
+    found = {r.key: r.class_id for r in simhash.verified_near_duplicates(spark.createDataFrame(rows, "key long, text string")).collect()}
+    assert len({(least[k], c) for k, c in found.items()}) == len(set(least)) == len(set(found.values()))
