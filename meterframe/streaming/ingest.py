@@ -19,23 +19,29 @@ from meterframe.operators.merging import arbitrate
 def merge_batch(spark: SparkSession, path: str, keys: list[str], order: list[str], partition: str, floor_ms: int = 0) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that keeps all versions by identity in ``path``, partitioned by day.
 
-    Only the days that the batch touches are read and written again. Records before the floor are left out.
+    Only the days that the batch touches are read and written again. Records before the floor go to a table of their
+    own, ``path`` with ``-rejected`` after it, merged in the same way.
     """
 
-    def write(batch: DataFrame, number: int) -> None:
-        fresh = batch.where(F.col("occurred_at_ms") >= floor_ms)
+    def merge(fresh: DataFrame, table: str) -> None:
         days = [r[0] for r in fresh.select(partition).distinct().collect()]
         if not days:
             return
         try:
-            stored = spark.read.parquet(path).where(F.col(partition).isin(days)).select(*batch.columns)
+            stored = spark.read.parquet(table).where(F.col(partition).isin(days)).select(*fresh.columns)
             both = stored.unionByName(fresh)
         except Exception as error:  # the first batch finds no table
             if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER" not in str(error):
                 raise
             both = fresh
-        kept = checkpointed(both.dropDuplicates([*keys, *order, "content"]))  # what is read is about to be written over
-        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+        identity = [*keys, *order, "source_revision", "lifecycle_rank", "content"]
+        kept = checkpointed(both.dropDuplicates(identity))  # what is read is about to be written over
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(table)
+
+    def write(batch: DataFrame, number: int) -> None:
+        accepted = F.coalesce(F.col("occurred_at_ms") >= floor_ms, F.lit(False))
+        merge(batch.where(accepted), path)
+        merge(batch.where(~accepted), f"{path.rstrip('/')}-rejected")
 
     return write
 

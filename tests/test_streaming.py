@@ -35,3 +35,14 @@ def test_counter_state_equals_fold(spark, tmp_path):
     got = {(r.key, r.tie, r.outcome, r.amount) for r in spark.table("counted").collect()}
     fold = ordered.counter_deltas(spark.createDataFrame(seen, schema), "key", "at", "value", "reset", "tie")
     assert got == {(r.key, r.tie, r.outcome, r.amount) for r in fold.select("key", F.col("tie"), "outcome", "amount").collect()}
+
+
+def test_final_record_replaces_its_partial_one_and_late_rows_are_reported(spark, tmp_path):
+    rows = [("a", 1000, None, 0, "same", "d0"), ("a", 1000, None, 2, "same", "d0"), ("b", 1000, 1, 0, "same", "d0"), ("b", 1000, 2, 0, "same", "d0"), ("late", 5, 1, 0, "x", "d0")]
+    path = f"{tmp_path}/table"
+    write = ingest.merge_batch(spark, path, ["key"], ["occurred_at_ms"], "day", floor_ms=100)
+    for number in range(2):  # a replay changes nothing
+        write(spark.createDataFrame(rows, VERSION), number)
+    stands = {r.key: (r.source_revision, r.lifecycle_rank, r.versions) for r in ingest.current(spark, path, ["key"], ["occurred_at_ms"]).collect()}
+    assert stands == {"a": (None, 2, 2), "b": (2, 0, 2)}
+    assert [r.key for r in spark.read.parquet(f"{path}-rejected").collect()] == ["late"]
