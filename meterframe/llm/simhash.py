@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterframe.llm.blocks import blocks, column_bytes, shingle_hashes, shingle_spans, sliced
-from meterframe.llm.components import connected_components
-from meterframe.llm.shared import checkpointed, written
+from meterframe.llm.components import connected_components, rooted
+from meterframe.llm.shared import checkpointed, hot_join, written
 
 SHINGLE = 4
 RADIUS = 4
@@ -126,13 +126,10 @@ def links(bits: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, bits, component_id): component_id is the least doc_id reachable over links of ``radius`` bits or fewer."""
-    signed = checkpointed(fingerprints(docs, shingle))
-    distinct = checkpointed(signed.groupBy("bits").agg(F.min("doc_id").alias("least")))
+    signed = checkpointed(fingerprints(docs, shingle).withColumn("row", F.monotonically_increasing_id()))
+    distinct = checkpointed(signed.groupBy("bits").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     parts = connected_components(links(distinct, radius))
-    rooted = distinct.join(parts.withColumnRenamed("node", "bits"), "bits", "left").select("bits", F.coalesce("root", "bits").alias("root"), "least")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = checkpointed(rooted.join(least, "root").select("bits", "component_id"))
-    return signed.join(found, "bits").select("doc_id", "bits", "component_id")
+    return hot_join(signed, rooted(distinct, parts, "bits"), "bits", "n", signed.count(), "row").select("doc_id", "bits", "component_id")
 
 
 def _profiles(texts: list[bytes], shingle: int) -> list[bytes]:
@@ -154,7 +151,7 @@ def _set(bits: np.ndarray) -> np.ndarray:
     return place[bits[place]]
 
 
-def _spanning(n: int, i: np.ndarray, j: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def spanning(n: int, i: np.ndarray, j: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(places of the pairs of a spanning forest of least distances, component of each of n nodes)."""
     label, kept = np.arange(n), []
     for d in np.unique(far):
@@ -198,14 +195,14 @@ def _near(a: np.ndarray, b: np.ndarray, radius: int, whole: bool) -> tuple[np.nd
         if not whole and held > HELD:
             i, j, far = (np.concatenate([v, *w]) for v, w in zip((i, j, far), zip(*fresh, strict=True), strict=True))
             cut[i] = cut[j] = True
-            kept, _ = _spanning(len(every), i, j, far)
+            kept, _ = spanning(len(every), i, j, far)
             i, j, far, fresh, held = i[kept], j[kept], far[kept], [], 0
     if fresh:
         i, j, far = (np.concatenate([v, *w]) for v, w in zip((i, j, far), zip(*fresh, strict=True), strict=True))
     node = every["node"]
     if whole:
         return node[i], node[j], np.zeros(len(i), bool)
-    kept, label = _spanning(len(every), i, j, far)
+    kept, label = spanning(len(every), i, j, far)
     pairs, nodes = np.bincount(label[i], minlength=len(every)), np.bincount(label, minlength=len(every))
     large = pairs > 4 * nodes
     large[label[cut]] = True
@@ -263,23 +260,25 @@ def _verified(pairs: DataFrame, profiles: DataFrame, docs: DataFrame, threshold:
     return fingerprints.verified(held, threshold).select(F.col("head").alias("u"), F.col("cls").alias("v"))
 
 
-def verified_near_duplicates(docs: DataFrame, radius: int = NEAR_RADIUS, threshold: float = NEAR) -> DataFrame:
-    """(key, class_id) of every row of (key, text), the classes being those of all candidates of Jaccard >= threshold.
+def verified_near_duplicates(docs: DataFrame, keys: tuple[str, ...] = ("key",), radius: int = NEAR_RADIUS, threshold: float = NEAR) -> DataFrame:
+    """(keys, class_id) of every row of (keys, text), the classes being those of all candidates of Jaccard >= threshold.
 
     Candidates are distinct texts whose fingerprints of five-word shingles lie within the radius; each is verified on
-    whole texts, unless other verified links have joined its two texts already. Equal texts are one class.
+    whole texts, unless other verified links have joined its two texts already. Texts of one XXH64 are one node.
     """
-    docs = docs.select("key", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(*keys, F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("node", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = column_bytes(batch.column(2))
+            texts = column_bytes(batch.column("text"))
             found = simhashes(texts, NEAR_SHINGLE).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found), pa.array(_profiles(texts, NEAR_SHINGLE), pa.binary())], ["key", "node", "bits", "profile"])
+            carried = [batch.column(c) for c in (*keys, "node")]
+            yield pa.RecordBatch.from_arrays([*carried, pa.array(found), pa.array(_profiles(texts, NEAR_SHINGLE), pa.binary())], [*keys, "node", "bits", "profile"])
 
-    signed = written(docs.select("key", "node", "text").mapInArrow(sliced(run), "key long, node long, bits long, profile binary"))
-    nodes = signed.select("node", "bits", F.col("node").alias("cls")).distinct()
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keys)
+    signed = written(docs.mapInArrow(sliced(run), f"{schema}, node long, bits long, profile binary"))
+    nodes = checkpointed(signed.groupBy("node", "bits").agg(F.count("*").alias("n")).withColumn("cls", F.col("node")))
     found = written(candidates(nodes, radius))
     profiles = signed.select("node", "profile").dropDuplicates(["node"])
     links = written(_verified(found.where("not is_open").select("u", "v"), profiles, docs, threshold))
@@ -290,4 +289,5 @@ def verified_near_duplicates(docs: DataFrame, radius: int = NEAR_RADIUS, thresho
         more = written(candidates(checkpointed(again), radius, whole=True).select("u", "v"))
         links = written(links.unionByName(_verified(more, profiles, docs, threshold)))
         classes = connected_components(links)
-    return signed.select("key", "node").join(classes, "node", "left").select("key", F.coalesce("root", "node").alias("class_id"))
+    of_node = checkpointed(nodes.join(classes, "node", "left").select("node", "n", F.coalesce("root", "node").alias("class_id")))
+    return hot_join(signed.select(*keys, "node"), of_node, "node", "n", signed.count(), keys[0]).drop("node")
