@@ -1,8 +1,10 @@
 """Best-fit packing of token pieces into sequences, improved by swaps between underfull bins.
 
-Cases: a null text counts as empty, and an empty document is its end token alone. Rows of one doc_id are packed each on
-their own. A document longer than a sequence is cut so that all pieces but the first are full. Empty tables give empty
-results; other columns are ignored. Sequence numbers hold a group's number in the high bits.
+Cases: a null text counts as empty, and an empty document is its end token alone. Rows of one doc_id, or without one, are
+packed each on their own. A document longer than a sequence is cut so that all pieces but the first are full. Pieces of one
+length are alike to the search: among them, and in a sequence, the order is that of length (falling), doc_id, piece and
+CRC-32. Very long texts and very long runs of white space are cut like any other. Empty tables give empty results; other
+columns are ignored. Sequence numbers hold a group's number in the high bits.
 """
 
 from __future__ import annotations
@@ -21,7 +23,6 @@ from meterframe.llm.shared import checkpointed
 
 LENGTH = 2048
 GROUP = 16384
-ROUNDS = 4
 END = 0
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -73,75 +74,118 @@ def best_fit(sizes: list[int], room: int) -> list[list[int]]:
     return bins.items
 
 
-def improve(bins: list[list[int]], sizes: list[int], room: int, rounds: int = ROUNDS) -> list[list[int]]:
-    """Local search over the underfull bins: take the emptiest one and give what it holds to the others.
+class _Search:
+    """Underfull bins as multisets of lengths, found again by any length or any sum of two lengths that they hold.
 
-    A step moves one of its items into a bin with room for it, or exchanges it for a smaller item, or for two smaller
-    ones, of a bin that the difference fills better. Every step raises the sum of squared fills. A bin that loses its last
-    item is gone; one that cannot be emptied is left as it is.
+    Items of one length are alike. ``masks`` has a bit for each length (0) and each sum of two (1) in some underfull bin.
     """
-    for _ in range(rounds):
-        open_ = [b for b in bins if sum(sizes[i] for i in b) < room]
-        done = [b for b in bins if sum(sizes[i] for i in b) >= room]
-        if len(open_) < 2 or sum(sizes[i] for b in open_ for i in b) > room * (len(open_) - 1):
-            return bins  # no fewer bins can hold it
-        open_.sort(key=lambda b: sum(sizes[i] for i in b))
-        source, others = list(open_[0]), [list(b) for b in open_[1:]]
-        fills = [sum(sizes[i] for i in b) for b in others]
-        moved = True
-        while source and moved:
-            moved = False
-            for item in sorted(source, key=lambda i: -sizes[i]):
-                step = _step(item, sum(sizes[i] for i in source), others, fills, sizes, room)
-                if step:
-                    k, back = step
-                    source.remove(item)
-                    for x in back:
-                        others[k].remove(x)
-                    source.extend(back)
-                    others[k].append(item)
-                    fills[k] += sizes[item] - sum(sizes[x] for x in back)
-                    moved = True
-                    break
-        bins = [*done, *others, *([source] if source else [])]
-        if source:
-            return bins
-    return bins
-
-
-def _step(item: int, own: int, others: list[list[int]], fills: list[int], sizes: list[int], room: int):
-    """The (bin, items given back) that leaves the fullest bin; squared fill rises because the other bin stays the fuller."""
-    best, found, size = 0, None, sizes[item]
-    for k, bin_ in enumerate(others):
-        spare = room - fills[k]
-        if not spare or spare <= best:
-            continue
-        if size <= spare:
-            if size > best:
-                best, found = size, (k, [])
-            continue
-        small = sorted((sizes[x], x) for x in bin_ if sizes[x] < size)
-        for n, (s, x) in enumerate(small):
-            gain = size - s
-            if best < gain <= spare and fills[k] + gain > own - gain:
-                best, found = gain, (k, [x])
-            at = bisect_left(small, (size - best, -1), n + 1) - 1 if best < size else n
-            low = bisect_left(small, (size - spare - s, -1), n + 1)
-            if low < len(small) and low <= at + len(small):
-                gain = size - s - small[low][0]
-                if best < gain <= spare and fills[k] + gain > own - gain:
-                    best, found = gain, (k, [x, small[low][1]])
-    return found
+
+    def __init__(self, bins: list[list[int]], sizes: list[int], room: int):
+        self.room = room
+        self.items: list[dict[int, list[int]]] = []
+        self.fill = [sum(sizes[i] for i in held) for held in bins]
+        self.where: tuple[dict[int, set[int]], ...] = ({}, {})
+        self.masks = [0, 0]
+        self.underfull: set[int] = set()
+        for k, held in enumerate(bins):
+            lengths: dict[int, list[int]] = {}
+            for i in held:
+                lengths.setdefault(sizes[i], []).append(i)
+            self.items.append(lengths)
+            self._enter(k)
+
+    def _pairs(self, k: int) -> dict[int, tuple[int, int]]:
+        """Each sum of two lengths in the bin, with two lengths that give it."""
+        lengths = sorted(self.items[k])
+        found = {2 * a: (a, a) for a in lengths if len(self.items[k][a]) > 1}
+        for n, a in enumerate(lengths):
+            for b in lengths[n + 1 :]:
+                found.setdefault(a + b, (a, b))
+        return found
+
+    def _enter(self, k: int) -> None:
+        if 0 < self.fill[k] < self.room:
+            self.underfull.add(k)
+            for kind, totals in enumerate((self.items[k], self._pairs(k))):
+                for total in totals:
+                    self.where[kind].setdefault(total, set()).add(k)
+                    self.masks[kind] |= 1 << total
+
+    def _leave(self, k: int) -> None:
+        if k in self.underfull:
+            self.underfull.discard(k)
+            for kind, totals in enumerate((self.items[k], self._pairs(k))):
+                for total in totals:
+                    self.where[kind][total].discard(k)
+                    if not self.where[kind][total]:
+                        self.masks[kind] &= ~(1 << total)
+
+    def step(self, k: int) -> tuple | None:
+        """The move or exchange that fills bin k most, from the emptiest bin that has what it takes: (gain, bin, given, taken)."""
+        own, found = self.fill[k], None
+        gives = [((), 0), *(((a,), a) for a in sorted(self.items[k])), *((v, z) for z, v in self._pairs(k).items())]
+        for given, size in gives:
+            for kind in (0, 1) if len(given) == 1 else (0,):  # a move, one for one, one for two, two for one
+                gains = self.masks[kind] >> size + 1 & (1 << self.room - own) - 1
+                while gains and (gain := gains.bit_length()) > (found[0] if found else 0):
+                    gains &= ~(1 << gain - 1)
+                    others = [b for b in self.where[kind][size + gain] if b != k]
+                    if others and gain > self.fill[other := min(others, key=lambda b: (self.fill[b], b))] - own:
+                        found = (gain, other, given, (size + gain,) if kind == 0 else self._pairs(other)[size + gain])
+                        break
+        return found
+
+    def exchange(self, k: int, gain: int, other: int, given: tuple, taken: tuple) -> None:
+        self._leave(k)
+        self._leave(other)
+        for source, target, lengths in ((k, other, given), (other, k, taken)):
+            for length in lengths:
+                held = self.items[source][length]
+                self.items[target].setdefault(length, []).append(held.pop())
+                if not held:
+                    del self.items[source][length]
+        self.fill[k] += gain
+        self.fill[other] -= gain
+        self._enter(k)
+        self._enter(other)
+
+    def tight(self) -> bool:
+        """Whether the underfull bins hold too much for one bin fewer."""
+        return sum(self.fill[k] for k in self.underfull) > self.room * (len(self.underfull) - 1)
+
+
+def improve(bins: list[list[int]], sizes: list[int], room: int) -> list[list[int]]:
+    """Local search over the underfull bins, until no step is left or fewer bins could not hold the pieces.
+
+    A step moves an item into a bin, or exchanges one for one, two for one or one for two, between any two underfull bins.
+    Each raises the sum of squared fills: a bin gains g only if its new fill is above the other's old one. Fuller bins
+    choose first, and take what fills them most; of equal gains, from the emptiest bin, then from the first. A bin that
+    loses its last item is gone.
+    """
+    fills = [f for f in (sum(sizes[i] for i in held) for held in bins) if f < room]
+    if sum(fills) > room * (len(fills) - 1):
+        return bins
+    search = _Search(bins, sizes, room)
+    moved = True
+    while moved and not search.tight():
+        moved = False
+        for k in sorted(search.underfull, key=lambda k: (-search.fill[k], k)):
+            while k in search.underfull and (step := search.step(k)):
+                search.exchange(k, *step)
+                moved = True
+    return [[i for length in sorted(held, reverse=True) for i in held[length]] for held in search.items if held]
 
 
 def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """The pieces with their sequence and their place in it.
 
-    Pieces are dealt at random into groups of about ``group``, each packed in one task; a group wastes less than one
-    sequence more than all pieces together would. The number of groups follows the number of documents.
+    Pieces are written once, so that no text is encoded twice, and dealt by row number into groups of about ``group``
+    pieces, each packed in one task: equal rows fall into any group, and the number of groups follows that of the pieces.
+    Every group keeps its own last underfull sequences.
     """
-    groups = max(1, -(-docs.count() // group))
-    cut = pieces(docs, tokenizer, length).withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    cut = checkpointed(pieces(docs, tokenizer, length).withColumn("row", F.monotonically_increasing_id()))
+    groups = max(1, -(-cut.count() // group))
+    dealt = cut.withColumn("grp", F.pmod(F.xxhash64("row"), F.lit(groups))).drop("row")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
@@ -156,4 +200,4 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, group: int = GRO
         number = table.column("grp")[0].as_py() if len(sizes) else 0
         return table.drop_columns(["grp"]).append_column("sequence_id", pa.array(sequence + (number << 32))).append_column("offset", pa.array(offset))
 
-    return cut.groupBy("grp").applyInArrow(run, SCHEMA + ", sequence_id long, offset long")
+    return dealt.groupBy("grp").applyInArrow(run, SCHEMA + ", sequence_id long, offset long")

@@ -3,10 +3,21 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable
 from functools import cache
 
 
+#: Runs of this many characters go to the tokenizer's own library: the other one's patterns and merges are not made for them.
+RUN = 5000
+_WHITE_RUN = re.compile(r"\s{%d}" % RUN)
+
+
+def long_run(text: str) -> bool:
+    """Whether the text may hold a pretoken of ``RUN`` characters or more, of white space or of anything else."""
+    return len(text) >= RUN and (bool(_WHITE_RUN.search(text)) or max(map(len, text.replace("\n", " ").split(" "))) >= RUN)
+
+
 @cache
 def _library(path: str):
     from tokenizers import Tokenizer
@@ -18,7 +29,8 @@ def _library(path: str):
 def encoder(path: str) -> Callable[[str], list[int]]:
     """text -> ids without added special tokens, special strings inside a text handled as the library does by default.
 
-    Where the same vocabulary lies beside the file as ranks, texts without special strings go through the faster library.
+    Where the same vocabulary lies beside the file as ranks, texts without special strings and very long runs go through
+    the faster library.
     """
     import os
 
@@ -36,7 +48,7 @@ def encoder(path: str) -> Callable[[str], list[int]]:
     special = [t.content for t in slow.get_added_tokens_decoder().values()]
 
     def encode(text: str) -> list[int]:
-        if any(s in text for s in special):
+        if any(s in text for s in special) or long_run(text):
             return slow.encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
