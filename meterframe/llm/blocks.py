@@ -10,12 +10,14 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 
 BLOCK_BYTES = 1 << 20
 _U = np.uint64
 _FOLD = bytes(32 if b == 32 or 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BASE = 0x9E3779B97F4A7C15 | 1
-_powers: dict[str, np.ndarray] = {}
+#: Spans of more bytes are hashed and compared one by one.
+LONG_SPAN = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -43,21 +45,60 @@ class Block:
         return np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word, from prefix sums of a polynomial over the bytes."""
-        data = np.frombuffer(self.text, np.uint8)
-        n = len(data) + 1
-        if len(_powers.get("up", ())) < n:
-            size = max(n, BLOCK_BYTES * 5 // 4)
-            for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-                steps = np.full(size, base, _U)
-                steps[0] = 1
-                _powers[name] = np.multiply.accumulate(steps)
-        terms = data.astype(_U)
-        terms += _U(1)
-        terms *= _powers["up"][: n - 1]
-        total = np.zeros(n, _U)
-        np.cumsum(terms, out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * _powers["down"][self.starts])
+        """A 64-bit hash of each word."""
+        return span_hashes(np.frombuffer(self.text, np.uint8), self.starts, self.ends)
+
+
+def _windows(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; beyond the end there are zeros."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def _lanes(windows: np.ndarray, starts: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The next eight bytes of each span, or as many as are left of it."""
+    return windows[starts] & (~_U(0) >> (_U(64) - _U(8) * np.minimum(left, 8).astype(_U)))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes: eight bytes after eight are mixed into a state that begins with the length.
+
+    Spans of up to eight bytes collide with none of their length. Very long ones are hashed by XXH64.
+    """
+    lengths = ends - starts
+    state = mix(lengths.astype(_U) * _U(_BASE) + _U(1))
+    windows, at, k = _windows(data), np.flatnonzero((lengths > 0) & (lengths <= LONG_SPAN)), 0
+    while len(at):
+        state[at] = mix((state[at] ^ _lanes(windows, starts[at] + k, lengths[at] - k)) * _U(_BASE))
+        k += 8
+        at = at[lengths[at] > k]
+    for i in np.flatnonzero(lengths > LONG_SPAN).tolist():
+        state[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]], int(state[i]))
+    return state
+
+
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a place of each distinct span, the number of each span's distinct one), told apart by their bytes.
+
+    Spans of equal hashes are compared with their first one; should one differ, all are told apart by a dictionary.
+    """
+    _, first, number = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    lengths, other = ends - starts, starts[first][number]
+    windows, same = _windows(data), np.array_equal(lengths, lengths[first][number])
+    at, k = np.flatnonzero((lengths > 0) & (lengths <= LONG_SPAN) & (other != starts)), 0
+    while same and len(at):
+        same = np.array_equal(_lanes(windows, starts[at] + k, lengths[at] - k), _lanes(windows, other[at] + k, lengths[at] - k))
+        k += 8
+        at = at[lengths[at] > k]
+    for i in np.flatnonzero((lengths > LONG_SPAN) & (other != starts)).tolist() if same else ():
+        same = same and np.array_equal(data[starts[i] : ends[i]], data[other[i] : other[i] + lengths[i]])
+    if same:
+        return first, number
+    names: dict[bytes, int] = {}
+    raw = data.tobytes()
+    number = np.array([names.setdefault(raw[a:b], len(names)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+    return np.unique(number, return_index=True)[1], number
 
 
 def _parts(texts: Iterable[tuple[int, bytes]], overlap: int) -> Iterator[tuple[int, bytes]]:

@@ -7,14 +7,16 @@ entry states. The second reads a pretoken's bytes; each transition is annotated
 encoding of what has been read (a merge may take some back). Its states are found as they are first met.
 
 Cases: a null text counts as empty and has no tokens. Special strings inside a text count one token each, as the
-library has it by default. Texts with code points that are unassigned in this Python's Unicode go to the library. Repeated rows have a result each. Empty tables give empty results; other columns are ignored.
+library has it by default. Texts with code points that are unassigned in this Python's Unicode go to the library, and so do
+pretokens of more than ``LONG_PRETOKEN`` bytes. Pretokens count as equal only if their bytes are. Repeated rows have a
+result each. Empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -22,14 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterframe.llm.blocks import mix, sliced
+from meterframe.llm.blocks import distinct_spans, sliced
 
 LIMIT = 512
 CHUNK = 64
 BLOCK_CHARS = 1 << 20
-#: States kept before a worker starts anew, to bound its memory.
+#: States, and pairs of tokens, kept before a worker starts anew, to bound its memory; spans advance together by so many bytes.
 STATES = 250_000
-_U = np.uint64
+SPAN_BYTES = 1 << 18
+#: Longer pretokens, whose states are hardly ever met again, are counted by the library's merges.
+LONG_PRETOKEN = 2048
 
 # character classes
 SPACE, WHITE, LETTER, NUMBER, OTHER, APOSTROPHE, STMD, E, RV, L, END = range(11)
@@ -141,11 +145,12 @@ class TokenTransducer:
                     self.children.append({})
                     self.token.append(-1)
             self.token[node] = number
-        self.pair_ok, self.allowed = pair_ok, {}
+        self.pair_ok = pair_ok
         self.forget()
 
     def forget(self) -> None:
         """Back to the first state; what is needed again is compiled again."""
+        self.allowed: dict[tuple[int, int], bool] = {}
         self.states: dict[tuple, int] = {((0, -1, 0),): 0}
         self.held: list[tuple] = [((0, -1, 0),)]
         self._table(1 << 16)
@@ -203,11 +208,18 @@ class TokenTransducer:
         return self.allowed[key]
 
     def counts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """All spans of data advance together, a byte at a time."""
-        if len(self.held) > STATES:
-            self.forget()
+        """The tokens of each span of data, in batches of spans of about equal lengths."""
         order = np.argsort(starts - ends, kind="stable")
-        starts, lengths = starts[order], (ends - starts)[order]
+        batch = np.cumsum((ends - starts)[order]) // SPAN_BYTES
+        out = np.empty(len(order), np.int64)
+        for part in np.split(order, np.flatnonzero(np.diff(batch)) + 1):
+            if len(self.held) > STATES or len(self.allowed) > STATES:
+                self.forget()
+            out[part] = self._together(data, starts[part], (ends - starts)[part])
+        return out
+
+    def _together(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """All spans, longest first, advance together, a byte at a time."""
         state, total = np.zeros(len(starts), np.int32), np.zeros(len(starts), np.int64)
         active, k = len(starts), 0
         while active := int(np.searchsorted(-lengths[:active], -k, "left")):
@@ -221,14 +233,12 @@ class TokenTransducer:
             total[:active] += self.adds[at]
             state[:active] = self.goes[at]
             k += 1
-        out = np.empty(len(total), np.int64)
-        out[order] = total
-        return out
+        return total
 
 
 @cache
-def compiled(path: str) -> tuple[TokenTransducer, list[str]]:
-    """The transducer of a tokenizers file of the byte-level BPE kind, and its special strings."""
+def compiled(path: str) -> tuple[TokenTransducer, list[str], Callable[[bytes], int]]:
+    """The transducer of a tokenizers file of the byte-level BPE kind, its special strings, and the library's count of a pretoken."""
     from tokenizers import Tokenizer, pre_tokenizers
 
     with open(path, encoding="utf-8") as file:
@@ -245,12 +255,17 @@ def compiled(path: str) -> tuple[TokenTransducer, list[str]]:
     def pair_ok(a: int, b: int) -> bool:
         return [t.id for t in merging.model.tokenize(names[a] + names[b])] == [a, b]
 
-    return TokenTransducer(ranks, pair_ok), special
+    symbol = {b: c for c, b in letters.items()}
+
+    def merged(pretoken: bytes) -> int:
+        return len(merging.model.tokenize("".join(symbol[b] for b in pretoken)))
+
+    return TokenTransducer(ranks, pair_ok), special, merged
 
 
 def count_tokens(texts: list[str], path: str) -> np.ndarray:
     """The number of tokens of each text."""
-    machine, special = compiled(path)
+    machine, special, merged = compiled(path)
     total = np.zeros(len(texts), np.int64)
     rows: list[int] = []
     parts: list[str] = []
@@ -263,12 +278,12 @@ def count_tokens(texts: list[str], path: str) -> np.ndarray:
                 pieces = [p for x in pieces for p in x.split(mark)]
         for piece in pieces:
             if size and size + len(piece) > BLOCK_CHARS:
-                _count(machine, rows, parts, total)
+                _count(machine, merged, rows, parts, total)
                 rows, parts, size = [], [], 0
             rows.append(row)
             parts.append(piece)
             size += len(piece) + 1
-    _count(machine, rows, parts, total)
+    _count(machine, merged, rows, parts, total)
     unassigned = np.flatnonzero(total < 0)
     if len(unassigned):
         from meterframe.llm.tokens import encoder
@@ -277,7 +292,7 @@ def count_tokens(texts: list[str], path: str) -> np.ndarray:
     return total
 
 
-def _count(machine: TokenTransducer, rows: list[int], parts: list[str], total: np.ndarray) -> None:
+def _count(machine: TokenTransducer, merged: Callable[[bytes], int], rows: list[int], parts: list[str], total: np.ndarray) -> None:
     joined = "\n".join(parts) + "\n"
     points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     lengths = np.fromiter((len(p) + 1 for p in parts), np.int64, len(parts))
@@ -292,32 +307,17 @@ def _count(machine: TokenTransducer, rows: list[int], parts: list[str], total: n
     starts = places[begins]
     ends = np.append(starts[1:], len(data))[real]
     starts, row = starts[real], row[real]
-    _, first, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-    np.add.at(total, row, machine.counts(data, starts[first], ends[first])[inverse])
+    first, inverse = distinct_spans(data, starts, ends)
+    starts, ends = starts[first], ends[first]
+    counts, long = np.empty(len(first), np.int64), ends - starts > LONG_PRETOKEN
+    counts[~long] = machine.counts(data, starts[~long], ends[~long])
+    counts[long] = [merged(data[a:b].tobytes()) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    np.add.at(total, row, counts[inverse])
     odd = _split_tables()[3][points]
     if odd.any():  # the library may know newer classes: such texts are left to it
         total[np.repeat(np.asarray(rows, np.int64), lengths)[odd]] = np.iinfo(np.int64).min // 2
 
 
-@cache
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    base = 0x9E3779B97F4A7C15
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        steps = np.full(size, b, _U)
-        steps[0] = 1
-        out.append(np.multiply.accumulate(steps))
-    return tuple(out)
-
-
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans of bytes, from prefix sums of a polynomial."""
-    up, down = _powers(1 << (len(data) + 1).bit_length())
-    sums = np.zeros(len(data) + 1, _U)
-    np.cumsum((data.astype(_U) + _U(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
-
-
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every row."""
 
