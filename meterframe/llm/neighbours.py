@@ -4,13 +4,15 @@ Vectors are projected on a few Gaussian directions. The squared ratio of project
 chi-square law, so that the search meets leaves in order of their projected distance, verifies their vectors by the
 true distance, and ends when a neighbour nearer than the k-th found would, with the asked probability, have been met.
 
-The upper levels of the tree are fitted on at most ``FIT`` vectors and deal every vector into a cell; a cell of more
+The upper levels of the tree are fitted on about ``FIT`` vectors and deal every vector into a cell; a cell of more
 than ``CELL`` vectors is split by hash, so equal vectors may be any share of the rows. A query first searches its own
-cell, which bounds its k-th distance, then only the cells that the test does not rule out.
+cell, which bounds its k-th distance, then only the cells that the test does not rule out. A length with at most
+``CELL`` vectors is one cell.
 
 Cases: vectors that are null, empty, zero or hold a null or non-finite component take no part, nor do rows whose id is
 null. Rows of one id are each a candidate and a query, but not candidates for one another. Only vectors of the same
-length are compared. Ties go to the smaller id. Empty tables give empty results; other columns are ignored.
+length are compared, however many lengths there are. Distances are taken in double precision on the vectors as they are
+stored, as floats or doubles. Ties go to the smaller id. Empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterframe.llm.blocks import sliced
 from meterframe.llm.shared import checkpointed
 
 DIRECTIONS = 8
@@ -30,7 +33,9 @@ CONFIDENCE = 0.99
 FIT = 20_000
 CELL = 8192
 LEAF = 64
+#: The most cells of one length: a bound of the tree that each task holds; larger cells are split by hash.
 CELLS = 4096
+#: Queries of one task.
 QUERIES = 16384
 
 
@@ -119,7 +124,7 @@ class Tree:
         # rows of one id are no neighbours of each other, so more than k + 1 rows may be needed where ids repeat
         if not few.all() and len(np.unique(ids)) < len(ids):
             few[:] = True
-        ids, vectors = ids[few], vectors[few].astype(np.float64)
+        ids, vectors = ids[few], vectors[few]
         points = vectors @ directions(vectors.shape[1])
         parts = leaves(points, LEAF)
         at = np.concatenate(parts)
@@ -152,22 +157,37 @@ class Tree:
 
 
 def _matrix(column) -> np.ndarray:
+    """The vectors of one length in the column, in double precision."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.asarray(column.flatten(), np.float32).reshape(len(column), -1)
+    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+
+
+def _projected(column) -> np.ndarray:
+    """The projections of the vectors in a column, whatever their lengths."""
+    lengths = np.asarray(column.value_lengths(), np.int64)
+    out = np.zeros((len(lengths), DIRECTIONS))
+    for size in np.unique(lengths).tolist():
+        at = np.flatnonzero(lengths == size)
+        out[at] = _matrix(column.take(pa.array(at))) @ directions(size)
+    return out
 
 
 _FOUND = "row long, query_id long, vec_id long, score double"
+_PLACE = ["size", "cell", "part"]
 
 
 def _search(vectors: DataFrame, asked: DataFrame, k: int, confidence: float) -> DataFrame:
-    """asked: row, cell, part, block, query_id, embedding, bound."""
+    """asked: row, size, cell, part, query_id, embedding, bound.
+
+    A cell part's queries are cut into blocks of about ``QUERIES``; only its own vectors are copied for each of them.
+    """
     stop = quantile(confidence)
 
     def run(held: pa.Table, queries: pa.Table) -> pa.Table:
         rows: list[tuple] = []
         if held.num_rows and queries.num_rows:
             tree = Tree(np.array(held.column("vec_id")), _matrix(held.column("embedding")), k)
-            wanted = _matrix(queries.column("embedding")).astype(np.float64)
+            wanted = _matrix(queries.column("embedding"))
             points = wanted @ directions(wanted.shape[1])
             for row, own, bound, vector, point in zip(queries.column("row").to_pylist(), queries.column("query_id").to_pylist(), queries.column("bound").to_pylist(), wanted, points, strict=True):
                 best, names = tree.search(own, vector, point, bound, k, stop)
@@ -175,72 +195,100 @@ def _search(vectors: DataFrame, asked: DataFrame, k: int, confidence: float) ->
         row, own, name, score = zip(*rows, strict=True) if rows else ((), (), (), ())
         return pa.table({"row": pa.array(row, pa.int64()), "query_id": pa.array(own, pa.int64()), "vec_id": pa.array(name, pa.int64()), "score": pa.array(score, pa.float64())})
 
-    keys = ["size", "cell", "part", "block"]
     asked = checkpointed(asked)  # read twice: for the blocks and for the queries
-    blocks = asked.select(*keys).distinct()
+    blocks = asked.groupBy(*_PLACE).agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks"))
+    turn = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
+    asked = asked.join(blocks, _PLACE).withColumn("block", turn).drop("blocks")
     asked = asked.toDF(*asked.columns)  # columns of its own, for the grouping by both sides
-    held = vectors.select("size", "cell", "part", "vec_id", "embedding").join(blocks, ["size", "cell", "part"])
+    copies = blocks.select(*_PLACE, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    held = vectors.select(*_PLACE, "vec_id", "embedding").join(copies, _PLACE)
+    keys = [*_PLACE, "block"]
     return held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(run, _FOUND)
 
 
+def _fitted(clean: DataFrame) -> dict[int, Cells]:
+    """The upper levels for each length of more than ``CELL`` vectors, fitted on projections of at most about ``FIT`` of them all together."""
+    large = {r["size"]: r["count"] for r in clean.groupBy("size").count().where(F.col("count") > CELL).collect()}
+    if not large:
+        return {}
+    each = max(1, FIT // len(large))
+    share = F.element_at(F.create_map(*[F.lit(x) for size, n in large.items() for x in (size, min(1.0, each / n))]), F.col("size"))
+    picked = clean.where(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < share * (1 << 30)).select("size", "embedding")
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = _projected(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p.tobytes() for p in points], pa.binary())], ["size", "point"])
+
+    found = picked.mapInArrow(project, "size int, point binary").toArrow()
+    sizes, points = np.array(found.column("size")), np.frombuffer(b"".join(found.column("point").to_pylist())).reshape(-1, DIRECTIONS)
+    return {size: Cells(points[sizes == size], min(math.ceil(math.log2(n / CELL)), int(math.log2(CELLS)))) for size, n in large.items()}
+
+
 def nearest(vectors: DataFrame, queries: F.Column, k: int = 10, confidence: float = CONFIDENCE) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k nearest found for each row that ``queries`` holds for."""
-    embedding = F.col("embedding").cast("array<float>")
+    """(query_id, rank, vec_id, score) of the k nearest found for each row that ``queries`` holds for.
+
+    All lengths go through one plan; a length is part of a cell's name.
+    """
+    exact = vectors.schema["embedding"].dataType.elementType.typeName() == "float"
+    embedding = F.col("embedding").cast("array<float>" if exact else "array<double>")
     sound = F.size("embedding") > 0
     sound &= F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     clean = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), embedding.alias("embedding"), queries.alias("asked")).where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(sound, F.lit(False)))
     clean = checkpointed(clean.select("*", F.size("embedding").alias("size"), F.monotonically_increasing_id().alias("row")))
-    total = {r["size"]: r["count"] for r in clean.groupBy("size").count().orderBy(F.desc("count")).limit(64).collect()}
-    empty = clean.limit(0).select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
-    out = [_nearest(clean.where(F.col("size") == size), size, count, k, confidence) for size, count in total.items()]
-    for part in out:
-        empty = empty.unionByName(part)
-    return out[0] if len(out) == 1 else empty
-
-
-def _nearest(clean: DataFrame, size: int, total: int, k: int, confidence: float) -> DataFrame:
-    depth = min(max(0, math.ceil(math.log2(max(1, total / CELL)))), int(math.log2(CELLS)))
-    sample = clean.orderBy(F.xxhash64("row"), "row").limit(FIT).select("embedding")
-    fitted = _matrix(sample.toArrow().column("embedding")).astype(np.float64) @ directions(size) if depth else np.zeros((0, DIRECTIONS))
-    cells = Cells(fitted, depth)
+    trees = _fitted(clean)
+    number = "float" if exact else "double"
     names = ["size", "vec_id", "embedding", "asked", "row"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = cells.of(_matrix(batch.column("embedding")).astype(np.float64) @ directions(size)) if batch.num_rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.astype(np.int32))], [*names, "cell"])
-
-    placed = clean.select(*names).mapInArrow(place, "size int, vec_id long, embedding array<float>, asked boolean, row long, cell int")
-    placed = checkpointed(placed)
-    parts = {r.cell: -(-r["count"] // CELL) for r in placed.groupBy("cell").count().collect()}
-    split = F.element_at(F.create_map(*[F.lit(x) for kv in parts.items() for x in kv]), F.col("cell")).cast("int")
-    dealt = placed.withColumn("part", F.pmod(F.xxhash64("row"), split).cast("int"))
-    asking = placed.where("asked")
-    blocks = max(1, -(-asking.count() // QUERIES))
-    asking = asking.select("size", F.col("vec_id").alias("query_id"), "embedding", "row", "cell", F.pmod(F.hash("row"), F.lit(blocks)).alias("block"))
-    home = asking.withColumn("part", F.pmod(F.xxhash64("row"), split).cast("int")).withColumn("bound", F.lit(float("inf")))
+            points, sizes = _projected(batch.column("embedding")), np.asarray(batch.column("size"))
+            found = np.zeros(batch.num_rows, np.int32)
+            for size, tree in trees.items():
+                found[sizes == size] = tree.of(points[sizes == size])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*names, "cell"])
+
+    placed = checkpointed(clean.select(*names).mapInArrow(place, f"size int, vec_id long, embedding array<{number}>, asked boolean, row long, cell int"))
+    # a length without a tree has one cell of CELL vectors at most, so only cells of trees are counted, and split
+    treed = F.col("size").isin(list(trees))
+    parts = {size: np.zeros(1 << tree.depth, np.int64) for size, tree in trees.items()}
+    for r in placed.where(treed).groupBy("size", "cell").count().collect() if trees else ():
+        parts[r["size"]][r["cell"]] = -(-r["count"] // CELL)
+    split = {f"{size}/{cell}": int(n) for size, held in parts.items() for cell, n in enumerate(held) if n > 1}
+    part = F.lit(0)
+    if split:
+        many = F.element_at(F.create_map(*[F.lit(x) for kv in split.items() for x in kv]), F.concat_ws("/", "size", "cell"))
+        part = F.coalesce(F.pmod(F.xxhash64("row"), many).cast("int"), part)
+    dealt = placed.withColumn("part", part)
+    home = dealt.where("asked").select("size", F.col("vec_id").alias("query_id"), "embedding", "row", "cell", "part", F.lit(float("inf")).alias("bound"))
     first = checkpointed(_search(dealt, home, k, confidence))
-    bound = first.groupBy("row").agg(F.count("*").alias("n"), F.max("score").alias("worst")).select("row", F.when(F.col("n") >= k, F.col("worst")).otherwise(F.lit(float("inf"))).alias("bound"))
+    worst = first.groupBy("row").agg(F.count("*").alias("n"), F.max("score").alias("worst")).select("row", F.when(F.col("n") >= k, F.col("worst")).alias("bound"))
     stop = quantile(confidence)
-    counts = np.array([parts.get(c, 0) for c in range(1 << depth)])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each query once for every part of a cell within reach of its bound, but the one that it has searched."""
         for batch in batches:
-            points = _matrix(batch.column("embedding")).astype(np.float64) @ directions(size) if batch.num_rows else []
+            points, within = _projected(batch.column("embedding")), np.asarray(batch.column("bound"))
+            sizes, cells, own = (np.asarray(batch.column(c)) for c in ("size", "cell", "part"))
+            rows, to_cell, to_part = [], [], []
             for i, point in enumerate(points):
-                within = batch.column("bound")[i].as_py()
-                near = np.flatnonzero((counts > 0) & (cells.distances(point) - 1e-9 * float(point @ point) <= stop * within * within))
-                own = (batch.column("cell")[i].as_py(), batch.column("part")[i].as_py())
-                to = [(int(c), p) for c in near for p in range(counts[c]) if (int(c), p) != own]
-                if to:
-                    row = batch.slice(i, 1)
-                    again = row.take(pa.array(np.zeros(len(to), np.int64)))
-                    at = again.schema.names
-                    yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in to], pa.int32()) if n == "cell" else pa.array([p for _, p in to], pa.int32()) if n == "part" else again.column(n) for n in at], at)
-
-    known = home.drop("bound").join(bound, "row", "left").select("size", "query_id", "embedding", "row", "cell", "block", "part", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
-    asked = known.mapInArrow(spread, "size int, query_id long, embedding array<float>, row long, cell int, block int, part int, bound double")
-    every = first.unionByName(_search(dealt, asked, k, confidence))
+                counts = parts[int(sizes[i])]
+                near = np.flatnonzero((counts > 0) & (trees[int(sizes[i])].distances(point) - 1e-9 * float(point @ point) <= stop * within[i] * within[i]))
+                cell = np.repeat(near, counts[near])
+                turn = np.arange(len(cell)) - np.repeat(np.cumsum(counts[near]) - counts[near], counts[near])
+                other = (cell != cells[i]) | (turn != own[i])
+                rows.append(np.full(other.sum(), i))
+                to_cell.append(cell[other])
+                to_part.append(turn[other])
+            if rows:
+                again = batch.take(pa.array(np.concatenate(rows)))
+                moved = {"cell": pa.array(np.concatenate(to_cell).astype(np.int32)), "part": pa.array(np.concatenate(to_part).astype(np.int32))}
+                yield pa.RecordBatch.from_arrays([moved.get(n, again.column(n)) for n in again.schema.names], again.schema.names)
+
+    every = first
+    if trees:  # without one, every query has met all vectors of its length
+        known = home.where(treed).drop("bound").join(worst, "row", "left").select("size", "query_id", "embedding", "row", "cell", "part", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+        asked = known.mapInArrow(sliced(spread, 64), f"size int, query_id long, embedding array<{number}>, row long, cell int, part int, bound double")
+        every = first.unionByName(_search(dealt, asked, k, confidence))
     rank = F.row_number().over(Window.partitionBy("row").orderBy("score", "vec_id"))
     return every.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
