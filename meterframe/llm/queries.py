@@ -61,7 +61,7 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op8_source_mix"] = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         coalesce(((doc_id % 4096) + 4096) % 4096, -1) AS rng, row_number() OVER () AS rid
+         md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), '|', coalesce(text, ''))) AS tie, row_number() OVER () AS rid
   FROM documents),
 sources AS (
   SELECT row_number() OVER (ORDER BY source NULLS LAST) AS src, source, source_size
@@ -76,7 +76,7 @@ level AS (SELECT arg_min(tried, turn) FILTER (WHERE bound / weight >= tried) AS
 targets AS (SELECT src, source, source_size, coalesce(least(bound, level * weight), bound) AS target FROM tried, level),
 placed AS (
   SELECT s.rid, s.doc_id, s.size, t.src, t.source_size, t.target,
-         CAST(coalesce(sum(s.size) OVER (PARTITION BY t.src ORDER BY s.rng, s.doc_id NULLS FIRST, s.size
+         CAST(coalesce(sum(s.size) OVER (PARTITION BY t.src ORDER BY substring(s.tie, 1, 3), s.doc_id NULLS FIRST, s.size, s.tie
               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
 blocks AS (
