@@ -2,8 +2,8 @@
 
 Likelihoods of the text come from byte trigrams of texts with a declared language, counted over all documents. What
 pages declare, and the suffix of their address, are weighed by how often each goes with each language. The prior of
-a host is smoothed towards its domain's, the domain's towards its suffix's, and that towards all pages', each from
-counts by grouped aggregation. A class ``und`` whose trigrams are all alike stands for text in no known language.
+a host is smoothed towards its domain's, and the domain's towards all pages', each from counts by grouped
+aggregation (the suffix is evidence of its own and not counted again). A class ``und`` whose trigrams are all alike stands for text in no known language.
 
 Cases: null, empty and wordless texts have no text evidence: they are ``und`` and rejected. A null declaration, suffix
 or host adds nothing. Repeated rows keep one result each. Ties go to the language that comes first by name. Without
@@ -21,11 +21,9 @@ from pyspark.sql import functions as F
 
 from meterframe.llm import trigrams
 from meterframe.llm.blocks import column_bytes, sliced
-from meterframe.llm.shared import checkpointed
+from meterframe.llm.shared import checkpointed, hot_join
 
 BUCKETS = 4096
-#: The most frequent declared languages that are told apart: a bound of the model's size, not of the rows.
-LANGUAGES = 64
 UNKNOWN = "und"
 UNKNOWN_PRIOR = 0.01
 #: Overlapping trigrams are not independent: three of them count as one observation.
@@ -36,6 +34,11 @@ POOLED = 100.0
 STRENGTH = 5.0
 #: How much less likely than chance, in nats a trigram, a known language may make a text before it counts as unknown.
 MARGIN = 1.0
+#: A text's languages that lie this many nats behind its best one are left out: what is declared, suffix and host, each
+#: counted over fewer than 10 ** 15 rows, cannot make up for more than four times 40 nats.
+REACH = 200.0
+#: Rows that a value seen in no known language counts for.
+LEAST = 1e-6
 _FOLD = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
 
@@ -53,10 +56,10 @@ def page_evidence(pages: DataFrame) -> DataFrame:
     return parts.withColumn("suffix", F.element_at(F.split("host", r"\."), -1)).withColumn("domain", F.array_join(F.slice(F.split("host", r"\."), -2, 2), "."))
 
 
-def document_evidence(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, declared, suffix, domain, host) of documents: the source stands for the host, its last label for the suffix."""
+def document_evidence(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keys, text, declared, suffix, domain, host) of documents: the source stands for the host, its last label for the suffix."""
     host = F.lower("source")
-    parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", primary(F.col("lang")).alias("declared"), host.alias("host"))
+    parts = docs.select(*keys, "text", primary(F.col("lang")).alias("declared"), host.alias("host"))
     dotted = F.col("host").contains(".")
     return parts.withColumn("suffix", F.when(dotted, F.element_at(F.split("host", r"\."), -1))).withColumn("domain", F.when(dotted, F.array_join(F.slice(F.split("host", r"\."), -2, 2), ".")))
 
@@ -64,98 +67,120 @@ def document_evidence(docs: DataFrame) -> DataFrame:
 def fit(texts: DataFrame) -> tuple[list[str], np.ndarray]:
     """(languages, log-likelihood of each bucket by language) of a table of (text, declared).
 
-    The driver gets at most LANGUAGES * BUCKETS counts, whatever the number of texts.
+    Every declared language is told apart. A primary subtag has two or three letters, so that there are fewer than 18,300
+    whatever the number of texts, and some hundreds in use; the driver gets their counts of BUCKETS buckets each.
     """
-    declared = texts.where("declared is not null").groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(LANGUAGES)
-    names = sorted(r.declared for r in declared.collect())
+    names = sorted(r.declared for r in texts.where("declared is not null").select("declared").distinct().collect())
     if not names:
         return [], np.zeros((0, BUCKETS))
     place = {n: i for i, n in enumerate(names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(names), BUCKETS), np.int64)
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
             groups = np.array([place.get(x, -1) for x in batch.column(1).to_pylist()], np.int64)
-            total += trigrams.counts(column_bytes(batch.column(0)), groups, len(names), BUCKETS, _FOLD)
-        lang, bucket = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(total[lang, bucket])], ["lang", "bucket", "n"])
-
-    counted = texts.select("text", "declared").mapInArrow(run, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+            here, local = np.unique(groups[groups >= 0], return_inverse=True)
+            groups[groups >= 0] = local
+            found = trigrams.counts(column_bytes(batch.column(0)), groups, len(here), BUCKETS, _FOLD)
+            for lang, counts in zip(here.tolist(), found, strict=True):
+                total[lang] = total.get(lang, 0) + counts
+        for lang, counts in total.items():
+            bucket = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), lang, np.int32)), pa.array(bucket.astype(np.int32)), pa.array(counts[bucket])], ["lang", "bucket", "n"])
+
+    counted = texts.where("declared is not null").select("text", "declared").mapInArrow(run, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros((len(names), BUCKETS))
     total[np.array(counted.column("lang")), np.array(counted.column("bucket"))] = np.array(counted.column("n"))
     pooled = (total.sum(axis=0) + SMOOTH) / (total.sum() + SMOOTH * BUCKETS)
     return names, np.log((total + POOLED * pooled) / (total.sum(axis=1, keepdims=True) + POOLED))
 
 
-def _smoothed(rows: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Log evidence by language of declarations and suffixes, and log priors by host, from the text's own best guess."""
-    each = [f"n{i}" for i in range(len(names))]
-    sums = [F.sum(F.col("soft")[i]).alias(c) for i, c in enumerate(each)]
-    base = rows.agg(*[F.coalesce(s, F.lit(0.0)).alias(c) for s, c in zip(sums, each, strict=True)]).first()
-    prior = np.array([base[c] for c in each]) + 1.0
-    prior /= prior.sum()
-    totals = {c: float(base[c]) for c in each}
-
-    def likelihood(key: str) -> DataFrame:
-        counted = rows.where(F.col(key).isNotNull()).groupBy(key).agg(*sums)
-        n = sum((F.col(c) for c in each), F.lit(0.0))
-        share = n / max(1.0, sum(totals.values()))
-        logs = [F.log((F.col(c) + STRENGTH * share) / (F.lit(totals[c]) + STRENGTH) + 1e-9) - F.log(share + 1e-9) for c in each]
-        return counted.select(key, F.array(*logs).alias(f"{key}_log"))
-
-    def prior_by(key: str, above: DataFrame | None, above_key: str | None) -> DataFrame:
-        keys = [key] + ([above_key] if above_key else [])
-        counted = rows.where(F.col(key).isNotNull()).groupBy(*keys).agg(*sums)
-        upper = F.array(*map(F.lit, prior.tolist()))
-        if above is not None:
-            counted = counted.join(above, above_key, "left")
-            upper = F.coalesce(F.col(f"{above_key}_prior"), upper)
-        n = sum((F.col(c) for c in each), F.lit(0.0)) + STRENGTH
-        return counted.select(key, F.array(*[(F.col(c) + STRENGTH * upper[i]) / n for i, c in enumerate(each)]).alias(f"{key}_prior"))
-
-    by_suffix = prior_by("suffix", None, None)
-    by_domain = prior_by("domain", by_suffix, "suffix")
-    by_host = prior_by("host", by_domain, "domain").groupBy("host").agg(F.first("host_prior").alias("host_prior"))
-    return likelihood("declared"), likelihood("suffix"), by_host.withColumn("all_prior", F.array(*map(F.lit, prior.tolist())))
-
-
-def identify(evidence: DataFrame, model: tuple[list[str], np.ndarray], key: str = "doc_id") -> DataFrame:
-    """(key, language, probability, text_language, kept) of every row of (key, text, declared, suffix, domain, host)."""
+_EVIDENCE = ("declared", "suffix", "domain", "host")
+_CANDIDATES = "cands array<struct<lang:int,log:double,soft:double>>"
+
+
+def likelihoods(evidence: DataFrame, model: tuple[list[str], np.ndarray], keys: tuple[str, ...]) -> DataFrame:
+    """(keys, declared, suffix, domain, host, cands): of every language within ``REACH`` of the best, the text's log-likelihood and its share."""
     names, logs = model
-    if not names:
-        unknown = F.lit(UNKNOWN)
-        return evidence.select(F.col(key).cast("long").alias(key), unknown.alias("language"), F.lit(1.0).alias("probability"), unknown.alias("text_language"), F.lit(False).alias("kept"))
-    every = [*names, UNKNOWN]
-    uniform = -np.log(BUCKETS) - MARGIN
-    table = np.vstack([logs, np.full((1, BUCKETS), uniform)])
+    table = np.vstack([logs, np.full((1, BUCKETS), -np.log(BUCKETS) - MARGIN)])
+    held = [*keys, *_EVIDENCE]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = column_bytes(batch.column(1))
-            n, found = trigrams.sums(texts, table, _FOLD)
-            found *= TEMPER
+            texts = column_bytes(batch.column("text"))
+            found = TEMPER * (trigrams.counts(texts, np.arange(len(texts)), len(texts), BUCKETS, _FOLD) @ table.T)
             found[:, -1] += np.log(UNKNOWN_PRIOR)
-            blank = np.array([not t.translate(_FOLD).strip() for t in texts], bool)
-            found[blank, :-1] = -1e9
-            found -= found.max(axis=1, keepdims=True) if len(found) else 0
+            found[[not t.translate(_FOLD).strip() for t in texts], :-1] = -1e9
+            found -= found.max(axis=1, keepdims=True, initial=-np.inf)
+            near = found >= -REACH
+            near[:, -1] = True
             soft = np.exp(found)
             soft /= soft.sum(axis=1, keepdims=True)
-            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel(), pa.float64())) for x in (found, soft)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *lists], [key, "declared", "suffix", "domain", "host", "text_log", "soft"])
-
-    rows = evidence.select(F.col(key).cast("long").alias(key), "text", "declared", "suffix", "domain", "host").mapInArrow(sliced(run), f"{key} long, declared string, suffix string, domain string, host string, text_log array<double>, soft array<double>")
-    rows = checkpointed(rows)
-    declared, suffix, host = _smoothed(rows, names)
-    joined = rows.join(declared, "declared", "left").join(suffix, "suffix", "left").join(host.drop("all_prior"), "host", "left")
-    zero = F.lit(0.0)
-    logs_ = [
-        F.col("text_log")[i] + F.coalesce(F.col("declared_log")[i], zero) + F.coalesce(F.col("suffix_log")[i], zero) + F.coalesce(F.log(F.col("host_prior")[i] * len(names)), zero)
-        for i in range(len(names))
-    ] + [F.col("text_log")[len(names)]]
-    fused = joined.select(key, F.array(*logs_).alias("log"), "text_log")
-    top = F.array_max("log")
-    place = F.array_position("log", top).cast("int")
-    known = F.array(*map(F.lit, every))
-    probability = 1 / F.aggregate("log", F.lit(0.0), lambda a, x: a + F.exp(x - top))
-    text_place = F.array_position("text_log", F.array_max("text_log")).cast("int")
-    return fused.select(key, F.element_at(known, place).alias("language"), probability.alias("probability"), F.element_at(known, text_place).alias("text_language")).withColumn("kept", F.col("language") != UNKNOWN)
+            lang = np.nonzero(near)[1].astype(np.int32)
+            ends = np.zeros(len(texts) + 1, np.int32)
+            np.cumsum(near.sum(axis=1), out=ends[1:])
+            cands = pa.StructArray.from_arrays([pa.array(lang), pa.array(found[near]), pa.array(soft[near])], ["lang", "log", "soft"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in held], pa.ListArray.from_arrays(pa.array(ends), cands)], [*held, "cands"])
+
+    whole = evidence.select(*keys, "text", *_EVIDENCE)
+    schema = ", ".join([*[f"`{c}` {whole.schema[c].dataType.simpleString()}" for c in held], _CANDIDATES])
+    return whole.mapInArrow(sliced(run, 256), schema)
+
+
+def gathered(rows: DataFrame, languages: int) -> DataFrame:
+    """(kind, value, rows, known, by_lang): how many rows each declaration, suffix, domain and host has, by the text's own best guesses.
+
+    Counts are added up before they are shuffled; a value's map has at most as many entries as there are languages.
+    """
+    values = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in _EVIDENCE])
+    each = rows.select(F.explode(F.filter(values, lambda v: v.value.isNotNull())).alias("at"), "cands").select("at.*", F.explode("cands").alias("c"))
+    counted = each.groupBy("kind", "value", F.col("c.lang").alias("lang")).agg(F.sum("c.soft").alias("n"))
+    entry = F.when(F.col("lang") < languages, F.struct("lang", "n"))
+    return counted.groupBy("kind", "value").agg(F.sum("n").alias("rows"), F.sum(entry.n).alias("known"), F.map_from_entries(F.collect_list(entry)).alias("by_lang"))
+
+
+def identify(evidence: DataFrame, model: tuple[list[str], np.ndarray], keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keys, language, probability, text_language, kept) of every row of (keys, text, declared, suffix, domain, host).
+
+    A language's log posterior is the text's log-likelihood, plus how much likelier than usual it makes the declaration
+    and the suffix, plus the log of its prior over the uniform one. The prior of a host leans on its domain's, and that on
+    all rows', as if each had ``STRENGTH`` rows of the one above. ``und`` has the likelihood of evenly spread trigrams alone.
+    """
+    names, _ = model
+    if not names:
+        unknown = F.lit(UNKNOWN)
+        return evidence.select(*keys, unknown.alias("language"), F.lit(1.0).alias("probability"), unknown.alias("text_language"), F.lit(False).alias("kept"))
+    n = len(names)
+    rows = checkpointed(likelihoods(evidence, model, keys).withColumn("_row", F.monotonically_increasing_id()))
+    totals = {r.lang: r.n for r in rows.select(F.explode("cands").alias("c")).groupBy("c.lang").agg(F.sum("c.soft").alias("n")).collect()}  # a number for each language
+    each = [float(totals.get(i, 0.0)) for i in range(n)]
+    count, known = sum(totals.values()), max(1.0, sum(each))
+    tables = checkpointed(gathered(rows, n))
+    joined = rows
+    for kind in _EVIDENCE:
+        table = tables.where(F.col("kind") == kind).select(F.col("value").alias(kind), F.col("rows").alias("_rows"), F.struct(F.coalesce("known", F.lit(0.0)).alias("known"), "by_lang").alias(f"{kind}_seen"))
+        joined = hot_join(joined, table, kind, "_rows", count, "_row", "left")
+    of_all, base = F.lit(each), F.lit([(x + 1.0) / (sum(each) + n) for x in each])
+
+    def seen(kind: str, lang: Column) -> Column:
+        return F.coalesce(F.try_element_at(F.col(f"{kind}_seen.by_lang"), lang), F.lit(0.0))
+
+    def likelier(kind: str, lang: Column) -> Column:
+        share = (F.col(f"{kind}_seen.known") + LEAST) / known
+        return F.coalesce(F.log((seen(kind, lang) + STRENGTH * share) / (of_all[lang] + STRENGTH) / share), F.lit(0.0))
+
+    def prior(lang: Column) -> Column:
+        value = base[lang]
+        for kind in ("domain", "host"):
+            value = F.coalesce((seen(kind, lang) + STRENGTH * value) / (F.col(f"{kind}_seen.known") + STRENGTH), value)
+        return value
+
+    def posterior(c: Column) -> Column:
+        fused = c.log + likelier("declared", c.lang) + likelier("suffix", c.lang) + F.log(prior(c.lang) * n)
+        return F.struct(F.when(c.lang < n, fused).otherwise(c.log).alias("log"), (-c.lang).alias("turn"))
+
+    scored = joined.select(*keys, F.transform("cands", posterior).alias("fused"), F.array_max(F.transform("cands", lambda c: F.struct(c.log.alias("log"), (-c.lang).alias("turn")))).alias("text"))
+    best = scored.select(*keys, "fused", "text", F.array_max("fused").alias("best"))
+    every = F.lit([*names, UNKNOWN])
+    probability = 1 / F.aggregate("fused", F.lit(0.0), lambda a, x: a + F.exp(x.log - F.col("best.log")))
+    return best.select(*keys, every[-F.col("best.turn")].alias("language"), probability.alias("probability"), every[-F.col("text.turn")].alias("text_language"), (-F.col("best.turn") < n).alias("kept"))

@@ -116,10 +116,16 @@ def op5_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from meterframe.llm.language import document_evidence, fit, identify
+    from pyspark.sql import functions as F
+
+    from meterframe.llm.language import document_evidence, fit, identify, page_evidence
+    from meterframe.llm.shared import written
 
-    evidence = document_evidence(table(spark, sf_dir, "documents"))
-    return identify(evidence, fit(evidence))
+    ids = {"doc_id": F.lit(None).cast("long"), "page_id": F.lit(None).cast("long")}
+    docs = document_evidence(table(spark, sf_dir, "documents").withColumn("page_id", ids["page_id"]), ("doc_id", "page_id"))
+    pages = written(page_evidence(table(spark, sf_dir, "pages"))).withColumn("doc_id", ids["doc_id"])
+    evidence = docs.unionByName(pages)
+    return identify(evidence, fit(evidence), ("doc_id", "page_id"))
 
 
 @query
