@@ -2,8 +2,9 @@
 
 Cases: a null text counts as empty. Without words the fingerprint is ``ffff...``, and two such are alike (1.0); a text
 of fewer words than a shingle is one shingle. Repeated rows keep one result each. In document order a null id comes
-last, rows of one id are one place, and the text that stands for it is the first by (xxhash64, text). A table of one
-document has itself as the next. Empty tables give empty results; columns besides those named are ignored.
+last, rows of one id are one place, and the text that stands for it is the first by two hashes. A table of one document
+has itself as the next. Texts are the same if two 64-bit hashes of them are. Very long texts are signed whole, in blocks.
+Empty tables give empty results; columns besides those named are ignored.
 """
 
 from __future__ import annotations
@@ -14,14 +15,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterframe.llm.blocks import blocks, column_bytes, mix, shingle_hashes, sliced
-from meterframe.llm.shared import checkpointed, shuffle_partitions
+from meterframe.llm.components import connected_components, rooted
+from meterframe.llm.shared import checkpointed, hot_join, shuffle_partitions, written
 
 PERMUTATIONS = 128
 SHINGLE = 5
+#: Bands of a signature and its components in each: a pair of similarity 0.8 shares none with a chance of 5 in 100,000.
+BANDS, ROWS = 25, 5
+THRESHOLD = 0.8
+#: Pairs whose signatures are less alike are no candidates: one of similarity 0.8 has a chance of 1 in 100 million to be so.
+LEAST = 0.6
+#: The most bands that are looked for as large, and the parts that these are cut into; bands of at most ``PART`` texts are not cut.
+HEAVY = 100
+PART = 10_000
+#: Texts of one tile of a band.
+TILE = 2048
 _U = np.uint64
 
 
@@ -88,41 +100,83 @@ def _range_of(column: str, edges: list[int]) -> F.Column:
     return group * step + F.coalesce(F.size(F.filter(inside, lambda e: e > F.col(column))), F.lit(0))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
+def _text_keys() -> list[Column]:
+    """Two 64-bit hashes of the text (null: empty), by which equal texts are known."""
+    text = F.coalesce("text", F.lit(""))
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
+
+
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, of texts, as compressed bytes: a shuffle of texts is the dearest step of all here."""
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        texts = [squeeze(t) for t in column_bytes(batch.columns[-1])]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.binary())], batch.schema.names)
+
+
+def _unsqueezed(column) -> list[bytes]:
+    import zstandard
+
+    restore = zstandard.ZstdDecompressor().decompress
+    return [restore(x) for x in column.to_pylist()]
+
+
+def with_next(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Rows dealt by descending ranges of doc_id, each range sorted upwards after the head of the range below it.
 
-    Only the ids are read to cut the ranges; the texts are shuffled once. Columns: part, ahead (the row only stands
-    for what follows the range), doc_id, text.
+    Only ids and hashes are read to cut the ranges; the texts are shuffled once, compressed. A head is the one row of its
+    range's greatest id that comes first by hashes. Rows without id are dealt over as many ranges as there are others, each
+    after the head of all. The classes (doc_id, h1, h2, class_id) come each before the row that they belong to.
+    Columns: part, ahead (the row only stands for what follows the range), doc_id, h1, h2, class_id, text.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_text_keys(), "text")
     parts = shuffle_partitions(docs.sparkSession)
     edges = _edges(docs.where("doc_id is not null"), parts)
-    last = len(edges) + 1  # the ids that are null
-    part = F.when(F.col("doc_id").isNull(), F.lit(last)).otherwise(_range_of("doc_id", edges)).cast("int")
-    heads = sorted((r.part, r.head) for r in docs.select(part.alias("part"), "doc_id").groupBy("part").agg(F.max("doc_id").alias("head")).collect())
-    before = {head: heads[i - 1][0] for i, (_, head) in enumerate(heads)}  # cyclic: after the last comes the first
-    known = {h: p for h, p in before.items() if h is not None}
-    also = F.when(F.col("doc_id").isNull(), F.lit(before.get(None))).cast("int")
-    if known:
-        also = F.coalesce(also, F.try_element_at(F.create_map(*[F.lit(x) for pair in known.items() for x in pair]), F.col("doc_id"))).cast("int")
-    places = F.array(F.struct(part.alias("part"), F.lit(False).alias("ahead")), F.struct(also.alias("part"), F.lit(True).alias("ahead")))
-    dealt = docs.select(F.explode(F.filter(places, lambda p: p.part.isNotNull())).alias("at"), "doc_id", "text").select("at.*", "doc_id", "text")
-    return dealt.repartitionById(last + 1, F.col("part")).sortWithinPartitions("part", F.desc("ahead"), F.asc_nulls_first("doc_id"), F.xxhash64("text"), "text")
-
-
-def edited_fingerprints(docs: DataFrame) -> DataFrame:
-    """Each text's fingerprint beside those of its edited text and of the next document.
+    last = len(edges) + 1  # the first range of the ids that are null
+    part = F.when(F.col("doc_id").isNull(), last + F.pmod("h1", F.lit(parts))).otherwise(_range_of("doc_id", edges)).cast("int")
+    first = F.max(F.struct("doc_id", F.bitwise_not("h1").alias("h1"), F.bitwise_not("h2").alias("h2")))
+    found = docs.select(F.least(part, F.lit(last)).alias("part"), "doc_id", "h1", "h2").groupBy("part").agg(first.alias("head")).select("part", "head.*").orderBy("part").collect()
+    heads = []
+    for i, r in enumerate(found):  # cyclic: after the last comes the first
+        before = found[i - 1].part
+        heads.append((r.doc_id, ~r.h1, ~r.h2, list(range(last, last + parts)) if before == last else [before]))
+    heads = docs.sparkSession.createDataFrame(heads, "id long, a long, b long, also array<int>")
+    stands = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h1") == F.col("a")) & (F.col("h2") == F.col("b"))
+    known = docs.join(F.broadcast(heads), stands, "left")
+    places = F.concat(F.array(F.struct(part.alias("part"), F.lit(False).alias("ahead"))), F.coalesce(F.transform("also", lambda p: F.struct(p.alias("part"), F.lit(True).alias("ahead"))), F.array().cast("array<struct<part:int,ahead:boolean>>")))
+    dealt = known.select(F.explode(places).alias("at"), "doc_id", "h1", "h2", "text").select("at.*", "doc_id", "h1", "h2", F.lit(None).cast("long").alias("class_id"), "text")
+    dealt = dealt.mapInArrow(_squeezed, "part int, ahead boolean, doc_id long, h1 long, h2 long, class_id long, text binary")
+    beside = classes.select(part.alias("part"), F.lit(False).alias("ahead"), "doc_id", "h1", "h2", "class_id", F.lit(None).cast("binary").alias("text"))
+    order = ("part", F.desc("ahead"), F.asc_nulls_first("doc_id"), "h1", "h2", F.col("text").isNotNull())
+    return dealt.unionByName(beside).repartitionById(last + parts, F.col("part")).sortWithinPartitions(*order)
+
+
+def edited_fingerprints(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Each text's fingerprint beside those of its edited text and of the next document, and its class of near-duplicates.
 
     Edited: the last floor(n / 2) code points give way to as many first ones (or all) of the next document by falling id.
+    class_id is that of ``near_duplicates``.
     """
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, current, following, this = None, object(), "", ""
+        part, current, following, this, told = None, object(), "", "", None
         for batch in batches:
-            ids, texts, nexts = [], [], []
-            for p, ahead, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                text = text or ""
+            ids, texts, nexts, classes = [], [], [], []
+
+            def handed():
+                out = one(ids[:], texts[:], nexts[:], classes[:])
+                for held in (ids, texts, nexts, classes):
+                    held.clear()
+                return out
+
+            for p, ahead, doc_id, h1, h2, class_id, data in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                if data is None:
+                    told = (doc_id, h1, h2, class_id)
+                    continue
+                text = _unsqueezed(pa.array([data]))[0].decode()
                 if p != part:
                     part, current, this = p, object(), ""
                 if ahead:
@@ -134,10 +188,13 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
                 ids.append(doc_id)
                 texts.append(text)
                 nexts.append(following)
-            for i in range(0, len(ids), 512):
-                yield from one(ids[i : i + 512], texts[i : i + 512], nexts[i : i + 512])
+                classes.append(told[3] if told and told[:3] == (doc_id, h1, h2) else doc_id)
+                if len(ids) == 512:
+                    yield handed()
+            if ids:
+                yield handed()
 
-    def one(ids: list, texts: list[str], nexts: list[str]) -> Iterator[pa.RecordBatch]:
+    def one(ids: list, texts: list[str], nexts: list[str], classes: list) -> pa.RecordBatch:
         edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(texts, nexts, strict=True)]
         every = list(dict.fromkeys([*texts, *edited, *nexts]))
         place = {t: i for i, t in enumerate(every)}
@@ -151,68 +208,158 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
             pa.array(_hex(new), pa.string()),
             pa.array(likeness(own, new), pa.float64()),
             pa.array(likeness(own, after), pa.float64()),
+            pa.array(classes, pa.int64()),
         ]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "class_id"])
 
-    return with_next(docs).mapInArrow(run, schema)
+    nodes = near_classes(docs, threshold)
+    # rows alone in their class need no word of it
+    some = nodes.where("not (alone and n = 1)").select(F.struct("h1", "h2").alias("key"), "n", "class_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_text_keys()).distinct().select("doc_id", F.struct("h1", "h2").alias("key"))
+    classes = hot_join(rows, some, "key", "n", max(1, nodes.agg(F.sum("n")).first()[0] or 0), "doc_id").select("doc_id", "key.*", "class_id")
+    return with_next(docs, classes).mapInArrow(run, schema)
 
 
 def _band_rows(bands: int, rows: int):
+    """(node, band): the hash of each band of a signature."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            signed = np.array([np.frombuffer(bytes.fromhex(x), ">u2") for x in batch.column(1).to_pylist()]).reshape(-1, PERMUTATIONS).astype(_U)
-            keys = []
+            signed = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, PERMUTATIONS).astype(_U)
+            keys = np.empty((len(signed), bands), _U)
             for k in range(bands):
                 key = np.full(len(signed), k + 1, _U)
                 for j in range(k * rows, (k + 1) * rows):
                     key = mix(key * _U(0x9E3779B97F4A7C15) + signed[:, j])
-                keys.append(key.view(np.int64))
-            flat = np.stack(keys, axis=1).ravel() if len(signed) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(batch.column(0)), bands), pa.int64()), pa.array(flat, pa.int64())], ["cls", "band"])
+                keys[:, k] = key
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column(0)), bands)), pa.array(keys.ravel().view(np.int64))], ["node", "band"])
 
     return run
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 25, rows: int = 5) -> DataFrame:
-    """(doc_id, class_id): class_id is the least doc_id that links of verified Jaccard >= threshold reach.
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(h1, h2, n, least, class_id, alone) of every distinct text, n being its rows.
 
-    Equal texts are one class before any join. Representatives that share a band are linked each to the band's least
-    one and to their neighbour in fingerprint order, so a band of k texts gives 2k candidates instead of k * k; pairs that
-    fail are tried again with the band's remaining texts until every text of the band is linked or alone.
+    Texts that share a band are candidates. First each is compared with the least one of its band (of its part of the band,
+    where a band is large, and these with each other's least); links of verified similarity join texts to classes. Then
+    every pair of a band whose texts are in different classes is decided, in tiles: all but those whose signatures rule
+    the similarity out are verified, in dense places at first only a spanning forest of the likeliest, and in the end
+    every pair whose texts are still in different classes.
     """
-    from meterframe.llm.components import connected_components
-
-    texts = checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("doc_id").alias("cls"), F.first("text").alias("text")).where("cls is not null"))
-    signed = fingerprints(texts.select(F.col("cls").alias("doc_id"), "text"))
-    open_rows = checkpointed(signed.mapInArrow(_band_rows(bands, rows), "cls long, band long"))
-    links = None
-    while True:
-        least = open_rows.groupBy("band").agg(F.min("cls").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-        tried = checkpointed(open_rows.join(least, "band").where("cls <> head"))
-        if tried.isEmpty():
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_text_keys(), "text")
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            signed = [x.tobytes() for x in signatures(column_bytes(batch.column(3)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(signed, pa.binary())], ["doc_id", "h1", "h2", "sign"])
+
+    signed = docs.mapInArrow(sliced(sign), "doc_id long, h1 long, h2 long, sign binary")
+    distinct = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.any_value("sign").alias("sign"))
+    nodes = written(distinct.withColumn("node", F.monotonically_increasing_id()))
+    banded = nodes.select("node", "sign").mapInArrow(_band_rows(bands, rows), "node long, band long")
+    heavy = [x.item for x in banded.agg(F.expr(f"approx_top_k(band, {HEAVY}, {100 * HEAVY})").alias("top")).first().top if x["count"] > PART]
+    part = F.when(F.col("band").isin(heavy), F.pmod(F.xxhash64("node"), F.lit(HEAVY))).otherwise(F.lit(0)) if heavy else F.lit(0)
+    window = Window.partitionBy("band", "part")
+    held = banded.withColumn("part", part).select("band", "part", "node", F.min("node").over(window).alias("head"), F.count("*").over(window).alias("many"))
+    held = written(held.where("many > 1" if not heavy else (F.col("many") > 1) | F.col("band").isin(heavy)))
+    links = held.where("head <> node").select(F.col("head").alias("u"), F.col("node").alias("v"))
+    if heavy:
+        tops = held.where(F.col("band").isin(heavy)).select("band", "head").distinct()
+        least = F.min("head").over(Window.partitionBy("band"))
+        links = links.unionByName(tops.select(least.alias("u"), F.col("head").alias("v")).where("u <> v"))
+    texts = docs.join(nodes.select("h1", "h2", "node"), ["h1", "h2"])
+    links = written(_decided(links.distinct(), nodes, texts, threshold))
+    classes = connected_components(links)
+    for whole in (False, True):
+        labelled = held.select("band", "node").join(nodes.select("node", "sign"), "node").join(classes, "node", "left").select("band", "node", "sign", F.coalesce("root", "node").alias("cls"))
+        mixed = labelled.groupBy("band").agg(F.min("cls").alias("a"), F.max("cls").alias("b"), F.count("*").alias("size")).where("a <> b").select("band", "size")
+        if whole:
+            mixed = mixed.join(opened, "band", "left_semi")
+        found = written(_pairs(labelled, written(mixed), whole))
+        fresh = found.where("v is not null").select("u", "v").distinct()
+        links = written(links.unionByName(_decided(fresh, nodes, texts, threshold)))
+        classes = connected_components(links)
+        opened = written(found.where("v is null").select(F.col("u").alias("band")).distinct())
+        if opened.isEmpty():
             break
-        asked = tried.select("head", "cls").distinct()
-        held = asked.join(texts.select(F.col("cls").alias("head"), F.col("text").alias("a")), "head").join(texts.select("cls", F.col("text").alias("b")), "cls")
-        passed = checkpointed(verified(held, threshold))
-        links = passed if links is None else links.unionByName(passed)
-        open_rows = checkpointed(tried.join(passed.select("head", "cls"), ["head", "cls"], "left_anti").select("cls", "band"))
-    if links is None:
-        found = texts.select("sha", F.col("cls").alias("class_id"))
-    else:
-        parts = connected_components(links.select(F.col("cls").alias("u"), F.col("head").alias("v")))
-        found = texts.select("sha", "cls").join(parts.withColumnsRenamed({"node": "cls", "root": "class_id"}), "cls", "left").select("sha", F.coalesce("class_id", "cls").alias("class_id"))
-    found = checkpointed(found)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")).join(found, "sha", "left").select("doc_id", "class_id")
+    rooted_ = rooted(checkpointed(nodes.select("node", "n", "least")), classes, "node").select("node", F.col("component_id").alias("class_id"))
+    alone = nodes.drop("sign").join(classes.select("node", F.lit(False).alias("alone")), "node", "left")
+    return checkpointed(alone.join(rooted_, "node").select("h1", "h2", "n", "least", "class_id", F.coalesce("alone", F.lit(True)).alias("alone")))
+
+
+def _pairs(labelled: DataFrame, mixed: DataFrame, whole: bool) -> DataFrame:
+    """(u, v) candidate pairs of different classes in the bands (band, size), decided in tiles of ``TILE`` texts; (band, null) of those cut to a forest."""
+    from meterframe.llm.simhash import spanning
+
+    tiles = F.ceil(F.col("size") / TILE).cast("int")
+    dealt = labelled.join(mixed, "band").select("band", "node", "sign", "cls", tiles.alias("tiles"), F.pmod(F.xxhash64("node"), tiles).cast("int").alias("i"))
+    copied = dealt.select("band", "node", "sign", "cls", "i", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("j")).select("band", "node", "sign", "cls", "i", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, cls, side = (np.asarray(table.column(c)) for c in ("node", "cls", "i"))
+        sign = np.frombuffer(b"".join(table.column("sign").to_pylist()), np.uint16).reshape(-1, PERMUTATIONS)
+        left = side == table.column("a")[0].as_py()
+        same = table.column("a")[0].as_py() == table.column("b")[0].as_py()
+        rows, others = np.flatnonzero(left), np.flatnonzero(left if same else ~left)
+        some: list[tuple[np.ndarray, ...]] = []
+        for x in rows.tolist():
+            y = others[(cls[others] != cls[x]) & ((others > x) | (not same))]
+            alike = (sign[y] == sign[x]).sum(axis=1)
+            near = alike >= LEAST * PERMUTATIONS
+            some.append((np.full(near.sum(), x), y[near], PERMUTATIONS - alike[near]))
+        i, j, far = (np.concatenate(c) for c in zip(*some, strict=True)) if some else np.zeros((3, 0), np.int64)
+        cut = not whole and len(i) > 4 * len(node)
+        if cut:
+            kept, _ = spanning(len(node), i, j, far)
+            i, j = i[kept], j[kept]
+        u, v = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+        mark = [table.column("band")[0].as_py()] if cut else []
+        return pa.table({"u": pa.array([*u.tolist(), *mark], pa.int64()), "v": pa.array([*v.tolist(), *[None for _ in mark]], pa.int64())})
+
+    return copied.groupBy("band", "a", "b").applyInArrow(compare, "u long, v long")
+
+
+def _decided(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (u, v) whose texts are that similar. Texts are read only of pairs that the signatures leave possible."""
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(-1, PERMUTATIONS) for c in batch.columns[2:])
+            keep = pa.array((a == b).sum(axis=1) >= LEAST * PERMUTATIONS)
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 1)], ["u", "v"])
+
+    def beside(table: DataFrame, value: str) -> tuple[DataFrame, DataFrame]:
+        return table.select(F.col("node").alias("u"), F.col(value).alias("a")), table.select(F.col("node").alias("v"), F.col(value).alias("b"))
+
+    left, right = beside(nodes, "sign")
+    likely = written(pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(sliced(possible), "u long, v long"))
+    asked = written(likely.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    keys = written(nodes.select("h1", "h2", "node").join(asked, "node"))
+    held = texts.drop("node").join(keys, ["h1", "h2"]).select("node", "text").mapInArrow(_squeezed, "node long, text binary")
+    left, right = beside(written(held.dropDuplicates(["node"])), "text")
+    held = likely.join(left, "u").join(right, "v").select(F.col("u").alias("head"), F.col("v").alias("cls"), "a", "b")
+    return verified(held, threshold).select(F.col("head").alias("u"), F.col("cls").alias("v"))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(doc_id, class_id) of every row: the least doc_id that links of verified Jaccard >= threshold reach; null if there is none.
+
+    Equal texts are one class before any join.
+    """
+    nodes = near_classes(docs, threshold, bands, rows).select(F.struct("h1", "h2").alias("key"), "n", "class_id")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*_text_keys()).alias("key"))
+    return hot_join(keyed, nodes, "key", "n", max(1, nodes.agg(F.sum("n")).first()[0] or 0), "doc_id").select("doc_id", "class_id")
 
 
 def verified(pairs: DataFrame, threshold: float) -> DataFrame:
-    """(head, cls) of the pairs (head, cls, a, b) whose texts a and b have that Jaccard similarity at least."""
+    """(head, cls) of the pairs (head, cls, a, b) whose texts a and b have that Jaccard similarity at least; a and b may be compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             heads, others = np.array(batch.column(0)), np.array(batch.column(1))
+            sides = [_unsqueezed(c) if c.type == pa.binary() else column_bytes(c) for c in batch.columns[2:]]
             keep = []
-            for a, b in zip(column_bytes(batch.column(2)), column_bytes(batch.column(3)), strict=True):
+            for a, b in zip(*sides, strict=True):
                 sets = [np.unique(np.concatenate([shingle_hashes(x, SHINGLE)[0] for x in blocks([(0, t)], SHINGLE - 1)] or [np.zeros(0, _U)])) for t in (a, b)]
                 both = len(np.intersect1d(*sets, assume_unique=True))
                 union = len(sets[0]) + len(sets[1]) - both
