@@ -71,13 +71,15 @@ def test_fingerprints_and_edits(docs, none):
     for d, t, *_ in every():
         by_id[d].add(t or "")
     order = sorted((d for d in by_id if d is not None), reverse=True) + [None]
+    sign = fingerprints.signatures
     for r in rows:
         (text,) = by_id[r.doc_id]
         (after,) = by_id[order[(order.index(r.doc_id) + 1) % len(order)]]
         half = len(text) // 2
         assert r.n_chars == len(text)
         assert r.edited_sha256 == hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        own, edit, following = sign([t.encode() for t in (text, text[: len(text) - half] + after[:half], after)])
+        assert (r.near_edited, r.near_next) == ((own == edit).mean(), (own == following).mean())
     prints = {r.doc_id: r.fingerprint for r in rows}
     assert prints[1] == prints[2] and prints[3] == prints[4] == prints[5] != prints[1]
 
@@ -88,17 +90,63 @@ def test_likeness_estimates_jaccard():
     assert abs(fingerprints.likeness(sign[:1], sign[1:])[0] - (346 / 446)) < 0.06
 
 
+def test_signatures_are_minima_of_permutations():
+    text = " ".join(f"w{i % 50} v{i}" for i in range(200))
+    (block,) = blocks([(0, text.encode())])
+    from meterframe.llm.blocks import shingle_hashes
+
+    hashes = shingle_hashes(block, 5)[0].tolist()
+    a, b = (x.tolist() for x in fingerprints._permutations(128))
+    plain = [min((x * h + y) % (1 << 64) for h in hashes) & 0xFFFF for x, y in zip(a, b)]
+    assert fingerprints.signatures([text.encode()])[0].tolist() == plain
+    assert len(hashes) == len(words(text)) - 4 and len(set(hashes)) == len({tuple(words(text)[i : i + 5]) for i in range(len(hashes))})
+
+
 def test_near_duplicates_keep_every_link(spark, docs, none):
     found = {}
     for r in fingerprints.near_duplicates(docs).collect():
         found.setdefault(r.doc_id, r.class_id)
-    assert found[1] == found[2] == 1 and found[3] == found[4] == 3 and found[9] == found[8] == 8 and found[10] == 10
+    assert found[1] == found[2] == 1 and found[3] == found[4] == 3 and found[9] == found[8] == 8 and found[10] == 10 and found[None] is None
     assert fingerprints.near_duplicates(none).count() == 0
-
-
-def test_components_match_union_find(spark):
+    assert {(r.doc_id, r.class_id) for r in fingerprints.edited_fingerprints(docs).collect()} == set(found.items())
+
+
+def reached(texts):
+    """The least place that each text reaches over pairs of Jaccard 0.8 or more, by trying all of them."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := words(t)) else set() for t in texts]
+    near = [[j for j, b in enumerate(sets) if not a | b or len(a & b) >= 0.8 * len(a | b)] for a in sets]
+    least = list(range(len(sets)))
+    for _ in sets:
+        least = [min(least[j] for j in n) for n in near]
+    return least
+
+
+@pytest.mark.parametrize("sizes", [(10_000, 2048), (5, 8)])
+def test_banded_classes_against_all_pairs(spark, monkeypatch, sizes):
+    """Chains, stars, dense groups, texts that share half, with and without parts and tiles."""
+    monkeypatch.setattr(fingerprints, "PART", sizes[0])
+    monkeypatch.setattr(fingerprints, "TILE", sizes[1])
+    base = [f"w{i}" for i in range(400)]
+    change = lambda ws, at: " ".join(f"new{at[0]}x{k}" if k in set(at) else w for k, w in enumerate(ws))
+    chain = [change(base, range(0, 70 * k + 1, 10)) for k in range(5)]
+    a = [f"a{i}" for i in range(300)]  # a-b and b-c alike, a-c not
+    triple = [" ".join(a), change(a, range(0, 30, 7)), change(a, [*range(0, 30, 7), *range(100, 160, 9)])]
+    dense = [change([f"d{i}" for i in range(400)], [(11 * k + 37 * m) % 400 for m in range(6 + k % 5)]) for k in range(40)]
+    half = [" ".join([*base[:200], *(f"h{k}x{i}" for i in range(150))]) for k in range(20)]
+    texts = [*chain, *triple, *dense, *half, "", " one ", "one"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.class_id for r in fingerprints.near_duplicates(frame).collect()} == dict(enumerate(reached(texts)))
+
+
+@pytest.mark.parametrize("hot", [1, 1000])
+def test_components_match_union_find(spark, monkeypatch, hot):
+    from meterframe.llm import shared
+
+    monkeypatch.setattr(shared, "HOT", hot)
+    monkeypatch.setattr(components, "FEW", hot)  # with 1, every join goes both ways; with 1000, these few links are joined plainly
     rng = np.random.default_rng(3)
-    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(1000, 1000 + i) for i in range(50)] + [(2000 + i, 2001 + i) for i in range(40)]
+    chain = 40 if hot > 1 else 4
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(1000, 1000 + i) for i in range(50)] + [(2000 + i, 2001 + i) for i in range(chain)]
     root = {}
 
     def find(x):
@@ -152,42 +200,87 @@ def test_tiles_lose_no_component(spark):
     assert {v: r for v, r in label.items() if list(label.values()).count(r) > 1} == got
 
 
-def test_katz_matches_a_plain_model(docs, none):
-    rows = katz.score(docs).collect()
-    assert len(rows) == len(every()) and katz.score(none).count() == 0
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_katz_matches_a_plain_model(docs, none, order):
+    rows = katz.score(docs, order).collect()
+    assert len(rows) == len(every()) and katz.score(none, order).count() == 0
     tokens = [(d, [*words(t), None]) for d, t, *_ in every()]
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 10 == 0
-    ones, pairs = Counter(), Counter()
+    levels, contexts = [Counter() for _ in range(order)], [Counter() for _ in range(order)]
+
+    def grams(ts, k):
+        padded = ["<s>"] * (k - 1) + ts
+        return [tuple(padded[i : i + k]) for i in range(len(ts))]
+
     for d, ts in tokens:
         if not held(d):
-            ones.update(ts)
-            pairs.update(zip(["<s>", *ts], ts))
-    context = Counter()
-    for (v, _), k in pairs.items():
-        context[v] += k
-    n = sum(ones.values())
-    factor = lambda c: katz.discounts(np.array([sum(x == r for x in c.values()) for r in range(1, 7)]))
-    f1, f2 = factor(ones), factor(pairs)
-    cut = lambda f, k: k * (f[k] if k <= 5 else 1.0)
-    unknown = (0.5 + sum(k - cut(f1, k) for k in ones.values())) / (n + 0.5)
-    one = lambda w: cut(f1, ones[w]) / (n + 0.5) if ones[w] else unknown
-    lost, mass = Counter(), Counter()
-    for (v, w), k in pairs.items():
-        lost[v] += k - cut(f2, k)
-        mass[v] += one(w)
-
-    def two(v, w):
-        if pairs[v, w]:
-            return cut(f2, pairs[v, w]) / (context[v] + 0.5)
-        return one(w) * ((0.5 + lost[v]) / (context[v] + 0.5) / (1 - mass[v]) if context[v] else 1)
-
-    for v in ("the", "<s>", "word1x1"):
-        assert math.isclose(sum(two(v, w) for w in ones) + two(v, "unseen!"), 1, rel_tol=1e-9)
-    want = sorted((str(d), len(ts), sum(ones[t] > 0 for t in ts), round(sum(math.log10(two(v, w)) for v, w in zip(["<s>", *ts], ts)), 4)) for d, ts in tokens)
-    assert want == sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.score, 4)) for r in rows)
+            for k in range(order):
+                levels[k].update(grams(ts, k + 1))
+    for k in range(order):
+        for g, c in levels[k].items():
+            contexts[k][g[:-1]] += c
+    n = sum(levels[0].values())
+    factors = [katz.discounts(np.array([sum(x == r for x in c.values()) for r in range(1, 7)])) for c in levels]
+    cut = lambda k, c: c * (factors[k][c] if c <= 5 else 1.0)
+    unknown = (0.5 + sum(c - cut(0, c) for c in levels[0].values())) / (n + 0.5)
+    lost, mass = [Counter() for _ in range(order)], [Counter() for _ in range(order)]
+
+    def score(g):
+        """The definition, from the whole counts."""
+        k = len(g) - 1
+        if not k:
+            return cut(0, levels[0][g]) / (n + 0.5) if levels[0][g] else unknown
+        h = g[:-1]
+        if levels[k][g]:
+            return cut(k, levels[k][g]) / (contexts[k][h] + 0.5)
+        return score(g[1:]) * ((0.5 + lost[k][h]) / (contexts[k][h] + 0.5) / (1 - mass[k][h]) if contexts[k][h] else 1)
+
+    for k in range(1, order):
+        for g, c in levels[k].items():
+            lost[k][g[:-1]] += c - cut(k, c)
+            mass[k][g[:-1]] += score(g[1:])
+    for h in [h for h in list(contexts[-1])[:40] if order > 1]:
+        assert math.isclose(sum(score((*h, *w)) for w in levels[0]) + score((*h, "unseen!")), 1, rel_tol=1e-9)
+    base = lambda t: math.log10((levels[0][t,] + 0.1) / (n + 0.1 * (len(levels[0]) + 1)))
+    want = sorted((str(d), len(ts), sum(levels[0][t,] > 0 for t in ts), round(sum(map(base, ts)), 4), round(sum(math.log10(score(g)) for g in grams(ts, order)), 4)) for d, ts in tokens)
+    assert want == sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 4), round(r.score, 4)) for r in rows)
     assert all(r.train_tokens == n and r.held_out == held(r.doc_id) for r in rows)
 
 
+def thue_morse(n):
+    """Two strings that polynomial hashes modulo 2 ** 64 hold as one."""
+    text = "a"
+    while len(text) < n:
+        text = text.translate({97: "ae", 101: "ea"})
+    return text, text.translate({97: "e", 101: "a"})
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_are_told_apart_by_their_bytes(spark, n):
+    from tokenizers import Tokenizer
+
+    pair = thue_morse(n)
+    library = Tokenizer.from_file(BPE)
+    assert transducer.count_tokens(list(pair), BPE).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in pair]
+    rows = katz.score(spark.createDataFrame([(1, pair[0]), (2, pair[1])], "doc_id long, text string")).collect()
+    assert all(r.train_tokens == 4 and math.isclose(r.base_score, math.log10(1.1 / 4.4) + math.log10(2.1 / 4.4)) for r in rows)
+    signed = fingerprints.signatures([t.encode() for t in pair])
+    assert (signed[0] != signed[1]).any()
+
+
+def test_distinct_spans_compare_bytes(monkeypatch):
+    from meterframe.llm import blocks as module
+
+    texts = [b"one", b"two", b"one", b"", b"x" * 300, b"x" * 299 + b"y", b"x" * 300, b"eightbyt", b"eightbyte"]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    ends = np.cumsum([len(t) for t in texts])
+    starts = ends - [len(t) for t in texts]
+    for _ in range(2):  # with real hashes, then with one hash for all
+        first, number = module.distinct_spans(data, starts, ends)
+        assert [texts[first[k]] for k in number] == texts and len(first) == len(set(texts))
+        monkeypatch.setattr(module, "span_hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+
+
 def test_transducer_counts_like_the_library(docs, none):
     from tokenizers import Tokenizer
 
@@ -213,8 +306,12 @@ def test_chunk_maps_compose():
     assert transducer.split_marks(classes).tolist() == marks
 
 
-def test_packing_is_whole_and_tight(docs, none):
-    rows = packing.pack(docs, BPE).collect()
+def test_packing_is_whole_and_tight(spark, docs, none):
+    from tokenizers import Tokenizer
+
+    blank = [(20, "a " + " " * 1_000_000), (21, "\n" * 1_000_000), (22, "x" * 30_000 + "\x1c!" * 9000)]  # runs that are too long for the faster library
+    frame = docs.select("doc_id", "text").unionByName(spark.createDataFrame(blank, "doc_id long, text string"))
+    rows = packing.pack(frame, BPE).collect()
     assert packing.pack(none, BPE).count() == 0
     bins = defaultdict(list)
     for r in rows:
@@ -225,14 +322,16 @@ def test_packing_is_whole_and_tight(docs, none):
             assert offset == at
             at += length
         assert at <= 2048
-    from tokenizers import Tokenizer
-
     library = Tokenizer.from_file(BPE)
-    total = Counter()
-    for r in rows:
-        total[r.doc_id] += r.length
-    assert total == Counter({d: n for d, n in sum((Counter({d: len(library.encode(t or "", add_special_tokens=False).ids) + 1}) for d, t, *_ in every()), Counter()).items()})
-    assert len(bins) <= -(-sum(total.values()) // 2048) + 1
+    want, total = Counter(), 0
+    for d, t in [(d, t) for d, t, *_ in every()] + blank:
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        total += len(ids)
+        first = len(ids) % 2048 or 2048
+        starts = [0, *range(first, len(ids), 2048)]
+        want.update((d, k, a, e - a, zlib.crc32(ids[a:e].tobytes())) for k, (a, e) in enumerate(zip(starts, [*starts[1:], len(ids)])))
+    assert want == Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows)
+    assert len(bins) <= -(-total // 2048) + 1
 
 
 def test_local_search_empties_bins():
@@ -241,6 +340,21 @@ def test_local_search_empties_bins():
     found = packing.improve(start, sizes, 10)
     assert len(found) == 3 and sorted(i for b in found for i in b) == list(range(7))
     assert all(sum(sizes[i] for i in b) <= 10 for b in found)
+    sizes = np.random.default_rng(0).integers(500, 1000, 3000).tolist()
+    start = packing.best_fit(sizes, 2048)
+    found = packing.improve(start, sizes, 2048)
+    assert sorted(i for b in found for i in b) == list(range(3000)) and all(sum(sizes[i] for i in b) <= 2048 for b in found)
+    assert len(start) == 1230 and len(found) <= 1184
+
+
+def test_every_kind_of_step():
+    """Each start has one step that fills a bin: a move, one for one, two for one, one for two."""
+    for start, fills in (([[5, 4], [3, 1]], {10, 3}), ([[6, 2], [4, 1]], {10, 3}), ([[3, 2, 3], [7]], {10, 5}), ([[4, 4], [3, 3]], {10, 4})):
+        sizes = [x for b in start for x in b]
+        places = iter(range(len(sizes)))
+        search = packing._Search([[next(places) for _ in b] for b in start], sizes, 10)
+        search.exchange(0, *search.step(0))
+        assert set(search.fill) == fills
 
 
 def test_mix_meets_targets(docs, none):
@@ -267,13 +381,32 @@ def test_mix_meets_targets(docs, none):
         assert math.isclose(r.target, target[r.source], rel_tol=1e-9) and r.source_size == size[r.source] and 0 <= r.taken <= 2 * r.size
         took[r.source] += r.taken
     assert all(abs(took[s] - target[s]) <= mixing.BLOCK for s in order)
+    assert Counter(str(r.doc_id) for r in rows) == Counter(str(d) for d, *_ in every())
     key = lambda found: sorted((str(r.doc_id), r.size, r.taken) for r in found)
     assert key(rows) == key(mixing.taken(mixing.mix(docs.repartition(5))).collect())
-    drawn = Counter()
+    drawn, shards = Counter(), defaultdict(Counter)
+    held = defaultdict(list)
     for r in mixing.slots(mixed, shard_slots=64).collect():
         drawn[r.src] += r.words
-    src = {r.source: r.src for r in mixed.rows.select("source", "src").distinct().collect()}
+        shards[r.shard][r.src] += 1
+        held[r.src].append((r.slot, r.block, r.turn))
+    src = {r.source: r.src for r in mixed.sources.collect()}
     assert all(drawn[src[s]] == took[s] for s in order)
+    for slots in held.values():  # gapless slots, each pass a permutation of the blocks
+        assert sorted(s for s, _, _ in slots) == list(range(len(slots)))
+        assert len({(t, b) for _, b, t in slots}) == len(slots)
+    assert len(shards) > 100 and len({tuple(sorted(c.items())) for c in shards.values()}) > 10
+
+
+def test_shard_counts_are_a_multinomial_draw(spark):
+    found = defaultdict(dict)
+    for r in mixing.shard_counts(spark.createDataFrame([(1, 100_000), (2, 0), (3, 70_000)], "src int, n_slots long"), 50).collect():
+        found[r.src][r.shard] = r.slots
+    assert {s: sum(c.values()) for s, c in found.items()} == {1: 100_000, 3: 70_000}
+    for s, n in ((1, 100_000), (3, 70_000)):
+        counts = np.array([found[s].get(k, 0) for k in range(50)])
+        assert 20 < ((counts - n / 50) ** 2 / (n / 50)).sum() < 100  # chi-square, 49 degrees
+    assert found[1] != found[3]
 
 
 def test_mixed_texts_hold_what_is_taken(docs):
@@ -284,6 +417,9 @@ def test_mixed_texts_hold_what_is_taken(docs):
     for r in mixing.mixed_texts(docs).collect():
         held[r.doc_id] += len(words(r.text))
     assert {d: n for d, n in took.items() if n} == {d: n for d, n in held.items() if n}
+    text = {d: t or "" for d, t, *_ in every()}
+    for r in mixing.mixed_texts(docs).collect():
+        assert r.text and r.n_chars == len(r.text) and (r.text == text[r.doc_id] or all(w in text[r.doc_id] for w in words(r.text)))
 
 
 def plain_jump(key, shards):
@@ -327,9 +463,11 @@ def test_neighbours_against_brute_force(spark, none):
         assert neighbours.nearest(frame.limit(0), F.col("vec_id") == 0).count() == 0
     finally:
         neighbours.CELL = old
-    found = defaultdict(list)
+    found, score = defaultdict(list), defaultdict(list)
     for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
         found[r.query_id].append(r.vec_id)
+        score[r.query_id].append((r.vec_id, r.score))
+        assert r.rank == len(found[r.query_id])
     hits = 0
     for q in range(0, 3000, 100):
         away = np.sqrt(((vectors.astype(float) - vectors[q].astype(float)) ** 2).sum(axis=1))
@@ -338,10 +476,45 @@ def test_neighbours_against_brute_force(spark, none):
         hits += len(set(best.tolist()) & set(found[q]))
         if q == 100:
             assert found[q] == best.tolist()
+        assert all(math.isclose(s, away[v], rel_tol=1e-12, abs_tol=1e-12) for v, s in score[q])
+        assert score[q] == sorted(score[q], key=lambda x: (x[1], x[0]))
     assert hits >= 0.9 * 300 and all(len(f) == 10 for f in found.values()) and set(found) == set(range(0, 3000, 100))
     assert abs(neighbours.chi_square(np.array(neighbours.quantile(0.95)))[()] - 0.95) < 1e-9
 
 
+def test_neighbours_of_every_length(spark):
+    rows = [(2 * n + i, [float(i + 1) + 0.1 * j for j in range(n)]) for n in range(1, 71) for i in range(2)]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), neighbours.F.lit(True)).collect()
+    assert {(r.query_id, r.vec_id) for r in got} == {(2 * n + i, 2 * n + 1 - i) for n in range(1, 71) for i in range(2)}
+    big = [(1, [1e150, 2.0]), (2, [1e150, 2.0 + 2**-40]), (3, [1e-300, 0.0])]  # doubles that no float holds
+    got = neighbours.nearest(spark.createDataFrame(big, "vec_id long, embedding array<double>"), neighbours.F.lit(True)).collect()
+    assert {(r.query_id, r.vec_id): r.score for r in got if r.rank == 1} == {(1, 2): 2**-40, (2, 1): 2**-40, (3, 1): 1e150}
+
+
+def test_query_blocks_copy_their_own_cell_only(spark, monkeypatch):
+    """The vectors that meet queries do not grow with the queries of other cells."""
+    monkeypatch.setattr(neighbours, "QUERIES", 4)
+    monkeypatch.setattr(neighbours, "checkpointed", lambda df: df)
+    seen = []
+
+    class Stop(Exception):
+        pass
+
+    def groups(held, *keys):
+        seen.append(held.groupBy("cell").count())
+        raise Stop
+
+    vectors = spark.createDataFrame([(2, c, 0, 100 * c + i, [1.0, float(i)]) for c in range(2) for i in range(10)], "size int, cell int, part int, vec_id long, embedding array<float>")
+    for many in (4, 400):
+        asked = spark.createDataFrame([(2, 0, 0, i, i, [1.0, 0.5], 9.0) for i in range(4)] + [(2, 1, 0, 1000 + i, i, [1.0, 0.5], 9.0) for i in range(many)], "size int, cell int, part int, row long, query_id long, embedding array<float>, bound double")
+        with monkeypatch.context() as patch:
+            patch.setattr(type(vectors), "groupBy", lambda self, *k, f=type(vectors).groupBy: groups(self) if "block" in k and "embedding" in self.columns and "vec_id" in self.columns else f(self, *k))
+            with pytest.raises((Stop, RecursionError)):
+                neighbours._search(vectors, asked, 3, 0.9)
+    copies = [{r.cell: r["count"] for r in c.collect()} for c in seen]
+    assert copies[0][0] == copies[1][0] == 10 and copies[0][1] == 10 < copies[1][1]
+
+
 SPOKEN = {
     "en": "the cat and the dog sat on the mat while they looked at the river and the old house of the man",
     "es": "el perro y la casa de los hombres que estaban en el camino con las flores del otro lado",
@@ -349,6 +522,48 @@ SPOKEN = {
 }
 
 
+EVIDENCE = "doc_id long, text string, declared string, suffix string, domain string, host string"
+
+
+def plain_posterior(rows, model):
+    """{doc_id: (language, probability)} by the definition, from (doc_id, text, declared, suffix, domain, host)."""
+    names, logs = model
+    table = np.vstack([logs, np.full((1, language.BUCKETS), -math.log(language.BUCKETS) - language.MARGIN)])
+    text_logs, softs = [], []
+    for _, text, *_ in rows:
+        counts = trigrams.counts([(text or "").encode()], np.zeros(1, int), 1, language.BUCKETS, language._FOLD)[0]
+        found = language.TEMPER * (table @ counts)
+        found[-1] += math.log(language.UNKNOWN_PRIOR)
+        if not (text or "").encode().translate(language._FOLD).strip():
+            found[:-1] = -1e9
+        found -= found.max()
+        text_logs.append(found)
+        softs.append(np.exp(found) / np.exp(found).sum())
+    n = len(names)
+    total = sum(softs)[:n]
+    base = (total + 1) / (total.sum() + n)
+    seen = [defaultdict(lambda: np.zeros(n)) for _ in range(4)]
+    for row, soft in zip(rows, softs):
+        for k, value in enumerate(row[2:]):
+            if value is not None:
+                seen[k][value] += soft[:n]
+    s, out = language.STRENGTH, {}
+    for row, log in zip(rows, text_logs):
+        fused = log.copy()
+        for k in (0, 1):
+            if row[2 + k] is not None:
+                share = (seen[k][row[2 + k]].sum() + language.LEAST) / max(1, total.sum())
+                fused[:n] += np.log((seen[k][row[2 + k]] + s * share) / (total + s) / share)
+        prior = base
+        for k in (2, 3):
+            if row[2 + k] is not None:
+                prior = (seen[k][row[2 + k]] + s * prior) / (seen[k][row[2 + k]].sum() + s)
+        fused[:n] += np.log(prior * n)
+        best = int(np.argmax(fused))
+        out[row[0]] = ([*names, "und"][best], 1 / np.exp(fused - fused[best]).sum())
+    return out
+
+
 def test_language_evidence(spark, docs, none):
     evidence = language.document_evidence(docs)
     train = spark.createDataFrame([(t, lang) for lang, t in SPOKEN.items() for _ in range(5)], "text string, declared string")
@@ -361,18 +576,52 @@ def test_language_evidence(spark, docs, none):
     parts = {r.page_id: r for r in language.page_evidence(pages).collect()}
     assert (parts[1].declared, parts[1].suffix, parts[1].domain, parts[1].host) == ("de", "de", "example.de", "x.example.de") and "der die" in parts[1].text
     assert parts[2].text is None and parts[3].declared is None and parts[3].host is None
-    found = language.identify(language.page_evidence(pages), language.fit(train), "page_id")
+    found = language.identify(language.page_evidence(pages), language.fit(train), ("page_id",))
     assert {r.page_id: r.language for r in found.collect()} == {1: "de", 2: "und", 3: "en"}
 
 
+@pytest.mark.parametrize("hot", [1, 1000])
+def test_posterior_against_a_plain_one(spark, monkeypatch, hot):
+    from meterframe.llm import shared
+
+    monkeypatch.setattr(shared, "HOT", hot)
+    rng = np.random.default_rng(12)
+    hosts = [("en.a.com", "a.com", "com"), ("es.a.com", "a.com", "com"), ("b.de", "b.de", "de"), ("c.org", "c.org", "org"), (None, None, None)]
+    rows = []
+    for i in range(200):
+        lang = ("en", "es", "de")[i % 3]
+        host, domain, suffix = hosts[int(rng.integers(0, 5))]
+        text = " ".join(rng.choice(SPOKEN[lang].split(), int(rng.integers(0, 12)))) if i % 11 else None
+        rows.append((i, text, lang if i % 4 else None, suffix, domain, host))
+    frame = spark.createDataFrame(rows, EVIDENCE).repartition(3)
+    model = language.fit(frame)
+    want = plain_posterior(rows, model)
+    found = language.identify(frame, model).collect()
+    assert len(found) == 200 and {r.doc_id: r.language for r in found} == {d: n for d, (n, _) in want.items()}
+    assert all(math.isclose(r.probability, want[r.doc_id][1], rel_tol=1e-9) and r.kept == (r.language != "und") for r in found)
+
+
 def test_host_and_declaration_tip_the_balance(spark):
-    known = [(i, t, l, None, None, h) for i in range(60) for t, l, h in (("the cat and the dog", "en", "e"), ("el perro y la casa", "es", "s"))]
-    schema = "doc_id long, text string, declared string, suffix string, domain string, host string"
-    train = spark.createDataFrame(known, schema)
+    known = [(i, t, lang, None, None, h) for i in range(60) for t, lang, h in (("the cat and the dog sat on the old mat", "en", "e"), ("el perro y la casa de los hombres", "es", "s"))]
+    train = spark.createDataFrame(known, EVIDENCE)
     model = language.fit(train)
-    both = train.unionByName(spark.createDataFrame([(1001, "zz", "en", None, None, "e"), (1002, "zz", "es", None, None, "s")], schema))
+    alike = "casa the "  # as much of one as of the other
+    asked = [(1001, alike, "en", None, None, "e"), (1002, alike, "es", None, None, "s"), (1003, alike, None, None, None, "e"), (1004, alike, None, None, None, "s"), (1005, alike, "en", None, None, None), (1006, alike, "es", None, None, None)]
+    both = train.unionByName(spark.createDataFrame(asked, EVIDENCE))
     rows = {r.doc_id: r.language for r in language.identify(both, model).where("doc_id > 1000").collect()}
-    assert rows == {1001: "en", 1002: "es"} or set(rows.values()) == {"und"}
+    assert rows == {1001: "en", 1002: "es", 1003: "en", 1004: "es", 1005: "en", 1006: "es"}
+
+
+def test_every_declared_language_is_told_apart(spark):
+    """Seventy languages, each of its own letters, and texts alike in two: the first by name stands."""
+    names = [f"{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(70)]
+    texts = {n: " ".join(f"{n}{n[::-1]}{k}q" for k in "xyz") * 8 for n in names}
+    rows = [(i, texts[n], n, None, None, None) for i, n in enumerate(names)]
+    frame = spark.createDataFrame([*rows, (500, None, None, None, None, None)], EVIDENCE)
+    found = {r.doc_id: r for r in language.identify(frame, language.fit(frame)).collect()}
+    assert [found[i].language for i in range(70)] == names and all(found[i].kept for i in range(70)) and not found[500].kept
+    same = spark.createDataFrame([(1, "one text of two names " * 9, "bb", None, None, None), (2, "one text of two names " * 9, "aa", None, None, None)], EVIDENCE)
+    assert {r.text_language for r in language.identify(same, language.fit(same)).collect()} == {"aa"}
 
 
 def test_quality_separates_junk(spark, none):
@@ -396,6 +645,39 @@ def test_expectation_maximisation_finds_accuracies():
     assert abs(share - 0.7) < 0.03 and np.abs(tables[1, :, quality.GOOD] - right).max() < 0.04
 
 
+def test_estimate_and_scorer_against_plain_ones():
+    rng = np.random.default_rng(10)
+    patterns = rng.integers(0, 3, (30, 4))
+    counts = rng.integers(1, 50, 30)
+    share, tables, good = quality.estimate(patterns, counts, rounds=7)
+    plain = [0.95 if not b else 0.5 if b == 1 else 0.05 for b in (patterns == quality.BAD).sum(axis=1)]
+    for _ in range(7):
+        weight = [[(1 - g) * c for g, c in zip(plain, counts)], [g * c for g, c in zip(plain, counts)]]
+        prior = (sum(weight[1]) + 1) / (counts.sum() + 2)
+        table = [[[sum(w for w, p in zip(weight[c], patterns) if p[j] == v) + (2 if v == c else 1) for v in (0, 1)] for j in range(4)] for c in (0, 1)]
+        plain = []
+        for p in patterns:
+            odds = [1 - prior, prior]
+            for c in (0, 1):
+                for j, v in enumerate(p):
+                    odds[c] *= table[c][j][v] / sum(table[c][j]) if v != quality.ABSTAIN else 1
+            plain.append(odds[1] / sum(odds))
+    assert math.isclose(share, prior) and np.allclose(good, plain)
+    x = rng.random((50, 3)).astype(np.float32)
+    y = (x[:, 0] > x[:, 1]).astype(float)
+    model = quality.fit_scorer(x, y, rounds=2000)
+    score = 1 / (1 + np.exp(-(x @ model[:3] + model[3])))
+    slope = ((score - y)[:, None] * x).mean(axis=0) + 1e-4 * model[:3]
+    assert ((score > 0.5) == (y > 0.5)).mean() > 0.95 and np.abs(slope).max() < 0.02  # near the minimum of the loss
+
+
+def test_quality_of_long_texts_and_clashing_columns(spark, docs):
+    found = {r.doc_id: r for r in quality.classify(docs.withColumns({c: quality.F.lit("clash") for c in ("pattern", "posterior", "kept", "features")})).collect()}
+    assert len(found) == len({d for d, *_ in every()}) and not found[3].kept and not found[4].kept and not found[5].kept
+    again = {r.doc_id: r.score for r in quality.classify(docs.repartition(1)).collect()}
+    assert all(math.isclose(again[d], r.score, rel_tol=1e-6) for d, r in found.items())
+
+
 def test_trigram_sums_are_whole():
     texts = [b"abc", b"", ("xyz " * 400_000).encode()]
     n, total = trigrams.sums(texts, np.ones((1, 64)))
