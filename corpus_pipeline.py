@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences: five stages, each over all that the one before it has kept.
 
-Every stage but the last returns the columns of ``documents``. A row is known again by a hash of all that it holds, so
-that equal rows share a decision. Null texts are rejected by the language stage; a null doc_id is a row like any other.
+Every stage but the last returns the columns of ``documents``. A row is known again by two 64-bit hashes of all that it
+holds, so that equal rows share a decision. Null texts are rejected by the language stage; a null doc_id is a row like any other.
+Of near-duplicates the document of the least doc_id stays (without ids: of the least hashes), once if the row is repeated.
 """
 
 from __future__ import annotations
@@ -13,24 +14,23 @@ from meterframe.llm import language, mixing, packing, quality, simhash
 from meterframe.llm.shared import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+KEYS = ("k1", "k2")
 
 
-def _key() -> Column:
-    return F.xxhash64("doc_id", "text", "lang", "source")
+def _keys() -> list[Column]:
+    return [F.xxhash64(*COLUMNS).alias("k1"), F.xxhash64(F.lit(1), *COLUMNS).alias("k2")]
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """``docs`` but for the rows of the rejected keys, which are written first: their size decides how they are joined."""
-    gone = written(rejected.select("key").distinct())
-    return docs.select(*COLUMNS, _key().alias("key")).join(gone, "key", "left_anti").select(*COLUMNS)
+    gone = written(rejected.select(*KEYS).distinct())
+    return docs.select(*COLUMNS, *_keys()).join(gone, list(KEYS), "left_anti").select(*COLUMNS)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the corpus declares."""
-    evidence = language.document_evidence(docs)
-    keyed = language.document_evidence(docs.select(_key().alias("doc_id"), "text", "lang", "source"))
-    found = language.identify(keyed.withColumnRenamed("doc_id", "key"), language.fit(evidence), "key")
-    return _without(docs, found.where("not kept"))
+    evidence = language.document_evidence(docs.select("*", *_keys()), KEYS)
+    return _without(docs, language.identify(evidence, language.fit(evidence), KEYS).where("not kept"))
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,15 +40,14 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least doc_id, of each group that links of verified similarity join."""
-    found = written(simhash.verified_near_duplicates(docs.select(_key().alias("key"), "text")))
-    ids = docs.select(_key().alias("key"), "doc_id")
-    ranked = found.distinct().join(ids.distinct(), "key")
-    least = ranked.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"))
-    keys = written(least.select(F.col("first.key").alias("key")))
-    kept = _without(docs, found.select("key").distinct().join(keys, "key", "left_anti"))
-    if found.count() == found.select("key").distinct().count():
+    found = written(simhash.verified_near_duplicates(docs.select(*_keys(), "doc_id", "text"), (*KEYS, "doc_id")))
+    single = found.distinct()
+    least = single.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *KEYS)).alias("first"))
+    keys = written(least.select(*[F.col(f"first.{k}").alias(k) for k in KEYS]))
+    kept = _without(docs, single.join(keys, list(KEYS), "left_anti"))
+    if found.count() == single.count():
         return kept
-    return kept.withColumn("key", _key()).dropDuplicates(["key"]).select(*COLUMNS)
+    return kept.select(*COLUMNS, *_keys()).dropDuplicates(list(KEYS)).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
