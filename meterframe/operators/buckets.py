@@ -116,3 +116,31 @@ def fail_closed(records: DataFrame, file: str, bad: Column) -> DataFrame:
     from pyspark.sql import Window
 
     return records.withColumn("rejected", F.bool_or(bad).over(Window.partitionBy(file))).where("not rejected").drop("rejected")
+
+
+def instant(iso: Column, epoch: Column, seconds: Column, nanos: Column) -> Column:
+    """Milliseconds from ISO text, else an epoch number of any unit, else a (seconds, nanoseconds) pair; implausible ones are null."""
+    pair = seconds * 1000 + F.floor(F.coalesce(nanos, F.lit(0)) / 1_000_000).cast("long")
+    text = F.unix_millis(F.try_to_timestamp(iso))
+    return F.coalesce(F.when(text >= 946_684_800_000, text), instant_ms(epoch), F.when(pair >= 946_684_800_000, pair))
+
+
+def cost_kind(cost: Column, by_source: Column) -> tuple[Column, Column]:
+    """(micro-units, kind): a cost that its source has billed is reported, one that it worked out is estimated."""
+    units = micro_units(cost)
+    return units, F.when(units.isNotNull(), F.when(by_source, "reported").otherwise("estimated"))
+
+
+def call_category(sidechain: Column, parent: Column, path: Column, purpose: Column) -> Column:
+    """Calls of sub-agents by flag, parent session or thread, or path; auxiliary ones by a purpose or scope other than the turn's."""
+    sub = F.coalesce(sidechain, F.lit(False)) | parent.isNotNull() | F.coalesce(path.rlike("(^|/)subagents?(/|$)"), F.lit(False))
+    return F.when(sub, "sub_agent").when(purpose.isNotNull() & ~purpose.isin("turn", "main"), "auxiliary").otherwise("main")
+
+
+def shape_fault(model: Column, required: dict[str, Column], most: int = 1 << 53) -> Column:
+    """Why a record is not read: a placeholder of the writer, or a required count missing or out of range; null if it is."""
+    missing, beyond = F.lit(False), F.lit(False)
+    for value in required.values():
+        missing |= value.isNull()
+        beyond |= F.coalesce(~value.between(0, most), F.lit(False))
+    return F.when(F.coalesce(F.lower(model) == "<synthetic>", F.lit(False)), "placeholder").when(missing, "required_missing").when(beyond, "out_of_range")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterframe.operators.merging import first_occurrence
 from meterframe.registry import query
 from meterframe.sources import feeds
 from meterframe.sources.usage import table
@@ -57,12 +56,22 @@ def j16_identity_upgrade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(whole, ["l_orderkey", "l_linenumber"], "left").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", reason.alias("reason"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey % 10 <> 0 AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) = 1")
+_RECORD = "CASE l_linenumber WHEN 7 THEN 'session.summary' WHEN 6 THEN 'usage.snapshot' WHEN 5 THEN 'model.echo' ELSE 'model.request' END"
+_EXCLUDED = {"session.summary": "summary", "usage.snapshot": "cumulative_snapshot", "model.echo": "echo"}
+
+
+@query(
+    f"""WITH typed AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_RECORD} AS record FROM lineitem),
+    marked AS (SELECT *, CASE record WHEN 'session.summary' THEN 'summary' WHEN 'usage.snapshot' THEN 'cumulative_snapshot' WHEN 'model.echo' THEN 'echo'
+      ELSE CASE WHEN l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') THEN 'held' WHEN row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) > 1 THEN 'repeated' ELSE 'added' END END AS outcome FROM typed)
+    SELECT record, outcome, count(*) AS n, CAST(sum(l_partkey) AS BIGINT) AS parts FROM marked GROUP BY 1, 2"""
+)
 def n11_n18_insert_or_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-request rows without summaries, one for each request id, that the target does not hold yet."""
-    held = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
-    fresh = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 <> 0").join(held, "l_orderkey", "left_anti")
-    return first_occurrence(fresh, ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey"]).select("l_orderkey", "l_linenumber", "l_partkey")
+    """Every record: left out by its type, held by the target already, a repeat of a request id, or added."""
+    held = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey")).distinct()
+    typed = table(spark, sf_dir, "lineitem").withColumn("record", F.expr(_RECORD))
+    marked = feeds.insert_or_ignore(typed, "record", _EXCLUDED, held, ["l_orderkey"], ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey"])
+    return marked.groupBy("record", "outcome").agg(F.count("*").alias("n"), F.sum("l_partkey").alias("parts"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 10 < 7 THEN 'known_version' ELSE 'latest_fallback' END AS basis FROM part")
@@ -73,12 +82,13 @@ def n17_version_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH entries AS (SELECT user_id, event_type, 0 AS side, event_id, value FROM events WHERE event_id % 3 = 0 UNION ALL SELECT user_id, event_type, 1, event_id, value + 1 FROM events WHERE event_id % 3 = 1)
-    SELECT user_id, event_type, arg_max(value, struct_pack(side, event_id)) AS value, count(*) AS entries FROM entries GROUP BY ALL"""
+    """WITH e AS (SELECT user_id, event_type, event_id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE 1 END AS side, CASE WHEN event_id % 3 <> 2 THEN value + side END AS value, CASE WHEN event_id % 3 <> 1 THEN props END AS props FROM events)
+    SELECT user_id, event_type, arg_max(value, struct_pack(side, event_id)) FILTER (value IS NOT NULL) AS value, arg_max(props, struct_pack(side, event_id)) FILTER (props IS NOT NULL) AS props, count(*) FILTER (side = 0) AS snapshots, count(*) FILTER (side = 1) AS entries FROM e GROUP BY ALL"""
 )
 def u5_snapshot_and_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The journal's entry overrides the snapshot's, a later one an earlier one."""
-    events = table(spark, sf_dir, "events")
-    side = lambda rest, number, value: events.where(F.col("event_id") % 3 == rest).select("user_id", "event_type", F.lit(number).alias("side"), "event_id", value.alias("value"))
-    entries = side(0, 0, F.col("value")).unionByName(side(1, 1, F.col("value") + 1))
-    return entries.groupBy("user_id", "event_type").agg(F.max_by("value", F.struct("side", "event_id")).alias("value"), F.count("*").alias("entries"))
+    """A third of the events are snapshots; the others journal entries that set one field each, by message id."""
+    side = F.when(F.col("event_id") % 3 == 0, 0).otherwise(1)
+    entries = table(spark, sf_dir, "events").select(
+        "user_id", "event_type", "event_id", side.alias("side"), F.when(F.col("event_id") % 3 != 2, F.col("value") + side).alias("value"), F.when(F.col("event_id") % 3 != 1, F.col("props")).alias("props")
+    )
+    return feeds.overlaid(entries, ["user_id", "event_type"], "side", ["event_id"], ["value", "props"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +46,16 @@ def attribute(names: tuple[str, ...], low: int = 0, high: int = 1 << 62) -> Colu
     return F.when(found.between(low, high), found)
 
 
+def attribute_fault(names: tuple[str, ...], low: int = 0, high: int = 1 << 62) -> Column:
+    """Whether the record has such a count that is no number or out of range: it is rejected then."""
+    fault = F.lit(False)
+    for held in ("attributes", "resource"):
+        for name in names:
+            value = F.try_element_at(held, F.lit(name))
+            fault |= value.isNotNull() & ~F.coalesce(value.try_cast("long").between(low, high), F.lit(False))
+    return fault
+
+
 def guarded(text: Column) -> Column:
     """A cell that no spreadsheet takes for a formula."""
     return F.when(text.rlike(r"^[=+@\-]"), F.concat(F.lit("'"), text)).otherwise(text)
@@ -54,3 +64,103 @@ def guarded(text: Column) -> Column:
 def write_summary_csv(rows: DataFrame, path: str) -> None:
     cells = [guarded(F.col(f.name)).alias(f.name) if f.dataType == T.StringType() else F.col(f.name) for f in rows.schema.fields]
     rows.select(*cells).write.mode("overwrite").option("header", True).csv(path)
+
+
+def insert_or_ignore(records: DataFrame, kind: str, excluded: dict[str, str], held: DataFrame, target_keys: list[str], keys: list[str], order: list[str]) -> DataFrame:
+    """Records with ``outcome``: why their type is left out (N11), else held by the target, a repeat of its keys, or added."""
+    dropped = F.lit(None).cast("string")
+    for name, reason in excluded.items():
+        dropped = F.when(F.col(kind) == name, reason).otherwise(dropped)
+    known = held.select(*target_keys).withColumn("held_", F.lit(True))
+    turn = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    outcome = F.coalesce(dropped, F.when(F.col("held_"), "held").when(turn > 1, "repeated").otherwise("added"))
+    return records.join(known, target_keys, "left").withColumn("outcome", outcome).drop("held_")
+
+
+def overlaid(entries: DataFrame, keys: list[str], side: str, order: list[str], fields: list[str]) -> DataFrame:
+    """Each field's last set value: a journal entry's (``side`` 1) before the snapshot's (0), a later one before an earlier."""
+    at = F.struct(side, *order)
+    last = [F.max_by(f, F.when(F.col(f).isNotNull(), at)).alias(f) for f in fields]
+    return entries.groupBy(*keys).agg(*last, F.count_if(F.col(side) == 0).alias("snapshots"), F.count_if(F.col(side) == 1).alias("entries"))
+
+
+def documents(files: DataFrame, schema: str, messages: str) -> tuple[DataFrame, DataFrame]:
+    """Whole JSON documents (file, value) to one row for each message with its place, and the files that are no document."""
+    fault = F.when(F.try_parse_json("value").isNull() | ~F.trim("value").startswith("{"), "not_a_document")
+    marked = files.select("file", "value", fault.alias("fault"))
+    read = marked.where("fault is null").select("file", F.from_json("value", schema).alias("d"))
+    return read.select("file", "d.*").select("file", "*", F.posexplode_outer(messages).alias("place", "message")).drop(messages), marked.where("fault is not null").select("file", "fault")
+
+
+_QUOTA = "struct<entitlement:double,quota_remaining:double,remaining:double,unlimited:boolean,has_quota:boolean,percent_remaining:double,timestamp_utc:string>"
+
+
+def quota_cache(files: DataFrame, root: str) -> DataFrame:
+    """(file, plan, quota_id, entitlement, remaining, used, unlimited, observed_ms) of cache texts (file, value), counts in thousandths.
+
+    Lines of comments are left out; of several entries the latest stands. A quota that the account does not have, and a
+    count that is negative or no multiple of a thousandth, are left out. What is used is known of limited quotas alone.
+    """
+    entry = f"struct<retrievedAt:string,response:struct<copilot_plan:string,quota_snapshots:map<string,{_QUOTA}>>>"
+    text = F.regexp_replace(F.regexp_replace("value", "^\ufeff", ""), r"(?m)^[ \t]*//.*$", "")
+    cache = F.from_json(text, f"struct<`{root}`:map<string,{entry}>>")[root]
+    newest = F.array_max(F.transform(F.map_entries(cache), lambda e: F.struct(F.try_to_timestamp(e.value.retrievedAt).alias("at"), e.key.alias("key"))))
+    held = files.select("file", F.try_element_at(cache, newest.key).response.alias("r")).select("file", F.col("r.copilot_plan").alias("plan"), F.explode("r.quota_snapshots").alias("quota_id", "q")).where("coalesce(q.has_quota, true)")
+
+    def milli(value: Column) -> Column:
+        return F.when((value >= 0) & (value < 9e15) & (F.abs(value * 1000 - F.round(value * 1000)) <= 1e-6), F.round(value * 1000).cast("long"))
+
+    limit, left = milli(F.col("q.entitlement")), milli(F.coalesce("q.quota_remaining", "q.remaining"))
+    unlimited = F.coalesce("q.unlimited", F.lit(False))
+    used = F.when(~unlimited & (limit > 0) & (left <= limit), limit - left)
+    return held.select("file", "plan", "quota_id", limit.alias("entitlement"), left.alias("remaining"), used.alias("used"), unlimited.alias("unlimited"), F.unix_millis(F.try_to_timestamp("q.timestamp_utc")).alias("observed_ms"))
+
+
+def replayed(lines: DataFrame, file: str, order: str) -> DataFrame:
+    """U4: (file, state, faults): the JSON state that a mutation log leaves, and how many of its lines could not be applied.
+
+    Kinds: 0 a new state, 1 a value set at a path (none: removed), 2 items pushed to a list cut at a place first, 3 a
+    path deleted. A log is one session's file and is replayed by one task, line after line.
+    """
+    import json
+
+    import pandas as pd
+
+    def place(state, path):
+        for step in path:
+            state = state[step]
+        return state
+
+    def apply(state, entry: dict):
+        kind, path = entry.get("kind"), entry.get("k") or []
+        if kind == 0:
+            return entry.get("v") if isinstance(entry.get("v"), dict) else None
+        if state is None or kind not in (1, 2, 3):
+            raise ValueError("no state")
+        parent, last = place(state, path[:-1]), path[-1]
+        if kind == 2:
+            held = parent.get(last) if isinstance(parent.get(last), list) else []
+            start = entry.get("i", len(held))
+            if start > len(held):
+                raise ValueError("beyond the end")
+            parent[last] = held[:start] + (entry.get("v") or [])
+        elif kind == 1 and "v" in entry:
+            if isinstance(parent, list) and not 0 <= last < len(parent):
+                raise ValueError("beyond the end")
+            parent[last] = entry["v"]
+        elif isinstance(parent, dict):
+            parent.pop(last, None)
+        else:
+            raise ValueError("no key")
+        return state
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        state, faults = None, 0
+        for text in frame.sort_values("order_")["value"]:
+            try:
+                state = apply(state, json.loads(text))
+            except (ValueError, TypeError, KeyError, IndexError, AttributeError):
+                faults += 1
+        return pd.DataFrame({"file": [frame["file"].iloc[0]], "state": [json.dumps(state)], "faults": [faults]})
+
+    return lines.select(F.col(file).alias("file"), F.col(order).alias("order_"), "value").groupBy("file").applyInPandas(run, "file long, state string, faults long")
