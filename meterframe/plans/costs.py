@@ -129,13 +129,6 @@ def j14_costs_beside_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return used.join(costs, ["provider", "model"], "left")
 
 
-@query(f"WITH {EVENTS} SELECT local_day, max(part_key) AS revision FROM events_ WHERE local_day >= DATE '1996-01-01' GROUP BY 1 HAVING max(part_key) > (SELECT quantile_disc(p_partkey, 0.9) FROM part)")
-def j17_changed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    saved = spark.read.parquet(f"{sf_dir}/part.parquet").agg(F.percentile_disc(0.9, "p_partkey") if hasattr(F, "percentile_disc") else F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY p_partkey)")).first()[0]
-    days = usage_events(spark, sf_dir).groupBy("local_day").agg(F.max("part_key").alias("revision"))
-    return days.where((F.col("revision") > int(saved)) & (F.col("local_day") >= "1996-01-01"))
-
-
 @query(f"WITH {PRICES} SELECT priority, count(*) AS rows, count(DISTINCT model) AS models, min(from_ms) AS first_ms, bool_or(to_ms IS NULL) AS open_ended, row_number() OVER (ORDER BY priority) AS place FROM prices GROUP BY priority")
 def o3_price_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = price_rows(spark, sf_dir).groupBy("priority").agg(F.count("*").alias("rows"), F.count_distinct("model").alias("models"), F.min("from_ms").alias("first_ms"), F.bool_or(F.col("to_ms").isNull()).alias("open_ended"))
