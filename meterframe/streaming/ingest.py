@@ -6,42 +6,54 @@ the number of times a record arrives.
 
 from __future__ import annotations
 
+import re
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from meterframe.functions import calendar
+from meterframe.operators import rollups
 from meterframe.operators.merging import arbitrate
 
 
-def merge_batch(spark: SparkSession, path: str, keys: list[str], order: list[str], partition: str, floor_ms: int = 0) -> Callable[[DataFrame, int], None]:
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table in ``path``, or None before its first batch."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def merge_batch(spark: SparkSession, path: str, keys: list[str], order: list[str], partition: str, floor_ms: int = 0, then: Callable[[DataFrame], None] | None = None) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that keeps all versions by identity in ``path``, partitioned by day.
 
     Only the days that the batch touches are read and written again. Records before the floor go to a table of their
-    own, ``path`` with ``-rejected`` after it, merged in the same way.
+    own, ``path`` with ``-rejected`` after it, merged in the same way. ``then`` is given the batch's accepted records once
+    they are stored, to recompute what follows from them; a batch that is run again gives it the same records.
     """
 
     def merge(fresh: DataFrame, table: str) -> None:
         days = [r[0] for r in fresh.select(partition).distinct().collect()]
         if not days:
             return
-        try:
-            stored = spark.read.parquet(table).where(F.col(partition).isin(days)).select(*fresh.columns)
-            both = stored.unionByName(fresh)
-        except Exception as error:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER" not in str(error):
-                raise
-            both = fresh
+        held = stored(spark, table)
+        both = fresh if held is None else held.where(F.col(partition).isin(days)).select(*fresh.columns).unionByName(fresh)
         identity = [*keys, *order, "source_revision", "lifecycle_rank", "content"]
         kept = checkpointed(both.dropDuplicates(identity))  # what is read is about to be written over
         kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(table)
 
     def write(batch: DataFrame, number: int) -> None:
         accepted = F.coalesce(F.col("occurred_at_ms") >= floor_ms, F.lit(False))
+        # dropDuplicatesWithinWatermark before the stream's sink spares repeats of one batch and the next; this one decides
         merge(batch.where(accepted), path)
         merge(batch.where(~accepted), f"{path.rstrip('/')}-rejected")
+        if then is not None:
+            then(batch.where(accepted))
 
     return write
 
@@ -55,40 +67,86 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` in the checkpoint folder that the cluster shares, or in a new one where none is set."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="meterframe-checkpoint-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="meterframe-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
-_OUT = "key long, tie long, outcome string, amount long"
-
-
-def counter_stream(observations: DataFrame) -> DataFrame:
-    """(key, tie, outcome, amount) of a stream of (key, tie, at, value, reset): the baseline is kept as state by key."""
-    import pandas as pd
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        value, at = state.get if state.exists else (None, None)
-        rows = []
-        for new in pd.concat(list(frames)).sort_values(["at", "tie"]).itertuples():
-            same = at is not None and new.at == at
-            if value is None:
-                outcome, amount = "first", new.value
-            elif new.at < at or same and new.value != value:
-                outcome, amount = "out_of_order", None
-            elif same:
-                outcome, amount = "delta", 0
-            elif new.reset:
-                outcome, amount = "reset", new.value
-            elif new.value >= value:
-                outcome, amount = "delta", new.value - value
-            else:
-                outcome, amount = "regression", None
-            if outcome in ("first", "reset") or outcome == "delta" and not same:
-                value, at = int(new.value), int(new.at)
-            rows.append((key[0], new.tie, outcome, amount))
-        state.update((value, at))
-        out = pd.DataFrame(rows, columns=["key", "tie", "outcome", "amount"])
-        out["amount"] = out["amount"].astype("Int64")
-        yield out
-
-    return observations.groupBy("key").applyInPandasWithState(step, _OUT, "value long, at long", "append", GroupStateTimeout.NoTimeout)
+def recompute_days(spark: SparkSession, path: str, rolled: str, keys: list[str], order: list[str], partition: str, zone: str) -> Callable[[DataFrame], None]:
+    """A function for ``merge_batch`` that rolls up every local day and hour anew that accepted records touch.
+
+    These are the days of all versions, old and new, of the batch's identities: a correction that moves a record from one
+    day to another changes both. ``rolled`` is partitioned by local day; only these days are written, and one that is
+    left without a record is emptied. Rows have the columns of an event, its time in ``occurred_at_ms``.
+    """
+
+    def write(fresh: DataFrame) -> None:
+        versions = stored(spark, path)
+        if versions is None or fresh.isEmpty():
+            return
+        local = calendar.local_time(F.col("occurred_at_ms"), zone)
+        placed = versions.drop("local_day", "local_hour").withColumns({"local_day": F.to_date(local), "local_hour": F.hour(local)})
+        ids = fresh.select(*keys).distinct()
+        days = [r[0] for r in placed.join(ids, keys, "left_semi").select("local_day").distinct().collect()]  # days of one batch's records
+        touched = placed.where(F.col("local_day").isin(days)).select(*keys).distinct()
+        every = placed.join(touched, keys, "left_semi")
+        now = arbitrate(every, keys, order).select(*keys, *order, "source_revision", "lifecycle_rank", "content")
+        same = [*keys, *order, "lifecycle_rank", "content"]
+        stands = every.join(now.withColumnRenamed("source_revision", "r_"), same).where(F.col("source_revision").eqNullSafe(F.col("r_"))).drop("r_")
+        rows = rollups.rollup(stands.dropDuplicates(same).where(F.col("local_day").isin(days)), "local_day", "local_hour")
+        empty = spark.createDataFrame([(d,) for d in days], "local_day date").join(rows.select("local_day").distinct(), "local_day", "left_anti")
+        gone = rows.limit(0).unionByName(empty, allowMissingColumns=True).withColumn("source_instance_id", F.lit(None).cast("string"))  # one row that counts nothing
+        checkpointed(rows.unionByName(gone)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("local_day").parquet(rolled)
+
+    return write
+
+
+def rolled_up(spark: SparkSession, rolled: str) -> DataFrame:
+    """The rollup rows of ``recompute_days``, without those of emptied days."""
+    return spark.read.parquet(rolled).where("source_instance_id is not null")
+
+
+def claim_notices(spark: SparkSession, path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that stores each exceeded budget's key once; ``exceeded`` rows come with ``batch`` as they are claimed.
+
+    A notice stays claimed: rows whose key the table holds are not written again, in whichever batch they come.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        fresh = batch.where("exceeded").dropDuplicates(keys)
+        held = stored(spark, path)
+        if held is not None:
+            # a null part of a key is a value like any other
+            same = F.lit(True)
+            for k in keys:
+                same &= F.col(f"f.{k}").eqNullSafe(F.col(f"h.{k}"))
+            fresh = fresh.alias("f").join(held.alias("h"), same, "left_anti")
+        checkpointed(fresh.withColumn("batch", F.lit(number))).write.mode("append").parquet(path)
+
+    return write
+
+
+OVERLAP_MS = 60_000
+
+
+def poll(source: DataFrame, control: str, updated: str, sink: Callable[[DataFrame, int], None], overlap_ms: int = OVERLAP_MS) -> int | None:
+    """Gives ``sink`` the rows of an application table that have changed since the last poll, and saves how far it came.
+
+    Rows of the last ``overlap_ms`` before the saved mark are read again, as writers commit late; the sink merges by
+    identity. A table whose columns have changed is read from its beginning. Returns the new mark.
+    """
+    spark = source.sparkSession
+    shape = ",".join(sorted(f"{f.name}:{f.dataType.simpleString()}" for f in source.schema.fields))
+    held = stored(spark, control)
+    saved = held.orderBy(F.desc("number")).first() if held is not None else None
+    since = saved.mark - overlap_ms if saved and saved.mark is not None and saved.shape == shape else None
+    fresh = source if since is None else source.where(F.col(updated) >= since)
+    number = saved.number + 1 if saved else 0
+    sink(fresh, number)
+    top = fresh.agg(F.max(updated)).first()[0]
+    mark = top if since is None or top is None else max(top, saved.mark)
+    mark = saved.mark if mark is None and saved and saved.shape == shape else mark
+    spark.createDataFrame([(number, mark, shape)], "number long, mark long, shape string").coalesce(1).write.mode("append").parquet(control)
+    return mark

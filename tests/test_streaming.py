@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from meterframe.operators import ordered
-from meterframe.streaming import ingest
+from meterframe.streaming import ingest, state
 
 VERSION = "key string, occurred_at_ms long, source_revision long, lifecycle_rank int, content string, day string"
 
@@ -30,7 +30,7 @@ def test_counter_state_equals_fold(spark, tmp_path):
     for k, part in enumerate((seen[:40], seen[40:])):
         spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").option("latestFirst", "false").parquet(f"{tmp_path}/in")
-    query = ingest.counter_stream(stream).writeStream.format("memory").queryName("counted").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query = state.counter_stream(stream).writeStream.format("memory").queryName("counted").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
     query.awaitTermination(120)
     got = {(r.key, r.tie, r.outcome, r.amount) for r in spark.table("counted").collect()}
     fold = ordered.counter_deltas(spark.createDataFrame(seen, schema), "key", "at", "value", "reset", "tie")
@@ -46,3 +46,66 @@ def test_final_record_replaces_its_partial_one_and_late_rows_are_reported(spark,
     stands = {r.key: (r.source_revision, r.lifecycle_rank, r.versions) for r in ingest.current(spark, path, ["key"], ["occurred_at_ms"]).collect()}
     assert stands == {"a": (None, 2, 2), "b": (2, 0, 2)}
     assert [r.key for r in spark.read.parquet(f"{path}-rejected").collect()] == ["late"]
+
+
+def test_context_is_carried_across_batches(spark, tmp_path):
+    rows = [("f1", 1, "m1", None), ("f1", 2, None, "p1"), ("f2", 1, None, None), ("f1", 3, None, None), ("f1", 4, "m2", None), ("f2", 2, "m9", None), ("f2", 3, None, None)]
+    schema = "file string, line long, model string, parent string"
+    for k, part in enumerate((rows[:3], rows[3:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    query = state.context_stream(stream, "file", "line", ["model", "parent"]).writeStream.format("memory").queryName("carried").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = {(r.file, r.line): (r.model, r.parent) for r in spark.table("carried").collect()}
+    assert got == {("f1", 1): ("m1", None), ("f1", 2): ("m1", "p1"), ("f1", 3): ("m1", "p1"), ("f1", 4): ("m2", "p1"), ("f2", 1): (None, None), ("f2", 2): ("m9", None), ("f2", 3): ("m9", None)}
+
+
+EVENT = VERSION + ", record_kind string, attribution_status string, source_instance_id string, agent string, provider_id string, model_raw string, call_category string, quality_bucket string, " + ", ".join(f"known_{t} long" for t in ("input_total", "input_uncached", "input_cache_read", "input_cache_write", "output_total", "total_tokens"))
+
+
+def test_a_moved_record_recomputes_both_days(spark, tmp_path):
+    from meterframe.functions import calendar
+    from meterframe.operators import rollups
+
+    hour, day = 3_600_000, 86_400_000
+    start = 1_704_067_200_000  # 2024-01-01 in UTC, the evening before in New York
+
+    def event(key, at, revision, tokens):
+        return (key, at, revision, 1, f"c{tokens}", f"d{at // day}", "model_call", "verified", "i", "a", None, "m", "main", "complete", tokens, None, None, None, None, tokens)
+
+    batches = [[event("a", start + 2 * hour, 1, 10), event("b", start + 3 * hour, 1, 20), event("only", start + 40 * hour, 1, 5)], [event("a", start + 30 * hour, 2, 11), event("only", start + 6 * hour, 2, 6)]]
+    path, rolled = f"{tmp_path}/events", f"{tmp_path}/rolled"
+    then = ingest.recompute_days(spark, path, rolled, ["key"], ["occurred_at_ms"], "day", "America/New_York")
+    write = ingest.merge_batch(spark, path, ["key"], ["occurred_at_ms"], "day", then=then)
+    for number, rows in enumerate([*batches, batches[1]]):  # the last batch is run again
+        write(spark.createDataFrame(rows, EVENT), number)
+    stands = spark.createDataFrame([batches[0][1], *batches[1]], EVENT)
+    local = calendar.local_time(F.col("occurred_at_ms"), "America/New_York")
+    want = rollups.rollup(stands.withColumns({"local_day": F.to_date(local), "local_hour": F.hour(local)}), "local_day", "local_hour")
+    key = lambda rows: sorted((str(r.local_day), r.local_hour, r.events, r.total_sum) for r in rows.collect())
+    assert key(ingest.rolled_up(spark, rolled)) == key(want)
+
+
+def test_alerts_are_claimed_once(spark, tmp_path):
+    keys = ["user_id", "zone", "period", "first_day", "metric", "currency", "threshold"]
+    schema = "user_id long, zone string, period string, first_day string, metric string, currency string, threshold long, exceeded boolean"
+    row = lambda user, exceeded, threshold=5: (user, "UTC", "day", "2024-01-01", "tokens", None, threshold, exceeded)
+    write = ingest.claim_notices(spark, f"{tmp_path}/notices", keys)
+    batches = [[row(1, True), row(1, True), row(2, False)], [row(1, True), row(2, True), row(1, True, 9)], [row(2, True)]]
+    for number, rows in enumerate([*batches, batches[-1]]):
+        write(spark.createDataFrame(rows, schema), number)
+    got = [(r.user_id, r.threshold, r.batch) for r in spark.read.parquet(f"{tmp_path}/notices").collect()]
+    assert sorted(got) == [(1, 5, 0), (1, 9, 1), (2, 5, 1)]
+
+
+def test_polls_overlap_and_start_anew_with_other_columns(spark, tmp_path):
+    seen = []
+    sink = lambda rows, number: seen.append(sorted(r.id for r in rows.collect()))
+    rows = [(1, 1_000_000), (2, 1_050_000), (3, 1_100_000)]
+    table = lambda some: spark.createDataFrame(some, "id long, updated_at long")
+    control = f"{tmp_path}/control"
+    assert ingest.poll(table(rows), control, "updated_at", sink) == 1_100_000
+    assert ingest.poll(table([*rows, (4, 1_200_000)]), control, "updated_at", sink) == 1_200_000
+    assert ingest.poll(table(rows), control, "updated_at", sink) == 1_200_000
+    assert ingest.poll(table(rows).withColumn("new", F.lit(1)), control, "updated_at", sink) == 1_100_000
+    assert seen == [[1, 2, 3], [2, 3, 4], [], [1, 2, 3]]
