@@ -221,7 +221,7 @@ def edited_fingerprints(docs: DataFrame, threshold: float = THRESHOLD) -> DataFr
 
 
 def _band_rows(bands: int, rows: int):
-    """(node, band): the hash of each band of a signature."""
+    """(node, number, band): the hash of each band of a signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,7 +232,8 @@ def _band_rows(bands: int, rows: int):
                 for j in range(k * rows, (k + 1) * rows):
                     key = mix(key * _U(0x9E3779B97F4A7C15) + signed[:, j])
                 keys[:, k] = key
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column(0)), bands)), pa.array(keys.ravel().view(np.int64))], ["node", "band"])
+            numbers = np.tile(np.arange(bands, dtype=np.int32), len(signed))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column(0)), bands)), pa.array(numbers), pa.array(keys.ravel().view(np.int64))], ["node", "number", "band"])
 
     return run
 
@@ -240,11 +241,11 @@ def _band_rows(bands: int, rows: int):
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(h1, h2, n, least, class_id, alone) of every distinct text, n being its rows.
 
-    Texts that share a band are candidates. First each is compared with the least one of its band (of its part of the band,
-    where a band is large, and these with each other's least); links of verified similarity join texts to classes. Then
-    every pair of a band whose texts are in different classes is decided, in tiles: all but those whose signatures rule
-    the similarity out are verified, in dense places at first only a spanning forest of the likeliest, and in the end
-    every pair whose texts are still in different classes.
+    Texts that share a band are candidates. First each is compared with one other, the least text of its bands that it
+    shares most bands with (of parts of bands, where a band is large, whose least ones are compared with each other's);
+    links of verified similarity join texts to classes. Then every pair of a band whose texts are still in different
+    classes is decided, in the first band that the two share, in tiles: by the signatures where these rule the similarity
+    out, else on whole texts, unless links found before it in the tile have joined its classes.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_text_keys(), "text")
 
@@ -256,67 +257,89 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
     signed = docs.mapInArrow(sliced(sign), "doc_id long, h1 long, h2 long, sign binary")
     distinct = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.any_value("sign").alias("sign"))
     nodes = written(distinct.withColumn("node", F.monotonically_increasing_id()))
-    banded = nodes.select("node", "sign").mapInArrow(_band_rows(bands, rows), "node long, band long")
+    banded = nodes.select("node", "sign").mapInArrow(_band_rows(bands, rows), "node long, number int, band long")
     heavy = [x.item for x in banded.agg(F.expr(f"approx_top_k(band, {HEAVY}, {100 * HEAVY})").alias("top")).first().top if x["count"] > PART]
     part = F.when(F.col("band").isin(heavy), F.pmod(F.xxhash64("node"), F.lit(HEAVY))).otherwise(F.lit(0)) if heavy else F.lit(0)
     window = Window.partitionBy("band", "part")
-    held = banded.withColumn("part", part).select("band", "part", "node", F.min("node").over(window).alias("head"), F.count("*").over(window).alias("many"))
-    held = written(held.where("many > 1" if not heavy else (F.col("many") > 1) | F.col("band").isin(heavy)))
-    links = held.where("head <> node").select(F.col("head").alias("u"), F.col("node").alias("v"))
+    held = banded.withColumn("part", part).select("band", "number", "node", F.min("node").over(window).alias("head"), F.count("*").over(window).alias("many"))
+    held = written(held.where("many > 1" if not heavy else (F.col("many") > 1) | F.col("band").isin(heavy)).drop("many"))
+    shared = held.where("head <> node").groupBy("node", "head").count().groupBy("node").agg(F.max_by("head", F.struct("count", -F.col("head"))).alias("u"))
+    links = shared.select("u", F.col("node").alias("v"))
     if heavy:
         tops = held.where(F.col("band").isin(heavy)).select("band", "head").distinct()
-        least = F.min("head").over(Window.partitionBy("band"))
-        links = links.unionByName(tops.select(least.alias("u"), F.col("head").alias("v")).where("u <> v"))
-    texts = docs.join(nodes.select("h1", "h2", "node"), ["h1", "h2"])
+        links = links.unionByName(tops.select(F.min("head").over(Window.partitionBy("band")).alias("u"), F.col("head").alias("v")).where("u <> v"))
+    texts = docs.select("h1", "h2", "text")
     links = written(_decided(links.distinct(), nodes, texts, threshold))
     classes = connected_components(links)
-    for whole in (False, True):
-        labelled = held.select("band", "node").join(nodes.select("node", "sign"), "node").join(classes, "node", "left").select("band", "node", "sign", F.coalesce("root", "node").alias("cls"))
-        mixed = labelled.groupBy("band").agg(F.min("cls").alias("a"), F.max("cls").alias("b"), F.count("*").alias("size")).where("a <> b").select("band", "size")
-        if whole:
-            mixed = mixed.join(opened, "band", "left_semi")
-        found = written(_pairs(labelled, written(mixed), whole))
-        fresh = found.where("v is not null").select("u", "v").distinct()
-        links = written(links.unionByName(_decided(fresh, nodes, texts, threshold)))
-        classes = connected_components(links)
-        opened = written(found.where("v is null").select(F.col("u").alias("band")).distinct())
-        if opened.isEmpty():
-            break
-    rooted_ = rooted(checkpointed(nodes.select("node", "n", "least")), classes, "node").select("node", F.col("component_id").alias("class_id"))
+    links = written(links.unionByName(_rest(held, nodes, classes, texts, threshold, bands, rows)))
+    classes = connected_components(links)
+    found = rooted(checkpointed(nodes.select("node", "n", "least")), classes, "node").select("node", F.col("component_id").alias("class_id"))
     alone = nodes.drop("sign").join(classes.select("node", F.lit(False).alias("alone")), "node", "left")
-    return checkpointed(alone.join(rooted_, "node").select("h1", "h2", "n", "least", "class_id", F.coalesce("alone", F.lit(True)).alias("alone")))
-
+    return checkpointed(alone.join(found, "node").select("h1", "h2", "n", "least", "class_id", F.coalesce("alone", F.lit(True)).alias("alone")))
 
-def _pairs(labelled: DataFrame, mixed: DataFrame, whole: bool) -> DataFrame:
-    """(u, v) candidate pairs of different classes in the bands (band, size), decided in tiles of ``TILE`` texts; (band, null) of those cut to a forest."""
-    from meterframe.llm.simhash import spanning
 
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
-    dealt = labelled.join(mixed, "band").select("band", "node", "sign", "cls", tiles.alias("tiles"), F.pmod(F.xxhash64("node"), tiles).cast("int").alias("i"))
-    copied = dealt.select("band", "node", "sign", "cls", "i", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("j")).select("band", "node", "sign", "cls", "i", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
+def _rest(held: DataFrame, nodes: DataFrame, classes: DataFrame, texts: DataFrame, threshold: float, bands: int, rows: int) -> DataFrame:
+    """(u, v) links among the texts of one band, in different classes so far, of all bands."""
+    labelled = held.select("band", "number", "node").join(classes, "node", "left").select("band", "number", "node", F.coalesce("root", "node").alias("cls"))
+    mixed = labelled.groupBy("band").agg(F.min("cls").alias("a"), F.max("cls").alias("b"), F.count("*").alias("size")).where("a <> b").select("band", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
+    dealt = labelled.join(written(mixed), "band").withColumn("i", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
+    dealt = written(dealt.join(nodes.select("node", "sign"), "node"))
+    copied = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("band", "number", "node", "cls", "sign", "i", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
 
-    def compare(table: pa.Table) -> pa.Table:
-        node, cls, side = (np.asarray(table.column(c)) for c in ("node", "cls", "i"))
+    def near(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(i, j, components that are alike) of the tile's pairs of different classes, first met in this band, that may be similar."""
+        cls, side = np.asarray(table.column("cls")), np.asarray(table.column("i"))
         sign = np.frombuffer(b"".join(table.column("sign").to_pylist()), np.uint16).reshape(-1, PERMUTATIONS)
-        left = side == table.column("a")[0].as_py()
+        number, left = table.column("number")[0].as_py(), side == table.column("a")[0].as_py()
         same = table.column("a")[0].as_py() == table.column("b")[0].as_py()
-        rows, others = np.flatnonzero(left), np.flatnonzero(left if same else ~left)
+        others = np.flatnonzero(left if same else ~left)
         some: list[tuple[np.ndarray, ...]] = []
-        for x in rows.tolist():
+        for x in np.flatnonzero(left).tolist():
             y = others[(cls[others] != cls[x]) & ((others > x) | (not same))]
-            alike = (sign[y] == sign[x]).sum(axis=1)
-            near = alike >= LEAST * PERMUTATIONS
-            some.append((np.full(near.sum(), x), y[near], PERMUTATIONS - alike[near]))
-        i, j, far = (np.concatenate(c) for c in zip(*some, strict=True)) if some else np.zeros((3, 0), np.int64)
-        cut = not whole and len(i) > 4 * len(node)
-        if cut:
-            kept, _ = spanning(len(node), i, j, far)
-            i, j = i[kept], j[kept]
-        u, v = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-        mark = [table.column("band")[0].as_py()] if cut else []
-        return pa.table({"u": pa.array([*u.tolist(), *mark], pa.int64()), "v": pa.array([*v.tolist(), *[None for _ in mark]], pa.int64())})
-
-    return copied.groupBy("band", "a", "b").applyInArrow(compare, "u long, v long")
+            equal = sign[y] == sign[x]
+            alike = equal.sum(axis=1)
+            before = equal[:, : number * rows].reshape(len(y), number, rows).all(axis=2).any(axis=1)
+            kept = (alike >= LEAST * PERMUTATIONS) & ~before
+            some.append((np.full(kept.sum(), x), y[kept], alike[kept]))
+        return tuple(np.concatenate(c) for c in zip(*some, strict=True)) if some else tuple(np.zeros((3, 0), np.int64))
+
+    def needed(table: pa.Table) -> pa.Table:
+        i, j, _ = near(table)
+        return table.take(pa.array(np.union1d(i, j)))
+
+    def decide(table: pa.Table) -> pa.Table:
+        node, root = np.asarray(table.column("node")), {c: c for c in table.column("cls").to_pylist()}
+        cls = table.column("cls").to_pylist()
+        sets = [_shingles(t) for t in _unsqueezed(table.column("text"))]
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        i, j, alike = near(table)
+        u, v = [], []
+        for k in np.argsort(-alike, kind="stable").tolist():
+            x, y = int(i[k]), int(j[k])
+            a, b = find(cls[x]), find(cls[y])
+            if a != b and _similar(sets[x], sets[y], threshold):
+                root[a] = b
+                u.append(node[x])
+                v.append(node[y])
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    keys = ["band", "a", "b"]
+    columns = "band long, number int, node long, cls long, sign binary, i int, a int, b int"
+    wanted = written(copied.groupBy(*keys).applyInArrow(needed, columns))
+    read = _texts_of(wanted.select("node").distinct(), nodes, texts)
+    return wanted.join(read, "node").groupBy(*keys).applyInArrow(decide, "u long, v long")
+
+
+def _texts_of(asked: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, text), compressed, of the nodes asked for."""
+    keys = written(nodes.select("h1", "h2", "node").join(written(asked), "node"))
+    held = texts.join(keys, ["h1", "h2"]).select("node", "text").mapInArrow(_squeezed, "node long, text binary")
+    return written(held.groupBy("node").agg(F.any_value("text").alias("text")))
 
 
 def _decided(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -333,10 +356,7 @@ def _decided(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: fl
 
     left, right = beside(nodes, "sign")
     likely = written(pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(sliced(possible), "u long, v long"))
-    asked = written(likely.select(F.explode(F.array("u", "v")).alias("node")).distinct())
-    keys = written(nodes.select("h1", "h2", "node").join(asked, "node"))
-    held = texts.drop("node").join(keys, ["h1", "h2"]).select("node", "text").mapInArrow(_squeezed, "node long, text binary")
-    left, right = beside(written(held.dropDuplicates(["node"])), "text")
+    left, right = beside(_texts_of(likely.select(F.explode(F.array("u", "v")).alias("node")).distinct(), nodes, texts), "text")
     held = likely.join(left, "u").join(right, "v").select(F.col("u").alias("head"), F.col("v").alias("cls"), "a", "b")
     return verified(held, threshold).select(F.col("head").alias("u"), F.col("cls").alias("v"))
 
@@ -351,6 +371,20 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     return hot_join(keyed, nodes, "key", "n", max(1, nodes.agg(F.sum("n")).first()[0] or 0), "doc_id").select("doc_id", "class_id")
 
 
+def _shingles(text: bytes) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles."""
+    return np.unique(np.concatenate([shingle_hashes(x, SHINGLE)[0] for x in blocks([(0, text)], SHINGLE - 1)] or [np.zeros(0, _U)]))
+
+
+def _similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
+    """Whether two sets of distinct hashes have that Jaccard similarity at least; two empty ones have."""
+    if min(len(a), len(b)) < threshold * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    union = len(a) + len(b) - both
+    return not union or both >= threshold * union
+
+
 def verified(pairs: DataFrame, threshold: float) -> DataFrame:
     """(head, cls) of the pairs (head, cls, a, b) whose texts a and b have that Jaccard similarity at least; a and b may be compressed."""
 
@@ -358,13 +392,7 @@ def verified(pairs: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             heads, others = np.array(batch.column(0)), np.array(batch.column(1))
             sides = [_unsqueezed(c) if c.type == pa.binary() else column_bytes(c) for c in batch.columns[2:]]
-            keep = []
-            for a, b in zip(*sides, strict=True):
-                sets = [np.unique(np.concatenate([shingle_hashes(x, SHINGLE)[0] for x in blocks([(0, t)], SHINGLE - 1)] or [np.zeros(0, _U)])) for t in (a, b)]
-                both = len(np.intersect1d(*sets, assume_unique=True))
-                union = len(sets[0]) + len(sets[1]) - both
-                keep.append(not union or both >= threshold * union)
-            keep = np.array(keep, bool)
+            keep = np.array([_similar(_shingles(a), _shingles(b), threshold) for a, b in zip(*sides, strict=True)], bool)
             yield pa.RecordBatch.from_arrays([pa.array(heads[keep], pa.int64()), pa.array(others[keep], pa.int64())], ["head", "cls"])
 
     return pairs.select("head", "cls", "a", "b").mapInArrow(sliced(run), "head long, cls long")
