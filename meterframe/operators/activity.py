@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def sessions(calls: DataFrame, period: Column) -> DataFrame:
-    """Distinct sessions of the whole period, unknown as soon as one call has none; active days; durations where known."""
+    """Distinct sessions of each period and overall, unknown as soon as one call has none; active days; durations where known."""
     unknown = F.bool_or(F.col("session_id").isNull())
-    return calls.groupBy(period).agg(
+    return calls.withColumn("period", period).rollup("period").agg(
+        (F.grouping("period") == 1).alias("overall"),
         F.when(~unknown, F.count_distinct(F.concat("source_instance_id", F.lit("#"), "session_id"))).alias("sessions"),
         unknown.alias("unknown_session"),
         F.count_distinct("local_day").alias("active_days"),
@@ -37,9 +38,21 @@ def series(rows: DataFrame, period: Column, by: str) -> DataFrame:
 
 
 def shares(rows: DataFrame, name: str) -> DataFrame:
-    """Each name's share of the known tokens; names that differ only in case are one."""
-    sums = rows.groupBy(F.lower(name).alias("name")).agg(F.sum("total_sum").alias("tokens")).where("tokens > 0")
-    return sums.withColumn("share", F.col("tokens") / F.sum("tokens").over(Window.partitionBy()))
+    """Each name's share of the known tokens, and the names without any as unknown; names that differ only in case are one."""
+    sums = rows.groupBy(F.lower(name).alias("name")).agg(F.sum("total_sum").alias("tokens"))
+    known = F.coalesce(F.col("tokens") > 0, F.lit(False))
+    total = F.sum(F.when(known, F.col("tokens"))).over(Window.partitionBy())
+    return sums.select("name", "tokens", F.when(known, F.col("tokens") / total).alias("share"), (~known).alias("unknown"))
+
+
+def ordered(rows: DataFrame, named: dict[str, Column], value: str) -> DataFrame:
+    """(axis, name, tokens, by_name, by_value): a breakdown by each axis with its places by name and by falling value, ties by name."""
+    out = None
+    for axis, name in named.items():
+        one = rows.groupBy(name.alias("name")).agg(F.lit(axis).alias("axis"), F.sum(value).alias("tokens"))
+        out = one if out is None else out.unionByName(one)
+    place = lambda *order: F.row_number().over(Window.partitionBy("axis").orderBy(*order))
+    return out.withColumns({"by_name": place("name"), "by_value": place(F.desc_nulls_last("tokens"), "name")})
 
 
 def exclusive_totals(intervals: DataFrame) -> DataFrame:
@@ -50,10 +63,11 @@ def exclusive_totals(intervals: DataFrame) -> DataFrame:
 
 
 def page(events: DataFrame, ties: list[str], size: int, offset: int) -> DataFrame:
-    """One page, newest first, with the number of all rows; 1 to 500 rows."""
+    """One page of 1 to 500 rows, newest first, ties by these columns, with a label to show and the number of all rows."""
     size = max(1, min(500, size))
-    total = events.count()
-    return events.orderBy(F.desc("occurred_at_ms"), *ties).offset(offset).limit(size).withColumn("total", F.lit(total))
+    total = events.agg(F.count("*").alias("total"))
+    rows = events.orderBy(F.desc("occurred_at_ms"), *ties).offset(offset).limit(size)
+    return rows.withColumn("label", F.coalesce(F.nullif(F.trim("model_raw"), F.lit("")), F.lit("unknown"))).crossJoin(F.broadcast(total))  # of one row
 
 
 def recent(rows: DataFrame, kind: str, code: str | None, limit: int, time: str, tie: str) -> DataFrame:

@@ -6,28 +6,58 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def judged(new, value: int | None, at: int | None) -> tuple[str, int | None, bool]:
+    """(outcome, amount, whether it becomes the baseline) of an observation after a baseline."""
+    if value is None:
+        return "first", new.value, True
+    same = new.at == at
+    if new.at < at or same and new.value != value:
+        return "out_of_order", None, False
+    if same:
+        return "delta", 0, False
+    if new.reset:
+        return "reset", new.value, True
+    if new.value >= value:
+        return "delta", new.value - value, True
+    return "regression", None, False
+
+
 def counter_deltas(seen: DataFrame, key: str, at: str, value: str, reset: str, tie: str) -> DataFrame:
     """Every observation of a cumulative counter with its outcome and amount.
 
     The first gives the native total. A rise is a delta; a fall is a reset where there is evidence for one, else a
-    regression that leaves the baseline. Another value at the same time is out of order. As the baseline depends on
-    what was accepted before, a key's observations are folded in order.
+    regression that leaves the baseline. Another value at the same time is out of order. Where no two observations of a
+    key have one time, the baseline is the greatest value since the last reset, and windows give it without holding a
+    key's rows; the other keys' observations are judged one after the other.
     """
-    rows = seen.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(tie).alias("tie"), F.col(value).alias("value"), F.col(reset).alias("reset")))).alias("seen"))
-    kind = "array<struct<tie:bigint,outcome:string,amount:bigint>>"
-    start = F.struct(F.lit(None).cast("long").alias("value"), F.lit(None).cast("long").alias("at"), F.array().cast(kind).alias("out"))
-
-    def step(acc: Column, new: Column) -> Column:
-        same = new.at == acc.at
-        outcome = (
-            F.when(acc.value.isNull(), "first").when((new.at < acc.at) | (same & (new.value != acc.value)), "out_of_order").when(same, "delta").when(new.reset, "reset").when(new.value >= acc.value, "delta").otherwise("regression")
-        )
-        keeps = outcome.isin("out_of_order", "regression") | (same & (outcome == "delta"))
-        amount = F.when(outcome.isin("first", "reset"), new.value).when(outcome == "delta", new.value - acc.value)
-        entry = F.struct(new.tie.cast("long").alias("tie"), outcome.alias("outcome"), amount.cast("long").alias("amount"))
-        return F.struct(F.when(keeps, acc.value).otherwise(new.value).cast("long").alias("value"), F.when(keeps, acc.at).otherwise(new.at).cast("long").alias("at"), F.concat(acc.out, F.array(entry)).alias("out"))
-
-    return rows.select(key, F.explode(F.aggregate("seen", start, step).out).alias("o")).select(key, F.col("o.tie").alias(tie), "o.outcome", "o.amount")
+    rows = seen.select(key, F.col(tie).alias("tie"), F.col(at).alias("at"), F.col(value).cast("long").alias("value"), F.col(reset).alias("reset"))
+    order = Window.partitionBy(key).orderBy("at", "tie")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    marked = rows.withColumns({"twice": F.coalesce(F.lag("at").over(order) == F.col("at"), F.lit(False)), "turn": F.row_number().over(order), "segment": F.sum(F.col("reset").cast("int")).over(so_far)})
+    marked = marked.withColumn("twice", F.bool_or("twice").over(Window.partitionBy(key)))
+    plain = marked.where("not twice")
+    base = F.max("value").over(Window.partitionBy(key, "segment").orderBy("at", "tie").rowsBetween(Window.unboundedPreceding, -1))
+    first, restarts = F.col("turn") == 1, F.col("reset")
+    outcome = F.when(first, "first").when(restarts, "reset").when(F.col("value") >= base, "delta").otherwise("regression")
+    amount = F.when(first | restarts, F.col("value")).when(F.col("value") >= base, F.col("value") - base)
+    clean = plain.select(key, F.col("tie").cast("long").alias(tie), outcome.alias("outcome"), amount.alias("amount"))
+
+    def fold(frame):
+        import pandas as pd
+
+        held, when, out = None, None, []
+        for new in frame.sort_values(["at", "tie"]).itertuples():
+            outcome, amount, stands = judged(new, held, when)
+            if stands:
+                held, when = int(new.value), int(new.at)
+            out.append((getattr(new, key), new.tie, outcome, amount))
+        found = pd.DataFrame(out, columns=[key, tie, "outcome", "amount"])
+        found["amount"] = found["amount"].astype("Int64")
+        return found
+
+    kind = seen.schema[key].dataType.simpleString()
+    folded = marked.where("twice").select(key, "tie", "at", "value", "reset").groupBy(key).applyInPandas(fold, f"{key} {kind}, {tie} long, outcome string, amount long")
+    return clean.unionByName(folded)
 
 
 def carried(rows: DataFrame, key: str, order: list[str], columns: dict[str, Column]) -> DataFrame:
@@ -77,10 +107,10 @@ def active_path(nodes: DataFrame, tree: str, node: str, parent: str, order: str)
 
     def walk(frame: pd.DataFrame) -> pd.DataFrame:
         above = dict(zip(frame[node], frame[parent], strict=True))
-        at, kept = frame.sort_values(["order_", node])[node].iloc[-1], []
+        at, kept = frame.sort_values(["order_", node])[node].iloc[-1], {}
         while at is not None and at in above and at not in kept:
-            kept.append(at)
+            kept[at] = None
             at = above[at] if pd.notna(above[at]) else None
-        return pd.DataFrame({tree: frame[tree].iloc[0], node: kept, "depth": range(len(kept))})
+        return pd.DataFrame({tree: frame[tree].iloc[0], node: list(kept), "depth": range(len(kept))})
 
     return nodes.select(tree, node, parent, F.col(order).alias("order_")).groupBy(tree).applyInPandas(walk, f"{tree} long, {node} long, depth long")

@@ -211,7 +211,7 @@ def p1_p3_dimension_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(WITH + "SELECT strftime(local_day, '%Y-%m') AS period, count(*) AS n FROM events_ WHERE strftime(local_day, '%Y-%m') BETWEEN '1996-03' AND '1998-11' GROUP BY 1")
 def p4_period_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = cal.month_label(F.col("local_day"))
-    return usage_events(spark, sf_dir).where(filters.between_labels(label, "1996-03", "1998-11")).groupBy(label.alias("period")).agg(F.count("*").alias("n"))
+    return usage_events(spark, sf_dir, "1996-03-01", "1998-11-30").where(filters.between_labels(label, "1996-03", "1998-11")).groupBy(label.alias("period")).agg(F.count("*").alias("n"))
 
 
 @query(WITH + "SELECT record_kind, count(*) AS n, count(known_input_total) AS inputs, CAST(sum(known_total_tokens) AS BIGINT) AS tokens FROM events_ WHERE attribution_status = 'verified' GROUP BY 1")

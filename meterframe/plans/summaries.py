@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from meterframe.functions import calendar as cal
 from meterframe.operators import activity, quotas, rollups
 from meterframe.registry import query
+from meterframe.sources.stored import stored
 from meterframe.sources.usage import EVENTS, ZONE, table, usage_events
 
 _K = "record_kind <> 'transport_attempt'"
@@ -30,12 +31,17 @@ RESUM = ", ".join(f"CAST(sum({m}) AS BIGINT) AS {m}" for m in rollups.MEASURES)
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollups.rollup(usage_events(spark, sf_dir), "local_day")
+    """The stored daily rollup, which dashboards read in place of events."""
+    return stored(spark, sf_dir, "daily", "local_day", lambda: rollups.rollup(usage_events(spark, sf_dir), "local_day"))
+
+
+def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "hourly", "local_day", lambda: rollups.rollup(usage_events(spark, sf_dir), "local_day", "local_hour"))
 
 
 @query(ROLL + "SELECT * FROM roll")
 def a1_daily_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return daily(spark, sf_dir)
+    return rollups.rollup(usage_events(spark, sf_dir), "local_day")
 
 
 @query(HOURS + "SELECT * FROM roll")
@@ -55,9 +61,9 @@ def a6_a8_metric_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     WITH
-    + """SELECT strftime(local_day, '%Y-%m') AS period, CASE WHEN bool_or(session_id IS NULL) THEN NULL ELSE count(DISTINCT concat(source_instance_id, '#', session_id)) END AS sessions, bool_or(session_id IS NULL) AS unknown_session,
+    + """SELECT strftime(local_day, '%Y-%m') AS period, grouping(strftime(local_day, '%Y-%m')) = 1 AS overall, CASE WHEN bool_or(session_id IS NULL) THEN NULL ELSE count(DISTINCT concat(source_instance_id, '#', session_id)) END AS sessions, bool_or(session_id IS NULL) AS unknown_session,
     count(DISTINCT local_day) AS active_days, CAST(sum(duration_ms) AS BIGINT) AS duration, count(duration_ms) AS samples, CAST(sum(duration_ms) AS DOUBLE) / count(duration_ms) AS mean
-    FROM events_ WHERE attribution_status = 'verified' AND record_kind = 'model_call' GROUP BY 1"""
+    FROM events_ WHERE attribution_status = 'verified' AND record_kind = 'model_call' GROUP BY GROUPING SETS ((strftime(local_day, '%Y-%m')), ())"""
 )
 def a7_sessions_and_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = rollups.eligible(usage_events(spark, sf_dir)).where("record_kind = 'model_call'")
@@ -81,8 +87,7 @@ def a10_chart_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(HOURS + f"SELECT local_hour, {RESUM} FROM roll WHERE local_day BETWEEN DATE '1996-11-01' AND DATE '1996-11-07' GROUP BY 1")
 def a11_hour_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hours = rollups.rollup(usage_events(spark, sf_dir), "local_day", "local_hour")
-    return rollups.resum(hours.where(F.col("local_day").between("1996-11-01", "1996-11-07")), "local_hour")
+    return rollups.resum(hourly(spark, sf_dir).where(F.col("local_day").between("1996-11-01", "1996-11-07")), "local_hour")
 
 
 @query(ROLL + "SELECT CAST(isodow(local_day) AS INTEGER) AS weekday, CAST(sum(calls) FILTER (local_day >= DATE '1996-01-01') AS BIGINT) AS calls FROM roll WHERE local_day < DATE '1997-01-01' GROUP BY 1")
@@ -91,9 +96,11 @@ def a12_weekday_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy((F.weekday("local_day") + 1).alias("weekday")).agg(F.sum(F.when(F.col("local_day") >= "1996-01-01", F.col("calls"))).alias("calls"))
 
 
-@query(ROLL + "SELECT *, CAST(tokens AS DOUBLE) / CAST(sum(tokens) OVER () AS DOUBLE) AS share FROM (SELECT lower(provider) AS name, CAST(sum(total_sum) AS BIGINT) AS tokens FROM roll GROUP BY 1) WHERE tokens > 0")
+@query(ROLL + "SELECT *, CASE WHEN tokens > 0 THEN CAST(tokens AS DOUBLE) / CAST(sum(tokens) FILTER (tokens > 0) OVER () AS DOUBLE) END AS share, NOT coalesce(tokens > 0, false) AS unknown FROM (SELECT lower(provider) AS name, CAST(sum(CASE WHEN source_instance_id = 'inst-3' OR provider <> 'CHINA' THEN total_sum END) AS BIGINT) AS tokens FROM roll GROUP BY 1)")
 def a13_token_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return activity.shares(daily(spark, sf_dir), "provider")
+    """One provider's tokens are left out for most sources, so that a name may be without a known value."""
+    rows = daily(spark, sf_dir)
+    return activity.shares(rows.withColumn("total_sum", F.when((F.col("source_instance_id") == "inst-3") | (F.col("provider") != "CHINA"), F.col("total_sum"))), "provider")
 
 
 @query(ROLL + "SELECT strftime(local_day, '%Y') AS label, " + ", ".join(f"CAST(sum(total_sum) FILTER (call_category = '{c}') AS BIGINT) AS {c}" for c in ("main", "sub_agent", "auxiliary")) + " FROM roll GROUP BY 1")
@@ -177,24 +184,38 @@ def a26_table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH
     + """SELECT grain, label, agent, model, count(*) AS requests, CAST(sum(output_total) AS BIGINT) AS output FROM (SELECT unnest([struct_pack(grain := 'day', label := strftime(local_day, '%Y-%m-%d')),
     struct_pack(grain := 'week', label := concat(isoyear(local_day), '-W', lpad(CAST(week(local_day) AS VARCHAR), 2, '0'))), struct_pack(grain := 'month', label := strftime(local_day, '%Y-%m'))], recursive := true),
-    agent, coalesce(model_raw, '') AS model, output_total FROM events_) GROUP BY ALL"""
+    agent, coalesce(model_raw, '') AS model, output_total FROM events_
+      UNION ALL SELECT 'hour', lpad(CAST(local_hour AS VARCHAR), 2, '0') || ':00', agent, coalesce(model_raw, ''), output_total FROM events_ WHERE local_day = DATE '1997-07-04') GROUP BY ALL"""
 )
 def a27_grains(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.col("local_day")
     labels = {"day": F.date_format(day, "yyyy-MM-dd"), "week": cal.week_label(day), "month": cal.month_label(day)}
     spread = usage_events(spark, sf_dir).select("agent", F.coalesce("model_raw", F.lit("")).alias("model"), "output_total", F.explode(F.array(*[F.struct(F.lit(g).alias("grain"), c.alias("label")) for g, c in labels.items()])).alias("p"))
-    return spread.groupBy("p.grain", "p.label", "agent", "model").agg(F.count("*").alias("requests"), F.sum("output_total").alias("output"))
+    today = usage_events(spark, sf_dir, "1997-07-04", "1997-07-04").where("local_day = DATE'1997-07-04'").select(
+        "agent", F.coalesce("model_raw", F.lit("")).alias("model"), "output_total", F.struct(F.lit("hour").alias("grain"), F.concat(F.lpad(F.col("local_hour").cast("string"), 2, "0"), F.lit(":00")).alias("label")).alias("p")
+    )
+    return spread.unionByName(today).groupBy("p.grain", "p.label", "agent", "model").agg(F.count("*").alias("requests"), F.sum("output_total").alias("output"))
 
 
 @query(
     WITH
-    + """SELECT source_instance_id, source_record_key, occurred_at_ms, agent, total_tokens, count(*) OVER () AS total FROM events_ WHERE agent = 'Brand#11' AND attribution_status = 'verified'
+    + """SELECT source_instance_id, source_record_key, occurred_at_ms, agent, total_tokens, coalesce(nullif(trim(model_raw), ''), 'unknown') AS label, count(*) OVER () AS total FROM events_ WHERE agent = 'Brand#11' AND attribution_status = 'verified'
     QUALIFY row_number() OVER (ORDER BY occurred_at_ms DESC, source_instance_id, source_record_key, part_key, supplier_key) BETWEEN 201 AND 400"""
 )
 def o1_detail_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = usage_events(spark, sf_dir).where("agent = 'Brand#11' AND attribution_status = 'verified'")
     page = activity.page(events, ["source_instance_id", "source_record_key", "part_key", "supplier_key"], 200, 200)
-    return page.select("source_instance_id", "source_record_key", "occurred_at_ms", "agent", "total_tokens", "total")
+    return page.select("source_instance_id", "source_record_key", "occurred_at_ms", "agent", "total_tokens", "label", "total")
+
+
+@query(
+    ROLL
+    + """, s AS (SELECT 'model' AS axis, model AS name, CAST(sum(total_sum) AS BIGINT) AS tokens FROM roll GROUP BY model UNION ALL SELECT 'agent', agent, CAST(sum(total_sum) AS BIGINT) FROM roll GROUP BY agent UNION ALL SELECT 'period', strftime(local_day, '%Y-%m'), CAST(sum(total_sum) AS BIGINT) FROM roll GROUP BY 2)
+    SELECT *, CAST(row_number() OVER (PARTITION BY axis ORDER BY name) AS INTEGER) AS by_name, CAST(row_number() OVER (PARTITION BY axis ORDER BY tokens DESC NULLS LAST, name) AS INTEGER) AS by_value FROM s"""
+)
+def o4_ordered_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = {"model": F.col("model"), "agent": F.col("agent"), "period": cal.month_label(F.col("local_day"))}
+    return activity.ordered(daily(spark, sf_dir), named, "total_sum")
 
 
 @query("SELECT event_id, ts, user_id, props FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id LIMIT 500")

@@ -66,9 +66,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each line item, before totals and qualities are derived."""
+def raw_events(spark: SparkSession, sf_dir: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """One row for each line item, before totals and qualities are derived.
+
+    ``first`` and ``last``: local days that the caller is going to keep; the scan then skips dates a day further off.
+    """
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    if first:
+        orders = orders.where(F.col("o_orderdate") >= F.date_sub(F.lit(first).cast("date"), 1).cast("timestamp_ntz"))
+    if last:
+        orders = orders.where(F.col("o_orderdate") < F.date_add(F.lit(last).cast("date"), 2).cast("timestamp_ntz"))
     parts, suppliers, nations = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
     joined = (
         lines.join(orders, lines.l_orderkey == orders.o_orderkey)
@@ -80,11 +87,14 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(*[F.expr(e).alias(c) for c, e in RAW.items()], at.alias("occurred_at_ms"))
 
 
-def usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All columns of an event, with totals, quality bucket, known-value columns, and its local day and hour."""
+def usage_events(spark: SparkSession, sf_dir: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """All columns of an event, with totals, quality bucket, known-value columns, and its local day and hour.
+
+    ``first`` and ``last`` as in ``raw_events``.
+    """
     from meterframe.functions import calendar
 
-    out = raw_events(spark, sf_dir)
+    out = raw_events(spark, sf_dir, first, last)
     for layer in (TOTALS, SUMS, KNOWN_COLUMNS):
         out = out.select("*", *[F.expr(e).alias(c) for c, e in layer.items()])
     local = calendar.local_time(F.col("occurred_at_ms"), ZONE)

@@ -11,26 +11,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from meterframe.operators.ordered import judged
+
 TTL_MS = 90 * 86_400_000
 _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def judged(new, value: int | None, at: int | None) -> tuple[str, int | None, bool]:
-    """(outcome, amount, whether it becomes the baseline) of an observation after a baseline."""
-    if value is None:
-        return "first", new.value, True
-    same = new.at == at
-    if new.at < at or same and new.value != value:
-        return "out_of_order", None, False
-    if same:
-        return "delta", 0, False
-    if new.reset:
-        return "reset", new.value, True
-    if new.value >= value:
-        return "delta", new.value - value, True
-    return "regression", None, False
-
-
 class Counters(StatefulProcessor):
     """T4: each observation of a cumulative counter with its outcome; the baseline is kept by key."""
 
