@@ -40,9 +40,9 @@ from meterframe.llm.shared import bucketed, checkpointed, shuffle_partitions
 ORDER = 2
 TOP = 5
 HELD_BACK = 0.5
-PAGE_BYTES = 12 << 20
+PAGE_BYTES = 6 << 20
 #: Bytes of text for each partition of a table.
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 FOLDS = 10
 _U = np.uint64
 END = b""
