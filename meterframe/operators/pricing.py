@@ -6,10 +6,12 @@ shuffle and makes no rows: a price book is small, and Spark broadcasts it as lon
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterframe.functions.scalars import component_amount, model_key, official_providers, reference_model
+from meterframe.functions.scalars import DATED_ALIASES, component_amount, model_key, official_providers, price_substitutes, reference_model
 
 UNIT = 100_000_000
 _ROW = ("priority", "from_ms", "price_id", "to_ms", "provider", "model", "model_key", "region", "channel", "official", "currency", "threshold", "input_rate", "read_rate", "write_rate", "output_rate")
@@ -52,11 +54,68 @@ def choose(events: DataFrame, prices: DataFrame, configured: dict[str, tuple[str
 
     A tariff of the event's own provider counts in its configured region and channel. Otherwise the official vendors'
     tariffs of the same model are a reference, unless they disagree. The tier is the highest that the input reaches.
+
+    What depends on the model, the provider and the time alone is worked out once for each of their combinations, time
+    being cut where any tariff begins or ends; events are joined with that small table and settle their tier.
     """
     at = F.col("occurred_at_ms") if at_ms is None else at_ms
+    ends = sorted({t for r in prices.select(F.explode(F.array("from_ms", "to_ms")).alias("t")).where("t is not null").distinct().collect() for t in r})
+    dated = max((since for since, _ in DATED_ALIASES.values()), default=0)
+    named = events.withColumns({"segment_": _segment(at, ends), "dated_": F.coalesce(F.col("occurred_at_ms") >= dated, F.lit(False))})
+    keys = ["model_raw", "provider_id", "segment_", "dated_"]
+    starts = F.lit([ends[0] - 1 if ends else 0, *ends])
+    combos = named.select(*keys).distinct().withColumns({"occurred_at_ms": F.when(F.col("dated_"), dated).otherwise(0).cast("long"), "at_": starts[F.col("segment_")]})
+    offers = _offers(combos, prices, configured).select(*[F.col(k).alias(f"k_{k}") for k in keys], "tiers", "provider_", "mixed_", "fell_", "empty_", "ambiguous_", "missing_", "model_key_")
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"k_{k}"))
+    out = named.join(offers, same, "left").drop(*[f"k_{k}" for k in keys])
+
+    size = F.coalesce("input_total", F.col("input_uncached") + F.col("input_cache_read") + F.col("input_cache_write"))
+    reached = F.when(size.isNotNull(), F.filter("tiers", lambda r: r.threshold <= size)).otherwise(F.col("tiers"))
+    # the greatest threshold reached; of equal ones the first
+    best = F.aggregate(reached, F.lit(None).cast(_element(out, "tiers")), lambda a, r: F.when(a.isNull() | (r.threshold > a.threshold), r).otherwise(a))
+    tokens = [F.col(c) for c in ("input_uncached", "input_cache_read", "input_cache_write", "input_total", "output_total")]
+    negative = F.lit(False)
+    for t in tokens:
+        negative |= F.coalesce(t < 0, F.lit(False))
+    anomaly = negative | F.coalesce(F.col("input_cache_read") + F.col("input_cache_write") > F.col("input_total"), F.lit(False))
+    tiered = F.exists("tiers", lambda r: r.threshold != 0)
+    reason = (
+        F.when(F.coalesce("model_key_", F.lit("")) == "", "no_model")
+        .when(F.coalesce(*tokens).isNull(), "no_known_usage")
+        .when(anomaly, "token_anomaly")
+        .when(F.col("mixed_"), "channel_unknown")
+        .when(F.col("empty_"), F.col("missing_"))
+        .when(F.col("ambiguous_"), "model_ambiguous")
+        .when(size.isNull() & tiered, "tier_ambiguous")
+    )
+    out = _settled(out.withColumns({"why_": reason, "tariff_": best}), "why_", "tariff_")
+    out = out.withColumn("reason", F.coalesce("why_", F.when(F.col("tariff_").isNull(), "no_price_row")))
+    return out.select(*events.columns, "reason", F.when(F.col("reason").isNull(), F.col("tariff_")).alias("tariff"), (F.col("reason").isNull() & F.col("fell_")).alias("official_fallback"), "tiers", "provider_")
+
+
+def _element(df: DataFrame, column: str):
+    return df.schema[column].dataType.elementType
+
+
+def _segment(at: Column, ends: list[int]) -> Column:
+    """How many of the sorted instants have come: by groups of them first, then inside the group."""
+    if not ends:
+        return F.lit(0)
+    step = math.isqrt(len(ends) - 1) + 1
+    groups = [ends[i : i + step] for i in range(0, len(ends), step)]
+    group = F.size(F.filter(F.lit([g[-1] for g in groups]), lambda e: e <= at))
+    inside = F.try_element_at(F.array(*[F.lit(g) for g in groups]), group + 1)
+    return F.coalesce(F.least(group * step + F.coalesce(F.size(F.filter(inside, lambda e: e <= at)), F.lit(0)), F.lit(len(ends))), F.lit(0))
+
+
+def _offers(combos: DataFrame, prices: DataFrame, configured: dict[str, tuple[str, str]]) -> DataFrame:
+    """Rows of (model_raw, provider_id, occurred_at_ms, at_) with the tiers that are offered, and what stands against them."""
+    at = F.col("at_")
     provider = F.coalesce(F.lower(F.trim("provider_id")), F.lit(""))
     places = F.create_map(*[x for name, (region, channel) in configured.items() for x in (F.lit(name), F.struct(F.lit(region).alias("region"), F.lit(channel).alias("channel")))])
-    keyed = events.withColumns({"model_key_": model_key(F.col("model_raw")), "provider_": provider})
+    keyed = combos.withColumns({"model_key_": model_key(F.col("model_raw")), "provider_": provider})
     keyed = keyed.withColumn("reference_", reference_model(F.col("model_raw"), F.col("provider_id"), F.col("occurred_at_ms")))
     keyed = keyed.withColumns({"place_": F.try_element_at(places, F.col("provider_")), "vendors_": official_providers(F.col("reference_"))})
     known = book(prices)
@@ -90,33 +149,36 @@ def choose(events: DataFrame, prices: DataFrame, configured: dict[str, tuple[str
     out = out.withColumn("spelled_", F.when(F.size("exact_") > 0, F.col("exact_")).when(F.size("byref_") > 0, F.col("byref_")).otherwise(F.col("rows_")))
     out = out.withColumn("ambiguous_", F.size(_same(F.col("spelled_"), "model")) != F.size("spelled_")).withColumn("tiers", _same(F.col("spelled_"), "priority"))
     out = _settled(out.drop("exact_", "byref_", "spelled_"), "ambiguous_", "tiers")
-    size = F.coalesce("input_total", F.col("input_uncached") + F.col("input_cache_read") + F.col("input_cache_write"))
-    reached = F.filter("tiers", lambda r: r.threshold <= size)
-    out = out.withColumn("reached_", F.when(size.isNotNull(), reached).otherwise(F.col("tiers")))
-    best = F.array_max(F.transform("reached_", lambda r: r.threshold))
-    out = out.withColumn("tariff_", F.try_element_at(F.filter("reached_", lambda r: r.threshold == best), F.lit(1)))
-
-    out = _settled(out.drop("reached_"), "tariff_")
-    tokens = [F.col(c) for c in ("input_uncached", "input_cache_read", "input_cache_write", "input_total", "output_total")]
-    negative = F.lit(False)
-    for t in tokens:
-        negative |= F.coalesce(t < 0, F.lit(False))
-    anomaly = negative | F.coalesce(F.col("input_cache_read") + F.col("input_cache_write") > F.col("input_total"), F.lit(False))
-    empty = F.coalesce(F.size("rows_"), F.lit(0)) <= 0
     missing = F.when(F.size("vendors_") > 0, "no_price_row").when(F.col("provider_") == "", "no_provider").when(F.col("place_").isNull(), "channel_unknown").otherwise("no_price_row")
-    tiered = F.exists("tiers", lambda r: r.threshold != 0)
-    reason = (
-        F.when(F.coalesce("model_key_", F.lit("")) == "", "no_model")
-        .when(F.coalesce(*tokens).isNull(), "no_known_usage")
-        .when(anomaly, "token_anomaly")
-        .when(F.col("mixed_"), "channel_unknown")
-        .when(empty, missing)
-        .when(F.col("ambiguous_"), "model_ambiguous")
-        .when(size.isNull() & tiered, "tier_ambiguous")
-        .when(F.col("tariff_").isNull(), "no_price_row")
-    )
-    out = _settled(out.withColumn("reason", reason), "reason")
-    return out.select(*events.columns, "reason", F.when(F.col("reason").isNull(), F.col("tariff_")).alias("tariff"), (F.col("reason").isNull() & F.col("fell_")).alias("official_fallback"), "tiers", "provider_")
+    return out.withColumns({"empty_": F.coalesce(F.size("rows_"), F.lit(0)) <= 0, "missing_": missing})
+
+
+def substituted(events: DataFrame, prices: DataFrame, configured: dict[str, tuple[str, str]], at_ms: Column | None = None) -> DataFrame:
+    """``choose`` for current reference prices: an event without a price row takes the first substitute model that has one.
+
+    ``substitute`` names it. Of a substitute only official vendors' tariffs count; where it is the model itself without
+    ``-preview``, its provider's configured ones as well.
+    """
+    first = choose(events, prices, configured, at_ms)
+    columns = [c for c in first.columns if c not in ("reason", "tariff", "official_fallback", "tiers", "provider_")]
+    lacking = F.coalesce(F.col("reason").isin("no_price_row", "channel_unknown", "no_provider") & (F.size(F.coalesce("tiers", F.array())) <= 0), F.lit(False))
+    at = F.col("occurred_at_ms") if at_ms is None else at_ms
+    reference = reference_model(F.col("model_raw"), F.col("provider_id"), F.col("occurred_at_ms"))
+    models = first.where(lacking).select("model_raw", "provider_id", reference.alias("reference_"), at.alias("at_")).distinct()
+    asked = models.select("*", F.posexplode(price_substitutes(F.col("reference_"), F.col("provider_id"))).alias("place_", "substitute"))
+    known = prices.withColumns({"key_": model_key(F.col("model")), "provider_key_": F.lower("provider")})
+    provider = F.coalesce(F.lower(F.trim("provider_id")), F.lit(""))
+    spots = F.array(*[F.lit(f"{n}|{r}|{c}") for n, (r, c) in configured.items()]) if configured else F.array().cast("array<string>")
+    at_home = (F.col("provider_key_") == provider) & F.array_contains(spots, F.concat_ws("|", "provider_key_", F.lower("region"), F.lower("channel"))) & (F.concat(F.col("substitute"), F.lit("-preview")) == F.col("reference_"))
+    vendors = official_providers(F.col("substitute"))
+    sold = F.col("official") & F.array_contains(vendors, F.col("provider_key_"))
+    offered = asked.join(known, F.col("substitute") == F.col("key_")).where((F.col("from_ms") <= F.col("at_")) & (F.col("to_ms").isNull() | (F.col("at_") < F.col("to_ms"))) & (at_home | sold))
+    best = offered.groupBy("model_raw", "provider_id", "at_").agg(F.min_by("substitute", "place_").alias("substitute"))
+    marked = first.withColumns({"lacking_": lacking, "at_": at}).alias("e").join(best.alias("b"), F.col("lacking_") & F.col("e.model_raw").eqNullSafe(F.col("b.model_raw")) & F.col("e.provider_id").eqNullSafe(F.col("b.provider_id")) & (F.col("e.at_") == F.col("b.at_")), "left").select("e.*", "b.substitute")
+    rest = marked.where("substitute is null").drop("lacking_", "at_")
+    again = marked.where("substitute is not null").select(*columns, "substitute").withColumns({"raw_": F.col("model_raw"), "model_raw": F.col("substitute")})
+    priced = choose(again, prices, configured, at_ms).withColumn("model_raw", F.col("raw_")).drop("raw_")
+    return rest.unionByName(priced.select(*rest.columns))
 
 
 def amounts(priced: DataFrame, ttl: dict[str, int]) -> DataFrame:
