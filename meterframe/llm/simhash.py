@@ -28,6 +28,8 @@ NEAR_SHINGLE = 5
 NEAR = 0.8
 NEAR_RADIUS = 14
 NEAR_TILE = 1 << 17
+#: Nodes of one tile of what is still open after the first links.
+OPEN_TILE = 4096
 #: Buckets of the shingle counts that bound a pair's similarity from above before its texts are read.
 HISTOGRAM = 64
 #: Candidates of one pair of tiles that are held before they are cut down to a least spanning forest.
@@ -170,11 +172,11 @@ def spanning(n: int, i: np.ndarray, j: np.ndarray, far: np.ndarray) -> tuple[np.
     return np.concatenate(kept) if kept else np.zeros(0, np.int64), label
 
 
-def _near(a: np.ndarray, b: np.ndarray, radius: int, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _near(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(u, v, is_open) of the pairs within the radius of two tiles of records (node, bits, class) whose classes differ.
 
-    All of them if ``whole``, or where a component has at most four for each node; of a larger component only a
-    spanning forest of least distances, and each of its nodes beside itself, marked as open.
+    All of them where a component has at most four for each node; of a larger component only a spanning forest of least
+    distances, and each of its nodes beside itself, marked as open.
     """
     every = a if b is a else np.concatenate([a, b])
     offset = 0 if b is a else len(a)
@@ -192,7 +194,7 @@ def _near(a: np.ndarray, b: np.ndarray, radius: int, whole: bool) -> tuple[np.nd
         apart = every["cls"][x] != every["cls"][y] if b is not a else (x < y) & (every["cls"][x] != every["cls"][y])
         fresh.append((x[apart], y[apart], d[apart]))
         held += len(fresh[-1][0])
-        if not whole and held > HELD:
+        if held > HELD:
             i, j, far = (np.concatenate([v, *w]) for v, w in zip((i, j, far), zip(*fresh, strict=True), strict=True))
             cut[i] = cut[j] = True
             kept, _ = spanning(len(every), i, j, far)
@@ -200,8 +202,6 @@ def _near(a: np.ndarray, b: np.ndarray, radius: int, whole: bool) -> tuple[np.nd
     if fresh:
         i, j, far = (np.concatenate([v, *w]) for v, w in zip((i, j, far), zip(*fresh, strict=True), strict=True))
     node = every["node"]
-    if whole:
-        return node[i], node[j], np.zeros(len(i), bool)
     kept, label = spanning(len(every), i, j, far)
     pairs, nodes = np.bincount(label[i], minlength=len(every)), np.bincount(label, minlength=len(every))
     large = pairs > 4 * nodes
@@ -212,7 +212,7 @@ def _near(a: np.ndarray, b: np.ndarray, radius: int, whole: bool) -> tuple[np.nd
     return np.concatenate([node[i[part]], node[opened]]), np.concatenate([node[j[part]], node[opened]]), np.repeat([False, True], [part.sum(), len(opened)])
 
 
-def candidates(nodes: DataFrame, radius: int = NEAR_RADIUS, tile: int = NEAR_TILE, whole: bool = False) -> DataFrame:
+def candidates(nodes: DataFrame, radius: int = NEAR_RADIUS, tile: int = NEAR_TILE) -> DataFrame:
     """(u, v, is_open) of a table of (node, bits, cls): the pairs of ``_near`` of all pairs of tiles."""
     n = nodes.count()
     tiles = max(1, -(-n // tile), min(16, -(-n // 2048)))
@@ -232,12 +232,76 @@ def candidates(nodes: DataFrame, radius: int = NEAR_RADIUS, tile: int = NEAR_TIL
     def compare(table: pa.Table) -> pa.Table:
         sides = [np.frombuffer(x, record) for x in table.column("held").to_pylist()]
         same = table.column("a")[0].as_py() == table.column("b")[0].as_py()
-        u, v, opened = _near(sides[0], sides[0] if same else sides[1], radius, whole) if same or len(sides) > 1 else (*np.zeros((2, 0), np.int64), np.zeros(0, bool))
+        u, v, opened = _near(sides[0], sides[0] if same else sides[1], radius) if same or len(sides) > 1 else (*np.zeros((2, 0), np.int64), np.zeros(0, bool))
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "is_open": pa.array(opened, pa.bool_())})
 
     return grouped.mapInArrow(spread, "a int, b int, p int, held binary").groupBy("a", "b").applyInArrow(compare, "u long, v long, is_open boolean")
 
 
+def _texts_of(asked: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text), compressed, of the nodes asked for."""
+    from meterframe.llm import fingerprints
+
+    held = docs.select("node", "text").join(asked, "node").select("node", "text").mapInArrow(fingerprints._squeezed, "node long, text binary")
+    return written(held.groupBy("node").agg(F.any_value("text").alias("text")))
+
+
+def _decided(nodes: DataFrame, docs: DataFrame, radius: int, threshold: float, tile: int = OPEN_TILE) -> DataFrame:
+    """(u, v) links of verified similarity among (node, bits, cls), of all pairs within the radius whose classes differ.
+
+    Tiles are compared in pairs. The texts of nodes that have such a pair go to the tiles where they have it, once each;
+    there the nearest pairs are verified first, and a link spares the pairs of the classes that it joins.
+    """
+    from meterframe.llm import fingerprints
+
+    tiles = max(1, -(-nodes.count() // tile))
+    placed = nodes.withColumns({"i": F.pmod(F.xxhash64("node"), F.lit(tiles)).cast("int"), "j": F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))})
+    copied = placed.select("node", "bits", "cls", "i", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
+
+    def near(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(i, j, differing bits) of the pairs."""
+        bits, cls = np.asarray(table.column("bits")).view(_U), np.asarray(table.column("cls"))
+        left = np.asarray(table.column("i")) == table.column("a")[0].as_py()
+        same = table.column("a")[0].as_py() == table.column("b")[0].as_py()
+        rows, others = np.flatnonzero(left), np.flatnonzero(left if same else ~left)
+        found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8))]
+        for at in range(0, len(rows), 256):
+            some = rows[at : at + 256]
+            far = np.bitwise_count(bits[some, None] ^ bits[None, others])
+            x, y = np.nonzero((far <= radius) & (cls[some, None] != cls[None, others]) & ((some[:, None] < others[None, :]) | (not same)))
+            found.append((some[x], others[y], far[x, y]))
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+    def needed(table: pa.Table) -> pa.Table:
+        i, j, _ = near(table)
+        return table.take(pa.array(np.union1d(i, j)))
+
+    def decide(table: pa.Table) -> pa.Table:
+        node, cls = np.asarray(table.column("node")), table.column("cls").to_pylist()
+        sets = [fingerprints._shingles(t) for t in fingerprints._unsqueezed(table.column("text"))]
+        root = {c: c for c in cls}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        i, j, far = near(table)
+        u, v = [], []
+        for k in np.argsort(far, kind="stable").tolist():
+            x, y = int(i[k]), int(j[k])
+            a, b = find(cls[x]), find(cls[y])
+            if a != b and fingerprints._similar(sets[x], sets[y], threshold):
+                root[a] = b
+                u.append(node[x])
+                v.append(node[y])
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    wanted = written(copied.groupBy("a", "b").applyInArrow(needed, "node long, bits long, cls long, i int, a int, b int"))
+    read = _texts_of(written(wanted.select("node").distinct()), docs)
+    return wanted.join(read, "node").groupBy("a", "b").applyInArrow(decide, "u long, v long")
+
+
 def _verified(pairs: DataFrame, profiles: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """The pairs (u, v) whose texts are that similar. The texts of a pair are read only if its profiles leave it possible."""
     from meterframe.llm import fingerprints
@@ -255,7 +319,7 @@ def _verified(pairs: DataFrame, profiles: DataFrame, docs: DataFrame, threshold:
     left, right = beside(profiles, "profile")
     likely = written(pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(sliced(possible), "u long, v long"))
     asked = written(likely.select(F.explode(F.array("u", "v")).alias("node")).distinct())
-    left, right = beside(written(docs.select("node", "text").join(asked, "node").dropDuplicates(["node"])), "text")
+    left, right = beside(_texts_of(asked, docs), "text")
     held = likely.join(left, "u").join(right, "v").select(F.col("u").alias("head"), F.col("v").alias("cls"), "a", "b")
     return fingerprints.verified(held, threshold).select(F.col("head").alias("u"), F.col("cls").alias("v"))
 
@@ -285,9 +349,8 @@ def verified_near_duplicates(docs: DataFrame, keys: tuple[str, ...] = ("key",),
     classes = connected_components(links)
     opened = found.where("is_open").select(F.col("u").alias("node")).distinct()
     if not opened.isEmpty():
-        again = nodes.select("node", "bits").join(opened, "node").join(classes, "node", "left").select("node", "bits", F.coalesce("root", "node").alias("cls"))
-        more = written(candidates(checkpointed(again), radius, whole=True).select("u", "v"))
-        links = written(links.unionByName(_verified(more, profiles, docs, threshold)))
+        again = checkpointed(nodes.select("node", "bits").join(opened, "node").join(classes, "node", "left").select("node", "bits", F.coalesce("root", "node").alias("cls")))
+        links = written(links.unionByName(_decided(again, docs, radius, threshold)))
         classes = connected_components(links)
     of_node = checkpointed(nodes.join(classes, "node", "left").select("node", "n", F.coalesce("root", "node").alias("class_id")))
     return hot_join(signed.select(*keys, "node"), of_node, "node", "n", signed.count(), keys[0]).drop("node")
