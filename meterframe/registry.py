@@ -22,4 +22,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from meterframe.plans import costs, exchange, feeds, merges, names, ordered, records, retention, rows, shapes, summaries, tiers  # noqa: E402, F401
+from meterframe.plans import costs, exchange, feeds, merges, names, ordered, records, retention, rows, shapes, sources, summaries, tiers  # noqa: E402, F401
