@@ -114,18 +114,25 @@ def total_tokens(prefix: str = "", quality: str = "q_") -> tuple[Column, Column]
 
 
 def contradictions() -> Column:
-    """Codes of the contradictions among an event's token columns, in a fixed order."""
+    """(code, field, detail) of the contradictions among an event's token columns, in a fixed order."""
     c = F.col
     total, _ = total_tokens()
+    both = c("input_cache_read").cast("decimal(38,0)") + c("input_cache_write")
+    # Codes, fields, and how a detail names its values.
     checks = (
-        ("cache_read_exceeds_input_total", c("input_cache_read") > c("input_total")),
-        ("cache_write_exceeds_input_total", c("input_cache_write") > c("input_total")),
-        ("cache_sum_exceeds_input_total", c("input_cache_read").cast("decimal(38,0)") + c("input_cache_write") > c("input_total")),
-        ("reasoning_exceeds_output_total", c("output_reasoning") > c("output_total")),
-        ("uncached_exceeds_input_total", c("input_uncached") > c("input_total")),
-        ("source_total_mismatch", c("source_total") != total),
+        ("cache_read_exceeds_input_total", "input_cache_read", c("input_cache_read") > c("input_total"), ("cache_read ", c("input_cache_read"), " > input_total ", c("input_total"))),
+        ("cache_write_exceeds_input_total", "input_cache_write", c("input_cache_write") > c("input_total"), ("cache_write ", c("input_cache_write"), " > input_total ", c("input_total"))),
+        ("cache_sum_exceeds_input_total", "input_total", both > c("input_total"), ("cache_read ", c("input_cache_read"), " + cache_write ", c("input_cache_write"), " > input_total ", c("input_total"))),
+        ("reasoning_exceeds_output_total", "output_reasoning", c("output_reasoning") > c("output_total"), ("reasoning ", c("output_reasoning"), " > output_total ", c("output_total"))),
+        ("uncached_exceeds_input_total", "input_uncached", c("input_uncached") > c("input_total"), ("uncached ", c("input_uncached"), " > input_total ", c("input_total"))),
+        ("source_total_mismatch", "source_total", c("source_total") != total, ("source_total ", c("source_total"), " != normalized total ", total)),
     )
-    return F.array_compact(F.array(*[F.when(test, code) for code, test in checks]))
+
+    def row(code: str, field: str, test: Column, told: tuple) -> Column:
+        detail = F.concat(*[x.cast("string") if isinstance(x, Column) else F.lit(x) for x in told])
+        return F.when(test, F.struct(F.lit(code).alias("code"), F.lit(field).alias("field"), detail.alias("detail")))
+
+    return F.array_compact(F.array(*[row(*check) for check in checks]))
 
 
 def component_amount(tokens: Column, rate: Column) -> Column:

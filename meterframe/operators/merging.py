@@ -71,6 +71,20 @@ def upsert(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new, on, "full_outer").select(*columns, outcome.alias("outcome"))
 
 
+def affected_days(target: DataFrame, batch: DataFrame, keys: list[str], day: str) -> DataFrame:
+    """(day, added, updated, unchanged, skipped, conflict): how many rows of an upsert touch each day.
+
+    An update counts on the day that it takes the row from as well as on the one that it takes it to; all others on the
+    batch's day. Days that are only kept are not affected.
+    """
+    done = upsert(target, batch, keys).select(*keys, "outcome").where("outcome <> 'kept'")
+    old, new = target.select(*keys, F.col(day).alias("old_")), batch.select(*keys, F.col(day).alias("new_"))
+    both = done.join(old, keys, "left").join(new, keys, "left")
+    days = F.when(F.col("outcome") == "updated", F.array_distinct(F.array_compact(F.array("old_", "new_")))).otherwise(F.array("new_"))
+    counts = [F.count_if(F.col("outcome") == o).alias(o) for o in ("added", "updated", "unchanged", "skipped", "conflict")]
+    return both.select(F.explode(days).alias(day), "outcome").groupBy(day).agg(*counts)
+
+
 def first_occurrence(calls: DataFrame, identity: list[str], age: list[Column | str]) -> DataFrame:
     """Of calls of one identity the first by the age of its source."""
     return calls.withColumn("turn", F.row_number().over(Window.partitionBy(*identity).orderBy(*age))).where("turn = 1").drop("turn")

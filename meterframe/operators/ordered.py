@@ -78,6 +78,12 @@ def latest_samples(rows: DataFrame, keys: list[str], order: list[str], sample: C
     return found.withColumn("final", last_step)
 
 
+def tombstones(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """Samples of a rewritten file: those that it still has, and the keys that are gone from it as ``excluded``."""
+    gone = before.join(after.select(*keys).distinct(), keys, "left_anti").withColumn("status", F.lit("excluded"))
+    return after.withColumn("status", F.lit("verified")).unionByName(gone)
+
+
 def echoes(rows: DataFrame, key: str, order: list[str], total: str, last: str, compacted: Column) -> DataFrame:
     """``verdict`` on each snapshot's last call: new_call, compaction_echo, duplicate_report or no_evidence."""
     window = Window.partitionBy(key).orderBy(*order)
@@ -94,11 +100,15 @@ def echoes(rows: DataFrame, key: str, order: list[str], total: str, last: str, c
 
 
 def reconcile(details: DataFrame, totals: DataFrame, key: str) -> DataFrame:
-    """Sum of details against the native total: the difference and a verdict."""
+    """Sum of details, and what was carried over from before them, against the native total: the difference and a verdict.
+
+    ``totals``: key, native, and carried where the source tells it.
+    """
     sums = details.groupBy(key).agg(F.sum("amount").alias("detail"))
-    joined = totals.join(sums, key, "left")
-    gap = F.col("native") - F.coalesce("detail", F.lit(0))
-    return joined.select(key, "native", "detail", gap.alias("gap"), F.when(F.col("detail").isNull(), "no_detail").when(gap == 0, "match").when(gap > 0, "missing").otherwise("excess").alias("verdict"))
+    carried = F.coalesce("carried", F.lit(0)) if "carried" in totals.columns else F.lit(0)
+    joined = totals.join(sums, key, "left").withColumn("carried", carried.cast("long"))
+    gap = F.col("native") - F.coalesce("detail", F.lit(0)) - F.col("carried")
+    return joined.select(key, "native", "detail", "carried", gap.alias("gap"), F.when(F.col("detail").isNull(), "no_detail").when(gap == 0, "match").when(gap > 0, "missing").otherwise("excess").alias("verdict"))
 
 
 def active_path(nodes: DataFrame, tree: str, node: str, parent: str, order: str) -> DataFrame:

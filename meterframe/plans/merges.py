@@ -66,6 +66,25 @@ def u2_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merging.upsert(_side(rows, 0), _side(rows, 1), ["group_key", "line"]).select("group_key", "line", "outcome", "occurred_at_ms", "content")
 
 
+_DAY = "CAST(make_timestamp({0} * 1000) AS DATE)"
+
+
+@query(
+    f"""WITH {EVENTS}, versions AS (SELECT *, order_key AS group_key, line_number AS line, {_MD5} AS content FROM events_),
+    side AS (SELECT group_key, line, source_revision, lifecycle_rank, content, occurred_at_ms, supplier_key % 2 AS odd FROM versions QUALIFY row_number() OVER (PARTITION BY group_key, line, supplier_key % 2 ORDER BY occurred_at_ms, part_key, supplier_key) = 1),
+    o AS (SELECT * FROM side WHERE odd = 0), n AS (SELECT * FROM side WHERE odd = 1),
+    j AS (SELECT CASE WHEN o.content IS NULL THEN 'added' WHEN {_HIGHER.replace('s.', 'o.').replace('v.', 'n.')} THEN 'updated' WHEN {_EQUAL.replace('s.', 'o.').replace('v.', 'n.')} THEN CASE WHEN o.content = n.content THEN 'unchanged' ELSE 'conflict' END ELSE 'skipped' END AS outcome,
+      {_DAY.format('o.occurred_at_ms')} AS old_day, {_DAY.format('n.occurred_at_ms')} AS new_day FROM n LEFT JOIN o ON o.group_key = n.group_key AND o.line = n.line),
+    d AS (SELECT outcome, new_day AS day FROM j UNION ALL SELECT outcome, old_day FROM j WHERE outcome = 'updated' AND old_day <> new_day)
+    SELECT day, {', '.join(f"count(*) FILTER (outcome = '{o}') AS {o}" for o in ('added', 'updated', 'unchanged', 'skipped', 'conflict'))} FROM d GROUP BY 1"""
+)
+def u2_affected_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = versions(spark, sf_dir).withColumns({"group_key": F.col("order_key"), "line": F.col("line_number")})
+    day = F.to_date(F.timestamp_millis("occurred_at_ms"))
+    sides = [_side(rows, odd).withColumn("day", day) for odd in (0, 1)]
+    return merging.affected_days(*sides, ["group_key", "line"], "day")
+
+
 @query(f"WITH {EVENTS} SELECT origin_host, user_id, order_key, part_key, line_number, source_instance_id FROM events_ QUALIFY row_number() OVER (PARTITION BY origin_host, user_id, order_key, line_number ORDER BY supplier_key, part_key, source_record_key) = 1")
 def w11_u6_first_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = merging.first_occurrence(usage_events(spark, sf_dir), ["origin_host", "user_id", "order_key", "line_number"], ["supplier_key", "part_key", "source_record_key"])

@@ -76,14 +76,28 @@ def w6_latest_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {COUNTER}, d AS (SELECT user_id, CAST(sum(value % 11) AS BIGINT) AS detail FROM counter WHERE event_type <> 'signup' GROUP BY 1), t AS (SELECT user_id, CAST(sum(value % 11) + CASE WHEN user_id % 3 = 0 THEN user_id ELSE 0 END AS BIGINT) AS native FROM counter GROUP BY user_id)
-    SELECT user_id, native, detail, native - coalesce(detail, 0) AS gap, CASE WHEN detail IS NULL THEN 'no_detail' WHEN native = detail THEN 'match' WHEN native > detail THEN 'missing' ELSE 'excess' END AS verdict FROM t LEFT JOIN d USING (user_id)"""
+    SELECT *, CASE WHEN detail IS NULL THEN 'no_detail' WHEN gap = 0 THEN 'match' WHEN gap > 0 THEN 'missing' ELSE 'excess' END AS verdict FROM (
+      SELECT user_id, native, detail, carried, native - coalesce(detail, 0) - carried AS gap FROM (SELECT *, CASE WHEN user_id % 2 = 0 AND user_id % 3 = 0 THEN user_id ELSE 0 END AS carried FROM t) LEFT JOIN d USING (user_id))"""
 )
 def a19_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = counter(spark, sf_dir)
     totals = seen.groupBy("user_id").agg((F.sum(F.col("value") % 11) + F.when(F.col("user_id") % 3 == 0, F.col("user_id")).otherwise(0)).cast("long").alias("native"))
+    totals = totals.withColumn("carried", F.when((F.col("user_id") % 2 == 0) & (F.col("user_id") % 3 == 0), F.col("user_id")))
     return ordered.reconcile(seen.where("event_type <> 'signup'").select("user_id", (F.col("value") % 11).alias("amount")), totals, "user_id")
 
 
+@query(
+    f"""WITH {_STEPS}, k AS (SELECT user_id, step, arg_max(value, struct_pack(ts, event_id)) AS sample FROM steps GROUP BY ALL),
+    r AS (SELECT user_id, step, arg_max(value, struct_pack(ts, event_id)) AS sample FROM steps WHERE event_type <> 'view' AND step % 7 <> 2 GROUP BY ALL)
+    SELECT user_id, step, sample, 'verified' AS status FROM r UNION ALL SELECT user_id, step, sample, 'excluded' FROM k WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.user_id = k.user_id AND r.step = k.step)"""
+)
+def w6_tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rewrite of the log has lost views and some steps: the keys that are gone are excluded, not deleted."""
+    steps = ordered.numbered(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "error")
+    latest = lambda rows: ordered.latest_samples(rows, ["user_id", "step"], ["ts", "event_id"], F.col("value"), F.lit(True)).select("user_id", "step", "sample")
+    return ordered.tombstones(latest(steps), latest(steps.where("event_type <> 'view' AND step % 7 <> 2")), ["user_id", "step"])
+
+
 _PARENT = "CASE WHEN turn = 0 THEN NULL WHEN turn % 5 = 3 AND turn >= 2 THEN turn - 2 ELSE turn - 1 END"
 
 

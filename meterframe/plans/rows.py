@@ -135,17 +135,26 @@ def f13_f14_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ODD = {"input_total": "CASE WHEN part_key % 8 = 0 THEN input_cache_read - 1 ELSE input_total END", "output_reasoning": "CASE WHEN part_key % 10 = 1 THEN output_total + 1 ELSE output_reasoning END"}
 
 
+_READ, _WRITE, _SUM = "input_cache_read", "input_cache_write", "coalesce(normal, total_tokens)"
+_CHECKS = (
+    ("cache_read_exceeds_input_total", "input_cache_read", f"{_READ} > input_total", f"concat('cache_read ', {_READ}, ' > input_total ', input_total)"),
+    ("cache_write_exceeds_input_total", "input_cache_write", f"{_WRITE} > input_total", f"concat('cache_write ', {_WRITE}, ' > input_total ', input_total)"),
+    ("cache_sum_exceeds_input_total", "input_total", f"{_READ} + {_WRITE} > input_total", f"concat('cache_read ', {_READ}, ' + cache_write ', {_WRITE}, ' > input_total ', input_total)"),
+    ("reasoning_exceeds_output_total", "output_reasoning", "output_reasoning > output_total", "concat('reasoning ', output_reasoning, ' > output_total ', output_total)"),
+    ("uncached_exceeds_input_total", "input_uncached", "input_uncached > input_total", "concat('uncached ', input_uncached, ' > input_total ', input_total)"),
+    ("source_total_mismatch", "source_total", f"source_total <> {_SUM}", f"concat('source_total ', source_total, ' != normalized total ', {_SUM})"),
+)
+
+
 @query(
     f"""WITH {EVENTS}, odd AS (SELECT * REPLACE ({', '.join(f'{e} AS {c}' for c, e in _ODD.items())}), CASE WHEN part_key % 9 = 2 THEN total_tokens + 5 ELSE NULL END AS source_total FROM events_),
     tests AS (SELECT *, coalesce(input_uncached + input_cache_read + input_cache_write, input_total) + output_total AS normal FROM odd),
-    codes AS (SELECT unnest([CASE WHEN input_cache_read > input_total THEN 'cache_read_exceeds_input_total' END, CASE WHEN input_cache_write > input_total THEN 'cache_write_exceeds_input_total' END,
-      CASE WHEN input_cache_read + input_cache_write > input_total THEN 'cache_sum_exceeds_input_total' END, CASE WHEN output_reasoning > output_total THEN 'reasoning_exceeds_output_total' END,
-      CASE WHEN input_uncached > input_total THEN 'uncached_exceeds_input_total' END, CASE WHEN source_total <> coalesce(normal, total_tokens) THEN 'source_total_mismatch' END]) AS code, agent FROM tests)
-    SELECT agent, code, count(*) AS n FROM codes WHERE code IS NOT NULL GROUP BY ALL"""
+    codes AS (SELECT unnest([{', '.join(f"CASE WHEN {test} THEN struct_pack(code := '{code}', field := '{name}', detail := {detail}) END" for code, name, test, detail in _CHECKS)}]) AS c, agent FROM tests)
+    SELECT agent, c.code AS code, c.field AS field, count(*) AS n, max(c.detail) AS detail FROM codes WHERE c IS NOT NULL GROUP BY ALL"""
 )
 def f15_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = usage_events(spark, sf_dir).withColumns({c: F.expr(e) for c, e in _ODD.items()} | {"source_total": F.expr("CASE WHEN part_key % 9 = 2 THEN total_tokens + 5 END")})
-    return odd.select("agent", F.explode(sc.contradictions()).alias("code")).groupBy("agent", "code").agg(F.count("*").alias("n"))
+    return odd.select("agent", F.explode(sc.contradictions()).alias("c")).groupBy("agent", "c.code", "c.field").agg(F.count("*").alias("n"), F.max("c.detail").alias("detail"))
 
 
 @query(WITH + "SELECT quality_bucket, record_kind, count(*) AS n FROM events_ GROUP BY ALL")
