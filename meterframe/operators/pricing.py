@@ -1,7 +1,7 @@
 """Pricing of events against versioned tariffs, in exact integers.
 
-The tariffs of a model travel with the event as one array, joined by model key, so that choosing among them takes no
-shuffle and makes no rows: a price book is small, and Spark broadcasts it as long as its size is under the threshold.
+Tariffs are chosen once for each combination of model, provider and span of time; events are joined with what they are
+offered, and only settle their tier.
 """
 
 from __future__ import annotations
@@ -207,6 +207,29 @@ def cost_rows(priced: DataFrame, *keys: str) -> DataFrame:
     return grouped.select(*keys, "currency", "events", "fallbacks", *[rounded(F.col(f"{n}_exact").cast("decimal(38,0)")).alias(f"{n}_amount") for n in SLOTS])
 
 
+def cost_modes(priced: DataFrame, micro: Column, kind: Column) -> DataFrame:
+    """One row for an event's estimate and one for the cost that its source names, reported or estimated by it.
+
+    ``exact`` is the numerator of minor units; unpriced events are estimates under an empty currency.
+    """
+    estimate = F.lit(0).cast("decimal(38,0)")
+    for slot in SLOTS:
+        estimate = estimate + F.coalesce(f"{slot}_exact", F.lit(0))
+    row = lambda mode, currency, exact, basis: F.struct(mode.alias("mode"), currency.alias("currency"), exact.cast("decimal(38,0)").alias("exact"), basis.alias("basis"))
+    own = row(F.lit("estimate"), F.coalesce("tariff.currency", F.lit("")), estimate, F.col("tariff.price_id"))
+    native = F.when(micro.isNotNull(), row(F.concat(F.lit("source_"), kind), F.lit("USD"), micro * (UNIT // 10_000), F.lit(None).cast("string")))
+    return priced.select("*", F.explode(F.array_compact(F.array(own, native))).alias("c")).select(*priced.columns, "c.*")
+
+
+def cost_summary(modes: DataFrame, revision: str) -> DataFrame:
+    """Amounts, events, bases and the latest revision by mode and currency, and beside these by reason, model or day."""
+    axis = F.when(F.grouping("reason") == 0, "reason").when(F.grouping("model") == 0, "model").when(F.grouping("local_day") == 0, "day").otherwise("total")
+    keys = [F.col(c) for c in ("mode", "currency", "reason", "model", "local_day")]
+    sets = [[*keys[:2], *more] for more in ([], keys[2:3], keys[3:4], keys[4:5])]
+    total = rounded(F.sum("exact").cast("decimal(38,0)"))
+    return modes.groupingSets(sets, *keys).agg(axis.alias("axis"), F.count("*").alias("events"), F.count_distinct("basis").alias("bases"), F.max(revision).alias("revision"), total.alias("amount"))
+
+
 def bounds(priced: DataFrame, *keys: str) -> DataFrame:
     """Lower and upper cost where request sizes are lost: the least and the greatest rate among a group's tiers."""
     out = priced.where(F.size("tiers") > 0)

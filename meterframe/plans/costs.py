@@ -76,6 +76,24 @@ def a18_cost_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return priced(spark, sf_dir).groupBy(F.lower("agent").alias("agent"), F.coalesce("tariff.currency", F.lit("")).alias("currency"), "reason").agg(F.count("*").alias("events"), F.count_distinct("tariff.price_id").alias("bases"), pricing.rounded(total).alias("amount"))
 
 
+_TOTAL = " + ".join(f"coalesce({n}_exact, 0)" for n in pricing.SLOTS)
+
+
+@query(
+    f"""WITH {CHOSEN}, {EXACT}, m AS (SELECT local_day, coalesce(lower(model_raw), '') AS model, reason, part_key, 'estimate' AS mode, coalesce(tariff.currency, '') AS currency, {_TOTAL} AS exact, tariff.price_id AS basis FROM exact
+      UNION ALL SELECT local_day, coalesce(lower(model_raw), ''), reason, part_key, CASE WHEN part_key % 8 = 0 THEN 'source_reported' ELSE 'source_estimated' END, 'USD', CAST(floor(part_key % 50 * 1000.0 + 0.5) AS HUGEINT) * 10000, NULL FROM exact WHERE part_key % 4 = 0)
+    SELECT mode, currency, CASE WHEN grouping(reason) = 0 THEN 'reason' WHEN grouping(model) = 0 THEN 'model' WHEN grouping(local_day) = 0 THEN 'day' ELSE 'total' END AS axis, reason, model, local_day, count(*) AS events, count(DISTINCT basis) AS bases, max(part_key) AS revision,
+      {_ROUND.format('sum(exact)')} AS amount FROM m GROUP BY GROUPING SETS ((mode, currency), (mode, currency, reason), (mode, currency, model), (mode, currency, local_day))"""
+)
+def a16_a18_cost_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimates beside the costs that sources name: a quarter of the events has one, half of these billed."""
+    from meterframe.operators.buckets import cost_kind
+
+    micro, kind = cost_kind(F.when(F.col("part_key") % 4 == 0, (F.col("part_key") % 50) / F.lit(1000.0)), F.col("part_key") % 8 == 0)
+    rows = priced(spark, sf_dir).withColumn("model", F.coalesce(F.lower("model_raw"), F.lit("")))
+    return pricing.cost_summary(pricing.cost_modes(rows, micro, kind), "part_key").select("mode", "currency", "axis", "reason", "model", "local_day", "events", "bases", "revision", "amount")
+
+
 @query(
     f"""WITH {CHOSEN}, b AS (SELECT model_raw, list_min(list_transform(tiers, lambda r: r.input_rate)) AS li, list_max(list_transform(tiers, lambda r: r.input_rate)) AS hi,
     list_min(list_transform(tiers, lambda r: r.output_rate)) AS lo, list_max(list_transform(tiers, lambda r: r.output_rate)) AS ho, CAST(input_uncached AS HUGEINT) AS u, CAST(output_total AS HUGEINT) AS o FROM chosen WHERE len(tiers) > 0)
