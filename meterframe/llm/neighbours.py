@@ -176,11 +176,19 @@ _FOUND = "row long, query_id long, vec_id long, score double"
 _PLACE = ["size", "cell", "part"]
 
 
-def _search(vectors: DataFrame, asked: DataFrame, k: int, confidence: float) -> DataFrame:
-    """asked: row, size, cell, part, query_id, embedding, bound.
+def _blocks(vectors: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vectors and queries by block: a cell part's queries are cut into blocks of about ``QUERIES``, and only its own vectors
+    are copied for each of them."""
+    blocks = asked.groupBy(*_PLACE).agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks"))
+    turn = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
+    asked = asked.join(blocks, _PLACE).withColumn("block", turn).drop("blocks")
+    copies = blocks.select(*_PLACE, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    held = vectors.select(*_PLACE, "vec_id", "embedding").join(copies, _PLACE)
+    return held, asked.toDF(*asked.columns)  # columns of its own, for the grouping by both sides
 
-    A cell part's queries are cut into blocks of about ``QUERIES``; only its own vectors are copied for each of them.
-    """
+
+def _search(vectors: DataFrame, asked: DataFrame, k: int, confidence: float) -> DataFrame:
+    """asked: row, size, cell, part, query_id, embedding, bound."""
     stop = quantile(confidence)
 
     def run(held: pa.Table, queries: pa.Table) -> pa.Table:
@@ -195,13 +203,7 @@ def _search(vectors: DataFrame, asked: DataFrame, k: int, confidence: float) ->
         row, own, name, score = zip(*rows, strict=True) if rows else ((), (), (), ())
         return pa.table({"row": pa.array(row, pa.int64()), "query_id": pa.array(own, pa.int64()), "vec_id": pa.array(name, pa.int64()), "score": pa.array(score, pa.float64())})
 
-    asked = checkpointed(asked)  # read twice: for the blocks and for the queries
-    blocks = asked.groupBy(*_PLACE).agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks"))
-    turn = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
-    asked = asked.join(blocks, _PLACE).withColumn("block", turn).drop("blocks")
-    asked = asked.toDF(*asked.columns)  # columns of its own, for the grouping by both sides
-    copies = blocks.select(*_PLACE, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    held = vectors.select(*_PLACE, "vec_id", "embedding").join(copies, _PLACE)
+    held, asked = _blocks(vectors, checkpointed(asked))
     keys = [*_PLACE, "block"]
     return held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(run, _FOUND)
 

@@ -42,6 +42,25 @@ def test_stages(spark, tmp_path):
     assert max(bins.values()) <= 2048
 
 
+def test_long_texts_clashing_columns_and_one_source(spark, tmp_path):
+    """A very long text goes whole through every stage; columns of the stages' own names and a single source change nothing."""
+    from pyspark.sql import functions as F
+
+    long = " ".join(f"{w}{i % 97}" if i % 5 == 0 else w for i, w in enumerate((SPOKEN["en"] + " ").split() * 6000))
+    rows = [(i, f"{SPOKEN['en']} and {i} more of the same river house {'x' * i}.", "en", "s", 1) for i in range(12)] + [(50, long + ".", "en", "s", 1), (51, None, None, "s", None)]
+    clash = ["k1", "k2", "key", "node", "bits", "row", "at", "src", "size", "piece", "grp", "kept", "range"]
+    docs = spark.createDataFrame(rows, SCHEMA).select("*", *[F.lit("clash").alias(c) for c in clash])
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        out.write.parquet(f"{tmp_path}/stage{k}")
+        docs = spark.read.parquet(f"{tmp_path}/stage{k}")
+        if k < 3:
+            assert {r.doc_id: r.text for r in docs.where("doc_id = 50").collect()} == {50: long + "."}
+            docs = docs.select("*", *[F.lit("clash").alias(c) for c in clash])
+    pieces = docs.where("doc_id = 50").collect()
+    assert sum(r.length for r in pieces) > 100_000 and max(r.length for r in pieces) == 2048
+
+
 def test_empty_folder(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
