@@ -29,7 +29,7 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the corpus declares."""
-    evidence = language.document_evidence(docs.select("*", *_keys()), KEYS)
+    evidence = language.document_evidence(docs.select(*COLUMNS, *_keys()), KEYS)
     return _without(docs, language.identify(evidence, language.fit(evidence), KEYS).where("not kept"))
 
 
