@@ -32,6 +32,8 @@ LEAST = 0.6
 #: The most bands that are looked for as large, and the parts that these are cut into; bands of at most ``PART`` texts are not cut.
 HEAVY = 100
 PART = 10_000
+#: Bits of the filter by which texts that are asked for are found.
+MARKS = 1 << 26
 #: Texts of one tile of a band.
 TILE = 2048
 _U = np.uint64
@@ -116,6 +118,45 @@ def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.binary())], batch.schema.names)
 
 
+def _marked(keys: DataFrame, column: str) -> np.ndarray:
+    """A bit for each residue of the long keys modulo ``MARKS``: a filter of a fixed size, whatever the number of keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        bits = np.zeros(MARKS, bool)
+        for batch in batches:
+            bits[np.asarray(batch.column(0)) % MARKS] = True
+        yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(np.packbits(bits).tobytes())], pa.binary())], ["bits"])
+
+    import zstandard
+
+    out = np.zeros(MARKS // 8, np.uint8)
+    for row in keys.select(column).coalesce(8).mapInArrow(run, "bits binary").collect():  # at most eight rows
+        out |= np.frombuffer(zstandard.decompress(row.bits), np.uint8)
+    return out
+
+
+def matching(texts: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The rows of ``texts`` (longs, and last the text) whose ``column`` may be among that of ``keys``, with their texts compressed.
+
+    Only these go into a join with the keys: the shuffle grows with what is asked for, not with all texts.
+    """
+    marks = _marked(keys, column)
+    names = texts.columns
+    at = names.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def kept() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                place = np.asarray(batch.column(at)) % MARKS
+                yield batch.filter(pa.array((marks[place >> 3] >> (7 - (place & 7)) & 1).astype(bool)))
+
+        yield from _squeezed(kept())
+
+    return texts.mapInArrow(run, ", ".join([*[f"{n} long" for n in names[:-1]], f"{names[-1]} binary"]))
+
+
 def _unsqueezed(column) -> list[bytes]:
     import zstandard
 
@@ -338,7 +379,7 @@ def _rest(held: DataFrame, nodes: DataFrame, classes: DataFrame, texts: DataFram
 def _texts_of(asked: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, text), compressed, of the nodes asked for."""
     keys = written(nodes.select("h1", "h2", "node").join(written(asked), "node"))
-    held = texts.join(keys, ["h1", "h2"]).select("node", "text").mapInArrow(_squeezed, "node long, text binary")
+    held = matching(texts, "h1", keys).join(keys, ["h1", "h2"])
     return written(held.groupBy("node").agg(F.any_value("text").alias("text")))
 
 

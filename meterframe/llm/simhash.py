@@ -242,7 +242,7 @@ def _texts_of(asked: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, text), compressed, of the nodes asked for."""
     from meterframe.llm import fingerprints
 
-    held = docs.select("node", "text").join(asked, "node").select("node", "text").mapInArrow(fingerprints._squeezed, "node long, text binary")
+    held = fingerprints.matching(docs.select("node", "text"), "node", asked).join(asked, "node")
     return written(held.groupBy("node").agg(F.any_value("text").alias("text")))
 
 
