@@ -33,7 +33,7 @@ LEAST = 0.6
 HEAVY = 100
 PART = 10_000
 #: Bits of the filter by which texts that are asked for are found.
-MARKS = 1 << 26
+MARKS = 1 << 25
 #: Texts of one tile of a band.
 TILE = 2048
 _U = np.uint64

@@ -111,6 +111,33 @@ def test_near_duplicates_keep_every_link(spark, docs, none):
     assert {(r.doc_id, r.class_id) for r in fingerprints.edited_fingerprints(docs).collect()} == set(found.items())
 
 
+@pytest.mark.parametrize("marks", [8, 1 << 20])
+def test_asked_texts_are_found_by_a_filter(spark, monkeypatch, marks):
+    """However coarse the filter, no text that is asked for is lost; a fine one lets few others through."""
+    monkeypatch.setattr(fingerprints, "MARKS", marks)
+    ids = np.random.default_rng(11).integers(-(1 << 62), 1 << 62, 400).tolist()
+    texts = spark.createDataFrame([(i, f"text {i}") for i in ids], "h1 long, text string").repartition(3)
+    keys = spark.createDataFrame([(i,) for i in ids[:40]], "h1 long")
+    found = fingerprints.matching(texts, "h1", keys).collect()
+    import zstandard
+
+    assert set(ids[:40]) <= {r.h1 for r in found} and all(zstandard.decompress(bytes(r.text)).decode() == f"text {r.h1}" for r in found)
+    assert marks == 8 or len(found) < 45
+    assert fingerprints.matching(texts, "h1", keys.limit(0)).count() == 0
+
+
+def test_scratch_tables_can_be_cleared(spark):
+    import os
+
+    from meterframe.llm import shared
+
+    kept = shared.written(spark.range(3))
+    folder = shared.scratch_dir(spark).removeprefix("file:")
+    assert kept.count() == 3 and os.path.isdir(folder)
+    shared.clear(spark)
+    assert not os.path.exists(folder)
+
+
 def reached(texts):
     """The least place that each text reaches over pairs of Jaccard 0.8 or more, by trying all of them."""
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := words(t)) else set() for t in texts]
