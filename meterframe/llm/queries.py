@@ -140,3 +140,89 @@ def op2_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meterframe.llm.katz import score
 
     return score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_active_lloyd_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meterframe.llm.codes import compress
+
+    return compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+#: Whether a vector is there and all its components are finite.
+_FINITE = "embedding IS NOT NULL AND len(embedding) = len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x)))"
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Every round compares every part with every entry."""
+    steps = [
+        f"""rows_ AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, q) AS rid, vec_id, label, q
+  FROM (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings WHERE {_FINITE})),
+wide AS (SELECT greatest(1, CAST(ceil(coalesce(max(len(q)), 0) / {parts}.0) AS BIGINT)) AS w FROM rows_),
+piece AS MATERIALIZED (
+  SELECT rid, part, list_slice(list_resize(q, {parts} * w, 0), part * w + 1, part * w + w) AS x
+  FROM rows_, wide, (SELECT unnest(range({parts})) AS part)),
+comp AS MATERIALIZED (SELECT rid, part, generate_subscripts(x, 1) AS pos, unnest(x) AS v FROM piece),
+book0 AS MATERIALIZED (SELECT part, rid - 1 AS e, x AS c FROM piece WHERE rid <= {entries})"""
+    ]
+    dot = "list_inner_product(CAST({} AS DOUBLE[]), CAST({} AS DOUBLE[]))".format
+    for r in range(rounds + 1):
+        steps.append(
+            f"""near{r} AS MATERIALIZED (
+  SELECT rid, part, min(CAST({dot("x", "x")} - 2 * {dot("x", "c")} + {dot("c", "c")} AS BIGINT) * 256 + e) AS best
+  FROM piece JOIN book{r} USING (part) GROUP BY rid, part)"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""mean{r} AS (
+  SELECT part, e, list(m ORDER BY pos) AS c
+  FROM (SELECT c.part, best % 256 AS e, pos, CAST(floor(CAST(sum(v) AS DOUBLE) / count(*)) AS BIGINT) AS m FROM comp c JOIN near{r} USING (rid, part) GROUP BY c.part, best % 256, pos)
+  GROUP BY part, e),
+book{r + 1} AS MATERIALIZED (SELECT part, e, coalesce(m.c, b.c) AS c FROM book{r} b LEFT JOIN mean{r} m USING (part, e))"""
+            )
+    return "WITH " + ", ".join(steps) + f""",
+coded AS (
+  SELECT vec_id, label, string_agg(lpad(lower(to_hex(best % 256)), 2, '0'), '' ORDER BY part) AS code, CAST(sum(best // 256) AS BIGINT) AS error
+  FROM rows_ JOIN near{rounds} USING (rid) GROUP BY rid, vec_id, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, e)) FROM book{rounds}) AS codebooks_sha256
+FROM coded
+"""
+
+
+ORACLES["op11_active_lloyd_codes"] = _codes_sql()
+
+
+@query
+def op12_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meterframe.llm.licences import digest, scan
+
+    return digest(scan(table(spark, sf_dir, "documents")))
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from meterframe.llm.negatives import mine
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+ORACLES["op13_hard_negatives"] = f"""
+WITH rows_ AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings WHERE label IS NOT NULL AND {_FINITE}),
+scored AS MATERIALIZED (
+  SELECT a.rid AS arid, a.vec_id AS anchor_id, b.rid, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM rows_ a, rows_ b WHERE a.vec_id % 100 = 0 AND a.rid <> b.rid),
+positives AS (SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY arid ORDER BY score DESC, vec_id NULLS LAST) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id,
+       CAST(row_number() OVER (PARTITION BY p.arid, p.rid ORDER BY n.score DESC, n.vec_id NULLS LAST) AS INTEGER) AS rank,
+       n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.arid = p.arid AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+QUALIFY row_number() OVER (PARTITION BY p.arid, p.rid ORDER BY n.score DESC, n.vec_id NULLS LAST) <= 10
+"""

@@ -47,9 +47,21 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: later plans know its size, and may broadcast it if that is small."""
+    return written_at(df)[0]
+
+
+def written_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """``written``, and the folder, for tables that ``removed`` takes away before the job ends."""
     path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Takes away a table that nothing will read again."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
@@ -64,9 +76,7 @@ def clear(spark: SparkSession) -> None:
     """Removes what ``written`` and ``bucketed`` have left; for the end of a job, when its results are stored."""
     for table in spark.catalog.listTables(pattern="meterframe_*"):
         spark.sql(f"DROP TABLE IF EXISTS `{table.name}`")
-    context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    removed(spark, scratch_dir(spark))
 
 
 def hot_join(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, spread: str, how: str = "inner") -> DataFrame:
