@@ -146,7 +146,7 @@ def plain_base(text):
     return len(own), len(places), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places}))
 
 
-MIT = licences.NOTICES[17].text
+MIT, GPL = (next(t.text for t in licences.NOTICES if t.text.startswith(start)) for start in ("Permission is hereby", "This program is"))
 LICENSED = [
     (1, "released under the MIT License.", "mit"),
     (2, "is licensed under the GNU General Public License, version 3. See it.", "gpl,gpl-3.0"),
@@ -157,7 +157,7 @@ LICENSED = [
     (7, "", ""),
     (8, " \x00\x7f--", ""),
     (9, "Copyright (c) 2020 A B\n" + MIT.replace("software and", "software (c) A. Person and its"), "mit"),
-    (10, "# " + "\n# ".join(licences.NOTICES[19].text.split(" ")), "gpl"),
+    (10, "# " + "\n# ".join(GPL.split(" ")), "gpl"),
     (11, "Permission is hereby granted, free of charge, to deal in nothing; sublicense and or sell copies, to deal in the Software without restriction", ""),
     (12, "cc by cc by cc by émit license mit license", "cc-by,mit"),
     (13, "GNU Lesser General Public License and the GNU AFFERO General public license", "agpl,lgpl"),
