@@ -7,17 +7,24 @@ from pyspark.sql import functions as F
 
 from meterframe.registry import query
 from meterframe.sources import feeds
+from meterframe.sources.stored import logs
 from meterframe.sources.usage import table
 
-_LINE = "CASE WHEN event_id % 17 = 0 THEN concat('{', props) WHEN event_id % 19 = 0 THEN concat('[', props, ']') ELSE props END"
+_LINE = "CASE WHEN event_id % 17 = 0 THEN concat('{', props) WHEN event_id % 19 = 0 THEN concat('[', props, ']') WHEN event_id % 23 = 0 THEN '' ELSE props END"
 
 
-@query(f"SELECT event_type, CASE WHEN event_id % 17 = 0 OR event_id % 19 = 0 THEN 'not_an_object' END AS fault, count(*) AS n, CAST(sum(CASE WHEN event_id % 17 = 0 OR event_id % 19 = 0 THEN NULL ELSE CAST(json_extract(props, '$.k') AS BIGINT) END) AS BIGINT) AS k FROM events GROUP BY ALL")
+@query(
+    f"""WITH l AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_id, {_LINE} AS value, props FROM events),
+    p AS (SELECT *, row_number() OVER w AS line, CAST(coalesce(sum(octet_length(encode(value)) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM l WINDOW w AS (PARTITION BY day ORDER BY event_id))
+    SELECT day, line, "offset", CASE WHEN event_id % 17 = 0 OR event_id % 19 = 0 THEN 'not_an_object' END AS fault, CASE WHEN event_id % 17 = 0 OR event_id % 19 = 0 THEN NULL ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM p WHERE value <> ''"""
+)
 def s1_s4_json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "events").select("event_type", F.expr(_LINE).alias("value"))
-    good, bad = feeds.parsed(lines, "k bigint")
-    counted = good.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("k").alias("k")).withColumn("fault", F.lit(None).cast("string"))
-    return counted.select("event_type", "fault", "n", "k").unionByName(bad.groupBy("event_type", "fault").agg(F.count("*").alias("n"), F.lit(None).cast("long").alias("k")))
+    """The events as a log of JSON lines for each day: every record, and every bad line, by its line and offset."""
+    rows = table(spark, sf_dir, "events").select(F.to_date("ts").cast("string").alias("day"), "event_id", F.expr(_LINE).alias("value"))
+    place = logs(spark, sf_dir, "events", ("events",), rows, "day", ["event_id"])
+    good, bad = feeds.read_lines(spark, place, "k bigint")
+    day = F.regexp_extract("file", "day=([^/]+)", 1).alias("day")
+    return good.select(day, "line", "offset", F.lit(None).cast("string").alias("fault"), "k").unionByName(bad.select(day, "line", "offset", "fault", F.lit(None).cast("long").alias("k")))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'client' ELSE 'server' END AS kind, epoch_us(ts) // 1000 AS start_ms, CASE WHEN event_id % 3 = 2 THEN NULL ELSE user_id END AS tokens FROM events")

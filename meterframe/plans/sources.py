@@ -19,7 +19,7 @@ _NAMES = ("codex", "claude-code", "gemini", "qwen", "pi", "kimi-code", "otel")
 
 
 def _texts(lines: DataFrame) -> DataFrame:
-    """(file, source, value): each line item as a record of one of the sources; some are placeholders or lack a count."""
+    """(file, line, source, value): each line item as a record of one of the sources; some are placeholders, lack a count or are broken."""
     i, r, w, o, g = F.floor("l_quantity"), F.floor(F.col("l_discount") * 100), F.floor(F.col("l_tax") * 100), F.floor(F.col("l_extendedprice") / 100), F.col("l_linenumber")
     whole = i + r + w
     lacking = F.col("l_partkey") % 29 == 0
@@ -38,36 +38,39 @@ def _texts(lines: DataFrame) -> DataFrame:
     values = [
         text(type=F.lit("token_usage_record"), timestamp=at, payload=usage(response_id=key, model=model, usage=usage(input_tokens=whole, cached_input_tokens=r, cache_write_input_tokens=w, output_tokens=out, reasoning_output_tokens=g))),
         text(type=F.lit("assistant"), timestamp=at, requestId=key, isSidechain=g == 3, message=usage(model=model, usage=usage(input_tokens=i, cache_read_input_tokens=r, cache_creation_input_tokens=w, output_tokens=out))),
-        F.to_json(F.struct(F.array(F.struct(F.lit("gemini").alias("type"), key.alias("id"), at.alias("timestamp"), model.alias("model"), usage(input=i, cached=r, output=out, thoughts=g).alias("tokens"))).alias("messages"))),
-        text(type=F.lit("assistant"), timestamp=at, uuid=key, model=model, agentId=F.when(g == 3, "x"), usageMetadata=usage(promptTokenCount=i, cachedContentTokenCount=r, candidatesTokenCount=out, thoughtsTokenCount=g)),
+        F.to_json(F.struct(F.array(F.struct(F.lit("gemini").alias("type"), F.when(r != 7, key).alias("id"), at.alias("timestamp"), model.alias("model"), usage(input=i, cached=r, output=out, thoughts=g).alias("tokens"))).alias("messages"), key.alias("sessionId"))),
+        text(type=F.lit("assistant"), timestamp=at, uuid=F.when(r != 7, key), sessionId=key, model=model, agentId=F.when(g == 3, "x"), usageMetadata=usage(promptTokenCount=i, cachedContentTokenCount=r, candidatesTokenCount=out, thoughtsTokenCount=g)),
         text(type=F.lit("message"), timestamp=at, id=key, message=usage(model=model, usage=usage(input=i, cacheRead=r, cacheWrite=w, output=out, reasoning=g))),
-        text(type=F.lit("usage.record"), time=F.lit(1_704_067_200_000), model=model, usage=usage(inputOther=i, inputCacheRead=r, inputCacheCreation=w, output=out)),
+        text(type=F.lit("usage.record"), time=F.lit(1_704_067_200_000) + F.col("l_orderkey"), model=model, usage=usage(inputOther=i, inputCacheRead=r, inputCacheCreation=w, output=out)),
         text(name=F.lit("chat"), spanId=key, startTime=at, attributes=spans),
     ]
     picked = F.lit(None).cast("string")
     for k, value in enumerate(values):
         picked = F.when(F.col("l_suppkey") % 7 == k, value).otherwise(picked)
-    return lines.select(F.concat(F.lit("logs/"), F.when(g == 5, "subagents/").otherwise(""), F.lit("f.jsonl")).alias("file"), (F.col("l_suppkey") % 7).alias("source"), picked.alias("value"))
+    picked = F.when(F.col("l_orderkey") % 37 == 0, F.concat(F.lit("["), picked)).otherwise(picked)
+    file = F.concat(F.lit("logs/"), F.when(g == 5, "subagents/").otherwise(""), F.lit("f.jsonl"))
+    return lines.select(file.alias("file"), (F.col("l_orderkey") * 8 + g).alias("line"), (F.col("l_suppkey") % 7).alias("source"), picked.alias("value"))
 
 
 @query(
-    """WITH l AS (SELECT *, l_suppkey % 7 AS k, CAST(floor(l_quantity) AS BIGINT) AS i, CAST(floor(l_discount * 100) AS BIGINT) AS r, CAST(floor(l_tax * 100) AS BIGINT) AS w, CAST(floor(l_extendedprice / 100) AS BIGINT) AS o FROM lineitem),
-    n AS (SELECT *, ['codex', 'claude-code', 'gemini', 'qwen', 'pi', 'kimi-code', 'otel'][k + 1] AS agent, CASE WHEN l_partkey % 31 = 0 THEN 'placeholder' WHEN l_partkey % 29 = 0 THEN 'required_missing' END AS fault,
+    """WITH l AS (SELECT *, l_suppkey % 7 AS k, CAST(floor(l_quantity) AS BIGINT) AS i, CAST(floor(l_discount * 100) AS BIGINT) AS r, CAST(floor(l_tax * 100) AS BIGINT) AS w, CAST(floor(l_extendedprice / 100) AS BIGINT) AS o, concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id FROM lineitem),
+    n AS (SELECT *, ['codex', 'claude-code', 'gemini', 'qwen', 'pi', 'kimi-code', 'otel'][k + 1] AS agent, CASE WHEN l_orderkey % 37 = 0 THEN CASE k WHEN 2 THEN 'not_a_document' ELSE 'not_an_object' END WHEN l_partkey % 31 = 0 THEN 'placeholder' WHEN l_partkey % 29 = 0 THEN 'required_missing' END AS fault,
+      CASE k WHEN 2 THEN CASE WHEN r = 7 THEN concat('gemini:', id, ':idx-0') ELSE concat('gemini:', id, ':', id) END WHEN 3 THEN CASE WHEN r = 7 THEN concat('seq:', id, ':', l_orderkey * 8 + l_linenumber) ELSE concat('qwen:', id) END WHEN 5 THEN NULL ELSE id END AS key,
       CASE WHEN l_linenumber = 5 OR l_linenumber = 3 AND k IN (1, 3) THEN 'sub_agent' ELSE 'main' END AS category FROM l)
-    SELECT agent, fault, CASE WHEN fault IS NULL THEN category END AS call_category, count(*) AS n, CAST(sum(CASE WHEN fault IS NULL AND k NOT IN (2, 3) THEN i END) AS BIGINT) AS uncached,
+    SELECT agent, fault, CASE WHEN fault IS NULL THEN category END AS call_category, count(*) AS n, CAST(CASE WHEN fault IS NULL THEN CASE WHEN k = 5 THEN count(*) ELSE count(DISTINCT key) END END AS BIGINT) AS keys, CAST(sum(CASE WHEN fault IS NULL AND k NOT IN (2, 3) THEN i END) AS BIGINT) AS uncached,
       CAST(sum(CASE WHEN fault IS NULL THEN CASE WHEN k IN (2, 3) THEN i ELSE i + r + w END END) AS BIGINT) AS input, CAST(sum(CASE WHEN fault IS NULL THEN o END) AS BIGINT) AS output,
-      CAST(sum(CASE WHEN fault IS NULL AND k NOT IN (2, 3) THEN i + r + w + o END) AS BIGINT) AS total FROM n GROUP BY ALL"""
+      CAST(sum(CASE WHEN fault IS NULL AND k NOT IN (2, 3) THEN i + r + w + o END) AS BIGINT) AS total FROM n GROUP BY agent, fault, CASE WHEN fault IS NULL THEN category END, k"""
 )
 def x2_source_specifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _texts(table(spark, sf_dir, "lineitem"))
     out = None
     for k, name in enumerate(_NAMES):
         events, faults = read(texts.where(F.col("source") == k), SPECS[name])
-        counted = events.groupBy("agent", "call_category").agg(F.count("*").alias("n"), F.sum("input_uncached").alias("uncached"), F.sum("input_total").alias("input"), F.sum("output_total").alias("output"), F.sum("total_tokens").alias("total")).withColumn("fault", F.lit(None).cast("string"))
+        counted = events.groupBy("agent", "call_category").agg(F.count("*").alias("n"), F.count_distinct("record_key").alias("keys"), F.sum("input_uncached").alias("uncached"), F.sum("input_total").alias("input"), F.sum("output_total").alias("output"), F.sum("total_tokens").alias("total")).withColumn("fault", F.lit(None).cast("string"))
         missed = faults.groupBy("agent", "fault").agg(F.count("*").alias("n"))
         one = counted.unionByName(missed, allowMissingColumns=True)
         out = one if out is None else out.unionByName(one)
-    return out.select("agent", "fault", "call_category", "n", "uncached", "input", "output", "total")
+    return out.select("agent", "fault", "call_category", "n", "keys", "uncached", "input", "output", "total")
 
 
 @query(r"SELECT p_partkey, lower(p_name) AS name, regexp_replace(regexp_replace(lower(concat(' ', p_name, '_', p_type, ' ')), '[\s_-]+', '-', 'g'), '^-+|-+$', '', 'g') AS key FROM part")

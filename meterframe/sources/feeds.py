@@ -6,20 +6,30 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LINE_LIMIT = 8 << 20
+from meterframe.sources import lines
+
+LINE_LIMIT = lines.LINE_LIMIT
 
 
 def read_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> tuple[DataFrame, DataFrame]:
-    """(records with their file, diagnostics): lines over the limit or that are no JSON object are named by file, not shown."""
-    lines = spark.read.text(path).select(F.regexp_replace("value", "^﻿", "").alias("value"), F.col("_metadata.file_name").alias("file")).where(F.trim("value") != "")
-    return parsed(lines, schema)
+    """(records with their file, line and offset, diagnostics (file, line, offset, fault)): what cannot be read is named by place, not shown.
+
+    Only ended lines are read. Faults: line_too_long, invalid_utf8_line, not_an_object.
+    """
+    whole = lines.registered(spark).read.format("whole_lines").option("path", path).load()
+    return parsed(lines.readable(lines.numbered(whole)).select("file", "line", "offset", "fault", "value"), schema)
+
+
+def line_fault(value: str = "value") -> Column:
+    """Why a line is no JSON object; null if it is one."""
+    return F.when(F.octet_length(value) > LINE_LIMIT, "line_too_long").when(F.try_parse_json(value).isNull() | ~F.trim(value).startswith("{"), "not_an_object")
 
 
-def parsed(lines: DataFrame, schema: T.StructType | str) -> tuple[DataFrame, DataFrame]:
-    """Lines (value, other columns) to their fields, and the ones that cannot be read."""
-    others = [c for c in lines.columns if c != "value"]
-    fault = F.when(F.octet_length("value") > LINE_LIMIT, "line_too_long").when(F.try_parse_json("value").isNull() | ~F.trim("value").startswith("{"), "not_an_object")
-    marked = lines.withColumn("fault", fault)
+def parsed(rows: DataFrame, schema: T.StructType | str) -> tuple[DataFrame, DataFrame]:
+    """Lines (value, other columns) to their fields, and the ones that cannot be read; a ``fault`` found before stands."""
+    others = [c for c in rows.columns if c not in ("value", "fault")]
+    fault = F.coalesce("fault", line_fault()) if "fault" in rows.columns else line_fault()
+    marked = rows.withColumn("fault", fault)
     return marked.where("fault is null").select(*others, F.from_json("value", schema).alias("r")).select(*others, "r.*"), marked.where("fault is not null").select(*others, "fault")
 
 

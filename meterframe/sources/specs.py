@@ -6,25 +6,28 @@ and what names a record. Sources whose formats are not written down here can be
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import re
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meterframe.operators import buckets
-from meterframe.sources import feeds
+from meterframe.sources import feeds, lines
 
 
 @dataclass(frozen=True)
 class Spec:
-    """``kind``: (path, value) that a usage record has. ``counts``: paths of the parts, first found first. ``identity``: paths
-    of names, in order of preference, each with a prefix. ``required``: parts without which a record is not read.
-    ``messages``: of a document, the path of its records. ``sidechain``, ``parent``, ``purpose``: what a call's category follows from."""
+    """``kind``: (path, value) that a usage record has. ``counts``: paths of the parts, first found first. ``required``: parts
+    without which a record is not read. ``messages``, ``session``: of a document, the paths of its records and of its session.
+    ``sidechain``, ``parent``: what a call's category follows from. ``identity``: names in order of preference, the last of
+    which every record has. In braces stand JSON paths, places (@line, @index in a document, @session, @agent: folders of
+    the file, @repeat: how many records of the file had the same time before) and, after a bar, what stands in for them."""
 
     name: str
     counts: dict[str, tuple[str, ...]]
     rule: str
-    identity: tuple[tuple[str, str], ...]
+    identity: tuple[str, ...]
     kind: tuple[str, str] | None = None
     model: tuple[str, ...] = ()
     time: str = "$.timestamp"
@@ -33,7 +36,7 @@ class Spec:
     sidechain: str | None = None
     parent: str | None = None
     messages: str | None = None
-    more: dict[str, str] = field(default_factory=dict)
+    session: str | None = None
 
 
 # The names under which these writers keep their counts.
@@ -42,27 +45,27 @@ SPECS = {
     for s in (
         Spec(
             "codex", {"input": ("$.payload.usage.input_tokens",), "read": ("$.payload.usage.cached_input_tokens",), "write": ("$.payload.usage.cache_write_input_tokens",), "output": ("$.payload.usage.output_tokens",), "reasoning": ("$.payload.usage.reasoning_output_tokens",)},
-            "inclusive", (("resp:", "$.payload.response_id"),), ("$.type", "token_usage_record"), ("$.payload.model",), required=("input", "read", "write", "output", "reasoning"),
+            "inclusive", ("resp:{$.payload.response_id}", "seq:{$.payload.thread_id|$.payload.session_id|unknown-session}:{@line}"), ("$.type", "token_usage_record"), ("$.payload.model",), required=("input", "read", "write", "output", "reasoning"),
         ),
         Spec(
             "claude-code", {"input": ("$.message.usage.input_tokens",), "read": ("$.message.usage.cache_read_input_tokens",), "write": ("$.message.usage.cache_creation_input_tokens",), "output": ("$.message.usage.output_tokens",)},
-            "exclusive", (("req:", "$.requestId"), ("msg:", "$.message.id"), ("uuid:", "$.uuid")), ("$.type", "assistant"), ("$.message.model",), required=("input", "read", "write", "output"), sidechain="$.isSidechain",
+            "exclusive", ("req:{$.requestId}", "msg:{$.message.id}", "uuid:{$.uuid}", "seq:{$.sessionId|unknown-session}:{@line}"), ("$.type", "assistant"), ("$.message.model",), required=("input", "read", "write", "output"), sidechain="$.isSidechain",
         ),
         Spec(
             "gemini", {"input": ("$.tokens.input",), "read": ("$.tokens.cached",), "output": ("$.tokens.output",), "reasoning": ("$.tokens.thoughts",)},
-            "independent", (("msg:", "$.id"),), ("$.type", "gemini"), ("$.model",), required=("input", "output"), messages="$.messages",
+            "independent", ("gemini:{@session}:{$.id}", "gemini:{@session}:idx-{@index}"), ("$.type", "gemini"), ("$.model",), required=("input", "output"), messages="$.messages", session="$.sessionId",
         ),
         Spec(
             "qwen", {"input": ("$.usageMetadata.promptTokenCount",), "read": ("$.usageMetadata.cachedContentTokenCount",), "output": ("$.usageMetadata.candidatesTokenCount",), "reasoning": ("$.usageMetadata.thoughtsTokenCount",)},
-            "independent", (("uuid:", "$.uuid"),), ("$.type", "assistant"), ("$.model",), required=("input", "output"), sidechain="$.isSidechain", parent="$.agentId",
+            "independent", ("qwen:{$.uuid}", "seq:{$.sessionId|unknown-session}:{@line}"), ("$.type", "assistant"), ("$.model",), required=("input", "output"), sidechain="$.isSidechain", parent="$.agentId",
         ),
         Spec(
             "pi", {"input": ("$.message.usage.input",), "read": ("$.message.usage.cacheRead",), "write": ("$.message.usage.cacheWrite",), "output": ("$.message.usage.output",), "reasoning": ("$.message.usage.reasoning",)},
-            "exclusive", (("entry:", "$.id"),), ("$.type", "message"), ("$.message.model",), required=("input", "read", "write", "output"),
+            "exclusive", ("pi:message:{$.id|-}:{$.parentId|-}:{$.timestamp|-}",), ("$.type", "message"), ("$.message.model",), required=("input", "read", "write", "output"),
         ),
         Spec(
             "kimi-code", {"input": ("$.usage.inputOther",), "read": ("$.usage.inputCacheRead",), "write": ("$.usage.inputCacheCreation",), "output": ("$.usage.output",)},
-            "exclusive", (("time:", "$.time"),), ("$.type", "usage.record"), ("$.model",), "$.time", required=("input", "read", "write", "output"),
+            "exclusive", ("kimi-code:usage:{@session|nosession}:{@agent|noagent}:{$.time}:{@repeat}",), ("$.type", "usage.record"), ("$.model",), "$.time", required=("input", "read", "write", "output"),
         ),
         Spec(
             "otel",
@@ -71,7 +74,7 @@ SPECS = {
                 "read": ("$.attributes['gen_ai.usage.cache_read.input_tokens']", "$.attributes['usage.cache_read_input_tokens']"), "write": ("$.attributes['gen_ai.usage.cache_creation.input_tokens']", "$.attributes['usage.cache_creation_input_tokens']"),
                 "reasoning": ("$.attributes['gen_ai.usage.reasoning.output_tokens']", "$.attributes['gen_ai.usage.reasoning_tokens']", "$.attributes['usage.reasoning_tokens']"),
             },
-            "inclusive", (("span:", "$.spanId"),), ("$.name", "chat"), ("$.attributes['gen_ai.request.model']", "$.attributes['gen_ai.response.model']"), "$.startTime", required=("input", "output"),
+            "inclusive", ('otel:["{$.traceId|$.trace_id}","{$.spanId}"]', "otel:{$.spanId}"), ("$.name", "chat"), ("$.attributes['gen_ai.request.model']", "$.attributes['gen_ai.response.model']"), "$.startTime", required=("input", "output"),
         ),
     )
 }
@@ -81,29 +84,71 @@ def _first(paths: tuple[str, ...]) -> Column:
     return F.coalesce(*[F.get_json_object("value", p) for p in paths]) if paths else F.lit(None).cast("string")
 
 
+def _named(template: str) -> Column:
+    """A key by its template; null if a place in it has no value."""
+    parts: list[Column] = []
+    for text, inside in re.findall(r"([^{]*)(?:\{([^}]*)\})?", template):
+        if text:
+            parts.append(F.lit(text))
+        if inside:
+            choices = [F.get_json_object("value", c) if c[0] == "$" else F.col(f"{c[1:]}_").cast("string") if c[0] == "@" else F.lit(c) for c in inside.split("|")]
+            parts.append(F.coalesce(*choices))
+    return F.concat(*parts)
+
+
+def _placed(records: DataFrame, spec: Spec) -> DataFrame:
+    """Records with the places that the identity names; a record without a line or offset has null for it."""
+    missing = [c for c in ("line", "offset") if c not in records.columns]
+    placed = records.withColumns({c: F.lit(None).cast("long") for c in missing})
+    folder = lambda k: F.try_element_at(F.split("file", "/"), F.lit(-k))
+    session = F.get_json_object("value", spec.session) if spec.session else F.nullif(folder(4), F.lit(""))
+    return placed.withColumns({"session_": session, "agent_": F.nullif(folder(2), F.lit("")), "index_": F.lit(None).cast("long"), "line_": F.col("line")})
+
+
 def read(records: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
-    """(events, faults) of JSON texts (file, value): tokens by the rule, record_key, model, at_ms and call_category; and the
-    usage records that are not read, with why (``fault``)."""
+    """(events, faults) of JSON texts (file, value and, where known, line, offset, fault): tokens by the rule, record_key,
+    model, at_ms and call_category; and by place what is not read, with why.
+
+    Faults: of lines those of ``feeds.read_lines``; of documents not_a_document, and no_messages where there is no list of
+    them; of usage records those of ``buckets.shape_fault``. Only lines are held to a length.
+    """
+    placed = _placed(records, spec)
+    known = F.col("fault") if "fault" in records.columns else F.lit(None).cast("string")
     if spec.messages:
         each = F.from_json(F.get_json_object("value", spec.messages), "array<string>")
-        records = records.select("file", F.explode(each).alias("value"))
+        broken = F.when(F.try_parse_json("value").isNull() | ~F.trim("value").startswith("{"), "not_a_document").when(each.isNull(), "no_messages")
+        marked = placed.withColumn("fault", F.coalesce(known, broken))
+        unread = marked.where("fault is not null")
+        sound = marked.where("fault is null")
+        records = sound.select(*[c for c in sound.columns if c not in ("value", "index_")], F.posexplode(each).alias("index_", "value"))
+    else:
+        marked = placed.withColumn("fault", F.coalesce(known, feeds.line_fault()))
+        unread, records = marked.where("fault is not null"), marked.where("fault is null")
     if spec.kind:
         records = records.where(F.get_json_object("value", spec.kind[0]) == spec.kind[1])
-    counts = {part: _first(paths).try_cast("long") for part, paths in spec.counts.items()}
-    marked = records.withColumns({part: c for part, c in counts.items()} | {"model_raw": _first(spec.model)})
-    marked = marked.withColumn("fault", buckets.shape_fault(F.col("model_raw"), {p: F.col(p) for p in spec.required}))
-    names = [f"concat('{prefix}', get_json_object(value, {path!r}))" for prefix, path in spec.identity]
-    source = buckets.Source({p: f"`{p}`" for p in spec.counts}, spec.rule, names, zero_unknown=spec.zero_unknown)
-    sound = buckets.normalise(marked.where("fault is null"), source)
-    text = F.get_json_object("value", spec.time)
+    if any("@repeat" in template for template in spec.identity):
+        same = Window.partitionBy("file", F.get_json_object("value", spec.time)).orderBy("line", "value")
+        records = records.withColumn("repeat_", F.row_number().over(same) - 1)
+    text, side, parent = (F.get_json_object("value", path) if path else F.lit(None).cast("string") for path in (spec.time, spec.sidechain, spec.parent))
+    parts = {part: _first(paths).try_cast("long") for part, paths in spec.counts.items()}
+    parts |= {"model_raw": _first(spec.model), "key_": F.coalesce(*[_named(t) for t in spec.identity]), "time_": text, "side_": side, "parent_": parent}
+    # behind a generator, so that filters on the parts do not read the text again for each of them
+    shaped = records.select("file", "line", "offset", "index_", F.inline(F.array(F.struct(*[c.alias(n) for n, c in parts.items()]))))
+    shaped = shaped.withColumn("fault", buckets.shape_fault(F.col("model_raw"), {p: F.col(p) for p in spec.required}))
+    source = buckets.Source({p: f"`{p}`" for p in spec.counts}, spec.rule, ["key_"], zero_unknown=spec.zero_unknown)
+    sound = buckets.normalise(shaped.where("fault is null"), source)
     nothing = F.lit(None).cast("string")
-    category = buckets.call_category(F.get_json_object("value", spec.sidechain) == "true" if spec.sidechain else F.lit(False), F.get_json_object("value", spec.parent) if spec.parent else nothing, F.col("file").cast("string"), nothing)
-    events = sound.withColumns({"at_ms": buckets.instant(text, text.try_cast("long"), F.lit(None).cast("long"), F.lit(None).cast("long")), "call_category": category, "agent": F.lit(spec.name)})
-    kept = ["agent", "file", "record_key", "model_raw", "at_ms", "call_category", *buckets.COLUMNS, "diagnostic"]
-    return events.select(*kept), marked.where("fault is not null").select(F.lit(spec.name).alias("agent"), "file", "fault")
+    category = buckets.call_category(F.coalesce(F.col("side_") == "true", F.lit(False)), F.col("parent_"), F.col("file").cast("string"), nothing)
+    at = buckets.instant(F.col("time_"), F.col("time_").try_cast("long"), F.lit(None).cast("long"), F.lit(None).cast("long"))
+    events = sound.withColumns({"at_ms": at, "call_category": category, "agent": F.lit(spec.name)})
+    kept = ["agent", "file", "line", "record_key", "model_raw", "at_ms", "call_category", *buckets.COLUMNS, "diagnostic"]
+    place = [F.lit(spec.name).alias("agent"), "file", F.coalesce("line", "index_").alias("line"), "offset", "fault"]
+    return events.select(*kept), unread.select(*place).unionByName(shaped.where("fault is not null").select(*place))
 
 
-def read_lines(spark, path: str, spec: Spec) -> tuple[DataFrame, DataFrame]:
-    """``read`` of a source's files of JSON lines or, where it writes documents, of whole files."""
-    lines = spark.read.text(path, wholetext=bool(spec.messages)).select(F.col("_metadata.file_path").alias("file"), "value")
-    return read(lines.where(F.octet_length("value") <= feeds.LINE_LIMIT), spec)
+def read_lines(spark: SparkSession, path: str, spec: Spec) -> tuple[DataFrame, DataFrame]:
+    """``read`` of a source's files: ended JSON lines with their place or, where it writes documents, whole files of any length."""
+    if spec.messages:
+        return read(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value"), spec)
+    whole = lines.registered(spark).read.format("whole_lines").option("path", path).load()
+    return read(lines.readable(lines.numbered(whole)).select("file", "line", "offset", "fault", "value"), spec)

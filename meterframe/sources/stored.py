@@ -51,3 +51,17 @@ def stored(spark: SparkSession, sf_dir: str, name: str, day: str, make: Callable
     if not done.getFileSystem(context._jsc.hadoopConfiguration()).exists(done):
         make().repartitionByRange(day).sortWithinPartitions(day).write.mode("overwrite").parquet(place)
     return spark.read.parquet(place)
+
+
+def logs(spark: SparkSession, sf_dir: str, name: str, tables: tuple[str, ...], rows: DataFrame, file: str, order: list[str]) -> str:
+    """A folder with one log of text lines for each value of ``file``, its lines in ``order``, written once for these inputs."""
+    place = f"{folder(spark)}/meterframe-stored/{name}-logs-{state(spark, sf_dir, tables)}"
+    if not _done(spark, place):
+        rows.repartition(file).sortWithinPartitions(file, *order).select(file, "value").write.mode("overwrite").partitionBy(file).text(place)
+    return place
+
+
+def _done(spark: SparkSession, place: str) -> bool:
+    context = spark.sparkContext
+    mark = context._jvm.org.apache.hadoop.fs.Path(f"{place}/_SUCCESS")
+    return mark.getFileSystem(context._jsc.hadoopConfiguration()).exists(mark)

@@ -13,10 +13,12 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from meterframe.functions import calendar
 from meterframe.operators import rollups
 from meterframe.operators.merging import arbitrate
+from meterframe.sources import lines
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame | None:
@@ -150,3 +152,47 @@ def poll(source: DataFrame, control: str, updated: str, sink: Callable[[DataFram
     mark = saved.mark if mark is None and saved and saved.shape == shape else mark
     spark.createDataFrame([(number, mark, shape)], "number long, mark long, shape string").coalesce(1).write.mode("append").parquet(control)
     return mark
+
+
+#: Line totals of so many batches are folded into one table.
+FOLD = 64
+
+
+def line_totals(spark: SparkSession, state: str, number: int) -> DataFrame | None:
+    """(file, total): how many lines of each file the batches before ``number`` have read."""
+    parts = [stored(spark, f"{state}/totals/{k}") for k in range(max(0, (number - 1) // FOLD * FOLD), number)]
+    found = [p.withColumn("batch", F.lit(k)) for k, p in enumerate(parts) if p is not None]
+    if not found:
+        return None
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("file").agg(F.max_by("total", "batch").alias("total"))
+
+
+def store_totals(spark: SparkSession, state: str, number: int, rows: DataFrame, before: DataFrame | None) -> None:
+    """Totals of the files that a batch has read; every ``FOLD``-th batch stores those of all files, and what is older is no longer read."""
+    fresh = lines.totals(rows, before)
+    if number % FOLD == 0 and before is not None:
+        fresh = before.join(fresh, "file", "left_anti").unionByName(fresh)
+    fresh.write.mode("overwrite").parquet(f"{state}/totals/{number}")
+
+
+def ingest_lines(spark: SparkSession, path: str, state: str, sink: Callable[[DataFrame, int], None], **options: object) -> DataStreamWriter:
+    """A stream that gives ``sink`` the new whole lines (file, line, offset, value, fault) of the files under ``path``.
+
+    ``state`` holds Spark's offsets and, by batch, how many lines were read of each file. A batch that is run again reads
+    the same bytes and the totals from before it, so that lines keep their numbers; the sink merges by identity.
+    """
+    stream = lines.registered(spark).readStream.format("whole_lines").options(path=path, **options).load()
+
+    def write(batch: DataFrame, number: int) -> None:
+        before = line_totals(spark, state, number)
+        batch.persist()  # read once for the counts and once for the sink
+        try:
+            sink(lines.readable(lines.numbered(batch, before)).select("file", "line", "offset", "value", "fault"), number)
+            store_totals(spark, state, number, batch, before)
+        finally:
+            batch.unpersist()
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{state}/stream")

@@ -1,6 +1,9 @@
 """Keyed state of streams: counters with their baseline, and the context that a file's control records set.
 
-State ends after ``ttl_ms`` without a record of its key. It lies in the RocksDB store, which keeps it off the heap.
+State lies in the RocksDB store, which keeps it off the heap. A counter's baseline is kept for good, two numbers a key, as
+the counter goes on from it however long it rests. Where ``ttl_ms`` ends it, a mark that the key was there stays: the next
+observation is told apart as ``expired``, of unknown amount, since its total holds what was counted before. A context
+ends after ``ttl_ms`` without a record of its file; what follows has none.
 """
 
 from __future__ import annotations
@@ -20,22 +23,27 @@ _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvid
 class Counters(StatefulProcessor):
     """T4: each observation of a cumulative counter with its outcome; the baseline is kept by key."""
 
-    def __init__(self, ttl_ms: int):
+    def __init__(self, ttl_ms: int | None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.base = handle.getValueState("base", "value long, at long", self.ttl_ms)
+        self.known = handle.getValueState("known", "known boolean") if self.ttl_ms else None
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         value, at = self.base.get() if self.base.exists() else (None, None)
-        out = []
+        ended, out = value is None and self.known is not None and self.known.exists(), []
         for new in pd.concat(list(rows)).sort_values(["at", "tie"]).itertuples():
             outcome, amount, stands = judged(new, value, at)
+            if ended:
+                outcome, amount, ended = "expired", None, False
             if stands:
                 value, at = int(new.value), int(new.at)
             out.append((key[0], new.tie, outcome, amount))
         if value is not None:
             self.base.update((value, at))
+            if self.known is not None:
+                self.known.update((True,))
         frame = pd.DataFrame(out, columns=["key", "tie", "outcome", "amount"])
         frame["amount"] = frame["amount"].astype("Int64")
         yield frame
@@ -66,7 +74,7 @@ class Context(StatefulProcessor):
         pass
 
 
-def counter_stream(observations: DataFrame, ttl_ms: int = TTL_MS) -> DataFrame:
+def counter_stream(observations: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """(key, tie, outcome, amount) of a stream of (key, tie, at, value, reset)."""
     observations.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)
     return observations.groupBy("key").transformWithStateInPandas(Counters(ttl_ms), "key long, tie long, outcome string, amount long", "Append", "ProcessingTime")

@@ -109,3 +109,24 @@ def test_polls_overlap_and_start_anew_with_other_columns(spark, tmp_path):
     assert ingest.poll(table(rows), control, "updated_at", sink) == 1_200_000
     assert ingest.poll(table(rows).withColumn("new", F.lit(1)), control, "updated_at", sink) == 1_100_000
     assert seen == [[1, 2, 3], [2, 3, 4], [], [1, 2, 3]]
+
+
+def test_an_ended_counter_does_not_add_its_total_again(spark, tmp_path):
+    """What follows is told apart, of unknown amount, and the counter goes on from there."""
+    import time
+
+    schema = "key long, tie long, at long, value long, reset boolean"
+    batches = [[(1, 0, 0, 900, False)], [(1, 1, 10, 1000, False), (1, 2, 20, 1010, False), (2, 3, 20, 7, False)]]
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        for part, rows in enumerate(batches):
+            spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{part}")
+            stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+            out = state.counter_stream(stream, ttl_ms=1).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state")
+            out.outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
+            time.sleep(0.1)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    got = [(r.outcome, r.amount) for r in spark.read.parquet(f"{tmp_path}/out").orderBy("tie").collect()]
+    assert got == [("first", 900), ("expired", None), ("delta", 10), ("first", 7)]
