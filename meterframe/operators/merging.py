@@ -14,29 +14,28 @@ def arbitrate(versions: DataFrame, keys: list[str], order: list[str]) -> DataFra
     versions of an identity have a revision, or none has: windows rank those. The mixed ones are folded in the order of
     their arrival.
     """
-    identity = Window.partitionBy(*keys)
-    arrival = identity.orderBy(*order, F.asc_nulls_first("source_revision"), "lifecycle_rank", "content")
+    arrival = Window.partitionBy(*keys).orderBy(*order, F.asc_nulls_first("source_revision"), "lifecycle_rank", "content")
+    identity = arrival.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # in the order of the other windows: one sort for all
     revised = F.col("source_revision").isNotNull()
     marked = versions.withColumns({"all_": F.bool_and(revised).over(identity), "any_": F.bool_or(revised).over(identity)})
-    clear = marked.where("all_ or not any_").withColumn("rank_", F.when(F.col("all_"), F.col("source_revision")).otherwise(F.col("lifecycle_rank")))
+    marked = marked.withColumn("rank_", F.when(F.col("all_"), F.col("source_revision")).when(~F.col("any_"), F.col("lifecycle_rank")))
     before = F.max("rank_").over(arrival.rowsBetween(Window.unboundedPreceding, -1))
-    placed = clear.withColumns({"rises_": F.coalesce(F.col("rank_") > before, F.lit(False)), "turn_": F.row_number().over(arrival), "top_": F.max("rank_").over(identity)})
+    placed = marked.withColumns({"rises_": F.coalesce(F.col("rank_") > before, F.lit(False)), "turn_": F.row_number().over(arrival), "top_": F.max("rank_").over(identity)})
     # of the greatest rank the first to arrive stands; another of that rank with other content is a conflict
     row = F.struct(*order, "source_revision", "lifecycle_rank", "content")
-    best = F.col("rank_") == F.col("top_")
+    best, mixed = F.col("rank_") == F.col("top_"), F.col("any_") & ~F.col("all_")
     sums = placed.groupBy(*keys).agg(
         F.count("*").alias("versions"), F.min_by(F.when(best, row), F.when(best, F.col("turn_"))).alias("now"),
         (F.count_distinct(F.when(best, F.col("content"))) > 1).alias("conflict"), F.count_if("rises_").alias("replaced"),
+        F.array_sort(F.collect_list(F.when(mixed, row))).alias("seen"),
     )
-    ranked = sums.select(*keys, "versions", "now.*", "conflict", "replaced")
-    return ranked.unionByName(_folded(marked.where("any_ and not all_"), keys, order))
+    done = F.when(F.size("seen") == 0, F.struct("now", "conflict", "replaced")).otherwise(_folded("seen"))
+    return sums.select(*keys, "versions", done.alias("d")).select(*keys, "versions", "d.now.*", "d.conflict", "d.replaced")
 
 
-def _folded(versions: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """``arbitrate`` for identities of which some versions have a revision and some have none: no total order ranks them."""
-    state = F.struct(*order, "source_revision", "lifecycle_rank", "content")
-    folded = versions.groupBy(*keys).agg(F.array_sort(F.collect_list(state)).alias("seen"))
-    first = F.struct(F.try_element_at("seen", F.lit(1)).alias("now"), F.lit(False).alias("conflict"), F.lit(0).cast("long").alias("replaced"))
+def _folded(seen: str) -> Column:
+    """(now, conflict, replaced) of versions of which some have a revision and some have none: no total order ranks them."""
+    first = F.struct(F.try_element_at(seen, F.lit(1)).alias("now"), F.lit(False).alias("conflict"), F.lit(0).cast("long").alias("replaced"))
 
     def step(acc: Column, new: Column) -> Column:
         old = acc.now
@@ -46,8 +45,7 @@ def _folded(versions: DataFrame, keys: list[str], order: list[str]) -> DataFrame
         clash = equal & (new.content != old.content)
         return F.struct(F.when(higher, new).otherwise(old).alias("now"), F.when(higher, F.lit(False)).otherwise(acc.conflict | clash).alias("conflict"), (acc.replaced + higher.cast("long")).alias("replaced"))
 
-    done = F.aggregate(F.slice("seen", 2, F.greatest(F.lit(1), F.size("seen"))), first, step)
-    return folded.select(*keys, F.size("seen").cast("long").alias("versions"), done.alias("d")).select(*keys, "versions", "d.now.*", "d.conflict", "d.replaced")
+    return F.aggregate(F.slice(seen, 2, F.greatest(F.lit(1), F.size(seen))), first, step)
 
 
 def upsert(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:

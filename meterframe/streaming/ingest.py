@@ -1,7 +1,7 @@
 """Streams of usage records: late and corrected records merged by identity, and counters with keyed state.
 
-A batch rewrites the partitions that it touches, so that a replay changes nothing: identity and content decide, not
-the number of times a record arrives.
+Records are merged into a stored table of versions, of which a batch reads and writes the days of its own identities alone;
+their rollups are switched in with them. A replay changes nothing: identity and content decide, not how often a record arrives.
 """
 
 from __future__ import annotations
@@ -11,14 +11,14 @@ import tempfile
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from meterframe.functions import calendar
 from meterframe.operators import rollups
-from meterframe.operators.merging import arbitrate
 from meterframe.sources import lines
+from meterframe.streaming.versions import Versions
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame | None:
@@ -31,38 +31,48 @@ def stored(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def merge_batch(spark: SparkSession, path: str, keys: list[str], order: list[str], partition: str, floor_ms: int = 0, then: Callable[[DataFrame], None] | None = None) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that keeps all versions by identity in ``path``, partitioned by day.
+def merge_batch(table: Versions, floor_ms: int = 0) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that merges records into ``table`` by identity.
 
-    Only the days that the batch touches are read and written again. Records before the floor go to a table of their
-    own, ``path`` with ``-rejected`` after it, merged in the same way. ``then`` is given the batch's accepted records once
-    they are stored, to recompute what follows from them; a batch that is run again gives it the same records.
+    Records before the floor, and those without a time, go to a table of their own, merged in the same way: ``rejected``.
     """
 
-    def merge(fresh: DataFrame, table: str) -> None:
-        days = [r[0] for r in fresh.select(partition).distinct().collect()]
-        if not days:
-            return
-        held = stored(spark, table)
-        both = fresh if held is None else held.where(F.col(partition).isin(days)).select(*fresh.columns).unionByName(fresh)
-        identity = [*keys, *order, "source_revision", "lifecycle_rank", "content"]
-        kept = checkpointed(both.dropDuplicates(identity))  # what is read is about to be written over
-        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(table)
-
     def write(batch: DataFrame, number: int) -> None:
         accepted = F.coalesce(F.col("occurred_at_ms") >= floor_ms, F.lit(False))
-        # dropDuplicatesWithinWatermark before the stream's sink spares repeats of one batch and the next; this one decides
-        merge(batch.where(accepted), path)
-        merge(batch.where(~accepted), f"{path.rstrip('/')}-rejected")
-        if then is not None:
-            then(batch.where(accepted))
+        rejected(table).merge(batch.where(~accepted))
+        table.merge(batch.where(accepted))
 
     return write
 
 
-def current(spark: SparkSession, path: str, keys: list[str], order: list[str]) -> DataFrame:
-    """The version of each identity that stands."""
-    return arbitrate(spark.read.parquet(path), keys, order)
+def rejected(table: Versions) -> Versions:
+    """The table of the records that ``merge_batch`` does not accept."""
+    return Versions(table.spark, f"{table.path}-rejected", table.keys, table.order, table.day)
+
+
+def once(records: DataFrame, identity: list[str], kept: str = "1 day") -> DataFrame:
+    """A stream of records without those that repeat one of the last ``kept``, so that no repeat reaches the merge.
+
+    The watermark is on the time of arrival: a late record is late in its own time alone, and is let through. State ends
+    with the watermark; a repeat that comes after it is left to the merge, which changes nothing for it.
+    """
+    arrived = records.withColumn("arrived_", F.current_timestamp()).withWatermark("arrived_", kept)
+    return arrived.dropDuplicatesWithinWatermark(identity).drop("arrived_")
+
+
+def by_local_hour(zone: str) -> Callable[[DataFrame], DataFrame]:
+    """A rollup by local day and hour for ``Versions``; rows have the columns of an event, its time in ``occurred_at_ms``."""
+
+    def roll(rows: DataFrame) -> DataFrame:
+        local = calendar.local_time(F.col("occurred_at_ms"), zone)
+        placed = rows.drop("local_day", "local_hour").withColumns({"local_day": F.to_date(local), "local_hour": F.hour(local)})
+        return rollups.rollup(placed, "local_day", "local_hour")
+
+    return roll
+
+
+def local_day(zone: str) -> Column:
+    return F.to_date(calendar.local_time(F.col("occurred_at_ms"), zone))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -76,40 +86,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def recompute_days(spark: SparkSession, path: str, rolled: str, keys: list[str], order: list[str], partition: str, zone: str) -> Callable[[DataFrame], None]:
-    """A function for ``merge_batch`` that rolls up every local day and hour anew that accepted records touch.
-
-    These are the days of all versions, old and new, of the batch's identities: a correction that moves a record from one
-    day to another changes both. ``rolled`` is partitioned by local day; only these days are written, and one that is
-    left without a record is emptied. Rows have the columns of an event, its time in ``occurred_at_ms``.
-    """
-
-    def write(fresh: DataFrame) -> None:
-        versions = stored(spark, path)
-        if versions is None or fresh.isEmpty():
-            return
-        local = calendar.local_time(F.col("occurred_at_ms"), zone)
-        placed = versions.drop("local_day", "local_hour").withColumns({"local_day": F.to_date(local), "local_hour": F.hour(local)})
-        ids = fresh.select(*keys).distinct()
-        days = [r[0] for r in placed.join(ids, keys, "left_semi").select("local_day").distinct().collect()]  # days of one batch's records
-        touched = placed.where(F.col("local_day").isin(days)).select(*keys).distinct()
-        every = placed.join(touched, keys, "left_semi")
-        now = arbitrate(every, keys, order).select(*keys, *order, "source_revision", "lifecycle_rank", "content")
-        same = [*keys, *order, "lifecycle_rank", "content"]
-        stands = every.join(now.withColumnRenamed("source_revision", "r_"), same).where(F.col("source_revision").eqNullSafe(F.col("r_"))).drop("r_")
-        rows = rollups.rollup(stands.dropDuplicates(same).where(F.col("local_day").isin(days)), "local_day", "local_hour")
-        empty = spark.createDataFrame([(d,) for d in days], "local_day date").join(rows.select("local_day").distinct(), "local_day", "left_anti")
-        gone = rows.limit(0).unionByName(empty, allowMissingColumns=True).withColumn("source_instance_id", F.lit(None).cast("string"))  # one row that counts nothing
-        checkpointed(rows.unionByName(gone)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("local_day").parquet(rolled)
-
-    return write
-
-
-def rolled_up(spark: SparkSession, rolled: str) -> DataFrame:
-    """The rollup rows of ``recompute_days``, without those of emptied days."""
-    return spark.read.parquet(rolled).where("source_instance_id is not null")
-
-
 def claim_notices(spark: SparkSession, path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that stores each exceeded budget's key once; ``exceeded`` rows come with ``batch`` as they are claimed.
 
@@ -144,7 +120,7 @@ def poll(source: DataFrame, control: str, updated: str, sink: Callable[[DataFram
     held = stored(spark, control)
     saved = held.orderBy(F.desc("number")).first() if held is not None else None
     since = saved.mark - overlap_ms if saved and saved.mark is not None and saved.shape == shape else None
-    fresh = source if since is None else source.where(F.col(updated) >= since)
+    fresh = checkpointed(source if since is None else source.where(F.col(updated) >= since))  # the mark is that of the rows the sink gets
     number = saved.number + 1 if saved else 0
     sink(fresh, number)
     top = fresh.agg(F.max(updated)).first()[0]

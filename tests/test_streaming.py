@@ -4,6 +4,13 @@ from pyspark.sql import functions as F
 
 from meterframe.operators import ordered
 from meterframe.streaming import ingest, state
+from meterframe.streaming.versions import Versions
+
+
+
+def versions_of(spark, path):
+    return Versions(spark, path, ["key"], ["occurred_at_ms"], F.col("day"))
+
 
 VERSION = "key string, occurred_at_ms long, source_revision long, lifecycle_rank int, content string, day string"
 
@@ -15,9 +22,9 @@ def test_merged_stream_equals_batch_and_replay(spark, tmp_path):
         spark.createDataFrame(rows[part::3], VERSION).coalesce(1).write.mode("append").parquet(source)
     for run in range(2):  # the second run sees every file again
         stream = spark.readStream.schema(VERSION).option("maxFilesPerTrigger", 1).parquet(source)
-        write = ingest.merge_batch(spark, path, ["key"], ["occurred_at_ms"], "day", floor_ms=100)
+        write = ingest.merge_batch(versions_of(spark, path), floor_ms=100)
         stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{tmp_path}/state{run}").trigger(availableNow=True).start().awaitTermination(120)
-    got = {(r.key, r.content, r.conflict, r.versions) for r in ingest.current(spark, path, ["key"], ["occurred_at_ms"]).collect()}
+    got = {(r.key, r.content, r.conflict, r.versions) for r in versions_of(spark, path).current().collect()}
     from meterframe.operators.merging import arbitrate
 
     want = {(r.key, r.content, r.conflict, r.versions) for r in arbitrate(spark.createDataFrame(rows[:-1], VERSION), ["key"], ["occurred_at_ms"]).collect()}
@@ -40,12 +47,12 @@ def test_counter_state_equals_fold(spark, tmp_path):
 def test_final_record_replaces_its_partial_one_and_late_rows_are_reported(spark, tmp_path):
     rows = [("a", 1000, None, 0, "same", "d0"), ("a", 1000, None, 2, "same", "d0"), ("b", 1000, 1, 0, "same", "d0"), ("b", 1000, 2, 0, "same", "d0"), ("late", 5, 1, 0, "x", "d0")]
     path = f"{tmp_path}/table"
-    write = ingest.merge_batch(spark, path, ["key"], ["occurred_at_ms"], "day", floor_ms=100)
+    write = ingest.merge_batch(versions_of(spark, path), floor_ms=100)
     for number in range(2):  # a replay changes nothing
         write(spark.createDataFrame(rows, VERSION), number)
-    stands = {r.key: (r.source_revision, r.lifecycle_rank, r.versions) for r in ingest.current(spark, path, ["key"], ["occurred_at_ms"]).collect()}
+    stands = {r.key: (r.source_revision, r.lifecycle_rank, r.versions) for r in versions_of(spark, path).current().collect()}
     assert stands == {"a": (None, 2, 2), "b": (2, 0, 2)}
-    assert [r.key for r in spark.read.parquet(f"{path}-rejected").collect()] == ["late"]
+    assert [r.key for r in ingest.rejected(versions_of(spark, path)).read().collect()] == ["late"]
 
 
 def test_context_is_carried_across_batches(spark, tmp_path):
@@ -74,16 +81,16 @@ def test_a_moved_record_recomputes_both_days(spark, tmp_path):
         return (key, at, revision, 1, f"c{tokens}", f"d{at // day}", "model_call", "verified", "i", "a", None, "m", "main", "complete", tokens, None, None, None, None, tokens)
 
     batches = [[event("a", start + 2 * hour, 1, 10), event("b", start + 3 * hour, 1, 20), event("only", start + 40 * hour, 1, 5)], [event("a", start + 30 * hour, 2, 11), event("only", start + 6 * hour, 2, 6)]]
-    path, rolled = f"{tmp_path}/events", f"{tmp_path}/rolled"
-    then = ingest.recompute_days(spark, path, rolled, ["key"], ["occurred_at_ms"], "day", "America/New_York")
-    write = ingest.merge_batch(spark, path, ["key"], ["occurred_at_ms"], "day", then=then)
+    zone = "America/New_York"
+    table = Versions(spark, f"{tmp_path}/events", ["key"], ["occurred_at_ms"], ingest.local_day(zone), ingest.by_local_hour(zone))
+    write = ingest.merge_batch(table)
     for number, rows in enumerate([*batches, batches[1]]):  # the last batch is run again
         write(spark.createDataFrame(rows, EVENT), number)
     stands = spark.createDataFrame([batches[0][1], *batches[1]], EVENT)
     local = calendar.local_time(F.col("occurred_at_ms"), "America/New_York")
     want = rollups.rollup(stands.withColumns({"local_day": F.to_date(local), "local_hour": F.hour(local)}), "local_day", "local_hour")
     key = lambda rows: sorted((str(r.local_day), r.local_hour, r.events, r.total_sum) for r in rows.collect())
-    assert key(ingest.rolled_up(spark, rolled)) == key(want)
+    assert key(table.rolled()) == key(want)
 
 
 def test_alerts_are_claimed_once(spark, tmp_path):
@@ -130,3 +137,55 @@ def test_an_ended_counter_does_not_add_its_total_again(spark, tmp_path):
         spark.conf.set("spark.sql.shuffle.partitions", partitions)
     got = [(r.outcome, r.amount) for r in spark.read.parquet(f"{tmp_path}/out").orderBy("tie").collect()]
     assert got == [("first", 900), ("expired", None), ("delta", 10), ("first", 7)]
+
+
+def test_a_batch_reads_its_own_days_however_long_the_history_is(spark, tmp_path, monkeypatch):
+    """Days and index files that are read stay as few as history grows; a crash before the switch loses and shows nothing."""
+    import pytest
+
+    from meterframe.operators.merging import arbitrate
+    from meterframe.streaming import versions
+
+    monkeypatch.setattr(versions, "INDEX_ROWS", 8)
+    table = versions_of(spark, f"{tmp_path}/table")
+    row = lambda key, day, revision, content: (key, 1000 + day, revision, 0, content, f"d{day:02}")
+    history = [row(f"k{i}", i % 20, 1, f"c{i}") for i in range(60)] + [row(None, 3, None, "none"), row("", 4, 2, "empty")]
+    table.merge(spark.createDataFrame(history, VERSION))
+    assert len(table.manifest()["index"]) >= 4 and len(table.manifest()["days"]) == 20
+    update = [row("k7", 9, 2, "moved")]
+    assert table.merge(spark.createDataFrame(update, VERSION)) == ["d07", "d09"]
+    assert len({f for f in table.read_folders}) <= 4
+    longer = [row(f"n{i}", 20 + i % 20, 1, "c") for i in range(60)]
+    table.merge(spark.createDataFrame(longer, VERSION))
+    back = [row("k7", 7, 3, "back"), row("k7", 7, 3, "back")]
+    assert table.merge(spark.createDataFrame(back, VERSION)) == ["d07", "d09"] and len(set(table.read_folders)) <= 4
+
+    def told():
+        return sorted((str(r.key), r.content, r.conflict, r.versions) for r in table.current().collect())
+
+    every = [*history, *update, *longer, back[0]]
+    want = sorted((str(r.key), r.content, r.conflict, r.versions) for r in arbitrate(spark.createDataFrame(every, VERSION), ["key"], ["occurred_at_ms"]).collect())
+    assert told() == want
+    monkeypatch.setattr(table, "_switch", lambda manifest: (_ for _ in ()).throw(OSError("crash")))
+    with pytest.raises(OSError, match="crash"):
+        table.merge(spark.createDataFrame([row("k1", 2, 9, "lost?")], VERSION))
+    assert told() == want
+    monkeypatch.undo()
+    assert len(versions_of(spark, f"{tmp_path}/table").vacuum(keep=1)) >= 1 and told() == want
+    table.merge(spark.createDataFrame([row("k1", 2, 9, "not lost")], VERSION))
+    assert ("k1", "not lost", False, 2) in told()
+
+
+def test_repeats_do_not_reach_the_merge(spark, tmp_path):
+    rows = [("a", 1000, 1, 0, "x", "d0"), ("b", 1000, 1, 0, "x", "d0"), ("a", 1000, 1, 0, "x", "d0"), ("a", 5, 2, 0, "y", "d0"), ("b", 1000, 1, 0, "x", "d0")]
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        seen = []
+        for part in (rows[:2], rows[2:]):
+            spark.createDataFrame(part, VERSION).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            stream = ingest.once(spark.readStream.schema(VERSION).parquet(f"{tmp_path}/in"), ["key", "occurred_at_ms", "source_revision", "lifecycle_rank", "content"])
+            write = lambda batch, number: seen.append(sorted((r.key, r.occurred_at_ms) for r in batch.collect()))
+            stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination(120)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert [x for x in seen if x] == [[("a", 1000), ("b", 1000)], [("a", 5)]]
