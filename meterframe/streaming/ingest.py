@@ -6,8 +6,6 @@ their rollups are switched in with them. A replay changes nothing: identity and
 
 from __future__ import annotations
 
-import re
-import tempfile
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -18,6 +16,7 @@ from pyspark.sql.streaming.readwriter import DataStreamWriter
 from meterframe.functions import calendar
 from meterframe.operators import rollups
 from meterframe.sources import lines
+from meterframe.sources.stored import checkpointed
 from meterframe.streaming.versions import Versions
 
 
@@ -75,17 +74,6 @@ def local_day(zone: str) -> Column:
     return F.to_date(calendar.local_time(F.col("occurred_at_ms"), zone))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` in the checkpoint folder that the cluster shares, or in a new one where none is set."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="meterframe-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def claim_notices(spark: SparkSession, path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that stores each exceeded budget's key once; ``exceeded`` rows come with ``batch`` as they are claimed.
 
