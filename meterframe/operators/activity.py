@@ -6,22 +6,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def sessions(calls: DataFrame, period: Column) -> DataFrame:
-    """Distinct sessions of each period and overall, unknown as soon as one call has none; active days; durations where known."""
+def session_days(events: DataFrame) -> DataFrame:
+    """(local_day, instance, session): its events and their durations, and those of its model calls."""
+    calls = F.col("record_kind") == "model_call"
+    return events.groupBy("local_day", "source_instance_id", "session_id").agg(
+        F.count("*").alias("events"), F.sum("duration_ms").alias("duration"), F.count_if(calls).alias("calls"), F.sum(F.when(calls, F.col("duration_ms"))).alias("call_duration"), F.count(F.when(calls, F.col("duration_ms"))).alias("call_samples")
+    )
+
+
+def sessions(days: DataFrame, period: Column) -> DataFrame:
+    """Of ``session_days``: distinct sessions of each period and overall, unknown as soon as one call has none; active days; durations where known."""
     unknown = F.bool_or(F.col("session_id").isNull())
-    return calls.withColumn("period", period).rollup("period").agg(
+    found = days.withColumn("period", period).rollup("period").agg(
         (F.grouping("period") == 1).alias("overall"),
-        F.when(~unknown, F.count_distinct(F.concat("source_instance_id", F.lit("#"), "session_id"))).alias("sessions"),
+        F.when(~unknown, F.count_distinct("source_instance_id", "session_id")).alias("sessions"),
         unknown.alias("unknown_session"),
         F.count_distinct("local_day").alias("active_days"),
-        F.sum("duration_ms").alias("duration"),
-        F.count("duration_ms").alias("samples"),
-        F.avg("duration_ms").alias("mean"),
+        F.sum("call_duration").alias("duration"),
+        F.sum("call_samples").alias("samples"),
     )
-
-
-def session_days(events: DataFrame) -> DataFrame:
-    return events.groupBy("local_day", "source_instance_id", "session_id").agg(F.count("*").alias("events"), F.sum("duration_ms").alias("duration"))
+    return found.withColumn("mean", F.when(F.col("samples") > 0, F.col("duration") / F.col("samples")))
 
 
 def heatmap(rows: DataFrame, first: str, last: str, available_from: str) -> DataFrame:
@@ -62,12 +66,19 @@ def exclusive_totals(intervals: DataFrame) -> DataFrame:
     return intervals.groupBy("source_instance_id").agg(*counts, *[F.sum(F.when(only, F.col(f"known_{t}"))).alias(t) for t in ("input_total", "output_total", "total_tokens")])
 
 
-def page(events: DataFrame, ties: list[str], size: int, offset: int) -> DataFrame:
-    """One page of 1 to 500 rows, newest first, ties by these columns, with a label to show and the number of all rows."""
+def page(events: DataFrame, counts: DataFrame, ties: list[str], size: int, offset: int) -> DataFrame:
+    """One page of 1 to 500 rows, newest first, ties by these columns, with a label to show and the number of all rows.
+
+    ``counts``: (local_day, n) of the same rows, from a rollup. They tell the number of all rows, and the latest days that
+    hold the page: only these are read, which in a table by ranges of days skips all files before them.
+    """
     size = max(1, min(500, size))
-    total = events.agg(F.count("*").alias("total"))
-    rows = events.orderBy(F.desc("occurred_at_ms"), *ties).offset(offset).limit(size)
-    return rows.withColumn("label", F.coalesce(F.nullif(F.trim("model_raw"), F.lit("")), F.lit("unknown"))).crossJoin(F.broadcast(total))  # of one row
+    days = counts.groupBy("local_day").agg(F.sum("n").alias("n")).where("n > 0")
+    newer = F.sum("n").over(Window.orderBy(F.desc("local_day")).rowsBetween(Window.unboundedPreceding, -1))  # one row a day
+    first = F.min(F.when(F.coalesce("newer", F.lit(0)) < offset + size, F.col("local_day")))
+    held = days.withColumn("newer", newer).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), first.alias("first")).first()
+    rows = events.where(F.col("local_day") >= F.lit(held.first)).orderBy(F.desc("occurred_at_ms"), *ties).offset(offset).limit(size)
+    return rows.withColumns({"label": F.coalesce(F.nullif(F.trim("model_raw"), F.lit("")), F.lit("unknown")), "total": F.lit(held.total)})
 
 
 def recent(rows: DataFrame, kind: str, code: str | None, limit: int, time: str, tie: str) -> DataFrame:

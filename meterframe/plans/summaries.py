@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from meterframe.functions import calendar as cal
 from meterframe.operators import activity, quotas, rollups
 from meterframe.registry import query
 from meterframe.sources.stored import stored
-from meterframe.sources.usage import EVENTS, ZONE, table, usage_events
+from meterframe.sources.usage import EVENTS, ZONE, table, touched_days, usage_events
 
 _K = "record_kind <> 'transport_attempt'"
 
@@ -30,13 +32,27 @@ WITH = f"WITH {EVENTS} "
 RESUM = ", ".join(f"CAST(sum({m}) AS BIGINT) AS {m}" for m in rollups.MEASURES)
 
 
+def _kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    return stored(spark, sf_dir, name, "local_day", lambda first, last: make(usage_events(spark, sf_dir, first, last)), lambda added: touched_days(spark, sf_dir, added))
+
+
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored daily rollup, which dashboards read in place of events."""
-    return stored(spark, sf_dir, "daily", "local_day", lambda: rollups.rollup(usage_events(spark, sf_dir), "local_day"))
+    return _kept(spark, sf_dir, "daily", lambda events: rollups.rollup(events, "local_day"))
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(spark, sf_dir, "hourly", "local_day", lambda: rollups.rollup(usage_events(spark, sf_dir), "local_day", "local_hour"))
+    return _kept(spark, sf_dir, "hourly", lambda events: rollups.rollup(events, "local_day", "local_hour"))
+
+
+def session_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored sessions of each day, from which those of any longer period are counted without an event."""
+    return _kept(spark, sf_dir, "session_days", lambda events: activity.session_days(rollups.eligible(events)))
+
+
+def details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored events in ranges of days, for pages of them."""
+    return _kept(spark, sf_dir, "details", lambda events: events)
 
 
 @query(ROLL + "SELECT * FROM roll")
@@ -66,8 +82,7 @@ def a6_a8_metric_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM events_ WHERE attribution_status = 'verified' AND record_kind = 'model_call' GROUP BY GROUPING SETS ((strftime(local_day, '%Y-%m')), ())"""
 )
 def a7_sessions_and_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = rollups.eligible(usage_events(spark, sf_dir)).where("record_kind = 'model_call'")
-    return activity.sessions(calls, cal.month_label(F.col("local_day")).alias("period"))
+    return activity.sessions(session_days(spark, sf_dir).where("calls > 0"), cal.month_label(F.col("local_day")).alias("period"))
 
 
 @query(
@@ -140,8 +155,7 @@ def a21_rollup_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
     (SELECT local_day, source_instance_id, session_id, count(*) AS events, sum(duration_ms) AS duration FROM events_ WHERE attribution_status = 'verified' GROUP BY ALL) GROUP BY 1"""
 )
 def a22_session_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = activity.session_days(rollups.eligible(usage_events(spark, sf_dir)))
-    return days.groupBy("source_instance_id").agg(F.count("*").alias("session_days"), F.sum("events").alias("events"), F.sum("duration").alias("duration"), F.max("events").alias("busiest"))
+    return session_days(spark, sf_dir).groupBy("source_instance_id").agg(F.count("*").alias("session_days"), F.sum("events").alias("events"), F.sum("duration").alias("duration"), F.max("events").alias("busiest"))
 
 
 @query(WITH + "SELECT strftime(local_day, '%Y-%m') AS period, count(*) FILTER (attribution_status <> 'verified') AS excluded, count(*) AS events FROM events_ GROUP BY 1")
@@ -203,8 +217,9 @@ def a27_grains(spark: SparkSession, sf_dir: str) -> DataFrame:
     QUALIFY row_number() OVER (ORDER BY occurred_at_ms DESC, source_instance_id, source_record_key, part_key, supplier_key) BETWEEN 201 AND 400"""
 )
 def o1_detail_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = usage_events(spark, sf_dir).where("agent = 'Brand#11' AND attribution_status = 'verified'")
-    page = activity.page(events, ["source_instance_id", "source_record_key", "part_key", "supplier_key"], 200, 200)
+    events = details(spark, sf_dir).where("agent = 'Brand#11' AND attribution_status = 'verified'")
+    counts = daily(spark, sf_dir).where("agent = 'Brand#11'").select("local_day", F.col("events").alias("n"))
+    page = activity.page(events, counts, ["source_instance_id", "source_record_key", "part_key", "supplier_key"], 200, 200)
     return page.select("source_instance_id", "source_record_key", "occurred_at_ms", "agent", "total_tokens", "label", "total")
 
 

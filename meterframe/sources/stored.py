@@ -1,16 +1,24 @@
-"""Tables that are worked out once and read again: rollups, kept in the shared folder under the state of their inputs."""
+"""Tables that are worked out once and read again, kept in the shared folder and kept up with their inputs by days."""
 
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 import re
 import tempfile
+import uuid
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The tables that usage events are bound to.
 INPUTS = ("lineitem", "orders", "part", "supplier", "nation")
+#: Those whose new files touch the days of their own rows alone.
+FACTS = ("lineitem", "orders")
 _local: dict[str, str] = {}
 
 
@@ -27,30 +35,163 @@ def folder(spark: SparkSession) -> str:
     return _local[context.applicationId]
 
 
-def state(spark: SparkSession, sf_dir: str, tables: tuple[str, ...] = INPUTS) -> str:
-    """A name for what the input files are now: their places, lengths and times of change."""
+class Manifests:
+    """Numbered JSON files in a folder, of which the highest is what a table is made of. Writing one is one step."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def place(self, name: str):
+        """(file system, path) of a name under the table's folder."""
+        context = self.spark.sparkContext
+        found = context._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return found.getFileSystem(context._jsc.hadoopConfiguration()), found
+
+    def numbers(self) -> list[int]:
+        system, folder = self.place("manifest")
+        names = [f.getPath().getName() for f in system.listStatus(folder)] if system.exists(folder) else []
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
+
+    def read(self, number: int) -> dict:
+        system, file = self.place(f"manifest/{number}.json")
+        stream = system.open(file)
+        try:
+            return json.loads(bytes(stream.readAllBytes()))
+        finally:
+            stream.close()
+
+    def latest(self) -> dict | None:
+        numbers = self.numbers()
+        return self.read(numbers[-1]) if numbers else None
+
+    def switch(self, manifest: dict) -> None:
+        """Makes ``manifest`` the latest; a file that is whole gets its name, unless another writer has given it already."""
+        system, half = self.place(f"manifest/.{uuid.uuid4().hex}")
+        stream = system.create(half)
+        stream.write(bytearray(json.dumps(manifest).encode()))
+        stream.close()
+        _, whole = self.place(f"manifest/{manifest['number']}.json")
+        if system.exists(whole) or not system.rename(half, whole):
+            system.delete(half, False)
+            raise FileExistsError(f"another writer has stored manifest {manifest['number']}")
+
+    def vacuum(self, named: Callable[[dict], set[str]], keep: int = 2) -> list[str]:
+        """Removes the folders under ``data`` that none of the last ``keep`` manifests names, and the manifests before these."""
+        numbers = self.numbers()
+        live = set().union(*[named(self.read(n)) for n in numbers[-keep:]]) if numbers else set()
+        system, data = self.place("data")
+        gone = [f.getPath() for f in system.listStatus(data) if f.getPath().getName() not in live] if system.exists(data) else []
+        for path in gone:
+            system.delete(path, True)
+        for n in numbers[:-keep]:
+            system.delete(self.place(f"manifest/{n}.json")[1], False)
+        return [p.getName() for p in gone]
+
+
+def listed(spark: SparkSession, sf_dir: str, tables: tuple[str, ...]) -> dict[str, dict[str, str]]:
+    """table -> file -> its length and time of change, of the files in all folders below a table's."""
     context = spark.sparkContext
-    seen = hashlib.sha256()
+    out: dict[str, dict[str, str]] = {}
     for name in tables:
         path = context._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
-        files = path.getFileSystem(context._jsc.hadoopConfiguration()).listStatus(path)
-        for line in sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in files):
-            seen.update(line.encode())
-    return seen.hexdigest()[:24]
+        files, found = path.getFileSystem(context._jsc.hadoopConfiguration()).listFiles(path, True), {}
+        while files.hasNext():
+            f = files.next()
+            if f.getPath().getName()[0] not in "._":
+                found[f.getPath().toString()] = f"{f.getLen()} {f.getModificationTime()}"
+        out[name] = found
+    return out
+
+
+def state(spark: SparkSession, sf_dir: str, tables: tuple[str, ...] = INPUTS) -> str:
+    """A name for what the input files are now."""
+    return hashlib.sha256(json.dumps(listed(spark, sf_dir, tables), sort_keys=True).encode()).hexdigest()[:24]
+
 
+@cache
+def version() -> str:
+    """A name for the code that makes stored tables: another release, zone or rule does not read what an older one has made."""
+    import meterframe
 
-def stored(spark: SparkSession, sf_dir: str, name: str, day: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table ``name`` over an input folder, made and written if it does not stand for these inputs yet.
+    root = os.path.dirname(meterframe.__file__)
+    seen = hashlib.sha256()
+    for part in ("functions", "operators", "sources"):
+        for name in sorted(os.listdir(f"{root}/{part}")):
+            if name.endswith(".py"):
+                with open(f"{root}/{part}/{name}", "rb") as code:
+                    seen.update(code.read())
+    return seen.hexdigest()[:12]
+
+
+#: Changes that are kept apart before they are put together with the rest.
+SEGMENTS = 8
 
-    Its rows lie in ranges of ``day``, so that a filter on it skips files and row groups. Inputs that change give
-    another table; the old one stays until the folder is cleared.
+
+def stored(spark: SparkSession, sf_dir: str, name: str, day: str, make: Callable[[str | None, str | None], DataFrame], touched: Callable[[dict[str, list[str]]], list[str]]) -> DataFrame:
+    """The table ``name`` over an input folder, kept up with its inputs by days.
+
+    ``make`` gives its rows, of all days or of those from a first to a last one. Its rows lie in ranges of ``day``, so that a
+    filter on it skips files and row groups. Where inputs have only got new files in ``FACTS``, the days that ``touched``
+    finds in these are made anew, beside the rest; any other change makes the whole anew. A manifest names what the table is
+    made of, for these inputs, and is written when all of it is there: readers see it before or after, and of two jobs
+    at once one takes what the other has made.
     """
-    context = spark.sparkContext
-    place = f"{folder(spark)}/meterframe-stored/{name}-{state(spark, sf_dir)}"
-    done = context._jvm.org.apache.hadoop.fs.Path(f"{place}/_SUCCESS")
-    if not done.getFileSystem(context._jsc.hadoopConfiguration()).exists(done):
-        make().repartitionByRange(day).sortWithinPartitions(day).write.mode("overwrite").parquet(place)
-    return spark.read.parquet(place)
+    place = hashlib.sha256(f"{sf_dir} {version()}".encode()).hexdigest()[:24]
+    table = Manifests(spark, f"{folder(spark)}/meterframe-stored/{name}-{place}")
+    now = listed(spark, sf_dir, INPUTS)
+    held = table.latest()
+    if held is None or held["inputs"] != now:
+        number = held["number"] + 1 if held else 0
+        segments = _kept_up(table, held, now, day, make, touched, number)
+        schema = spark.read.parquet(*[f"{table.path}/{s['folder']}" for s in segments]).schema.json()
+        held = {"number": number, "inputs": now, "segments": segments, "schema": schema}
+        try:
+            table.switch(held)
+        except FileExistsError:
+            return stored(spark, sf_dir, name, day, make, touched)
+        table.vacuum(lambda m: {s["folder"].split("/")[1] for s in m["segments"]})
+    return _joined(table, held, day)
+
+
+def _joined(table: Manifests, held: dict, day: str) -> DataFrame:
+    """The rows of all segments; a later one stands for the days that it names."""
+    schema = T.StructType.fromJson(json.loads(held["schema"]))
+    out, later = None, []
+    for segment in reversed(held["segments"]):
+        rows = table.spark.read.schema(schema).parquet(f"{table.path}/{segment['folder']}")
+        rows = rows.where(~F.coalesce(F.col(day).cast("string").isin(later), F.lit(False))) if later else rows
+        out = rows if out is None else out.unionByName(rows)
+        later = later + (segment["days"] or [])
+    return out
+
+
+def _kept_up(table: Manifests, held: dict | None, now: dict, day: str, make: Callable, touched: Callable, number: int) -> list[dict]:
+    def write(rows: DataFrame) -> str:
+        place = f"data/{number}-{uuid.uuid4().hex[:8]}"
+        rows.repartitionByRange(day).sortWithinPartitions(day).write.parquet(f"{table.path}/{place}")
+        return place
+
+    added = _added(held["inputs"], now) if held else None
+    if added is None:
+        return [{"folder": write(make(None, None)), "days": None}]
+    days = sorted(touched(added))
+    if not days:
+        return held["segments"]
+    fresh = make(days[0], days[-1]).where(F.col(day).cast("string").isin(days))
+    segments = [*held["segments"], {"folder": write(fresh), "days": days}]
+    if len(segments) > SEGMENTS:
+        return [{"folder": write(_joined(table, {**held, "segments": segments}, day)), "days": None}]
+    return segments
+
+
+def _added(before: dict, now: dict) -> dict[str, list[str]] | None:
+    """New files by table, if nothing else has changed and only tables of facts have new ones."""
+    for name, files in before.items():
+        if any(now.get(name, {}).get(f) != seen for f, seen in files.items()):
+            return None
+    added = {name: [f for f in files if f not in before.get(name, {})] for name, files in now.items()}
+    added = {name: files for name, files in added.items() if files}
+    return added if set(added) <= set(FACTS) else None
 
 
 def logs(spark: SparkSession, sf_dir: str, name: str, tables: tuple[str, ...], rows: DataFrame, file: str, order: list[str]) -> str:

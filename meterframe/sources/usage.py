@@ -66,12 +66,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def raw_events(spark: SparkSession, sf_dir: str, first: str | None = None, last: str | None = None) -> DataFrame:
+def raw_events(spark: SparkSession, sf_dir: str, first: str | None = None, last: str | None = None, only: dict[str, list[str]] | None = None) -> DataFrame:
     """One row for each line item, before totals and qualities are derived.
 
     ``first`` and ``last``: local days that the caller is going to keep; the scan then skips dates a day further off.
+    ``only``: tables of which some files alone are read.
     """
-    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    lines, orders = (spark.read.parquet(*only[t]) if only and t in only else table(spark, sf_dir, t) for t in ("lineitem", "orders"))
     if first:
         orders = orders.where(F.col("o_orderdate") >= F.date_sub(F.lit(first).cast("date"), 1).cast("timestamp_ntz"))
     if last:
@@ -101,6 +102,18 @@ def usage_events(spark: SparkSession, sf_dir: str, first: str | None = None, las
     return out.withColumn("local_day", F.to_date(local)).withColumn("local_hour", F.hour(local))
 
 
+def touched_days(spark: SparkSession, sf_dir: str, added: dict[str, list[str]]) -> list[str]:
+    """The local days of the events that new files of the facts have a part in."""
+    from meterframe.functions import calendar
+
+    days: set[str] = set()
+    for name, files in added.items():
+        events = raw_events(spark, sf_dir, only={name: files})
+        local = F.to_date(calendar.local_time(F.col("occurred_at_ms"), ZONE)).cast("string")
+        days |= {r[0] for r in events.select(local.alias("day")).distinct().collect()}
+    return sorted(d for d in days if d is not None)
+
+
 def _layer(columns: dict[str, str], source: str) -> str:
     return f"SELECT *, {', '.join(f'{e} AS {c}' for c, e in columns.items())} FROM ({source})"
 

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterframe.operators.merging import arbitrate
+from meterframe.sources.stored import Manifests
 
 INDEX_ROWS = 1 << 20
 _NONE = "none"
@@ -40,37 +41,16 @@ class Versions:
     """
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], order: list[str], day: Column, rollup: Callable[[DataFrame], DataFrame] | None = None, rolled_day: str = "local_day"):
+        self.table = Manifests(spark, path)
         self.spark, self.path, self.keys, self.order, self.rollup = spark, path.rstrip("/"), keys, order, rollup
         self.rolled_day = F.coalesce(F.col(rolled_day).cast("string"), F.lit(_NONE))
         self.day = F.coalesce(day.cast("string"), F.lit(_NONE))
         #: Folders that the last batch has read.
         self.read_folders: list[str] = []
 
-    # -- the manifest
-
-    def _place(self, name: str):
-        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), place
-
     def manifest(self) -> dict:
-        """What the table is made of now: the manifest of the highest number."""
-        system, place = self._place("manifest")
-        numbers = [int(f.getPath().getName().removesuffix(".json")) for f in system.listStatus(place) if f.getPath().getName().endswith(".json")] if system.exists(place) else []
-        if not numbers:
-            return {"number": -1, "days": {}, "rolled": {}, "index": {}, "depth": 0, "identities": 0, "schema": None, "rolled_schema": None}
-        (line,) = self.spark.read.text(f"{self.path}/manifest/{max(numbers)}.json", wholetext=True).collect()
-        return json.loads(line.value)
-
-    def _switch(self, manifest: dict) -> None:
-        """The one step: a file that is not there yet gets its name when it is whole."""
-        system, half = self._place(f"manifest/.{uuid.uuid4().hex}")
-        stream = system.create(half)
-        stream.write(bytearray(json.dumps(manifest).encode()))
-        stream.close()
-        _, whole = self._place(f"manifest/{manifest['number']}.json")
-        if system.exists(whole) or not system.rename(half, whole):
-            system.delete(half, False)
-            raise RuntimeError(f"another writer has stored manifest {manifest['number']}")
+        """What the table is made of now."""
+        return self.table.latest() or {"number": -1, "days": {}, "rolled": {}, "index": {}, "depth": 0, "identities": 0, "schema": None, "rolled_schema": None}
 
     # -- reading
 
@@ -153,14 +133,14 @@ class Versions:
         manifest |= self._indexed(moved, index, touched, manifest, folder)
         if self.rollup is not None:
             manifest |= self._rolled(manifest, days, held, folder)
-        self._switch(manifest)
-        system, place = self._place(f"{folder}/moved")
+        self.table.switch(manifest)
+        system, place = self.table.place(f"{folder}/moved")
         system.delete(place, True)
         return days
 
     def _written(self, folder: str, column: str) -> dict[str, str]:
         """value -> folder of what ``partitionBy`` has written."""
-        system, place = self._place(folder)
+        system, place = self.table.place(folder)
         unescape = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
         names = [f.getPath().getName() for f in system.listStatus(place)] if system.exists(place) else []
         return {unescape(n.split("=", 1)[1]): f"{folder}/{n}" for n in names if n.startswith(f"{column}=")}
@@ -193,20 +173,5 @@ class Versions:
         return {"rolled": kept | self._written(f"{folder}/rolled", "day_"), "rolled_schema": rolled.drop("day_").schema.json()}
 
     def vacuum(self, keep: int = 2) -> list[str]:
-        """Removes the data folders that none of the last ``keep`` manifests names, and older manifests; for when no batch runs."""
-        system, place = self._place("manifest")
-        if not system.exists(place):
-            return []
-        numbers = sorted(int(f.getPath().getName().removesuffix(".json")) for f in system.listStatus(place) if f.getPath().getName().endswith(".json"))
-        named: set[str] = set()
-        for n in numbers[-keep:]:
-            (line,) = self.spark.read.text(f"{self.path}/manifest/{n}.json", wholetext=True).collect()
-            held = json.loads(line.value)
-            named |= {f.split("/")[1] for part in ("days", "rolled", "index") for f in held[part].values()}
-        _, data = self._place("data")
-        gone = [f.getPath() for f in system.listStatus(data) if f.getPath().getName() not in named]
-        for path in gone:
-            system.delete(path, True)
-        for n in numbers[:-keep]:
-            system.delete(self._place(f"manifest/{n}.json")[1], False)
-        return [p.getName() for p in gone]
+        """Removes what the last ``keep`` manifests do not name; for when no batch runs."""
+        return self.table.vacuum(lambda held: {f.split("/")[1] for part in ("days", "rolled", "index") for f in held[part].values()}, keep)

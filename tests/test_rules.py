@@ -70,9 +70,10 @@ def test_unknown_is_not_zero(spark):
 
 def test_sessions_count_once_a_period(spark):
     rows = [{"session_id": "s1"}, {"session_id": "s1", "local_day": dt.date(2024, 1, 2)}, {"session_id": "s1", "source_instance_id": "j"}]
-    r = activity.sessions(events(spark, rows), F.lit("p").alias("period")).first()
+    days = lambda some: activity.session_days(events(spark, some))
+    r = activity.sessions(days(rows), F.lit("p").alias("period")).first()
     assert (r.sessions, r.active_days, r.duration, r.samples) == (2, 2, 15, 3)
-    assert activity.sessions(events(spark, [*rows, {"session_id": None}]), F.lit("p").alias("period")).first().sessions is None
+    assert activity.sessions(days([*rows, {"session_id": None}]), F.lit("p").alias("period")).first().sessions is None
 
 
 def test_arbitration_keeps_the_old_on_conflict(spark):

@@ -166,7 +166,7 @@ def test_a_batch_reads_its_own_days_however_long_the_history_is(spark, tmp_path,
     every = [*history, *update, *longer, back[0]]
     want = sorted((str(r.key), r.content, r.conflict, r.versions) for r in arbitrate(spark.createDataFrame(every, VERSION), ["key"], ["occurred_at_ms"]).collect())
     assert told() == want
-    monkeypatch.setattr(table, "_switch", lambda manifest: (_ for _ in ()).throw(OSError("crash")))
+    monkeypatch.setattr(table.table, "switch", lambda manifest: (_ for _ in ()).throw(OSError("crash")))
     with pytest.raises(OSError, match="crash"):
         table.merge(spark.createDataFrame([row("k1", 2, 9, "lost?")], VERSION))
     assert told() == want
