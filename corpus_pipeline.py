@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from meterframe.llm import language, mixing, packing, quality, simhash
 from meterframe.llm.shared import written
 
+#: Keys of rejected rows that are broadcast, 64 MB of them at most; more are joined by a shuffle of the documents.
+FEW = 1 << 22
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 KEYS = ("k1", "k2")
 
@@ -22,8 +24,9 @@ def _keys() -> list[Column]:
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """``docs`` but for the rows of the rejected keys, which are written first: their size decides how they are joined."""
+    """``docs`` but for the rows of the rejected keys, which are written and counted first: their number decides how they are joined."""
     gone = written(rejected.select(*KEYS).distinct())
+    gone = F.broadcast(gone) if gone.count() <= FEW else gone
     return docs.select(*COLUMNS, *_keys()).join(gone, list(KEYS), "left_anti").select(*COLUMNS)
 
 
