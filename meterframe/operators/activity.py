@@ -28,12 +28,21 @@ def sessions(days: DataFrame, period: Column) -> DataFrame:
     return found.withColumn("mean", F.when(F.col("samples") > 0, F.col("duration") / F.col("samples")))
 
 
-def heatmap(rows: DataFrame, first: str, last: str, available_from: str) -> DataFrame:
-    """One row for each calendar day, with or without usage."""
+def heatmap(rows: DataFrame, first: str, last: str, floor: str, unassigned: DataFrame | None = None) -> DataFrame:
+    """One row for each calendar day, with or without usage.
+
+    Days before the floor, and ``unassigned`` ones, whose usage an archived period holds, are not available; they are
+    partial, and available, where daily rows tell some of it.
+    """
     days = rows.sparkSession.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("day"))
-    sums = rows.where(F.col("local_day").between(first, last)).groupBy("local_day").agg(F.sum("calls").alias("calls"), F.sum("total_sum").alias("tokens"), (F.sum("total_unknown") > 0).alias("partial"))
-    joined = days.join(sums, days.day == sums.local_day, "left")
-    return joined.select("day", F.coalesce("calls", F.lit(0)).alias("calls"), "tokens", (F.col("day") >= F.lit(available_from).cast("date")).alias("available"), F.coalesce("partial", F.lit(False)).alias("partial"))
+    sums = rows.where(F.col("local_day").between(first, last)).groupBy(F.col("local_day").alias("day")).agg(F.sum("calls").alias("calls"), F.sum("total_sum").alias("tokens"), F.lit(True).alias("told"))
+    joined = days.join(sums, "day", "left")
+    gone = F.col("day") < F.lit(floor).cast("date")
+    if unassigned is not None:
+        joined = joined.join(unassigned.select("day", F.lit(True).alias("held")), "day", "left")
+        gone |= F.coalesce("held", F.lit(False))
+    told = F.coalesce("told", F.lit(False))
+    return joined.select("day", (F.weekday("day") + 1).alias("weekday"), F.coalesce("calls", F.lit(0)).alias("calls"), "tokens", (~gone | told).alias("available"), (gone & told).alias("partial"))
 
 
 def series(rows: DataFrame, period: Column, by: str) -> DataFrame:

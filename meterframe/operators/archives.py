@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterframe.functions import calendar as cal
+from meterframe.operators.intervals import WEEK_DAYS, days, within
 from meterframe.operators.rollups import DIMENSIONS, MEASURES
 
 
@@ -48,22 +49,41 @@ def recompute(events_rollup: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def retained(daily: DataFrame, archive: DataFrame) -> DataFrame:
-    """Daily rows united with archived periods: a day that an archived row of its dimensions covers is not counted again."""
-    keys = ["source_instance_id", "agent", "provider", "model", "call_category", "quality_bucket"]
-    spans = archive.select(*keys, "first_day", "end_day").distinct()
-    covered = (F.col("local_day") >= F.col("first_day")) & (F.col("local_day") < F.col("end_day"))
-    on = covered
-    for k in keys:
-        on &= F.col(f"d.{k}") == F.col(f"a.{k}")
-    open_days = daily.alias("d").join(spans.alias("a"), on, "left_anti")
+    """Daily rows united with archived periods: a day that an archived row of its dimensions covers is not counted again,
+    unless the daily row is of a newer revision, where both have one."""
+    keys = list(DIMENSIONS)
+    guarded = "revision" in daily.columns and "revision" in archive.columns
+    spans = archive.select(*keys, "first_day", "end_day", *(["revision"] if guarded else [])).distinct()
+    not_older = F.col("s.revision") >= F.col("r.revision") if guarded else None
+    open_days = within(daily, spans, keys, days("local_day"), days("first_day"), days("end_day"), WEEK_DAYS, "left_anti", not_older)
     columns = ["source", "first_day", *keys, *MEASURES]
     return open_days.select(F.lit("daily").alias("source"), F.col("local_day").alias("first_day"), *keys, *MEASURES).unionByName(archive.select(F.lit("archive").alias("source"), *columns[1:]))
 
 
+def unassigned_days(daily: DataFrame, archive: DataFrame, first: str, last: str, floor: str) -> DataFrame:
+    """The days of [first, last] whose usage an archived period holds alone, as it cannot be told by day.
+
+    That is a period from before the floor, or one without a daily row of its dimensions, unless such a row is newer.
+    """
+    keys = list(DIMENSIONS)
+    near = archive.where((F.col("first_day") <= F.lit(last).cast("date")) & (F.col("end_day") > F.lit(first).cast("date")))
+    spans = near.select(*keys, "grain", "first_day", "end_day", "revision")
+    met = within(daily.select(*keys, "local_day", F.col("revision").alias("newest")), spans, keys, days("local_day"), days("first_day"), days("end_day"), WEEK_DAYS, "inner")
+    held = met.groupBy(*[F.col(f"s.{c}") for c in (*keys, "grain", "first_day", "end_day")]).agg(F.max("newest").alias("newest"))
+    known = spans.join(held, [*keys, "grain", "first_day", "end_day"], "left")
+    alone = known.where(((F.col("first_day") < F.lit(floor).cast("date")) | F.col("newest").isNull()) & F.coalesce(F.col("newest") <= F.col("revision"), F.lit(True)))
+    span = F.sequence(F.greatest("first_day", F.lit(first).cast("date")), F.least(F.date_sub("end_day", 1), F.lit(last).cast("date")))
+    return alone.select("first_day", "end_day").distinct().select(F.explode(span).alias("day")).distinct()
+
+
+#: What the detail of an hour still tells beside its calls.
+RECOVERED = ("input_known", "input_unknown", "uncached_sum", "uncached_known", "output_known", "output_unknown", "total_known", "total_unknown", "ratio_input", "ratio_read", "ratio_samples")
+
+
 def enrich_hours(hours: DataFrame, detail: DataFrame, sealed: DataFrame) -> DataFrame:
-    """Hourly rows with the counts that their detail still gives, for partitions that are not sealed."""
+    """A3: hourly rows with the counts and sums that their detail still gives (``detail``: its rollup), for partitions that are not sealed."""
     keys = ["local_day", "local_hour", *DIMENSIONS]
-    found = detail.groupBy(*keys).agg(F.count("known_total_tokens").alias("detail_known"), F.sum("known_input_uncached").alias("detail_uncached"))
+    found = detail.select(*keys, *[F.col(m).alias(f"detail_{m}") for m in RECOVERED])
     frozen = sealed.select("local_day", "source_instance_id").distinct().withColumn("frozen", F.lit(True))
     joined = hours.join(found, keys, "left").join(frozen, ["local_day", "source_instance_id"], "left")
-    return joined.select(*keys, "events", *[F.when(F.col("frozen").isNull(), F.col(c)).alias(c) for c in ("detail_known", "detail_uncached")])
+    return joined.select(*keys, "events", *[F.when(F.col("frozen").isNull(), F.col(f"detail_{m}")).alias(f"detail_{m}") for m in RECOVERED])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterframe.functions import calendar as cal
+from meterframe.operators.intervals import WEEK_DAYS, WEEK_MS, days, within
 from meterframe.operators.archives import materialise_periods, protected_day
 
 FIELD_VERSION = 1
@@ -117,18 +118,14 @@ def recompute_range(events: DataFrame, stored: DataFrame, roll, first: str, last
 
 def replaced_days(daily: DataFrame, archive: DataFrame, keys: list[str]) -> DataFrame:
     """Daily rows that no archived row of their dimensions holds: one whose days include them and whose revision is not older."""
-    on = (F.col("d.local_day") >= F.col("a.first_day")) & (F.col("d.local_day") < F.col("a.end_day")) & (F.col("a.revision") >= F.col("d.revision"))
-    for k in keys:
-        on &= F.col(f"d.{k}") == F.col(f"a.{k}")
-    return daily.alias("d").join(archive.select(*keys, "first_day", "end_day", "revision").alias("a"), on, "left_anti")
+    fresh = F.col("s.revision") >= F.col("r.revision")
+    return within(daily, archive.select(*keys, "first_day", "end_day", "revision"), keys, days("local_day"), days("first_day"), days("end_day"), WEEK_DAYS, "left_anti", fresh)
 
 
 def unarchived_detail(events: DataFrame, archive: DataFrame, keys: list[str]) -> DataFrame:
     """Events that no archive row of their six dimensions covers: in [start_ms, end_ms), and in its hour where it has one."""
-    on = (F.col("e.occurred_at_ms") >= F.col("a.start_ms")) & (F.col("e.occurred_at_ms") < F.col("a.end_ms")) & (F.col("a.hour").isNull() | (F.col("a.hour") == F.col("e.local_hour")))
-    for k in keys:
-        on &= F.col(f"e.{k}") == F.col(f"a.{k}")
-    return events.alias("e").join(archive.alias("a"), on, "left_anti")
+    hour = F.col("s.hour").isNull() | (F.col("s.hour") == F.col("r.local_hour"))
+    return within(events, archive, keys, F.col("occurred_at_ms"), F.col("start_ms"), F.col("end_ms"), WEEK_MS, "left_anti", hour)
 
 
 def changed_days(days: DataFrame, saved: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterframe.operators import archives, rollups
-from meterframe.plans.summaries import DIMS, HOURS, RESUM, ROLL, daily
+from meterframe.operators import activity, archives, rollups
+from meterframe.plans.summaries import DIMS, HOURS, MEASURES, RESUM, ROLL, daily, hourly
 from meterframe.registry import query
 from meterframe.sources.usage import EVENTS, table, usage_events
 
@@ -59,16 +59,38 @@ def r3_r4_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     HOURS
-    + f""", detail AS (SELECT local_day, local_hour, {DIMS}, count(known_total_tokens) AS detail_known, CAST(sum(known_input_uncached) AS BIGINT) AS detail_uncached FROM events_ WHERE attribution_status = 'verified' AND part_key % 2 = 0 GROUP BY ALL),
-    {_SEALED} SELECT r.local_day, r.local_hour, {', '.join('r.' + n for n in _NAMES.split(', '))}, events, CASE WHEN s.local_day IS NULL THEN detail_known END AS detail_known, CASE WHEN s.local_day IS NULL THEN detail_uncached END AS detail_uncached
+    + f""", detail AS (SELECT local_day, local_hour, {DIMS}, {MEASURES} FROM events_ WHERE attribution_status = 'verified' AND part_key % 2 = 0 GROUP BY ALL),
+    {_SEALED} SELECT r.local_day, r.local_hour, {', '.join('r.' + n for n in _NAMES.split(', '))}, r.events, {', '.join(f"CASE WHEN s.local_day IS NULL THEN d.{m} END AS detail_{m}" for m in archives.RECOVERED)}
     FROM roll r LEFT JOIN detail d ON r.local_hour = d.local_hour AND r.local_day = d.local_day AND {' AND '.join(f'r.{k} = d.{k}' for k in _NAMES.split(', '))} LEFT JOIN sealed s ON s.local_day = r.local_day AND s.source_instance_id = r.source_instance_id"""
 )
 def a3_hourly_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = usage_events(spark, sf_dir)
-    hours = rollups.rollup(events, "local_day", "local_hour")
-    detail = rollups.eligible(events).where("part_key % 2 = 0").withColumns({"provider": F.coalesce("provider_id", F.lit("")), "model": F.coalesce("model_raw", F.lit(""))})
-    sealed = hours.where((F.col("local_day") < CUTOFF) & F.col("source_instance_id").isin("inst-1", "inst-2", "inst-3"))
-    return archives.enrich_hours(hours, detail, sealed)
+    """Half of the detail is still there."""
+    detail = rollups.rollup(usage_events(spark, sf_dir).where("part_key % 2 = 0"), "local_day", "local_hour")
+    rows = hourly(spark, sf_dir)
+    sealed = rows.where((F.col("local_day") < CUTOFF) & F.col("source_instance_id").isin("inst-1", "inst-2", "inst-3"))
+    return archives.enrich_hours(rows, detail, sealed)
+
+
+_OPEN = "NOT (agent IN ('Brand#11', 'Brand#23') AND local_day BETWEEN DATE'1996-05-01' AND DATE'1996-06-30')"
+_SAME = " AND ".join(f"d.{k} = p.{k}" for k in _NAMES.split(", ")) + " AND d.local_day >= p.first_day AND d.local_day < p.end_day"
+
+
+@query(
+    ROLL
+    + f""", {PERIODS}, d AS (SELECT *, day(local_day) % 5 AS revision FROM roll WHERE {_OPEN}), p AS (SELECT *, month(first_day) % 4 + 1 AS revision FROM periods WHERE grain <> 'year' AND first_day < DATE '1996-10-01'),
+    held AS (SELECT DISTINCT unnest(generate_series(greatest(CAST(first_day AS TIMESTAMP), TIMESTAMP '1995-10-01'), least(CAST(end_day AS TIMESTAMP) - INTERVAL 1 DAY, TIMESTAMP '1996-12-31'), INTERVAL 1 DAY)) AS day FROM p
+      WHERE (first_day < DATE '1996-03-10' OR NOT EXISTS (SELECT 1 FROM d WHERE {_SAME})) AND NOT EXISTS (SELECT 1 FROM d WHERE {_SAME} AND d.revision > p.revision)),
+    sums AS (SELECT local_day, CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(total_sum) AS BIGINT) AS tokens FROM d GROUP BY 1),
+    days AS (SELECT day, day < DATE '1996-03-10' OR day IN (SELECT day FROM held) AS gone FROM (SELECT unnest(generate_series(TIMESTAMP '1995-10-01', TIMESTAMP '1996-12-31', INTERVAL 1 DAY)) AS day))
+    SELECT CAST(day AS DATE) AS day, CAST(isodow(day) AS INTEGER) AS weekday, coalesce(calls, 0) AS calls, tokens, NOT gone OR local_day IS NOT NULL AS available, gone AND local_day IS NOT NULL AS partial FROM days LEFT JOIN sums ON local_day = CAST(day AS DATE)"""
+)
+def a9_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weeks and months are archived; two agents have lost the daily rows of two months."""
+    whole = daily(spark, sf_dir)
+    archive = archives.materialise_periods(whole, TODAY, FLOOR).where("grain <> 'year' AND first_day < DATE'1996-10-01'").withColumn("revision", F.month("first_day") % 4 + 1)
+    rows = whole.where(_OPEN).withColumn("revision", F.day("local_day") % 5)
+    span = ("1995-10-01", "1996-12-31", "1996-03-10")
+    return activity.heatmap(rows, *span, archives.unassigned_days(rows, archive, *span))
 
 
 @query(f"WITH {EVENTS} SELECT count(*) FILTER (local_day >= DATE '{CUTOFF}') AS kept, count(*) FILTER (local_day < DATE '{CUTOFF}') AS removed FROM events_")

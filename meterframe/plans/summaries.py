@@ -85,16 +85,6 @@ def a7_sessions_and_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return activity.sessions(session_days(spark, sf_dir).where("calls > 0"), cal.month_label(F.col("local_day")).alias("period"))
 
 
-@query(
-    ROLL
-    + """, sums AS (SELECT local_day, CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(total_sum) AS BIGINT) AS tokens, sum(total_unknown) > 0 AS part FROM roll GROUP BY 1)
-    SELECT CAST(day AS DATE) AS day, coalesce(calls, 0) AS calls, tokens, day >= DATE '1996-01-01' AS available, coalesce(part, false) AS partial
-    FROM (SELECT unnest(generate_series(DATE '1995-10-01', DATE '1996-12-31', INTERVAL 1 DAY)) AS day) LEFT JOIN sums ON local_day = day"""
-)
-def a9_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return activity.heatmap(daily(spark, sf_dir), "1995-10-01", "1996-12-31", "1996-01-01")
-
-
 @query(ROLL + "SELECT strftime(local_day, '%Y-%m') AS period, concat(agent, ' / ', model) AS series, CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(total_sum) AS BIGINT) AS tokens FROM roll GROUP BY ALL")
 def a10_chart_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return activity.series(daily(spark, sf_dir), cal.month_label(F.col("local_day")), "agent_model")
