@@ -230,12 +230,42 @@ def cost_summary(modes: DataFrame, revision: str) -> DataFrame:
     return modes.groupingSets(sets, *keys).agg(axis.alias("axis"), F.count("*").alias("events"), F.count_distinct("basis").alias("bases"), F.max(revision).alias("revision"), total.alias("amount"))
 
 
-def bounds(priced: DataFrame, *keys: str) -> DataFrame:
-    """Lower and upper cost where request sizes are lost: the least and the greatest rate among a group's tiers."""
-    out = priced.where(F.size("tiers") > 0)
-    for name, pick in (("low", F.array_min), ("high", F.array_max)):
-        for slot, tokens in (("input", "input_uncached"), ("output", "output_total")):
-            rate = pick(F.col("tiers").getField(f"{slot}_rate"))
-            out = out.withColumn(f"{name}_{slot}", F.col(tokens).cast("decimal(19,0)") * rate.cast("decimal(18,0)"))
-    sums = [rounded(F.sum(F.coalesce(f"{n}_input", F.lit(0)) + F.coalesce(f"{n}_output", F.lit(0))).cast("decimal(38,0)")).alias(f"{n}_amount") for n in ("low", "high")]
-    return out.groupBy(*keys).agg(F.count("*").alias("events"), *sums)
+def simulated(priced: DataFrame, ttl: dict[str, int], aggregate: str) -> DataFrame:
+    """Rows with ``low`` and ``high``, the exact cost where a request's tier is known and its bounds where it is lost.
+
+    Rows for which ``aggregate`` holds are sums of calls, of which no size is known: each of their rates lies between the
+    least and the greatest of the tariff's tiers, or is unknown if a tier has none. They are not priced if the tariff has no
+    base tier, and a sum's own size chooses none. ``why``: the reason of what is not priced.
+    """
+    lost = F.coalesce(F.col(aggregate), F.lit(False))
+    offered = F.size(F.coalesce("tiers", F.array())) > 0
+    base = F.exists("tiers", lambda r: r.threshold == 0)
+    settled = ~F.coalesce(F.col("reason").isin("tier_ambiguous", "no_price_row"), F.lit(True))  # a reason that no tier could change
+    why = F.when(~lost | settled | ~offered, F.col("reason")).when(~base, "tier_ambiguous")
+
+    def edge(pick) -> Column:
+        def rate(slot: str) -> Column:
+            rates = F.transform("tiers", lambda r: r[f"{slot}_rate"])
+            return F.when(~F.exists(rates, lambda x: x.isNull()), pick(rates))
+
+        one = F.try_element_at("tiers", F.lit(1))
+        for slot in SLOTS:
+            one = one.withField(f"{slot}_rate", rate(slot))
+        return F.when(lost & offered & why.isNull(), one).when(~lost, F.col("tariff"))
+
+    out = priced.withColumns({"why": why, "low_": edge(F.array_min), "high_": edge(F.array_max)})
+    held = [c for c in out.columns if c not in ("low_", "high_", "tariff")]
+    for name in ("low", "high"):
+        found = amounts(out.withColumn("tariff", F.col(f"{name}_")), ttl)
+        total = F.lit(0).cast("decimal(38,0)")
+        for slot in SLOTS:
+            total = total + F.coalesce(f"{slot}_exact", F.lit(0))
+        out = found.withColumn(name, F.when(F.col("tariff").isNotNull(), total.cast("decimal(38,0)"))).select(*held, "low_", "high_", *[n for n in ("low", "high") if n == name or n in out.columns])
+    return out.drop("low_", "high_")
+
+
+def bounds(simulated: DataFrame, *keys: str) -> DataFrame:
+    """Calls priced and not, and the lower and upper cost, of rows with how many ``calls`` they hold."""
+    priced = F.col("low").isNotNull()
+    sums = [rounded(F.sum(n).cast("decimal(38,0)")).alias(f"{n}_amount") for n in ("low", "high")]
+    return simulated.groupBy(*keys).agg(F.sum(F.when(priced, F.col("calls")).otherwise(0)).alias("priced"), F.sum(F.when(~priced, F.col("calls")).otherwise(0)).alias("unpriced"), *sums)

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meterframe.operators import pricing
-from meterframe.operators.rollups import eligible
+from meterframe.operators import archives, pricing
+from meterframe.operators.intervals import WEEK_DAYS, days, within
+from meterframe.operators.rollups import DIMENSIONS, eligible
+from meterframe.plans.retention import FLOOR, PERIODS, TODAY
+from meterframe.plans.summaries import DIMS, MEASURES, daily
 from meterframe.registry import query
 from meterframe.sources.prices import PRICES, faults, overlaps, price_rows
 from meterframe.sources.usage import EVENTS, usage_events
@@ -94,13 +97,41 @@ def a16_a18_cost_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pricing.cost_summary(pricing.cost_modes(rows, micro, kind), "part_key").select("mode", "currency", "axis", "reason", "model", "local_day", "events", "bases", "revision", "amount")
 
 
+def _edge(slot: str, pick: str) -> str:
+    rates = f"list_transform(tiers, lambda r: r.{slot}_rate)"
+    rate = f"CASE WHEN aggregate THEN CASE WHEN len(list_filter(tiers, lambda r: r.{slot}_rate IS NULL)) = 0 THEN list_{pick}({rates}) END ELSE tariff.{slot}_rate END"
+    return f"CASE WHEN input_cache_write = 0 THEN 0 WHEN provider_ IN ('china', 'france') THEN {rate} END" if slot == "write" else rate
+
+
+_SLOT_TOKENS = {"input": "coalesce(input_uncached, input_total - input_cache_read - input_cache_write)", "read": "input_cache_read", "write": "input_cache_write", "output": "output_total"}
+_EDGES = ", ".join(f"CASE WHEN priced THEN {' + '.join(f'coalesce(CAST({t} AS HUGEINT) * {_edge(n, pick)}, 0)' for n, t in _SLOT_TOKENS.items())} END AS {name}" for name, pick in (("low", "min"), ("high", "max")))
+_BOTH = "model_raw, provider_id, occurred_at_ms, input_uncached, input_cache_read, input_cache_write, input_total, output_total"
+
+
 @query(
-    f"""WITH {CHOSEN}, b AS (SELECT model_raw, list_min(list_transform(tiers, lambda r: r.input_rate)) AS li, list_max(list_transform(tiers, lambda r: r.input_rate)) AS hi,
-    list_min(list_transform(tiers, lambda r: r.output_rate)) AS lo, list_max(list_transform(tiers, lambda r: r.output_rate)) AS ho, CAST(input_uncached AS HUGEINT) AS u, CAST(output_total AS HUGEINT) AS o FROM chosen WHERE len(tiers) > 0)
-    SELECT model_raw, count(*) AS events, {_ROUND.format('sum(coalesce(u * li, 0) + coalesce(o * lo, 0))')} AS low_amount, {_ROUND.format('sum(coalesce(u * hi, 0) + coalesce(o * ho, 0))')} AS high_amount FROM b GROUP BY 1"""
+    f"""WITH {EVENTS}, roll AS (SELECT local_day, {DIMS}, {MEASURES} FROM events_ WHERE attribution_status = 'verified' GROUP BY ALL), {PERIODS}, archived AS (SELECT * FROM periods WHERE grain = 'month' AND first_day < DATE '1997-01-01'),
+    both_ AS MATERIALIZED (SELECT 'verified' AS attribution_status, record_kind, {_BOTH}, false AS aggregate, 1 AS calls FROM events_ e WHERE attribution_status = 'verified' AND record_kind <> 'transport_attempt' AND NOT EXISTS (SELECT 1 FROM archived a
+        WHERE a.source_instance_id = e.source_instance_id AND a.agent = e.agent AND a.provider = coalesce(e.provider_id, '') AND a.model = coalesce(e.model_raw, '') AND a.call_category = e.call_category AND a.quality_bucket = e.quality_bucket AND local_day >= first_day AND local_day < end_day)
+      UNION ALL SELECT 'verified', 'model_call', nullif(model, ''), nullif(provider, ''), epoch_ms(CAST(first_day AS TIMESTAMP)), uncached_sum, read_sum, write_sum, input_sum, output_sum, true, events - attempts FROM archived),
+    {CHOSEN.replace(EVENTS + ", ", "").replace("FROM events_ WHERE", "FROM both_ WHERE")},
+    b AS (SELECT *, CASE WHEN aggregate THEN len(tiers) > 0 AND coalesce(reason IN ('tier_ambiguous', 'no_price_row'), true) AND len(list_filter(tiers, lambda r: r.threshold = 0)) > 0 ELSE tariff IS NOT NULL END AS priced FROM chosen),
+    c AS (SELECT coalesce(lower(model_raw), '') AS model, aggregate, priced, calls, {_EDGES} FROM b)
+    SELECT model, aggregate, CAST(coalesce(sum(calls) FILTER (priced), 0) AS BIGINT) AS priced, CAST(coalesce(sum(calls) FILTER (NOT priced), 0) AS BIGINT) AS unpriced, {_ROUND.format('sum(low)')} AS low_amount, {_ROUND.format('sum(high)')} AS high_amount FROM c GROUP BY model, aggregate"""
 )
 def a20_cost_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pricing.bounds(priced(spark, sf_dir), "model_raw")
+    """Months before 1997 are archived: their rows stand for the calls of their dimensions, whose sizes are lost."""
+    archive = archives.materialise_periods(daily(spark, sf_dir), TODAY, FLOOR).where("grain = 'month' AND first_day < DATE'1997-01-01'")
+    names = {"provider": F.coalesce("provider_id", F.lit("")), "model": F.coalesce("model_raw", F.lit(""))}
+    events = eligible(usage_events(spark, sf_dir)).where("record_kind <> 'transport_attempt'").withColumns(names)
+    spans = archive.select(*DIMENSIONS, "first_day", "end_day")
+    detail = within(events, spans, list(DIMENSIONS), days("local_day"), days("first_day"), days("end_day"), WEEK_DAYS, "left_anti")
+    shape = _BOTH.split(", ")
+    sums = {"model_raw": F.nullif("model", F.lit("")), "provider_id": F.nullif("provider", F.lit("")), "occurred_at_ms": F.unix_date("first_day").cast("long") * 86_400_000}
+    sums |= dict(zip(shape[3:], (F.col(f"{n}_sum") for n in ("uncached", "read", "write", "input", "output")), strict=True))
+    rows = detail.select(*shape, F.lit(False).alias("aggregate"), F.lit(1).cast("long").alias("calls"))
+    rows = rows.unionByName(archive.select(*[c.alias(n) for n, c in sums.items()], F.lit(True).alias("aggregate"), (F.col("events") - F.col("attempts")).alias("calls")))
+    found = pricing.simulated(pricing.choose(rows, price_rows(spark, sf_dir), CONFIGURED), TTL, "aggregate")
+    return pricing.bounds(found.withColumn("model", F.coalesce(F.lower("model_raw"), F.lit(""))), "model", "aggregate")
 
 
 @query(
