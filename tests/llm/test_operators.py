@@ -509,6 +509,22 @@ def test_neighbours_against_brute_force(spark, none):
     assert abs(neighbours.chi_square(np.array(neighbours.quantile(0.95)))[()] - 0.95) < 1e-9
 
 
+@pytest.mark.parametrize(("spread", "most"), [(0.35, 0.1), (10.0, 0.6)])
+def test_the_stopping_test_spares_vectors(spread, most):
+    """Recall and the share of vectors that are verified, around 100 centres and without any."""
+    rng = np.random.default_rng(13)
+    centre = rng.standard_normal((100, 64))
+    vectors = centre[rng.integers(0, 100, 8000)] + spread * rng.standard_normal((8000, 64))
+    tree = neighbours.Tree(np.arange(8000), vectors, 10)
+    stop, hits = neighbours.quantile(neighbours.CONFIDENCE), 0
+    for q in range(0, 8000, 100):
+        away = ((vectors - vectors[q]) ** 2).sum(axis=1)
+        away[q] = np.inf
+        _, names = tree.search(q, vectors[q], vectors[q] @ neighbours.directions(64), np.inf, 10, stop)
+        hits += len(set(np.argsort(away)[:10].tolist()) & set(names.tolist()))
+    assert hits >= 0.93 * 800 and tree.met <= most * 80 * 8000
+
+
 def test_neighbours_of_every_length(spark):
     rows = [(2 * n + i, [float(i + 1) + 0.1 * j for j in range(n)]) for n in range(1, 71) for i in range(2)]
     got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), neighbours.F.lit(True)).collect()
