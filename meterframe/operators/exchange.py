@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +29,11 @@ def export_details(events: DataFrame, stored: DataFrame, archives: DataFrame) ->
 
 def import_details(target: DataFrame, package: DataFrame, archived: DataFrame, keys: list[str], valid: Column) -> DataFrame:
     """Every row's ``outcome``: ``rejected`` for all rows of a package with an invalid row, an identity twice, or a
-    source-day that is archived; else what the arbitration with the stored row says. Rows of the target alone are kept."""
+    source-day that is archived; else what the arbitration with the stored row says. Rows of the target alone are kept.
+
+    Where both sides have a ``conflict`` flag, a row that stands is flagged if the stored one was and has not been
+    updated, if it comes flagged and is taken, or if this import is in conflict with it.
+    """
     twice = F.count("*").over(Window.partitionBy("package", *keys)) > 1
     frozen = archived.select(*SOURCE_DAY).distinct().withColumn("frozen_", F.lit(True))
     checked = package.join(frozen, list(SOURCE_DAY), "left").withColumn("fault_", ~F.coalesce(valid, F.lit(False)) | twice | F.coalesce("frozen_", F.lit(False)))
@@ -35,9 +41,24 @@ def import_details(target: DataFrame, package: DataFrame, archived: DataFrame, k
     sound = package.join(bad.where("not rejected_"), "package", "left_semi")
     columns = [*keys, *[c for c in target.columns if c not in keys]]
     merged = upsert(target.select(*columns), sound.select(*columns), keys).select(*columns, "outcome")
+    if "conflict" in columns:
+        merged = merged.withColumn("conflict", F.coalesce("conflict", F.lit(False)) | (F.col("outcome") == "conflict"))
     return merged.unionByName(package.join(bad.where("rejected_"), "package", "left_semi").select(*columns, F.lit("rejected").alias("outcome")))
 
 
+def rebuilt_costs(stored: DataFrame, merged: DataFrame, target: DataFrame, keys: list[str], costs: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Cost rows by source-day after an import: those of the days that it has touched made anew, the others as stored.
+
+    An update touches the day that it takes a row from as well as the one that it takes it to. ``costs`` makes the rows of
+    given source-days.
+    """
+    changed = merged.where("outcome in ('added', 'updated')")
+    moved = target.select(*dict.fromkeys([*keys, *SOURCE_DAY])).join(changed.where("outcome = 'updated'").select(*keys), keys, "left_semi")
+    days = changed.select(*SOURCE_DAY).unionByName(moved.select(*SOURCE_DAY)).distinct()
+    kept = stored.join(days, list(SOURCE_DAY), "left_anti").withColumn("rebuilt", F.lit(False))
+    return kept.unionByName(costs(days).withColumn("rebuilt", F.lit(True)))
+
+
 def export_partitions(daily: DataFrame, hourly: DataFrame, periods: DataFrame, hosts: DataFrame, first: str, end: str, with_hosts: bool) -> dict[str, DataFrame]:
     """The sources, days, hours and periods that lie in [first, end) as a whole; host names only if asked for."""
     a, z = F.lit(first).cast("date"), F.lit(end).cast("date")
@@ -68,7 +89,9 @@ def partition_faults(rows: DataFrame, sources: DataFrame, values: tuple[str, ...
         .when(~grain | ~F.coalesce(hour, F.lit(False)), "granularity")
     )
     marked = rows.join(known, ["package", "source_instance_id"], "left").withColumn("fault", fault).drop("declared_")
-    return marked.withColumn("rejected", F.bool_or(F.col("fault").isNotNull()).over(Window.partitionBy("package")))
+    # a package is told by a grouped verdict, so that its rows are not gathered in one task
+    verdicts = marked.groupBy("package").agg(F.bool_or(F.col("fault").isNotNull()).alias("rejected"))
+    return marked.join(verdicts, "package")
 
 
 def merge_packages(stored: DataFrame, incoming: DataFrame, live: DataFrame, keys: list[str], values: list[str]) -> DataFrame:

@@ -41,14 +41,15 @@ _HIGH = "CASE WHEN o.source_revision IS NOT NULL AND n.source_revision IS NOT NU
 
 @query(
     f"""WITH {EVENTS}, v AS (SELECT *, {_MD5} AS content, concat(source_instance_id, '/', order_key % 50) AS package FROM events_),
-    o AS (SELECT source_instance_id, source_record_key, local_day, content, source_revision, lifecycle_rank FROM v WHERE part_key % 2 = 0 QUALIFY row_number() OVER (PARTITION BY source_instance_id, source_record_key ORDER BY occurred_at_ms, part_key, supplier_key) = 1),
-    p AS (SELECT package, source_instance_id, source_record_key, local_day, content, source_revision, lifecycle_rank, total_tokens FROM v WHERE part_key % 2 = 1),
+    o AS (SELECT source_instance_id, source_record_key, local_day, content, source_revision, lifecycle_rank, part_key % 13 = 0 AS conflict FROM v WHERE part_key % 2 = 0 QUALIFY row_number() OVER (PARTITION BY source_instance_id, source_record_key ORDER BY occurred_at_ms, part_key, supplier_key) = 1),
+    p AS (SELECT package, source_instance_id, source_record_key, local_day, content, source_revision, lifecycle_rank, total_tokens, part_key % 17 = 0 AS conflict FROM v WHERE part_key % 2 = 1),
     bad AS (SELECT DISTINCT package FROM (SELECT package, count(*) OVER (PARTITION BY package, source_instance_id, source_record_key) > 1 OR local_day < DATE '1995-06-01' OR coalesce(total_tokens > 12000, false) AS fault FROM p) WHERE fault),
     n AS (SELECT * FROM p WHERE package NOT IN (SELECT package FROM bad)),
     j AS (SELECT coalesce(o.source_instance_id, n.source_instance_id) AS source_instance_id, CASE WHEN o.content IS NULL THEN 'added' WHEN n.content IS NULL THEN 'kept' WHEN {_HIGH.format('>')} THEN 'updated'
-      WHEN {_HIGH.format('=')} THEN CASE WHEN o.content = n.content THEN 'unchanged' ELSE 'conflict' END ELSE 'skipped' END AS outcome, o.local_day AS old_day, n.local_day AS new_day FROM o FULL JOIN n ON o.source_instance_id = n.source_instance_id AND o.source_record_key = n.source_record_key),
-    every AS (SELECT source_instance_id, outcome, CASE WHEN outcome IN ('added', 'updated') THEN new_day ELSE old_day END AS day FROM j UNION ALL SELECT source_instance_id, 'rejected', local_day FROM p WHERE package IN (SELECT package FROM bad))
-    SELECT source_instance_id, outcome, count(*) AS n, count(DISTINCT day) AS days FROM every GROUP BY ALL"""
+      WHEN {_HIGH.format('=')} THEN CASE WHEN o.content = n.content THEN 'unchanged' ELSE 'conflict' END ELSE 'skipped' END AS outcome, o.local_day AS old_day, n.local_day AS new_day, o.conflict AS old_flag, n.conflict AS new_flag FROM o FULL JOIN n ON o.source_instance_id = n.source_instance_id AND o.source_record_key = n.source_record_key),
+    every AS (SELECT source_instance_id, outcome, CASE WHEN outcome IN ('added', 'updated') THEN new_day ELSE old_day END AS day, CASE WHEN outcome IN ('added', 'updated') THEN new_flag ELSE old_flag OR outcome = 'conflict' END AS flag FROM j
+      UNION ALL SELECT source_instance_id, 'rejected', local_day, conflict FROM p WHERE package IN (SELECT package FROM bad))
+    SELECT source_instance_id, outcome, count(*) AS n, count(DISTINCT day) AS days, count(*) FILTER (flag) AS conflicts FROM every GROUP BY ALL"""
 )
 def u9_detail_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meterframe.operators.merging import first_occurrence
@@ -56,12 +57,13 @@ def u9_detail_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = usage_events(spark, sf_dir).withColumn("content", content_hash(list(_CONTENT)))
     keys = ["source_instance_id", "source_record_key"]
     held = ["local_day", "content", "source_revision", "lifecycle_rank"]
-    target = first_occurrence(rows.where("part_key % 2 = 0"), keys, _ORDER).select(*keys, *held)
-    package = rows.where("part_key % 2 = 1").select(F.concat("source_instance_id", F.lit("/"), F.col("order_key") % 50).alias("package"), *keys, *held, "total_tokens")
+    flag = lambda n: (F.col("part_key") % n == 0).alias("conflict")
+    target = first_occurrence(rows.where("part_key % 2 = 0"), keys, _ORDER).select(*keys, *held, flag(13))
+    package = rows.where("part_key % 2 = 1").select(F.concat("source_instance_id", F.lit("/"), F.col("order_key") % 50).alias("package"), *keys, *held, flag(17), "total_tokens")
     archived = rows.where("local_day < DATE'1995-06-01'").select(*exchange.SOURCE_DAY)
     valid = F.coalesce(F.col("total_tokens") <= 12000, F.lit(True))
     merged = exchange.import_details(target, package, archived, keys, valid)
-    return merged.groupBy("source_instance_id", "outcome").agg(F.count("*").alias("n"), F.count_distinct("local_day").alias("days"))
+    return merged.groupBy("source_instance_id", "outcome").agg(F.count("*").alias("n"), F.count_distinct("local_day").alias("days"), F.count_if("conflict").alias("conflicts"))
 
 
 _A, _Z = "1996-03-05", "1997-02-11"

@@ -15,6 +15,7 @@ rows, as they count; ``numbered`` adds the line number and ``readable`` sets apa
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -52,15 +53,15 @@ def _opened(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def _files(path: str) -> dict[str, int]:
-    """The length of each file under the path; names that begin with a dot or an underscore are not data."""
+def _files(path: str, only: str) -> dict[str, int]:
+    """The length of each file under the path whose whole name ``only`` is found in; names that begin with a dot or an underscore are not data."""
     from pyarrow import fs
 
     system, place = _opened(path)
     info = system.get_file_info(place)
     found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(place, recursive=True, allow_not_found=True))
     prefix = path[: len(path) - len(place)] if path.endswith(place) else ""
-    return {prefix + f.path: f.size for f in found if f.type == fs.FileType.File and f.base_name[0] not in "._"}
+    return {prefix + f.path: f.size for f in found if f.type == fs.FileType.File and f.base_name[0] not in "._" and re.search(only, f.path)}
 
 
 def _splits(file: str, fresh: bool, low: int, high: int, size: int) -> list[Split]:
@@ -142,20 +143,31 @@ def _read(split: Split, most: int):
         yield batch(first, held)
 
 
+def _whole(split: Split, text: bool):
+    """A file as one row; without its text it is not opened."""
+    value = None
+    if text:
+        system, place = _opened(split.file)
+        with system.open_input_file(place) as source:
+            value = source.read()
+    yield split.file, True, 0, 0, 0, split.high, value
+
+
 class _Options:
     def __init__(self, options: dict[str, str]):
-        self.path = options["path"]
+        self.path, self.only, self.unit = options["path"], options.get("files", ""), options.get("unit", "line")
         self.most = int(options.get("most", LINE_LIMIT))
         self.split = int(options.get("split", SPLIT))
 
     def read(self, partition: Splits):
         for split in partition.held:
-            yield from _read(split, self.most)
+            yield from _read(split, self.most) if self.unit == "line" else _whole(split, self.unit == "file")
 
 
 class _Reader(_Options, DataSourceReader):
     def partitions(self) -> list[Splits]:
-        return _tasks([s for file, size in sorted(_files(self.path).items()) for s in _splits(file, True, 0, size, self.split)], self.split)
+        files = sorted(_files(self.path, self.only).items())
+        return _tasks([s for file, size in files for s in (_splits(file, True, 0, size, self.split) if self.unit == "line" else [Split(file, True, 0, size)])], self.split)
 
 
 class _StreamReader(_Options, DataSourceStreamReader):
@@ -170,7 +182,7 @@ class _StreamReader(_Options, DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         now = {}
-        for file, size in _files(self.path).items():
+        for file, size in _files(self.path, self.only).items():
             known = self.seen.get(file)
             if known is None or known[0] != size:
                 system, place = _opened(file)
@@ -195,7 +207,8 @@ class _StreamReader(_Options, DataSourceStreamReader):
 
 
 class WholeLines(DataSource):
-    """Options: ``path``, ``most`` (bytes of a line), ``split`` (bytes of a task)."""
+    """Options: ``path``, ``files`` (a pattern of their names), ``most`` (bytes of a line), ``split`` (bytes of a task) and, for reading
+    once, ``unit``: line, file (a row for each file, with all its text) or name (without). Folders whose names begin with a dot are read."""
 
     @classmethod
     def name(cls) -> str:

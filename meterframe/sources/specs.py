@@ -37,6 +37,9 @@ class Spec:
     parent: str | None = None
     messages: str | None = None
     session: str | None = None
+    files: str = ""
+    version: str | None = None
+    versions: tuple[str, ...] = ()
 
 
 # The names under which these writers keep their counts.
@@ -45,27 +48,27 @@ SPECS = {
     for s in (
         Spec(
             "codex", {"input": ("$.payload.usage.input_tokens",), "read": ("$.payload.usage.cached_input_tokens",), "write": ("$.payload.usage.cache_write_input_tokens",), "output": ("$.payload.usage.output_tokens",), "reasoning": ("$.payload.usage.reasoning_output_tokens",)},
-            "inclusive", ("resp:{$.payload.response_id}", "seq:{$.payload.thread_id|$.payload.session_id|unknown-session}:{@line}"), ("$.type", "token_usage_record"), ("$.payload.model",), required=("input", "read", "write", "output", "reasoning"),
+            "inclusive", ("resp:{$.payload.response_id}", "seq:{$.payload.thread_id|$.payload.session_id|unknown-session}:{@line}"), ("$.type", "token_usage_record"), ("$.payload.model",), required=("input", "read", "write", "output", "reasoning"), files=r"/\.codex/.*/rollout-[^/]*\.jsonl$", version="$.payload.cli_version",
         ),
         Spec(
             "claude-code", {"input": ("$.message.usage.input_tokens",), "read": ("$.message.usage.cache_read_input_tokens",), "write": ("$.message.usage.cache_creation_input_tokens",), "output": ("$.message.usage.output_tokens",)},
-            "exclusive", ("req:{$.requestId}", "msg:{$.message.id}", "uuid:{$.uuid}", "seq:{$.sessionId|unknown-session}:{@line}"), ("$.type", "assistant"), ("$.message.model",), required=("input", "read", "write", "output"), sidechain="$.isSidechain",
+            "exclusive", ("req:{$.requestId}", "msg:{$.message.id}", "uuid:{$.uuid}", "seq:{$.sessionId|unknown-session}:{@line}"), ("$.type", "assistant"), ("$.message.model",), required=("input", "read", "write", "output"), sidechain="$.isSidechain", files=r"/\.claude/projects/.*\.jsonl$", version="$.version",
         ),
         Spec(
             "gemini", {"input": ("$.tokens.input",), "read": ("$.tokens.cached",), "output": ("$.tokens.output",), "reasoning": ("$.tokens.thoughts",)},
-            "independent", ("gemini:{@session}:{$.id}", "gemini:{@session}:idx-{@index}"), ("$.type", "gemini"), ("$.model",), required=("input", "output"), messages="$.messages", session="$.sessionId",
+            "independent", ("gemini:{@session}:{$.id}", "gemini:{@session}:idx-{@index}"), ("$.type", "gemini"), ("$.model",), required=("input", "output"), messages="$.messages", session="$.sessionId", files=r"/\.gemini/tmp/.*\.json$",
         ),
         Spec(
             "qwen", {"input": ("$.usageMetadata.promptTokenCount",), "read": ("$.usageMetadata.cachedContentTokenCount",), "output": ("$.usageMetadata.candidatesTokenCount",), "reasoning": ("$.usageMetadata.thoughtsTokenCount",)},
-            "independent", ("qwen:{$.uuid}", "seq:{$.sessionId|unknown-session}:{@line}"), ("$.type", "assistant"), ("$.model",), required=("input", "output"), sidechain="$.isSidechain", parent="$.agentId",
+            "independent", ("qwen:{$.uuid}", "seq:{$.sessionId|unknown-session}:{@line}"), ("$.type", "assistant"), ("$.model",), required=("input", "output"), sidechain="$.isSidechain", parent="$.agentId", files=r"/\.qwen/.*/chats/.*\.jsonl$", version="$.version",
         ),
         Spec(
             "pi", {"input": ("$.message.usage.input",), "read": ("$.message.usage.cacheRead",), "write": ("$.message.usage.cacheWrite",), "output": ("$.message.usage.output",), "reasoning": ("$.message.usage.reasoning",)},
-            "exclusive", ("pi:message:{$.id|-}:{$.parentId|-}:{$.timestamp|-}",), ("$.type", "message"), ("$.message.model",), required=("input", "read", "write", "output"),
+            "exclusive", ("pi:message:{$.id|-}:{$.parentId|-}:{$.timestamp|-}",), ("$.type", "message"), ("$.message.model",), required=("input", "read", "write", "output"), files=r"/\.pi/agent/sessions/.*\.jsonl$", version="$.version", versions=("3",),
         ),
         Spec(
             "kimi-code", {"input": ("$.usage.inputOther",), "read": ("$.usage.inputCacheRead",), "write": ("$.usage.inputCacheCreation",), "output": ("$.usage.output",)},
-            "exclusive", ("kimi-code:usage:{@session|nosession}:{@agent|noagent}:{$.time}:{@repeat}",), ("$.type", "usage.record"), ("$.model",), "$.time", required=("input", "read", "write", "output"),
+            "exclusive", ("kimi-code:usage:{@session|nosession}:{@agent|noagent}:{$.time}:{@repeat}",), ("$.type", "usage.record"), ("$.model",), "$.time", required=("input", "read", "write", "output"), files=r"/\.kimi-code/sessions/.*/wire\.jsonl$", version="$.protocol_version", versions=("1.5",),
         ),
         Spec(
             "otel",
@@ -74,7 +77,7 @@ SPECS = {
                 "read": ("$.attributes['gen_ai.usage.cache_read.input_tokens']", "$.attributes['usage.cache_read_input_tokens']"), "write": ("$.attributes['gen_ai.usage.cache_creation.input_tokens']", "$.attributes['usage.cache_creation_input_tokens']"),
                 "reasoning": ("$.attributes['gen_ai.usage.reasoning.output_tokens']", "$.attributes['gen_ai.usage.reasoning_tokens']", "$.attributes['usage.reasoning_tokens']"),
             },
-            "inclusive", ('otel:["{$.traceId|$.trace_id}","{$.spanId}"]', "otel:{$.spanId}"), ("$.name", "chat"), ("$.attributes['gen_ai.request.model']", "$.attributes['gen_ai.response.model']"), "$.startTime", required=("input", "output"),
+            "inclusive", ('otel:["{$.traceId|$.trace_id}","{$.spanId}"]', "otel:{$.spanId}"), ("$.name", "chat"), ("$.attributes['gen_ai.request.model']", "$.attributes['gen_ai.response.model']"), "$.startTime", required=("input", "output"), files=r"/otel/.*\.jsonl$",
         ),
     )
 }
@@ -146,9 +149,64 @@ def read(records: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
     return events.select(*kept), unread.select(*place).unionByName(shaped.where("fault is not null").select(*place))
 
 
+def texts(spark: SparkSession, path: str, spec: Spec, files: str = "") -> DataFrame:
+    """(file, line, offset, fault, value): the ended lines of a source's files or, where it writes documents, whole files of any length."""
+    whole = lines.registered(spark).read.format("whole_lines").options(path=path, files=files, unit="file" if spec.messages else "line").load()
+    if spec.messages:
+        place = [F.lit(None).cast("long").alias(c) for c in ("line", "offset")]
+        return whole.select("file", *place, F.lit(None).cast("string").alias("fault"), F.regexp_replace(F.col("value").cast("string"), "^\ufeff", "").alias("value"))
+    return lines.readable(lines.numbered(whole)).select("file", "line", "offset", "fault", "value")
+
+
 def read_lines(spark: SparkSession, path: str, spec: Spec) -> tuple[DataFrame, DataFrame]:
-    """``read`` of a source's files: ended JSON lines with their place or, where it writes documents, whole files of any length."""
+    """``read`` of all files under a path as those of one source."""
+    return read(texts(spark, path, spec), spec)
+
+
+def discover(spark: SparkSession, path: str, specs: dict[str, Spec] = SPECS) -> DataFrame:
+    """(file, size, agent): every file under a path and the source whose name it has, null if none claims it. No file is opened."""
+    found = lines.registered(spark).read.format("whole_lines").options(path=path, unit="name").load().select("file", "size")
+    agent = F.lit(None).cast("string")
+    for spec in specs.values():
+        agent = F.when(F.col("file").rlike(spec.files), spec.name).otherwise(agent) if spec.files else agent
+    return found.withColumn("agent", agent)
+
+
+def detect(records: DataFrame, spec: Spec) -> DataFrame:
+    """(file, version, basis) of a source's texts: known_version, latest_fallback for a version that is not known or not told, or
+    unsupported for a file in which no record has the source's shape. A file of no records at all has no row."""
+    version = F.get_json_object("value", spec.version) if spec.version else F.lit(None).cast("string")
     if spec.messages:
-        return read(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value"), spec)
-    whole = lines.registered(spark).read.format("whole_lines").option("path", path).load()
-    return read(lines.readable(lines.numbered(whole)).select("file", "line", "offset", "fault", "value"), spec)
+        shaped = F.get_json_object("value", spec.messages).startswith("[")
+    else:
+        shaped = F.get_json_object("value", spec.kind[0]).isNotNull() if spec.kind else F.try_parse_json("value").isNotNull()
+    each = records.groupBy("file").agg(F.min(version).alias("version"), F.bool_or(F.coalesce(shaped, F.lit(False))).alias("shaped_"))
+    known = F.col("version").isin(*spec.versions) if spec.versions else F.lit(False)
+    basis = F.when(~F.col("shaped_"), "unsupported").when(F.coalesce(known, F.lit(False)), "known_version").otherwise("latest_fallback")
+    return each.select("file", "version", basis.alias("basis"))
+
+
+def capability(spark: SparkSession, specs: dict[str, Spec] = SPECS) -> DataFrame:
+    """(agent, part, told): what each source tells of a call: a count that it always has, one that it may have, or none."""
+    rows = [(s.name, part, "always" if part in s.required else "sometimes" if part in s.counts else "never") for s in specs.values() for part in buckets.PARTS]
+    return spark.createDataFrame(rows, "agent string, part string, told string")
+
+
+def scan(spark: SparkSession, path: str, specs: dict[str, Spec] = SPECS) -> tuple[DataFrame, DataFrame]:
+    """(events, faults) of a folder of mixed writers; each source reads its own files, and events have the ``basis`` of theirs.
+
+    Beside the faults of ``read``: unknown_source for a file that no source claims, no_version_fits for one of another shape.
+    """
+    events = faults = None
+    for spec in specs.values():
+        if not spec.files:
+            continue
+        held = texts(spark, path, spec, spec.files)
+        shapes = detect(held.where("fault is null"), spec)
+        own, bad = read(held, spec)
+        own = own.join(shapes.select("file", "basis"), "file", "left").select("agent", "file", "basis", *[c for c in own.columns if c not in ("agent", "file")])
+        none = [F.lit(None).cast("long").alias(c) for c in ("line", "offset")]
+        bad = bad.unionByName(shapes.where("basis = 'unsupported'").select(F.lit(spec.name).alias("agent"), "file", *none, F.lit("no_version_fits").alias("fault")))
+        events, faults = (own, bad) if events is None else (events.unionByName(own), faults.unionByName(bad))
+    strange = discover(spark, path, specs).where("agent is null")
+    return events, faults.unionByName(strange.select("agent", "file", *none, F.lit("unknown_source").alias("fault")))

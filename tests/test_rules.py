@@ -146,3 +146,19 @@ def test_community_catalogue(spark):
     text = '{"acme": {"models": {"x": {"cost": {"input": 1.5, "output": 0, "tiers": [{"size": 200, "input": 3}, {"size": 200, "input": 9}]}}}}, "acme-cn": {"models": {"y": {"cost": {"input": 2}}}}, "odd": {"models": {"z": {"cost": {"input": 1}}}}}'
     rows = prices.community_prices(spark.createDataFrame([(text,)], "json string"), {"acme": "acme", "acme-cn": "acme"}).collect()
     assert sorted((r.model, r.region, r.threshold, r.input_rate, r.output_rate) for r in rows) == [("x", "global", 0, 15000, None), ("x", "global", 200, 30000, None), ("y", "cn", 0, 20000, None)]
+
+
+def test_costs_of_touched_days_are_rebuilt(spark):
+    from meterframe.operators import exchange
+
+    shape = "source_instance_id string, source_record_key string, local_day date, content string, source_revision long, lifecycle_rank int, conflict boolean"
+    day = lambda d: dt.date(2024, 1, d)
+    target = spark.createDataFrame([("i", "same", day(1), "a", 1, 0, True), ("i", "moves", day(2), "a", 1, 0, True), ("i", "clash", day(3), "a", 1, 0, False), ("j", "kept", day(4), "a", 1, 0, False)], shape)
+    package = spark.createDataFrame([("i", "same", day(1), "a", 1, 0, False, "p"), ("i", "moves", day(5), "b", 2, 0, False, "p"), ("i", "clash", day(3), "b", 1, 0, False, "p"), ("j", "new", day(6), "c", 1, 0, True, "p")], shape + ", package string")
+    keys = ["source_instance_id", "source_record_key"]
+    merged = exchange.import_details(target, package, target.limit(0), keys, F.lit(True))
+    assert {r.source_record_key: (r.outcome, r.conflict) for r in merged.collect()} == {"same": ("unchanged", True), "moves": ("updated", False), "clash": ("conflict", True), "kept": ("kept", False), "new": ("added", True)}
+    stored = spark.createDataFrame([("i", day(d), 1) for d in range(1, 7)] + [("j", day(6), 1)], "source_instance_id string, local_day date, amount int")
+    rows = exchange.rebuilt_costs(stored, merged, target, keys, lambda days: days.withColumn("amount", F.lit(2))).collect()
+    assert {(r.source_instance_id, r.local_day.day): r.amount for r in rows} == {("i", 1): 1, ("i", 2): 2, ("i", 3): 1, ("i", 4): 1, ("i", 5): 2, ("i", 6): 1, ("j", 6): 2}
+    assert all(r.rebuilt == (r.amount == 2) for r in rows)

@@ -132,3 +132,33 @@ def test_identities_of_hand_written_records(spark):
         frame = spark.createDataFrame([("/x/ses/agents/main/wire.jsonl", k, json.dumps(r)) for k, r in enumerate(records, 1)], "file string, line long, value string")
         events, faults = specs.read(frame, specs.SPECS[name])
         assert sorted(r.record_key for r in events.collect()) == keys and faults.count() == 0, name
+
+
+def test_a_folder_of_mixed_writers(spark, tmp_path):
+    """Files are told apart by their names, versions by their records; what no source or version fits is a fault."""
+    claude = json.dumps({"type": "assistant", "requestId": "r1", "version": "9.9", "timestamp": "2024-01-01T00:00:00Z", "message": usage()})
+    pi = [{"type": "session", "version": 3}, {"type": "message", "id": "a", "timestamp": "2024-01-01T00:00:00Z", "message": {"model": "m", "usage": {"input": 1, "cacheRead": 0, "cacheWrite": 0, "output": 1}}}]
+    gemini = {"sessionId": "s", "messages": [{"type": "gemini", "id": "g", "timestamp": "2024-01-01T00:00:00Z", "model": "m", "tokens": {"input": 1, "output": 2}}]}
+    files = {
+        ".claude/projects/p/one.jsonl": claude + "\n{broken\n",
+        ".claude/projects/p/two.jsonl": '{"other": 1}\n',
+        ".pi/agent/sessions/x/three.jsonl": "".join(json.dumps(r) + "\n" for r in pi),
+        ".gemini/tmp/h/chats/session-4.json": json.dumps(gemini),
+        ".gemini/tmp/h/chats/session-5.json": '{"sessionId": "s", "messages": 7}',
+        "notes/six.txt": "no log\n",
+    }
+    for name, text in files.items():
+        (tmp_path / "home" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "home" / name).write_text(text)
+    path = str(tmp_path / "home")
+    short = lambda file: file.rsplit("/", 1)[-1]
+    assert {short(r.file): r.agent for r in specs.discover(spark, path).collect()} == {"one.jsonl": "claude-code", "two.jsonl": "claude-code", "three.jsonl": "pi", "session-4.json": "gemini", "session-5.json": "gemini", "six.txt": None}
+    held = {k: specs.SPECS[k] for k in ("claude-code", "pi", "gemini")}
+    events, faults = specs.scan(spark, path, held)
+    assert sorted((r.agent, short(r.file), r.basis, r.record_key) for r in events.collect()) == [
+        ("claude-code", "one.jsonl", "latest_fallback", "req:r1"), ("gemini", "session-4.json", "latest_fallback", "gemini:s:g"), ("pi", "three.jsonl", "known_version", "pi:message:a:-:2024-01-01T00:00:00Z"),
+    ]
+    assert sorted((short(r.file), r.line, r.fault) for r in faults.collect() if r.line) == [("one.jsonl", 2, "not_an_object")]
+    assert sorted((short(r.file), r.fault) for r in faults.collect() if not r.line) == [("session-5.json", "no_messages"), ("session-5.json", "no_version_fits"), ("six.txt", "unknown_source"), ("two.jsonl", "no_version_fits")]
+    told = {(r.agent, r.part): r.told for r in specs.capability(spark).collect()}
+    assert told["gemini", "input"] == "always" and told["gemini", "write"] == "never" and told["codex", "reasoning"] == "always"
