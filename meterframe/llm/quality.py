@@ -3,7 +3,7 @@
 Each labeller votes good, bad or nothing on a text. The votes of all documents are counted by pattern; expectation-
 maximisation over the patterns estimates how often each labeller votes what on good and on bad texts, and so the
 probability that a pattern's texts are good. A linear scorer on hashed trigrams and votes is fitted to these probabilities on
-``FIT`` documents, spread over the patterns by hash, and scores every document.
+``FIT`` documents, taken by a hash of their ids, and scores every document.
 
 Cases: null and empty texts get the score of no trigrams, are bad by every labeller that votes, and are rejected.
 Repeated rows keep one result each. A table on which all labellers agree still has a model. Empty tables give empty
