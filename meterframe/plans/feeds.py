@@ -27,6 +27,20 @@ def s1_s4_json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select(day, "line", "offset", F.lit(None).cast("string").alias("fault"), "k").unionByName(bad.select(day, "line", "offset", "fault", F.lit(None).cast("long").alias("k")))
 
 
+_ROW = "CASE WHEN event_id % 13 = 0 THEN '{\"k\": \"7\"}' WHEN event_id % 17 = 0 THEN '{\"n\": 1}' WHEN event_id % 19 = 0 THEN '[1]' WHEN event_id % 23 = 0 THEN '{\"k\": null}' WHEN event_id % 29 = 0 THEN '{\"k\": 3, \"n\": true}' ELSE props END"
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 'wrong_type:k' WHEN event_id % 17 = 0 THEN 'required_missing:k' WHEN event_id % 19 = 0 THEN 'not_an_object' WHEN event_id % 23 = 0 THEN 'required_missing:k' WHEN event_id % 29 = 0 THEN 'wrong_type:n' END AS fault,
+    CASE WHEN event_id % 13 = 0 OR event_id % 17 = 0 OR event_id % 19 = 0 OR event_id % 23 = 0 OR event_id % 29 = 0 THEN NULL ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events"""
+)
+def s4_table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as an application's table, its JSON column read by type; nothing has been read before."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.expr(_ROW).alias("data"))
+    good, bad = feeds.table_scan(rows, "event_id", None, "data", {"k": ("$.k", ("BIGINT",), True), "n": ("$.n", ("DOUBLE", "BIGINT", "DECIMAL"), False)})
+    return good.select("event_id", F.lit(None).cast("string").alias("fault"), "k").unionByName(bad.select("event_id", "fault", F.lit(None).cast("long").alias("k")))
+
+
 @query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'client' ELSE 'server' END AS kind, epoch_us(ts) // 1000 AS start_ms, CASE WHEN event_id % 3 = 2 THEN NULL ELSE user_id END AS tokens FROM events")
 def s3_n8_span_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     us = F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), F.col("ts").cast("timestamp_ntz"))

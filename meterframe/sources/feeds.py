@@ -33,6 +33,28 @@ def parsed(rows: DataFrame, schema: T.StructType | str) -> tuple[DataFrame, Data
     return marked.where("fault is null").select(*others, F.from_json("value", schema).alias("r")).select(*others, "r.*"), marked.where("fault is not null").select(*others, "fault")
 
 
+def table_scan(rows: DataFrame, key: str, since: int | None, column: str, fields: dict[str, tuple[str, tuple[str, ...], bool]]) -> tuple[DataFrame, DataFrame]:
+    """(records, faults) of an application table's rows beyond ``since``, the last key that has been read (None: all).
+
+    ``fields``: name -> (path in the JSON of ``column``, the types it may have, the first of which it is read as, whether it is
+    required). Types are those of JSON: BIGINT, DOUBLE, DECIMAL, STRING, BOOLEAN. A value of another type is a fault of the whole row,
+    ``wrong_type:`` and the field's name, and is not turned into one; so is ``required_missing:``; a text that is no object
+    is ``not_an_object``. The predicate on the key reaches the scan.
+    """
+    fresh = rows if since is None else rows.where(F.col(key) > since)
+    parsed_ = fresh.withColumn("json_", F.try_parse_json(column))
+    fault = F.when(F.col("json_").isNull() | ~F.coalesce(F.schema_of_variant("json_").startswith("OBJECT"), F.lit(False)), "not_an_object")
+    for name, (path, types, required) in fields.items():
+        held = F.try_variant_get("json_", path, "variant")
+        kind = F.regexp_replace(F.schema_of_variant(held), r"[(<].*", "")
+        missing = held.isNull() | (kind == "VOID")
+        fault = fault.when(~missing & ~kind.isin(*types), f"wrong_type:{name}")
+        fault = fault.when(missing, f"required_missing:{name}") if required else fault
+    marked = parsed_.withColumn("fault", fault)
+    read = {name: F.try_variant_get("json_", path, types[0].lower()) for name, (path, types, _) in fields.items()}
+    return marked.where("fault is null").withColumns(read).drop("json_", "fault", column), marked.where("fault is not null").select(key, "fault")
+
+
 def spans(batches: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
     """One row for each span of OTLP JSON batches: ids, kind, milliseconds, and the allowed attributes as text."""
     value = "struct<stringValue:string,intValue:string,asInt:string,doubleValue:double,boolValue:boolean>"

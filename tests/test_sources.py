@@ -162,3 +162,13 @@ def test_a_folder_of_mixed_writers(spark, tmp_path):
     assert sorted((short(r.file), r.fault) for r in faults.collect() if not r.line) == [("session-5.json", "no_messages"), ("session-5.json", "no_version_fits"), ("six.txt", "unknown_source"), ("two.jsonl", "no_version_fits")]
     told = {(r.agent, r.part): r.told for r in specs.capability(spark).collect()}
     assert told["gemini", "input"] == "always" and told["gemini", "write"] == "never" and told["codex", "reasoning"] == "always"
+
+
+def test_table_scans_read_new_rows_by_type(spark, tmp_path):
+    rows = [(1, '{"k": 1}'), (2, '{"k": 2, "n": 1.5, "t": "x"}'), (3, '{"k": "3"}'), (4, '{"k": 4.5}'), (5, '{"k": 5, "t": 7}'), (6, None), (7, "7"), (8, '{"t": "x"}'), (9, '{"k": 9, "t": null}')]
+    spark.createDataFrame(rows, "id long, data string").write.parquet(f"{tmp_path}/t")
+    fields = {"k": ("$.k", ("BIGINT",), True), "n": ("$.n", ("DOUBLE", "DECIMAL", "BIGINT"), False), "t": ("$.t", ("STRING",), False)}
+    good, bad = feeds.table_scan(spark.read.parquet(f"{tmp_path}/t"), "id", 1, "data", fields)
+    assert sorted((r.id, r.k, r.n, r.t) for r in good.collect()) == [(2, 2, 1.5, "x"), (9, 9, None, None)]
+    assert {r.id: r.fault for r in bad.collect()} == {3: "wrong_type:k", 4: "wrong_type:k", 5: "wrong_type:t", 6: "not_an_object", 7: "not_an_object", 8: "required_missing:k"}
+    assert "GreaterThan(id,1)" in good._jdf.queryExecution().toString()
