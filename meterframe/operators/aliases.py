@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterframe.functions.scalars import model_key
+from meterframe.functions.scalars import model_key, reference_model
 
 LATEST = 253_402_300_800_000
 _RULE = "struct<agent:string,key:string,displayName:string,providerId:string,effectiveFrom:string,effectiveUntil:string,basis:string>"
@@ -100,3 +100,18 @@ def official_ids(providers: DataFrame, names: DataFrame) -> DataFrame:
     ids = providers.select("provider_id").distinct().where(~F.col("provider_id").contains("-plan"))
     base = ids.select("provider_id", F.explode(F.array_distinct(F.array("provider_id", F.regexp_replace("provider_id", "-cn$", "")))).alias("prefix"))
     return base.join(prefixes, "prefix", "left_semi").select("provider_id").distinct()
+
+
+def catalogue_names(texts: DataFrame) -> DataFrame:
+    """(alias, id) of JSON catalogues (``json``: {"models": [{"id", "aliases"}]}); of several models of one alias the least id."""
+    models = texts.select(F.explode(F.from_json("json", "struct<models:array<struct<id:string,aliases:array<string>>>>").models).alias("m"))
+    each = models.select("m.id", F.explode("m.aliases").alias("alias"))
+    return each.where("id is not null and alias is not null").groupBy("alias").agg(F.min("id").alias("id"))
+
+
+def reference_models(rows: DataFrame, model: str, provider: str, at_ms: Column, names: DataFrame) -> DataFrame:
+    """``rows`` with ``reference``: the model's name by the fixed rules or, where these leave it as it is, by a catalogue."""
+    key = reference_model(F.col(model), F.col(provider), at_ms)
+    held = names.select(F.col("alias").alias("alias_"), F.col("id").alias("id_"))
+    named = rows.withColumn("key_", key).join(held, F.col("key_") == F.col("alias_"), "left")
+    return named.select(*rows.columns, F.coalesce("id_", "key_").alias("reference"))

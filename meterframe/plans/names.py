@@ -72,3 +72,17 @@ def a28_official_provider_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     canonical = F.when(F.col("s_suppkey") % 3 != 0, F.concat("name", F.lit("/model-"), "s_suppkey")).otherwise(F.concat(F.lit("model-"), "s_suppkey"))
     names = table(spark, sf_dir, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select(canonical.alias("canonical"))
     return aliases.official_ids(providers, names)
+
+
+@query(
+    r"""SELECT p_partkey, CASE WHEN p_type LIKE 'PROMO%' AND p_size % 3 < 2 THEN concat(k, '-latest') ELSE k END AS reference FROM (SELECT *, lower(replace(p_type, ' ', '-')) AS k FROM part)"""
+)
+def f3_catalogue_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalogue for each brand names the latest version of every type but the promotional ones."""
+    parts = table(spark, sf_dir, "part")
+    name = F.replace(F.lower("p_type"), F.lit(" "), F.lit("-"))
+    model = F.struct(name.alias("id"), F.array(F.concat(name, F.lit("-latest"))).alias("aliases"))
+    texts = parts.where("p_type not like 'PROMO%'").groupBy("p_brand").agg(F.to_json(F.struct(F.collect_set(model).alias("models"))).alias("json"))
+    ending = F.when(F.col("p_size") % 3 == 0, "-latest").when(F.col("p_size") % 3 == 1, " _LATEST").otherwise("")
+    rows = parts.select("p_partkey", F.concat("p_type", ending).alias("model"), F.lit(None).cast("string").alias("provider"))
+    return aliases.reference_models(rows, "model", "provider", F.lit(0), aliases.catalogue_names(texts)).select("p_partkey", "reference")
