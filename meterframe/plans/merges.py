@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterframe.functions.scalars import content_hash
 from meterframe.operators import merging
 from meterframe.registry import query
-from meterframe.sources.usage import EVENTS, table, usage_events
+from meterframe.sources import stored
+from meterframe.sources.usage import EVENTS, ZONE, table, usage_events
 
 _CONTENT = ("record_kind", "input_total", "output_total", "session_id")
 _MD5 = "md5(concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in _CONTENT) + "))"
@@ -26,7 +29,7 @@ _HIGHER = f"CASE WHEN {_BOTH} THEN v.source_revision > s.source_revision ELSE v.
 _EQUAL = f"CASE WHEN {_BOTH} THEN v.source_revision = s.source_revision ELSE v.lifecycle_rank = s.lifecycle_rank END"
 
 
-@query(
+_ARBITRATED = (
     VERSIONS
     + f""", v0 AS (SELECT *, row_number() OVER w AS turn, count(*) OVER (PARTITION BY source_instance_id, source_record_key) AS n FROM versions
       WINDOW w AS (PARTITION BY source_instance_id, source_record_key ORDER BY occurred_at_ms, part_key, supplier_key, source_revision NULLS FIRST, lifecycle_rank, content)),
@@ -37,11 +40,29 @@ _EQUAL = f"CASE WHEN {_BOTH} THEN v.source_revision = s.source_revision ELSE v.l
       FROM s JOIN v0 v ON v.source_instance_id = s.source_instance_id AND v.source_record_key = s.source_record_key AND v.turn = s.turn + 1)
     SELECT source_instance_id, source_record_key, n AS versions, part_key, source_revision, lifecycle_rank, content, conflict, replaced FROM s WHERE turn = n"""
 )
+
+
+@query(_ARBITRATED)
 def w1_arbitration(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = merging.arbitrate(versions(spark, sf_dir), _KEYS, _ORDER)
     return found.select(*_KEYS, "versions", "part_key", "source_revision", "lifecycle_rank", "content", "conflict", "replaced")
 
 
+@query(_ARBITRATED)
+def t2_t3_merged_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All versions in three batches, later ones of an identity before earlier ones, merged into a stored table by month; the last batch twice."""
+    from meterframe.streaming import ingest
+    from meterframe.streaming.versions import Versions
+
+    rows = versions(spark, sf_dir).select(*_KEYS, *_ORDER, "source_revision", "lifecycle_rank", "content")
+    place = f"{stored.folder(spark)}/meterframe-versions/{uuid.uuid4().hex}"
+    table = Versions(spark, place, _KEYS, _ORDER, F.trunc(ingest.local_day(ZONE), "month"))
+    part = F.pmod(F.col("part_key"), F.lit(3))
+    for batch in (rows.where(part == 2), rows.where(part == 0), rows.where(part == 1), rows.where(part == 1)):
+        table.merge(batch)
+    return table.current().select(*_KEYS, "versions", "part_key", "source_revision", "lifecycle_rank", "content", "conflict", "replaced")
+
+
 _ONE = "QUALIFY row_number() OVER (PARTITION BY source_instance_id, source_record_key ORDER BY occurred_at_ms, part_key, supplier_key) = 1"
 _SIDE = "SELECT source_instance_id, source_record_key, source_revision, lifecycle_rank, content, occurred_at_ms FROM versions WHERE supplier_key % 2 = {0} " + _ONE
 _N = {"s.": "o.", "v.": "n."}
