@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import re
 import tempfile
 import uuid
 from collections.abc import Callable
 from functools import cache
+from importlib import resources
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,15 +111,11 @@ def state(spark: SparkSession, sf_dir: str, tables: tuple[str, ...] = INPUTS) ->
 @cache
 def version() -> str:
     """A name for the code that makes stored tables: another release, zone or rule does not read what an older one has made."""
-    import meterframe
-
-    root = os.path.dirname(meterframe.__file__)
     seen = hashlib.sha256()
     for part in ("functions", "operators", "sources"):
-        for name in sorted(os.listdir(f"{root}/{part}")):
-            if name.endswith(".py"):
-                with open(f"{root}/{part}/{name}", "rb") as code:
-                    seen.update(code.read())
+        for file in sorted(resources.files("meterframe").joinpath(part).iterdir(), key=lambda f: f.name):
+            if file.name.endswith(".py"):
+                seen.update(file.read_bytes())
     return seen.hexdigest()[:12]
 
 
