@@ -68,7 +68,9 @@ def unassigned_days(daily: DataFrame, archive: DataFrame, first: str, last: str,
     keys = list(DIMENSIONS)
     near = archive.where((F.col("first_day") <= F.lit(last).cast("date")) & (F.col("end_day") > F.lit(first).cast("date")))
     spans = near.select(*keys, "grain", "first_day", "end_day", "revision")
-    met = within(daily.select(*keys, "local_day", F.col("revision").alias("newest")), spans, keys, days("local_day"), days("first_day"), days("end_day"), WEEK_DAYS, "inner")
+    # a period is a year at most: rows further off lie in none of these
+    close = daily.where(F.col("local_day").between(F.date_sub(F.lit(first).cast("date"), 366), F.date_add(F.lit(last).cast("date"), 366)))
+    met = within(close.select(*keys, "local_day", F.col("revision").alias("newest")), spans, keys, days("local_day"), days("first_day"), days("end_day"), WEEK_DAYS, "inner")
     held = met.groupBy(*[F.col(f"s.{c}") for c in (*keys, "grain", "first_day", "end_day")]).agg(F.max("newest").alias("newest"))
     known = spans.join(held, [*keys, "grain", "first_day", "end_day"], "left")
     alone = known.where(((F.col("first_day") < F.lit(floor).cast("date")) | F.col("newest").isNull()) & F.coalesce(F.col("newest") <= F.col("revision"), F.lit(True)))

@@ -87,7 +87,8 @@ _SAME = " AND ".join(f"d.{k} = p.{k}" for k in _NAMES.split(", ")) + " AND d.loc
 def a9_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weeks and months are archived; two agents have lost the daily rows of two months."""
     whole = daily(spark, sf_dir)
-    archive = archives.materialise_periods(whole, TODAY, FLOOR).where("grain <> 'year' AND first_day < DATE'1996-10-01'").withColumn("revision", F.month("first_day") % 4 + 1)
+    spanned = whole.where(F.col("local_day").between(FLOOR, "1996-10-07"))  # all days of the periods that begin before October
+    archive = archives.materialise_periods(spanned, TODAY, FLOOR).where("grain <> 'year' AND first_day < DATE'1996-10-01'").withColumn("revision", F.month("first_day") % 4 + 1)
     rows = whole.where(_OPEN).withColumn("revision", F.day("local_day") % 5)
     span = ("1995-10-01", "1996-12-31", "1996-03-10")
     return activity.heatmap(rows, *span, archives.unassigned_days(rows, archive, *span))
