@@ -66,32 +66,38 @@ def labels(ranges: DataFrame, rules: DataFrame) -> DataFrame:
     each piece of the range must give the same single label and last until the next. Bundled rules decide alone where
     there is one; else all further catalogues that have one must agree.
     """
-    key, agent, provider = model_key(F.col("raw")), F.lower("agent"), F.nullif(F.lower("provider_id"), F.lit(""))
-    asked = ranges.where("from_ms < to_ms").select("id", key.alias("key"), agent.alias("agent"), provider.alias("asked_provider"), F.col("from_ms").alias("asked_from"), "to_ms")
-    # the ranges of one name and provider meet the rules of that name: the rules are few
-    met = asked.join(rules, ["key", "agent"]).where((F.col("provider_id").isNull() | (F.col("provider_id") == F.col("asked_provider"))) & (F.col("from_ms") < F.col("to_ms")))
+    key, agent = model_key(F.col("raw")), F.lower("agent")
+    named = ranges.withColumns({"key_": key, "agent_": agent, "asked_": F.coalesce(F.lower("provider_id"), F.lit(""))})  # a rule never has the empty provider
+    spans = ["key_", "agent_", "asked_", "asked_from", "to_ms"]
+    # many ranges ask the same, and of rules that begin at once only their labels and their first end count
+    asked = named.where("from_ms < to_ms").select("key_", "agent_", "asked_", F.col("from_ms").alias("asked_from"), "to_ms").distinct()
+    starts = rules.groupBy(F.col("key").alias("key_"), F.col("agent").alias("agent_"), "provider_id", "feed", "from_ms").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.coalesce("until_ms", F.lit(LATEST))).alias("until"))
+    met = asked.join(starts, ["key_", "agent_"]).where((F.col("provider_id").isNull() | (F.col("provider_id") == F.nullif(F.col("asked_"), F.lit("")))) & (F.col("from_ms") < F.col("to_ms")))
     rank = F.struct(F.col("provider_id").isNotNull().alias("own"), F.col("from_ms").alias("at")).alias("rank")
-    groups = met.groupBy("id", "feed", "asked_from", "to_ms", rank).agg(F.collect_set("label").alias("names"), F.min(F.coalesce("until_ms", F.lit(LATEST))).alias("until"))
-    whole = Window.partitionBy("id", "feed")
-    begun = F.col("rank.at") <= F.col("asked_from")
-    groups = groups.withColumn("base", F.max(F.when(begun, F.col("rank"))).over(whole))
-    best = F.max("rank").over(whole.orderBy("rank.at", "rank.own").rowsBetween(Window.unboundedPreceding, -1))
-    at_once = F.max("rank").over(Window.partitionBy("id", "feed", "rank.at"))
-    later = groups.where((F.col("rank") == F.col("base")) | (F.col("rank.at") > F.col("asked_from"))).withColumns({"before": best, "at_once": at_once})
-    steps = later.where((F.col("rank") == F.col("base")) | ((F.col("rank") == F.col("at_once")) & (F.col("rank") > F.greatest("base", F.coalesce("before", "base")))))
-    end = F.coalesce(F.lead("rank.at").over(whole.orderBy("rank.at", "rank.own")), F.col("to_ms"))
-    sound = steps.withColumn("sound", (F.size("names") == 1) & (F.col("until") >= end))
-    found = sound.groupBy("id", "feed").agg(F.bool_and("sound").alias("sound"), F.count_distinct("names").alias("kinds"), F.first("names").alias("names"), F.bool_or(F.col("base").isNull()).alias("gap"))
-    label = F.when(F.col("sound") & (F.col("kinds") == 1) & ~F.col("gap"), F.element_at("names", 1))
-    by_feed = found.select("id", "feed", label.alias("label"))
-    reached = met.select("id", "feed").distinct().alias("m").join(by_feed.alias("b"), (F.col("m.id") == F.col("b.id")) & F.col("m.feed").eqNullSafe(F.col("b.feed")), "left").select("m.id", "m.feed", "b.label")
+    groups = met.select(*spans, "feed", rank, "low", "high", "until")
+    whole = Window.partitionBy(*spans, "feed")
+    along = whole.orderBy("rank.at", "rank.own")
+    groups = groups.withColumn("base", F.max(F.when(F.col("rank.at") <= F.col("asked_from"), F.col("rank"))).over(whole))
+    best = F.max("rank").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    at_once = F.max("rank").over(Window.partitionBy(*spans, "feed", "rank.at"))
+    groups = groups.withColumns({"before": best, "at_once": at_once})
+    later = (F.col("rank.at") > F.col("asked_from")) & (F.col("rank") == F.col("at_once")) & (F.col("rank") > F.greatest("base", F.coalesce("before", "base")))
+    steps = groups.withColumn("step", F.coalesce((F.col("rank") == F.col("base")) | later, F.lit(False)))
+    following = F.first(F.when(F.col("step"), F.col("rank.at")), ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing))
+    steps = steps.withColumn("ends", F.coalesce(following, F.col("to_ms")))
+    sound = F.coalesce((F.col("low") == F.col("high")) & (F.col("until") >= F.col("ends")), F.lit(False))
+    of_step = lambda c: F.when(F.col("step"), c)
+    found = steps.groupBy(*spans, "feed").agg(F.bool_and(of_step(sound)).alias("sound"), F.min(of_step(F.col("low"))).alias("low"), F.max(of_step(F.col("low"))).alias("high"), F.bool_or(F.col("base").isNull()).alias("gap"))
+    label = F.when(F.col("sound") & (F.col("low") == F.col("high")) & ~F.col("gap"), F.col("low"))
     own = F.col("feed").isNull()
-    decided = reached.groupBy("id").agg(
+    decided = found.withColumn("label", label).groupBy(*spans).agg(
         F.bool_or(own).alias("has_own"), F.max(F.when(own, F.col("label"))).alias("own_label"),
-        F.count_if(~own & F.col("label").isNull()).alias("open"), F.count_distinct(F.when(~own, F.col("label"))).alias("kinds"), F.max(F.when(~own, F.col("label"))).alias("fed"),
+        F.count_if(~own & F.col("label").isNull()).alias("open"), F.min(F.when(~own, F.col("label"))).alias("least"), F.max(F.when(~own, F.col("label"))).alias("fed"),
     )
-    chosen = F.when(F.col("has_own"), F.col("own_label")).when((F.col("open") == 0) & (F.col("kinds") == 1), F.col("fed"))
-    return ranges.join(decided.select("id", chosen.alias("chosen")), "id", "left").withColumn("label", F.coalesce("chosen", "raw")).drop("chosen")
+    chosen = F.when(F.col("has_own"), F.col("own_label")).when((F.col("open") == 0) & (F.col("least") == F.col("fed")), F.col("fed"))
+    told = decided.select("key_", "agent_", "asked_", F.col("asked_from").alias("from_ms"), "to_ms", chosen.alias("chosen"))
+    back = named.join(told, ["key_", "agent_", "asked_", "from_ms", "to_ms"], "left")
+    return back.select(*ranges.columns, F.coalesce("chosen", "raw").alias("label"))
 
 
 def official_ids(providers: DataFrame, names: DataFrame) -> DataFrame:
