@@ -97,7 +97,8 @@ def normalise(records: DataFrame, source: Source) -> DataFrame:
 
 def instant_ms(value: Column) -> Column:
     """Epoch seconds, milliseconds or nanoseconds, told apart by size; implausible instants are null."""
-    ms = F.when(value >= 100_000_000_000_000_000, F.floor(value / 1_000_000)).when(value < 100_000_000_000, value * 1000).otherwise(value).cast("long")
+    nanos = F.call_function("div", value, F.lit(1_000_000).cast("long"))  # a quotient in floating point may fall below a whole millisecond
+    ms = F.when(value >= 100_000_000_000_000_000, nanos).when(value < 100_000_000_000, value * 1000).otherwise(value).cast("long")
     return F.when(ms >= 946_684_800_000, ms)
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from meterframe.operators import aliases
+from meterframe.operators import aliases, buckets
 
 
 def test_equal_ranges_and_rules_meet_once(spark):
@@ -17,3 +17,10 @@ def test_equal_ranges_and_rules_meet_once(spark):
     assert len(joins) == 1
     below = plan[plan.index("Join Inner") :]
     assert below.count("Aggregate") == 2
+
+
+def test_whole_milliseconds_keep_their_last(spark):
+    """A quotient in doubles of these nanoseconds falls a millisecond short."""
+    wanted = [1_706_303_126_426, 1_705_931_300_226]
+    read = spark.createDataFrame([(w * 1_000_000,) for w in wanted], "ns long").select(buckets.instant_ms(F.col("ns")).alias("ms"))
+    assert [r.ms for r in read.collect()] == wanted
