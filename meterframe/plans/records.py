@@ -103,7 +103,7 @@ def n13_fail_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL ELSE epoch_us(ts) // 1000000 * 1000 END AS at_ms, CASE event_id % 3 WHEN 0 THEN value WHEN 1 THEN value * 1000 ELSE CASE WHEN value < 50 THEN value * 1000 ELSE value END END AS latency,
-    CASE WHEN event_id % 5 <> 0 THEN CAST(floor(value * 1000000 + 0.5) AS BIGINT) END AS micros FROM events"""
+    CASE WHEN cost >= 0 AND NOT isnan(cost) AND cost < 9e12 THEN CAST(floor(cost * 1000000 + 0.5) AS BIGINT) END AS micros FROM (SELECT *, CASE WHEN event_id % 5 = 0 THEN -value ELSE value END AS cost FROM events)"""
 )
 def n14_n16_times_and_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     seconds = F.timestamp_diff("SECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), F.col("ts").cast("timestamp_ntz"))

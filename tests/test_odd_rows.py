@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from meterframe import registry
 from meterframe.operators import aliases, buckets
 
 
@@ -24,3 +25,22 @@ def test_whole_milliseconds_keep_their_last(spark):
     wanted = [1_706_303_126_426, 1_705_931_300_226]
     read = spark.createDataFrame([(w * 1_000_000,) for w in wanted], "ns long").select(buckets.instant_ms(F.col("ns")).alias("ms"))
     assert [r.ms for r in read.collect()] == wanted
+
+
+def _against_sql(spark, name, folder, tables):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql("SET timezone = 'UTC'")
+    for table, sql in tables.items():
+        con.sql(f"COPY ({sql}) TO '{folder}/{table}.parquet' (FORMAT parquet)")
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    found, wanted = registry.QUERIES[name](spark, str(folder)), con.sql(registry.ORACLES[name])
+    rows = sorted((tuple(r[c] for c in wanted.columns) for r in found.collect()), key=str)
+    assert rows == sorted(wanted.fetchall(), key=str)
+    return rows
+
+
+def test_a_cost_of_zero_is_no_negative_one(spark, tmp_path):
+    rows = _against_sql(spark, "n14_n16_times_and_costs", tmp_path, {"events": "SELECT i::BIGINT AS event_id, TIMESTAMP '2024-01-01' AS ts, 1::BIGINT AS user_id, 'view' AS event_type, CASE WHEN i = 1 THEN 0.0 ELSE i / 7 END::DOUBLE AS value FROM (SELECT unnest([5, 10, 1, 2]) AS i) UNION ALL SELECT 15, TIMESTAMP '2024-01-01', 1, 'view', 0.0"})
+    assert {r[0]: r[3] for r in rows} == {5: None, 10: None, 15: 0, 1: 0, 2: 285714}
