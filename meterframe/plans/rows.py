@@ -237,7 +237,7 @@ _BROKEN = {"output_total": "CASE WHEN part_key % 41 = 0 THEN -1 ELSE output_tota
 @query(
     f"""WITH {EVENTS}, broken AS (SELECT * REPLACE ({', '.join(f'{e} AS {c}' for c, e in _BROKEN.items())}), occurred_at_ms AS started, occurred_at_ms + part_key % 53 - 1 AS ended FROM events_)
     SELECT CASE WHEN output_total < 0 THEN 'token_out_of_range' WHEN (q_input_total = 'unknown') <> (input_total IS NULL) OR (q_output_total = 'unknown') <> (output_total IS NULL) THEN 'quality_mismatch'
-      WHEN record_kind NOT IN ('model_call', 'transport_attempt', 'usage_observation') THEN 'kind_not_allowed' WHEN occurred_at_ms < 946684800000 THEN 'implausible_time' WHEN ended < started THEN 'interval_reversed' ELSE 'ok' END AS verdict, count(*) AS n
+      WHEN record_kind NOT IN ('model_call', 'transport_attempt', 'usage_observation') THEN 'kind_not_allowed' WHEN least(occurred_at_ms, started, ended) < 946684800000 THEN 'implausible_time' WHEN ended < started THEN 'interval_reversed' ELSE 'ok' END AS verdict, count(*) AS n
     FROM broken GROUP BY 1"""
 )
 def p7_event_validation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,3 +44,18 @@ def _against_sql(spark, name, folder, tables):
 def test_a_cost_of_zero_is_no_negative_one(spark, tmp_path):
     rows = _against_sql(spark, "n14_n16_times_and_costs", tmp_path, {"events": "SELECT i::BIGINT AS event_id, TIMESTAMP '2024-01-01' AS ts, 1::BIGINT AS user_id, 'view' AS event_type, CASE WHEN i = 1 THEN 0.0 ELSE i / 7 END::DOUBLE AS value FROM (SELECT unnest([5, 10, 1, 2]) AS i) UNION ALL SELECT 15, TIMESTAMP '2024-01-01', 1, 'view', 0.0"})
     assert {r[0]: r[3] for r in rows} == {5: None, 10: None, 15: 0, 1: 0, 2: 285714}
+
+
+def test_an_interval_that_ends_before_the_first_plausible_time(spark, tmp_path):
+    """It begins at that very time and ends a millisecond earlier: its time comes before its order."""
+    rows = _against_sql(
+        spark, "p7_event_validation", tmp_path,
+        {
+            "lineitem": "SELECT 1::BIGINT AS l_orderkey, 1272::BIGINT AS l_partkey, 0::BIGINT AS l_suppkey, 1 AS l_linenumber, 2.0 AS l_quantity, 100.0 AS l_extendedprice, 0.1 AS l_discount, 0.02 AS l_tax, 'N' AS l_returnflag, 'O' AS l_linestatus, TIMESTAMP '2000-01-05' AS l_shipdate",
+            "orders": "SELECT 1::BIGINT AS o_orderkey, 1::BIGINT AS o_custkey, 'O' AS o_orderstatus, 1.0 AS o_totalprice, TIMESTAMP '2000-01-01' AS o_orderdate, '5-LOW' AS o_orderpriority",
+            "part": "SELECT 1272::BIGINT AS p_partkey, 'n' AS p_name, 'Brand#11' AS p_brand, 'SMALL' AS p_type, 3 AS p_size, 1.0 AS p_retailprice",
+            "supplier": "SELECT 0::BIGINT AS s_suppkey, 's' AS s_name, 0 AS s_nationkey, 1.0 AS s_acctbal",
+            "nation": "SELECT 0 AS n_nationkey, 'CHINA' AS n_name, 0 AS n_regionkey",
+        },
+    )
+    assert rows == [("implausible_time", 1)]
