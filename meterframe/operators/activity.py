@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,10 +62,8 @@ def shares(rows: DataFrame, name: str) -> DataFrame:
 
 def ordered(rows: DataFrame, named: dict[str, Column], value: str) -> DataFrame:
     """(axis, name, tokens, by_name, by_value): a breakdown by each axis with its places by name and by falling value, ties by name."""
-    out = None
-    for axis, name in named.items():
-        one = rows.groupBy(name.alias("name")).agg(F.lit(axis).alias("axis"), F.sum(value).alias("tokens"))
-        out = one if out is None else out.unionByName(one)
+    each = F.explode(F.array(*[F.struct(F.lit(axis).alias("axis"), name.alias("name")) for axis, name in named.items()]))
+    out = rows.select(each.alias("p"), F.col(value).alias("value")).groupBy("p.name", "p.axis").agg(F.sum("value").alias("tokens"))  # one pass for all axes
     place = lambda *order: F.row_number().over(Window.partitionBy("axis").orderBy(*order))
     return out.withColumns({"by_name": place("name"), "by_value": place(F.desc_nulls_last("tokens"), "name")})
 
@@ -75,18 +75,20 @@ def exclusive_totals(intervals: DataFrame) -> DataFrame:
     return intervals.groupBy("source_instance_id").agg(*counts, *[F.sum(F.when(only, F.col(f"known_{t}"))).alias(t) for t in ("input_total", "output_total", "total_tokens")])
 
 
-def page(events: DataFrame, counts: DataFrame, ties: list[str], size: int, offset: int) -> DataFrame:
+def page(events: DataFrame | Callable[[str | None], DataFrame], counts: DataFrame, ties: list[str], size: int, offset: int) -> DataFrame:
     """One page of 1 to 500 rows, newest first, ties by these columns, with a label to show and the number of all rows.
 
     ``counts``: (local_day, n) of the same rows, from a rollup. They tell the number of all rows, and the latest days that
-    hold the page: only these are read, which in a table by ranges of days skips all files before them.
+    hold the page: only these are read, which in a table by ranges of days skips all files before them. ``events`` may be a
+    function of the first of these days.
     """
     size = max(1, min(500, size))
     days = counts.groupBy("local_day").agg(F.sum("n").alias("n")).where("n > 0")
     newer = F.sum("n").over(Window.orderBy(F.desc("local_day")).rowsBetween(Window.unboundedPreceding, -1))  # one row a day
     first = F.min(F.when(F.coalesce("newer", F.lit(0)) < offset + size, F.col("local_day")))
     held = days.withColumn("newer", newer).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), first.alias("first")).first()
-    rows = events.where(F.col("local_day") >= F.lit(held.first)).orderBy(F.desc("occurred_at_ms"), *ties).offset(offset).limit(size)
+    rows = events(held.first and str(held.first)) if callable(events) else events
+    rows = rows.where(F.col("local_day") >= F.lit(held.first)).orderBy(F.desc("occurred_at_ms"), *ties).offset(offset).limit(size)
     return rows.withColumns({"label": F.coalesce(F.nullif(F.trim("model_raw"), F.lit("")), F.lit("unknown")), "total": F.lit(held.total)})
 
 

@@ -37,10 +37,14 @@ def _measures() -> list[Column]:
     return [c.alias(n) for n, c in found]
 
 
+def named(events: DataFrame) -> DataFrame:
+    """Eligible events with the dimensions of a rollup."""
+    return eligible(events).withColumns({"provider": F.coalesce("provider_id", F.lit("")), "model": F.coalesce("model_raw", F.lit(""))})
+
+
 def rollup(events: DataFrame, *grain: str) -> DataFrame:
     """One row for each value of the grain and the dimensions; an unknown provider or model is an empty name."""
-    named = eligible(events).withColumn("provider", F.coalesce("provider_id", F.lit(""))).withColumn("model", F.coalesce("model_raw", F.lit("")))
-    return named.groupBy(*grain, *DIMENSIONS).agg(*_measures())
+    return named(events).groupBy(*grain, *DIMENSIONS).agg(*_measures())
 
 
 def resum(rows: DataFrame, *keys: str | Column) -> DataFrame:

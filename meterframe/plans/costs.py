@@ -9,7 +9,7 @@ from meterframe.operators import archives, pricing
 from meterframe.operators.intervals import WEEK_DAYS, days, within
 from meterframe.operators.rollups import DIMENSIONS, eligible
 from meterframe.plans.retention import FLOOR, PERIODS, TODAY
-from meterframe.plans.summaries import DIMS, MEASURES, daily
+from meterframe.plans.summaries import DIMS, MEASURES, read_daily
 from meterframe.registry import query
 from meterframe.sources.prices import PRICES, faults, overlaps, price_rows
 from meterframe.sources.usage import EVENTS, usage_events
@@ -120,7 +120,7 @@ _BOTH = "model_raw, provider_id, occurred_at_ms, input_uncached, input_cache_rea
 )
 def a20_cost_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Months before 1997 are archived: their rows stand for the calls of their dimensions, whose sizes are lost."""
-    archive = archives.materialise_periods(daily(spark, sf_dir), TODAY, FLOOR).where("grain = 'month' AND first_day < DATE'1997-01-01'")
+    archive = archives.materialise_periods(read_daily(spark, sf_dir), TODAY, FLOOR).where("grain = 'month' AND first_day < DATE'1997-01-01'")
     names = {"provider": F.coalesce("provider_id", F.lit("")), "model": F.coalesce("model_raw", F.lit(""))}
     events = eligible(usage_events(spark, sf_dir)).where("record_kind <> 'transport_attempt'").withColumns(names)
     spans = archive.select(*DIMENSIONS, "first_day", "end_day")

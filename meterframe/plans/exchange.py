@@ -9,7 +9,7 @@ from meterframe.functions.scalars import content_hash
 from meterframe.operators import archives, exchange, rollups
 from meterframe.plans.merges import _CONTENT, _MD5, _ORDER
 from meterframe.plans.retention import FLOOR, PERIODS, TODAY
-from meterframe.plans.summaries import DIMS, MEASURES, daily
+from meterframe.plans.summaries import DIMS, MEASURES, read_daily
 from meterframe.registry import query
 from meterframe.sources.usage import EVENTS, usage_events
 
@@ -28,7 +28,7 @@ _LIVE = "supplier_key % 3 <> 0 AND part_key % 211 <> 0"
 def s5_detail_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Details of which some are gone: source-days that lack a row are not exported; archives hold the days without any."""
     events = rollups.eligible(usage_events(spark, sf_dir)).where(_LIVE)
-    rows = daily(spark, sf_dir)
+    rows = read_daily(spark, sf_dir)
     records, archived, partial = exchange.export_details(events, rows, rows)
     counted = lambda table, kind: table.groupBy("source_instance_id").agg(F.lit(kind).alias("kind"), F.count("*").alias("n"))
     whole = records.where(F.get_json_object("record", "$.source_record_key").isNotNull())
@@ -78,7 +78,7 @@ _A, _Z = "1996-03-05", "1997-02-11"
 )
 def s11_aggregate_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = usage_events(spark, sf_dir)
-    rows = daily(spark, sf_dir)
+    rows = read_daily(spark, sf_dir)
     hosts = events.groupBy("source_instance_id").agg(F.max("origin_host").alias("host"))
     tables = exchange.export_partitions(rows, rollups.rollup(events, "local_day", "local_hour"), archives.materialise_periods(rows, TODAY, FLOOR), hosts, _A, _Z, True)
     none = F.lit(None).cast("string")
@@ -103,7 +103,7 @@ def p11_partition_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     spoilt = F.when((F.col("local_day") == "1996-01-08") & (F.col("calls") > 0), -F.col("calls")).otherwise(F.col("calls"))
     grain = F.when(F.col("local_day") == "1998-05-05", "fortnight").otherwise("day")
     conflicts = F.when(F.col("local_day") == "1997-03-03", 2).otherwise(0)
-    rows = daily(spark, sf_dir).select("source_instance_id", "local_day", F.lit("a").alias("agent"), "events", spoilt.alias("calls"), conflicts.alias("conflicts"), grain.alias("granularity"), F.lit(None).cast("int").alias("local_hour"), package.alias("package"))
+    rows = read_daily(spark, sf_dir).select("source_instance_id", "local_day", F.lit("a").alias("agent"), "events", spoilt.alias("calls"), conflicts.alias("conflicts"), grain.alias("granularity"), F.lit(None).cast("int").alias("local_hour"), package.alias("package"))
     declared = rows.where("source_instance_id <> 'inst-7'").select("package", "source_instance_id", F.when(F.col("source_instance_id") == "inst-9", "b").otherwise("a").alias("agent")).distinct()
     return exchange.partition_faults(rows, declared, ("events", "calls")).groupBy("source_instance_id", "fault", "rejected").agg(F.count("*").alias("n"), F.sum("events").alias("events"))
 
@@ -117,7 +117,7 @@ def p11_partition_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM i LEFT JOIN o ON o.source_instance_id = i.source_instance_id AND o.local_day = i.local_day GROUP BY ALL"""
 )
 def u8_package_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = daily(spark, sf_dir).groupBy("source_instance_id", "local_day").agg(F.sum("events").alias("events"), F.sum("calls").alias("calls"))
+    held = read_daily(spark, sf_dir).groupBy("source_instance_id", "local_day").agg(F.sum("events").alias("events"), F.sum("calls").alias("calls"))
     day = F.day("local_day")
     incoming = held.select("source_instance_id", "local_day", (F.col("events") + F.when(day % 4 == 0, 1).otherwise(0)).alias("events"), "calls", (day % 3).alias("revision"), F.concat("source_instance_id", F.lit("/"), F.date_format("local_day", "yyyy-MM")).alias("package"))
     live = held.where((F.col("local_day") >= "1998-02-01") & (day == 11))
@@ -153,7 +153,7 @@ def u10_interval_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
       UNION ALL SELECT f.*, 'snapshot' FROM f JOIN b USING (source_instance_id) WHERE local_day > a AND local_day < z AND local_day >= DATE '1996-04-01') GROUP BY ALL"""
 )
 def u7_day_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = daily(spark, sf_dir).groupBy("source_instance_id", "local_day").agg(F.sum("events").alias("events"))
+    held = read_daily(spark, sf_dir).groupBy("source_instance_id", "local_day").agg(F.sum("events").alias("events"))
     snapshot = held.where("local_day >= DATE'1996-01-01' AND local_day < DATE'1997-07-01' AND events % 3 <> 0").withColumn("events", F.col("events") + 5)
     found = exchange.replace_days(held, snapshot, F.lit("1996-04-01").cast("date"))
     return found.groupBy("source_instance_id", "origin").agg(F.count("*").alias("days"), F.sum("events").alias("events"))

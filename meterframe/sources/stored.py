@@ -119,6 +119,8 @@ def version() -> str:
     return seen.hexdigest()[:12]
 
 
+#: Of a stored file's row groups, which lie in the order of days.
+GROUP_BYTES = 8 << 20
 #: Changes that are kept apart before they are put together with the rest.
 SEGMENTS = 8
 
@@ -126,14 +128,13 @@ SEGMENTS = 8
 def stored(spark: SparkSession, sf_dir: str, name: str, day: str, make: Callable[[str | None, str | None], DataFrame], touched: Callable[[dict[str, list[str]]], list[str]]) -> DataFrame:
     """The table ``name`` over an input folder, kept up with its inputs by days.
 
-    ``make`` gives its rows, of all days or of those from a first to a last one. Its rows lie in ranges of ``day``, so that a
-    filter on it skips files and row groups. Where inputs have only got new files in ``FACTS``, the days that ``touched``
+    ``make`` gives its rows, of all days or of those from a first to a last one. The rows of each file lie in the order of
+    ``day``, in small row groups, so that a filter on it skips most of these without a shuffle to bring them together. Where inputs have only got new files in ``FACTS``, the days that ``touched``
     finds in these are made anew, beside the rest; any other change makes the whole anew. A manifest names what the table is
     made of, for these inputs, and is written when all of it is there: readers see it before or after, and of two jobs
     at once one takes what the other has made.
     """
-    place = hashlib.sha256(f"{sf_dir} {version()}".encode()).hexdigest()[:24]
-    table = Manifests(spark, f"{folder(spark)}/meterframe-stored/{name}-{place}")
+    table = _named(spark, sf_dir, name)
     now = listed(spark, sf_dir, INPUTS)
     held = table.latest()
     if held is None or held["inputs"] != now:
@@ -149,6 +150,18 @@ def stored(spark: SparkSession, sf_dir: str, name: str, day: str, make: Callable
     return _joined(table, held, day)
 
 
+def current(spark: SparkSession, sf_dir: str, name: str, day: str) -> DataFrame | None:
+    """The table ``name`` if one is stored for what the inputs are now; none is made for a single question."""
+    table = _named(spark, sf_dir, name)
+    held = table.latest()
+    return _joined(table, held, day) if held is not None and held["inputs"] == listed(spark, sf_dir, INPUTS) else None
+
+
+def _named(spark: SparkSession, sf_dir: str, name: str) -> Manifests:
+    place = hashlib.sha256(f"{sf_dir} {version()}".encode()).hexdigest()[:24]
+    return Manifests(spark, f"{folder(spark)}/meterframe-stored/{name}-{place}")
+
+
 def _joined(table: Manifests, held: dict, day: str) -> DataFrame:
     """The rows of all segments; a later one stands for the days that it names."""
     schema = T.StructType.fromJson(json.loads(held["schema"]))
@@ -164,7 +177,7 @@ def _joined(table: Manifests, held: dict, day: str) -> DataFrame:
 def _kept_up(table: Manifests, held: dict | None, now: dict, day: str, make: Callable, touched: Callable, number: int) -> list[dict]:
     def write(rows: DataFrame) -> str:
         place = f"data/{number}-{uuid.uuid4().hex[:8]}"
-        rows.repartitionByRange(day).sortWithinPartitions(day).write.parquet(f"{table.path}/{place}")
+        rows.sortWithinPartitions(day).write.option("parquet.block.size", GROUP_BYTES).parquet(f"{table.path}/{place}")
         return place
 
     added = _added(held["inputs"], now) if held else None

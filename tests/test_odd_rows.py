@@ -59,3 +59,54 @@ def test_an_interval_that_ends_before_the_first_plausible_time(spark, tmp_path):
         },
     )
     assert rows == [("implausible_time", 1)]
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_one_answer_makes_no_stored_table(spark, monkeypatch, tmp_path):
+    """Shares, breakdowns, pages and periods are told from events where no rollup is stored, and from it where one is."""
+    from meterframe.plans import summaries
+    from meterframe.sources import stored
+
+    monkeypatch.setattr(stored, "folder", lambda spark: str(tmp_path))
+    names = ("a13_token_share", "o4_ordered_breakdown", "o1_detail_page", "a4_periods", "r1_seal_and_delete")
+    rows = lambda: {n: sorted(map(str, registry.QUERIES[n](spark, SMALL).collect())) for n in names}
+    before = rows()
+    assert not list(tmp_path.rglob("*.parquet"))
+    assert summaries.daily(spark, SMALL).count() and summaries.details(spark, SMALL).count()
+    assert rows() == before
+    plan = registry.QUERIES["a13_token_share"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
+def _exchanges(frame):
+    return frame._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_periods_and_breakdowns_take_one_shuffle(spark):
+    from meterframe.operators import activity, archives, rollups
+
+    sums = {m: F.lit(1).cast("long") for m in rollups.MEASURES}
+    days = spark.range(60).select(F.expr("date_add(DATE'2024-01-01', CAST(id AS INT))").alias("local_day"), *[F.lit("x").alias(d) for d in rollups.DIMENSIONS], *[c.alias(m) for m, c in sums.items()])
+    periods = archives.materialise_periods(days, "2024-03-01", "2024-01-01")
+    assert _exchanges(periods) == 1
+    assert {r.label: r.active_days for r in periods.where("grain = 'month'").collect()} == {"2024-01": 31, "2024-02": 29}
+    broken = activity.ordered(days, {"agent": F.col("agent"), "model": F.col("model")}, "total_sum")
+    assert broken._jdf.queryExecution().executedPlan().toString().count("Range (") == 1
+    assert {(r.axis, r.name, r.tokens) for r in broken.collect()} == {("agent", "x", 60), ("model", "x", 60)}
+
+
+def test_whole_days_are_sent_to_the_events(spark):
+    """An export does not shuffle events, of all columns, to meet a row a source and day."""
+    from meterframe.operators import exchange
+
+    events = spark.range(100000).select(F.lit("s").alias("source_instance_id"), F.expr("date_add(DATE'2024-01-01', CAST(id % 10 AS INT))").alias("local_day"), F.col("id").alias("wide"))
+    stored = events.groupBy("source_instance_id", "local_day").agg(F.count("*").alias("events"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        records, archived, partial = exchange.export_details(events, stored, stored)
+        assert "LeftSemi, BuildRight" in records._jdf.queryExecution().executedPlan().toString() and records.count() == 100000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not archived.count() and not partial.count()
