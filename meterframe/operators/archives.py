@@ -11,7 +11,7 @@ from meterframe.operators.rollups import DIMENSIONS, MEASURES
 
 
 def materialise_periods(rows: DataFrame, today: str, floor: str) -> DataFrame:
-    """Every completed week, month and year of the daily rows, from the floor on; sessions stay unknown."""
+    """Every completed week, month and year of the daily rows, one a day and dimensions, from the floor on; sessions stay unknown."""
     day = F.col("local_day")
     week, month, year = cal.week_start(day), F.trunc(day, "month"), F.trunc(day, "year")
     spans = F.array(
@@ -21,7 +21,7 @@ def materialise_periods(rows: DataFrame, today: str, floor: str) -> DataFrame:
     )
     spread = rows.select("*", F.explode(spans).alias("p")).select("*", "p.*").where((F.col("end_day") <= F.lit(today).cast("date")) & (F.col("first_day") >= F.lit(floor).cast("date")))
     sums = [F.sum(m).alias(m) for m in MEASURES]
-    return spread.groupBy("grain", "label", "first_day", "end_day", *DIMENSIONS).agg(F.count_distinct("local_day").alias("active_days"), *sums)
+    return spread.groupBy("grain", "label", "first_day", "end_day", *DIMENSIONS).agg(F.count("*").alias("active_days"), *sums)
 
 
 def protected_day(today: Column) -> Column:
