@@ -37,8 +37,8 @@ def seal(days: DataFrame, events: DataFrame, diagnostics: DataFrame, cutoff: Col
     Days before the cutoff are sealed as they stand, with the sources that they were made from; their detail goes.
     """
     expired = F.col("local_day") < cutoff
-    sources = days.where(expired).groupBy("local_day").agg(F.array_sort(F.collect_set("source_instance_id")).alias("sources_"))  # as many as there are sources
-    marked = days.join(sources, "local_day", "left").withColumns({
+    sources = days.where(expired).groupBy("local_day").agg(F.array_sort(F.collect_set("source_instance_id")).alias("sources_"))  # a row a day, of as many as there are sources
+    marked = days.join(F.broadcast(sources), "local_day", "left").withColumns({
         "sealed": expired, "seal_zone": F.when(expired, zone), "seal_fields": F.when(expired, FIELD_VERSION), "seal_sources": F.when(expired, F.col("sources_")),
     }).drop("sources_")
     return marked, events.where(~expired), diagnostics.where(~expired)
