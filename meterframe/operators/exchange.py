@@ -23,8 +23,9 @@ def export_details(events: DataFrame, stored: DataFrame, archives: DataFrame) ->
     """(records as JSON text, archive rows without the source-days that are live, the source-days that are not complete)."""
     days = source_days(events, stored)
     whole = days.where("complete").select(*SOURCE_DAY)
-    records = events.join(whole, list(SOURCE_DAY), "left_semi").select(*SOURCE_DAY, F.to_json(F.struct(*[c for c in events.columns if c != "local_hour"])).alias("record"))
-    return records, archives.join(days.select(*SOURCE_DAY), list(SOURCE_DAY), "left_anti"), days.where("not complete")
+    # a row a source and day, to which the wide events are not moved
+    records = events.join(F.broadcast(whole), list(SOURCE_DAY), "left_semi").select(*SOURCE_DAY, F.to_json(F.struct(*[c for c in events.columns if c != "local_hour"])).alias("record"))
+    return records, archives.join(F.broadcast(days.select(*SOURCE_DAY)), list(SOURCE_DAY), "left_anti"), days.where("not complete")
 
 
 def import_details(target: DataFrame, package: DataFrame, archived: DataFrame, keys: list[str], valid: Column) -> DataFrame:
