@@ -80,15 +80,16 @@ class Versions:
         return rows.withColumns({"h_": F.xxhash64(*parts), "g_": F.xxhash64(F.lit(1), *parts)})
 
     def _standing(self, rows: DataFrame) -> DataFrame:
-        """Rows with ``stands_`` and ``home_``, the day of their identity's standing version."""
-        version = [*self.keys, *self.order, "source_revision", "lifecycle_rank", "content"]
-        now = arbitrate(rows, self.keys, self.order).select(*version)
+        """Distinct rows with ``stands_`` and ``home_``, the day of their identity's standing version."""
+        version = [*self.order, "source_revision", "lifecycle_rank", "content"]
+        # all below is by identity, whose rows are brought together once
+        placed = rows.repartition("h_", "g_").dropDuplicates(["h_", "g_", *self.keys, *version])
+        now = arbitrate(placed, ["h_", "g_"], self.order).select("h_", "g_", F.struct(*version).alias("now_"))
         met = F.lit(True)
         for c in version:
-            met &= F.col(f"v.{c}").eqNullSafe(F.col(f"n.{c}"))
-        marked = rows.alias("v").join(now.withColumn("n_", F.lit(True)).alias("n"), met, "left").select("v.*", F.coalesce("n_", F.lit(False)).alias("stands_"))
-        identity = Window.partitionBy("h_", "g_")
-        return marked.withColumn("home_", F.min(F.when(F.col("stands_"), self.day)).over(identity))
+            met &= F.col(c).eqNullSafe(F.col(f"now_.{c}"))
+        marked = placed.join(now, ["h_", "g_"]).select(*rows.columns, met.alias("stands_"))
+        return marked.withColumn("home_", F.min(F.when(F.col("stands_"), self.day)).over(Window.partitionBy("h_", "g_")))
 
     def merge(self, batch: DataFrame) -> list[str]:
         """Adds a batch's versions; the days that have been written anew. A batch that comes again leaves the table as it is."""
@@ -112,8 +113,7 @@ class Versions:
         if before is not None:
             before = self._hashed(before)
             every = fresh.unionByName(before.join(ids, ["h_", "g_"], "left_semi").drop("stands_", "home_"), allowMissingColumns=True)
-        version = [*self.keys, *self.order, "source_revision", "lifecycle_rank", "content"]
-        self._standing(every.dropDuplicates(version)).write.parquet(f"{self.path}/{folder}/moved")  # read several times below
+        self._standing(every).write.parquet(f"{self.path}/{folder}/moved")  # read several times below
         moved = self.spark.read.parquet(f"{self.path}/{folder}/moved")
         new = [r.home_ for r in moved.select("home_").distinct().collect()]
         if not new:

@@ -1,5 +1,7 @@
 """Rows that the given tables hold few of or none: equal asks, whole milliseconds, costs of zero, intervals across the first plausible time."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from meterframe import registry
@@ -110,3 +112,18 @@ def test_whole_days_are_sent_to_the_events(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert not archived.count() and not partial.count()
+
+
+def test_standing_versions_are_found_in_one_shuffle(spark, tmp_path):
+    """All versions of an identity are brought together once, to drop repeats, to be ranked and to be marked."""
+    from meterframe.streaming.versions import Versions
+
+    table = Versions(spark, str(tmp_path), ["key"], ["occurred_at_ms"], F.col("day"))
+    rows = [("a", 1, None, 0, "x", "d1"), ("a", 2, None, 1, "y", "d2"), ("a", 2, None, 1, "y", "d2"), (None, 3, 5, 0, "z", "d3")]
+    spark.createDataFrame(rows, "key string, occurred_at_ms long, source_revision long, lifecycle_rank int, content string, day string").write.parquet(f"{tmp_path}/rows")
+    standing = table._standing(table._hashed(spark.read.parquet(f"{tmp_path}/rows")))
+    found = sorted((str(r.key), r.content, r.stands_, r.home_) for r in standing.collect())
+    assert found == [("None", "z", True, "d3"), ("a", "x", False, "d2"), ("a", "y", True, "d2")]
+    plan = standing._jdf.queryExecution().executedPlan().toString()
+    lines = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert lines and all(re.search(r"hashpartitioning\(h_#\d+L, g_#\d+L, \d+\)", line) for line in lines)
