@@ -9,7 +9,7 @@ from meterframe.functions.scalars import content_hash
 from meterframe.operators import archives, exchange, rollups
 from meterframe.plans.merges import _CONTENT, _MD5, _ORDER
 from meterframe.plans.retention import FLOOR, PERIODS, TODAY
-from meterframe.plans.summaries import DIMS, MEASURES, read_daily
+from meterframe.plans.summaries import DIMS, MEASURES, read_daily, read_hourly
 from meterframe.registry import query
 from meterframe.sources.usage import EVENTS, usage_events
 
@@ -67,6 +67,7 @@ def u9_detail_import(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _A, _Z = "1996-03-05", "1997-02-11"
+_LAST = "1997-02-10"  # the day before the end
 
 
 @query(
@@ -77,10 +78,12 @@ _A, _Z = "1996-03-05", "1997-02-11"
     UNION ALL SELECT 'sources', source_instance_id, 1, NULL, max(origin_host) FROM events_ WHERE source_instance_id IN (SELECT source_instance_id FROM d UNION SELECT source_instance_id FROM h UNION SELECT source_instance_id FROM p) GROUP BY source_instance_id"""
 )
 def s11_aggregate_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = usage_events(spark, sf_dir)
-    rows = read_daily(spark, sf_dir)
-    hosts = events.groupBy("source_instance_id").agg(F.max("origin_host").alias("host"))
-    tables = exchange.export_partitions(rows, rollups.rollup(events, "local_day", "local_hour"), archives.materialise_periods(rows, TODAY, FLOOR), hosts, _A, _Z, True)
+    """Days and periods are added up from the hours of the exported days, so that events are joined and rolled up once."""
+    hours = read_hourly(spark, sf_dir, _A, _LAST)
+    rows = rollups.resum(hours, "local_day", *rollups.DIMENSIONS)
+    hosts = usage_events(spark, sf_dir).groupBy("source_instance_id").agg(F.max("origin_host").alias("host"))
+    # a period that is exported lies in these days as a whole
+    tables = exchange.export_partitions(rows, hours, archives.materialise_periods(rows, TODAY, FLOOR), hosts, _A, _Z, True)
     none = F.lit(None).cast("string")
     out = tables["sources"].select(F.lit("sources").alias("name"), "source_instance_id", F.lit(1).cast("long").alias("n"), F.lit(None).cast("long").alias("events"), "host")
     for name in ("daily", "hourly", "period"):
