@@ -49,27 +49,50 @@ def _settled(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[c for c in df.columns if c not in columns], held).select("*", "settled_.*").drop("settled_")
 
 
-def choose(events: DataFrame, prices: DataFrame, configured: dict[str, tuple[str, str]], at_ms: Column | None = None) -> DataFrame:
+#: What ``_offers`` tells of a combination, and ``_tariffs`` settles for an event.
+_OFFER = ("tiers", "provider_", "mixed_", "fell_", "empty_", "ambiguous_", "missing_", "model_key_")
+_KEYS = ("model_raw", "provider_id", "segment_", "dated_")
+
+
+def choose(events: DataFrame, prices: DataFrame, configured: dict[str, tuple[str, str]], at_ms: Column | None = None, names: DataFrame | None = None) -> DataFrame:
     """Events with ``tariff`` (null if there is none), ``reason`` (why not), ``official_fallback``, and ``tiers``.
 
     A tariff of the event's own provider counts in its configured region and channel. Otherwise the official vendors'
     tariffs of the same model are a reference, unless they disagree. The tier is the highest that the input reaches.
 
     What depends on the model, the provider and the time alone is worked out once for each of their combinations, time
-    being cut where any tariff begins or ends; events are joined with that small table and settle their tier.
+    being cut where any tariff begins or ends; events are joined with that small table, which is sent to them, and settle
+    their tier. ``names``: all (model_raw, provider_id) that the events can have; without it the events are read for these.
     """
+    named, combos = _combinations(events, prices, at_ms, names)
+    return _tariffs(named, _offers(combos, prices, configured).select(*_KEYS, *_OFFER), events.columns)
+
+
+def _combinations(events: DataFrame, prices: DataFrame, at_ms: Column | None, names: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(events with the span of time that they lie in, the combinations of model, provider and span that they can have)."""
     at = F.col("occurred_at_ms") if at_ms is None else at_ms
     ends = sorted({t for r in prices.select(F.explode(F.array("from_ms", "to_ms")).alias("t")).where("t is not null").distinct().collect() for t in r})
     dated = max((since for since, _ in DATED_ALIASES.values()), default=0)
     named = events.withColumns({"segment_": _segment(at, ends), "dated_": F.coalesce(F.col("occurred_at_ms") >= dated, F.lit(False))})
-    keys = ["model_raw", "provider_id", "segment_", "dated_"]
     starts = F.lit([ends[0] - 1 if ends else 0, *ends])
-    combos = named.select(*keys).distinct().withColumns({"occurred_at_ms": F.when(F.col("dated_"), dated).otherwise(0).cast("long"), "at_": starts[F.col("segment_")]})
-    offers = _offers(combos, prices, configured).select(*[F.col(k).alias(f"k_{k}") for k in keys], "tiers", "provider_", "mixed_", "fell_", "empty_", "ambiguous_", "missing_", "model_key_")
+    if names is None:
+        found = named.select(*_KEYS).distinct()
+    else:
+        spans = [(i, late) for i in range(len(ends) + 1) for late in (False, True) if at_ms is not None or (i == len(ends) or ends[i] > dated if late else i == 0 or ends[i - 1] < dated)]
+        span = F.array(*[F.struct(F.lit(i).alias("segment_"), F.lit(late).alias("dated_")) for i, late in spans])
+        found = names.select("model_raw", "provider_id").distinct().select("*", F.inline(span))
+    # few bytes and much work: by number, so that they are not put together into a few tasks
+    found = found.repartition(max(8, events.sparkSession.sparkContext.defaultParallelism))
+    return named, found.withColumns({"occurred_at_ms": F.when(F.col("dated_"), dated).otherwise(0).cast("long"), "at_": starts[F.col("segment_")]})
+
+
+def _tariffs(named: DataFrame, offers: DataFrame, columns: list[str]) -> DataFrame:
+    """Each event's tariff, or why it has none, by what its combination is offered."""
     same = F.lit(True)
-    for k in keys:
+    for k in _KEYS:
         same &= F.col(k).eqNullSafe(F.col(f"k_{k}"))
-    out = named.join(offers, same, "left").drop(*[f"k_{k}" for k in keys])
+    held = offers.select(*[F.col(c).alias(f"k_{c}") if c in _KEYS else F.col(c) for c in offers.columns])
+    out = named.join(F.broadcast(held), same, "left").drop(*[f"k_{k}" for k in _KEYS])
 
     size = F.coalesce("input_total", F.col("input_uncached") + F.col("input_cache_read") + F.col("input_cache_write"))
     reached = F.when(size.isNotNull(), F.filter("tiers", lambda r: r.threshold <= size)).otherwise(F.col("tiers"))
@@ -92,7 +115,8 @@ def choose(events: DataFrame, prices: DataFrame, configured: dict[str, tuple[str
     )
     out = _settled(out.withColumns({"why_": reason, "tariff_": best}), "why_", "tariff_")
     out = out.withColumn("reason", F.coalesce("why_", F.when(F.col("tariff_").isNull(), "no_price_row")))
-    return out.select(*events.columns, "reason", F.when(F.col("reason").isNull(), F.col("tariff_")).alias("tariff"), (F.col("reason").isNull() & F.col("fell_")).alias("official_fallback"), "tiers", "provider_")
+    more = [c for c in offers.columns if c not in (*_KEYS, *_OFFER)]
+    return out.select(*columns, "reason", F.when(F.col("reason").isNull(), F.col("tariff_")).alias("tariff"), (F.col("reason").isNull() & F.col("fell_")).alias("official_fallback"), "tiers", "provider_", *more)
 
 
 def _element(df: DataFrame, column: str):
@@ -153,19 +177,16 @@ def _offers(combos: DataFrame, prices: DataFrame, configured: dict[str, tuple[st
     return out.withColumns({"empty_": F.coalesce(F.size("rows_"), F.lit(0)) <= 0, "missing_": missing})
 
 
-def substituted(events: DataFrame, prices: DataFrame, configured: dict[str, tuple[str, str]], at_ms: Column | None = None) -> DataFrame:
+def substituted(events: DataFrame, prices: DataFrame, configured: dict[str, tuple[str, str]], at_ms: Column | None = None, names: DataFrame | None = None) -> DataFrame:
     """``choose`` for current reference prices: an event without a price row takes the first substitute model that has one.
 
     ``substitute`` names it. Of a substitute only official vendors' tariffs count; where it is the model itself without
-    ``-preview``, its provider's configured ones as well.
+    ``-preview``, its provider's configured ones as well. Substitutes too are found for combinations, not for events.
     """
-    first = choose(events, prices, configured, at_ms)
-    columns = [c for c in first.columns if c not in ("reason", "tariff", "official_fallback", "tiers", "provider_")]
-    lacking = F.coalesce(F.col("reason").isin("no_price_row", "channel_unknown", "no_provider") & (F.size(F.coalesce("tiers", F.array())) <= 0), F.lit(False))
-    at = F.col("occurred_at_ms") if at_ms is None else at_ms
-    reference = reference_model(F.col("model_raw"), F.col("provider_id"), F.col("occurred_at_ms"))
-    models = first.where(lacking).select("model_raw", "provider_id", reference.alias("reference_"), at.alias("at_")).distinct()
-    asked = models.select("*", F.posexplode(price_substitutes(F.col("reference_"), F.col("provider_id"))).alias("place_", "substitute"))
+    named, combos = _combinations(events, prices, at_ms, names)
+    first = _offers(combos, prices, configured)
+    lacking = (F.size(F.coalesce("tiers", F.array())) <= 0) & (F.coalesce("model_key_", F.lit("")) != "")
+    asked = first.where(lacking).select(*_KEYS, "at_", "occurred_at_ms", "reference_", F.posexplode(price_substitutes(F.col("reference_"), F.col("provider_id"))).alias("place_", "substitute"))
     known = prices.withColumns({"key_": model_key(F.col("model")), "provider_key_": F.lower("provider")})
     provider = F.coalesce(F.lower(F.trim("provider_id")), F.lit(""))
     spots = F.array(*[F.lit(f"{n}|{r}|{c}") for n, (r, c) in configured.items()]) if configured else F.array().cast("array<string>")
@@ -173,12 +194,22 @@ def substituted(events: DataFrame, prices: DataFrame, configured: dict[str, tupl
     vendors = official_providers(F.col("substitute"))
     sold = F.col("official") & F.array_contains(vendors, F.col("provider_key_"))
     offered = asked.join(known, F.col("substitute") == F.col("key_")).where((F.col("from_ms") <= F.col("at_")) & (F.col("to_ms").isNull() | (F.col("at_") < F.col("to_ms"))) & (at_home | sold))
-    best = offered.groupBy("model_raw", "provider_id", "at_").agg(F.min_by("substitute", "place_").alias("substitute"))
-    marked = first.withColumns({"lacking_": lacking, "at_": at}).alias("e").join(best.alias("b"), F.col("lacking_") & F.col("e.model_raw").eqNullSafe(F.col("b.model_raw")) & F.col("e.provider_id").eqNullSafe(F.col("b.provider_id")) & (F.col("e.at_") == F.col("b.at_")), "left").select("e.*", "b.substitute")
-    rest = marked.where("substitute is null").drop("lacking_", "at_")
-    again = marked.where("substitute is not null").select(*columns, "substitute").withColumns({"raw_": F.col("model_raw"), "model_raw": F.col("substitute")})
-    priced = choose(again, prices, configured, at_ms).withColumn("model_raw", F.col("raw_")).drop("raw_")
-    return rest.unionByName(priced.select(*rest.columns))
+    best = offered.groupBy(*_KEYS, "at_", "occurred_at_ms").agg(F.min_by("substitute", "place_").alias("substitute"))
+    again = _offers(best.withColumns({"raw_": F.col("model_raw"), "model_raw": F.col("substitute")}), prices, configured).withColumn("model_raw", F.col("raw_"))
+    held = first.select(*_KEYS, *_OFFER).alias("f").join(again.select(*_KEYS, "substitute", *_OFFER).alias("s"), _equal("f", "s"), "left")
+    taken = [F.when(F.col("substitute").isNotNull(), F.col(f"s.{c}")).otherwise(F.col(f"f.{c}")).alias(c) for c in _OFFER]
+    found = _tariffs(named, held.select(*[F.col(f"f.{k}") for k in _KEYS], *taken, "substitute", F.col("f.tiers").alias("own_tiers_")), events.columns)
+    # an event that no price would help has no substitute
+    spoilt = F.coalesce(F.col("substitute").isNotNull() & F.col("reason").isin("no_known_usage", "token_anomaly"), F.lit(False))
+    kept = {"tiers": F.when(spoilt, F.col("own_tiers_")).otherwise(F.col("tiers")), "substitute": F.when(~spoilt, F.col("substitute"))}
+    return found.withColumns(kept).drop("own_tiers_")
+
+
+def _equal(a: str, b: str) -> Column:
+    same = F.lit(True)
+    for k in _KEYS:
+        same &= F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}"))
+    return same
 
 
 def amounts(priced: DataFrame, ttl: dict[str, int]) -> DataFrame:

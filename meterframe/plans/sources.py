@@ -13,7 +13,7 @@ from meterframe.plans.costs import _IDS, _ROUND, CHOSEN, CONFIGURED, EXACT, pric
 from meterframe.registry import query
 from meterframe.sources.prices import price_rows
 from meterframe.sources.specs import SPECS, read
-from meterframe.sources.usage import table, usage_events
+from meterframe.sources.usage import event_names, table, usage_events
 
 _NAMES = ("codex", "claude-code", "gemini", "qwen", "pi", "kimi-code", "otel")
 
@@ -92,7 +92,8 @@ def j3_substitute_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every model as a preview that no price list has: its own provider's price without the ending stands in."""
     events = eligible(usage_events(spark, sf_dir)).where("record_kind <> 'transport_attempt'")
     base = F.substring_index(F.lower(F.trim(F.replace("model_raw", F.lit("_"), F.lit("-")))), "-", 1)
-    found = pricing.substituted(events.withColumn("model_raw", F.concat(base, F.lit("-v1-preview"))), price_rows(spark, sf_dir), CONFIGURED)
+    preview = lambda rows: rows.withColumn("model_raw", F.concat(base, F.lit("-v1-preview")))
+    found = pricing.substituted(preview(events), price_rows(spark, sf_dir), CONFIGURED, names=preview(event_names(spark, sf_dir)))
     return found.select(*_IDS.split(", "), "reason", F.col("tariff.price_id").alias("price_id"), "substitute")
 
 
