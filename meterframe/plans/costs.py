@@ -12,7 +12,7 @@ from meterframe.plans.retention import FLOOR, PERIODS, TODAY
 from meterframe.plans.summaries import DIMS, MEASURES, read_daily
 from meterframe.registry import query
 from meterframe.sources.prices import PRICES, faults, overlaps, price_rows
-from meterframe.sources.usage import EVENTS, usage_events
+from meterframe.sources.usage import EVENTS, event_names, usage_events
 
 CONFIGURED = {"china": ("global", "api"), "france": ("eu", "api"), "germany": ("cn", "plan")}
 TTL = {"china": 5, "france": 60}
@@ -50,9 +50,10 @@ _ROUND = "CAST(({0} + 50000000) // 100000000 AS BIGINT)"
 _IDS = "source_instance_id, source_record_key, part_key, supplier_key"
 
 
-def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = eligible(usage_events(spark, sf_dir)).where("record_kind <> 'transport_attempt'")
-    return pricing.amounts(pricing.choose(events, price_rows(spark, sf_dir), CONFIGURED), TTL)
+def priced(spark: SparkSession, sf_dir: str, first: str | None = None) -> DataFrame:
+    """``first`` as in ``raw_events``."""
+    events = eligible(usage_events(spark, sf_dir, first)).where("record_kind <> 'transport_attempt'")
+    return pricing.amounts(pricing.choose(events, price_rows(spark, sf_dir), CONFIGURED, names=event_names(spark, sf_dir)), TTL)
 
 
 @query(f"WITH {CHOSEN} SELECT {_IDS}, reason, tariff.price_id AS price_id, official_fallback FROM chosen")
@@ -159,9 +160,11 @@ def s6_price_book_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def j13_costs_by_display_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = priced(spark, sf_dir).where("tariff.currency = 'USD'").groupBy("local_day").agg(pricing.rounded(F.sum(F.coalesce("output_exact", F.lit(0))).cast("decimal(38,0)")).alias("amount"))
-    periods = F.sequence(F.lit("1995-01-01").cast("date"), F.lit("2001-10-01").cast("date"), F.expr("INTERVAL 3 MONTH"))
-    first = F.array_max(F.filter(periods, lambda d: d <= F.col("local_day")))
-    return days.withColumn("first_day", first).where("first_day is not null").where(F.col("local_day") < F.add_months("first_day", 3)).groupBy("first_day").agg(F.count("*").alias("days"), F.sum("amount").alias("amount"))
+    firsts = F.sequence(F.lit("1995-01-01").cast("date"), F.lit("2001-10-01").cast("date"), F.expr("INTERVAL 3 MONTH"))
+    periods = spark.range(1).select(F.explode(firsts).alias("first_day")).withColumn("end_day", F.add_months("first_day", 3))
+    # joined with the days' sums: a filter on a day's period would be pushed to the events, each of which would search them all
+    found = days.join(F.broadcast(periods), (F.col("local_day") >= F.col("first_day")) & (F.col("local_day") < F.col("end_day")))
+    return found.groupBy("first_day").agg(F.count("*").alias("days"), F.sum("amount").alias("amount"))
 
 
 @query(
