@@ -121,17 +121,20 @@ _BOTH = "model_raw, provider_id, occurred_at_ms, input_uncached, input_cache_rea
 )
 def a20_cost_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Months before 1997 are archived: their rows stand for the calls of their dimensions, whose sizes are lost."""
-    archive = archives.materialise_periods(read_daily(spark, sf_dir), TODAY, FLOOR).where("grain = 'month' AND first_day < DATE'1997-01-01'")
+    until = "1996-12-31"  # the last day of the archived months
+    archive = archives.materialise_periods(read_daily(spark, sf_dir, FLOOR, until), TODAY, FLOOR).where("grain = 'month' AND first_day < DATE'1997-01-01'")
     names = {"provider": F.coalesce("provider_id", F.lit("")), "model": F.coalesce("model_raw", F.lit(""))}
     events = eligible(usage_events(spark, sf_dir)).where("record_kind <> 'transport_attempt'").withColumns(names)
     spans = archive.select(*DIMENSIONS, "first_day", "end_day")
-    detail = within(events, spans, list(DIMENSIONS), days("local_day"), days("first_day"), days("end_day"), WEEK_DAYS, "left_anti")
+    near = F.coalesce(F.col("local_day").between(FLOOR, until), F.lit(False))
+    # days that no archived month can hold are not moved to meet one
+    detail = within(events.where(near), spans, list(DIMENSIONS), days("local_day"), days("first_day"), days("end_day"), WEEK_DAYS, "left_anti").unionByName(events.where(~near))
     shape = _BOTH.split(", ")
     sums = {"model_raw": F.nullif("model", F.lit("")), "provider_id": F.nullif("provider", F.lit("")), "occurred_at_ms": F.unix_date("first_day").cast("long") * 86_400_000}
     sums |= dict(zip(shape[3:], (F.col(f"{n}_sum") for n in ("uncached", "read", "write", "input", "output")), strict=True))
     rows = detail.select(*shape, F.lit(False).alias("aggregate"), F.lit(1).cast("long").alias("calls"))
     rows = rows.unionByName(archive.select(*[c.alias(n) for n, c in sums.items()], F.lit(True).alias("aggregate"), (F.col("events") - F.col("attempts")).alias("calls")))
-    found = pricing.simulated(pricing.choose(rows, price_rows(spark, sf_dir), CONFIGURED), TTL, "aggregate")
+    found = pricing.simulated(pricing.choose(rows, price_rows(spark, sf_dir), CONFIGURED, names=event_names(spark, sf_dir)), TTL, "aggregate")
     return pricing.bounds(found.withColumn("model", F.coalesce(F.lower("model_raw"), F.lit(""))), "model", "aggregate")
 
 
