@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meterframe.functions import calendar as cal
 from meterframe.operators.intervals import WEEK_DAYS, days, within
-from meterframe.operators.rollups import DIMENSIONS, MEASURES
+from meterframe.operators.rollups import DIMENSIONS, MEASURES, rollup_with_detail
 
 
 def materialise_periods(rows: DataFrame, today: str, floor: str) -> DataFrame:
@@ -19,7 +19,8 @@ def materialise_periods(rows: DataFrame, today: str, floor: str) -> DataFrame:
         F.struct(F.lit("month").alias("grain"), cal.month_label(day).alias("label"), month.alias("first_day"), F.add_months(month, 1).alias("end_day")),
         F.struct(F.lit("year").alias("grain"), F.date_format(day, "yyyy").alias("label"), year.alias("first_day"), F.add_months(year, 12).alias("end_day")),
     )
-    spread = rows.select("*", F.explode(spans).alias("p")).select("*", "p.*").where((F.col("end_day") <= F.lit(today).cast("date")) & (F.col("first_day") >= F.lit(floor).cast("date")))
+    # days are moved once, to the others of their dimensions, and copied for their periods there
+    spread = rows.repartition(*DIMENSIONS).select("*", F.explode(spans).alias("p")).select("*", "p.*").where((F.col("end_day") <= F.lit(today).cast("date")) & (F.col("first_day") >= F.lit(floor).cast("date")))
     sums = [F.sum(m).alias(m) for m in MEASURES]
     return spread.groupBy("grain", "label", "first_day", "end_day", *DIMENSIONS).agg(F.count("*").alias("active_days"), *sums)
 
@@ -89,3 +90,13 @@ def enrich_hours(hours: DataFrame, detail: DataFrame, sealed: DataFrame) -> Data
     frozen = sealed.select("local_day", "source_instance_id").distinct().withColumn("frozen", F.lit(True))
     joined = hours.join(found, keys, "left").join(frozen, ["local_day", "source_instance_id"], "left")
     return joined.select(*keys, "events", *[F.when(F.col("frozen").isNull(), F.col(f"detail_{m}")).alias(f"detail_{m}") for m in RECOVERED])
+
+
+def hours_with_detail(events: DataFrame, kept: Column, sealed: Column) -> DataFrame:
+    """A3 where hours come from the same events as what is left of their detail: both in one pass.
+
+    ``kept``: of an event, whether its detail is still there; ``sealed``: of a source and day.
+    """
+    rows = rollup_with_detail(events, kept, RECOVERED, "local_day", "local_hour")
+    told = (F.col("kept") > 0) & ~F.coalesce(sealed, F.lit(False))
+    return rows.select("local_day", "local_hour", *DIMENSIONS, "events", *[F.when(told, F.col(m)).alias(f"detail_{m}") for m in RECOVERED])

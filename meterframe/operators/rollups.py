@@ -19,8 +19,10 @@ def eligible(events: DataFrame) -> DataFrame:
     return events.where((F.col("attribution_status") == "verified") & F.col("record_kind").isin(*KINDS))
 
 
-def _measures() -> list[Column]:
+def _measures(kept: Column | None = None) -> list[Column]:
+    """``kept``: a condition on the events that known sums and counts of samples are told from."""
     counts = F.col("record_kind") != "transport_attempt"
+    counts = counts if kept is None else counts & kept
     observed = counts & (F.col("quality_bucket") != "unknown")
 
     def total(name: str) -> list[tuple[str, Column]]:
@@ -47,6 +49,12 @@ def rollup(events: DataFrame, *grain: str) -> DataFrame:
     return named(events).groupBy(*grain, *DIMENSIONS).agg(*_measures())
 
 
+def rollup_with_detail(events: DataFrame, kept: Column, told: tuple[str, ...], *grain: str) -> DataFrame:
+    """One row for each value of the grain and the dimensions: its ``events``, and of those ``kept`` their number and the measures ``told``."""
+    measures = dict(zip(MEASURES, _measures(kept), strict=True))
+    return named(events).groupBy(*grain, *DIMENSIONS).agg(F.count("*").alias("events"), F.count_if(kept).alias("kept"), *[measures[m] for m in told])
+
+
 def resum(rows: DataFrame, *keys: str | Column) -> DataFrame:
     """Rollup rows added up by other keys; a sum without any known sample stays null."""
     return rows.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in MEASURES])
