@@ -99,14 +99,22 @@ def write_summary_csv(rows: DataFrame, path: str) -> None:
 
 
 def insert_or_ignore(records: DataFrame, kind: str, excluded: dict[str, str], held: DataFrame, target_keys: list[str], keys: list[str], order: list[str]) -> DataFrame:
-    """Records with ``outcome``: why their type is left out (N11), else held by the target, a repeat of its keys, or added."""
+    """Records with ``outcome``: why their type is left out (N11), else held by the target, a repeat of its keys, or added.
+
+    Where the target's keys are some of the records', these are brought together and sorted once, for repeats and target.
+    """
     dropped = F.lit(None).cast("string")
     for name, reason in excluded.items():
         dropped = F.when(F.col(kind) == name, reason).otherwise(dropped)
     known = held.select(*target_keys).withColumn("held_", F.lit(True))
     turn = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    outcome = F.coalesce(dropped, F.when(F.col("held_"), "held").when(turn > 1, "repeated").otherwise("added"))
-    return records.join(known, target_keys, "left").withColumn("outcome", outcome).drop("held_")
+    if set(target_keys) <= set(keys):
+        # by number: tasks are not put together again, so that what each sorts stays small
+        records = records.repartition(4 * int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), *target_keys)
+        keys = [*target_keys, *[k for k in keys if k not in target_keys]]
+        turn = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    outcome = F.coalesce(dropped, F.when(F.col("held_"), "held").when(F.col("turn_") > 1, "repeated").otherwise("added"))
+    return records.withColumn("turn_", turn).join(known, target_keys, "left").withColumn("outcome", outcome).drop("held_", "turn_")
 
 
 def overlaid(entries: DataFrame, keys: list[str], side: str, order: list[str], fields: list[str]) -> DataFrame:
