@@ -17,15 +17,26 @@ def session_days(events: DataFrame) -> DataFrame:
 
 
 def sessions(days: DataFrame, period: Column) -> DataFrame:
-    """Of ``session_days``: distinct sessions of each period and overall, unknown as soon as one call has none; active days; durations where known."""
-    unknown = F.bool_or(F.col("session_id").isNull())
-    found = days.withColumn("period", period).rollup("period").agg(
-        (F.grouping("period") == 1).alias("overall"),
-        F.when(~unknown, F.count_distinct("source_instance_id", "session_id")).alias("sessions"),
-        unknown.alias("unknown_session"),
+    """Of ``session_days``: distinct sessions of each period and overall, unknown as soon as one call has none; active days; durations where known.
+
+    A session counts with its first day of a period, and overall with its first of all, so that nothing is copied for each grouping.
+    """
+    own = Window.partitionBy("source_instance_id", "session_id").orderBy("period", "local_day")
+    marked = days.withColumn("period", period).withColumns({"turn_": F.row_number().over(own), "before_": F.lag("period").over(own)})
+    opens = (F.col("turn_") == 1) | ~F.col("before_").eqNullSafe(F.col("period"))
+    known = F.col("session_id").isNotNull() & F.col("source_instance_id").isNotNull()  # as a distinct count of both has it
+    daily = marked.groupBy("period", "local_day").agg(
+        F.count_if(opens & known).alias("in_period"), F.count_if((F.col("turn_") == 1) & known).alias("in_all"), F.bool_or(F.col("session_id").isNull()).alias("unknown"),
+        F.sum("call_duration").alias("duration"), F.sum("call_samples").alias("samples"),
+    )
+    overall = F.grouping("period") == 1
+    found = daily.rollup("period").agg(
+        overall.alias("overall"),
+        F.when(~F.bool_or("unknown"), F.when(overall, F.sum("in_all")).otherwise(F.sum("in_period"))).alias("sessions"),
+        F.bool_or("unknown").alias("unknown_session"),
         F.count_distinct("local_day").alias("active_days"),
-        F.sum("call_duration").alias("duration"),
-        F.sum("call_samples").alias("samples"),
+        F.sum("duration").alias("duration"),
+        F.sum("samples").alias("samples"),
     )
     return found.withColumn("mean", F.when(F.col("samples") > 0, F.col("duration") / F.col("samples")))
 
