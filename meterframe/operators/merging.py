@@ -48,23 +48,26 @@ def _folded(seen: str) -> Column:
     return F.aggregate(F.slice(seen, 2, F.greatest(F.lit(1), F.size(seen))), first, step)
 
 
-def upsert(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
+def upsert(target: DataFrame, batch: DataFrame, keys: list[str], refused: str | None = None) -> DataFrame:
     """A full outer join of the stored rows and one batch: what stands, and ``outcome`` of added, updated, unchanged, skipped, conflict or kept.
 
-    Both sides have content, source_revision and lifecycle_rank, once for each identity.
+    Both sides have content, source_revision and lifecycle_rank, once for each identity. ``refused``: a column of the batch;
+    rows for which it is true meet no stored row and come out as they are, as ``rejected``, and may repeat an identity.
     """
     old, new = target.alias("o"), batch.alias("n")
     on = F.lit(True)
     for k in keys:
         on &= F.col(f"o.{k}") == F.col(f"n.{k}")
+    out = F.coalesce(F.col(f"n.{refused}"), F.lit(False)) if refused else F.lit(False)
+    on = on & ~out if refused else on
     both = F.col("o.source_revision").isNotNull() & F.col("n.source_revision").isNotNull()
     order = lambda op: F.when(both, op(F.col("n.source_revision"), F.col("o.source_revision"))).otherwise(op(F.col("n.lifecycle_rank"), F.col("o.lifecycle_rank")))
     higher, equal = order(lambda a, b: a > b), order(lambda a, b: a == b)
     same = F.col("o.content") == F.col("n.content")
     outcome = (
-        F.when(F.col("o.content").isNull(), "added").when(F.col("n.content").isNull(), "kept").when(higher, "updated").when(equal & same, "unchanged").when(equal, "conflict").otherwise("skipped")
+        F.when(out, "rejected").when(F.col("o.content").isNull(), "added").when(F.col("n.content").isNull(), "kept").when(higher, "updated").when(equal & same, "unchanged").when(equal, "conflict").otherwise("skipped")
     )
-    takes = outcome.isin("added", "updated")
+    takes = outcome.isin("added", "updated", "rejected")
     columns = [F.coalesce(f"o.{k}", f"n.{k}").alias(k) for k in keys] + [F.when(takes, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in target.columns if c not in keys]
     return old.join(new, on, "full_outer").select(*columns, outcome.alias("outcome"))
 
