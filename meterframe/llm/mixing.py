@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterframe.llm.shared import checkpointed
+from meterframe.llm.shared import checkpointed, shuffle_partitions
 
 BLOCK = 32
 WEIGHTS = (3, 1, 2)
@@ -103,6 +103,11 @@ def mix(docs: DataFrame, block: int = BLOCK, weights: tuple[int, ...] = WEIGHTS,
     return Mix(rows, known, ranked.select("src", "block", words.alias("words"), "rank"), block)
 
 
+def _tasks(df: DataFrame, shards: int) -> int:
+    """Tasks that a few rows, each of which makes many, are dealt to: a number given, since their bytes would tell Spark that one will do."""
+    return max(1, min(shards, shuffle_partitions(df.sparkSession)))
+
+
 def shard_counts(sources: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
     """(src, shard, slots) of a table (src, n_slots): each source's slots, dealt over the shards by a seeded draw each.
 
@@ -110,7 +115,7 @@ def shard_counts(sources: DataFrame, shards: int, seed: int = SEED) -> DataFrame
     no row holds more of them, and are added up before they are shuffled.
     """
     runs = sources.where("n_slots > 0").select("src", "n_slots", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / RUN))).alias("run"))
-    runs = runs.repartition("src", "run")
+    runs = runs.repartition(_tasks(sources, shards), "src", "run")
     draws = runs.select("src", F.explode(F.sequence(F.col("run") * RUN, F.least(F.col("n_slots"), (F.col("run") + 1) * RUN) - 1)).alias("draw"))
     return draws.groupBy("src", F.pmod(F.xxhash64(F.lit(seed), "src", "draw"), F.lit(shards)).alias("shard")).agg(F.count("*").alias("slots"))
 
@@ -127,13 +132,14 @@ def slots(mixed: Mix, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataF
     sources = mixed.sources.where("source_size > 0").select("src", F.ceil(size / block).alias("each"), F.floor(aim / size).alias("passes"), (aim - F.floor(aim / size) * size).alias("rest"))
     sources = checkpointed(sources.withColumn("n_slots", F.col("passes") * F.col("each") + F.ceil(F.col("rest") / block)))
     total = sources.agg(F.sum("n_slots")).first()[0] or 0
-    counts = shard_counts(sources, max(1, -(-total // shard_slots)), seed)
-    dealt = counts.withColumn("start", _before(F.col("slots"), ["src"], [F.col("shard")]))
-    numbered = dealt.select("src", "shard", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("slots") - 1)).alias("slot")).join(sources, "src")
+    shards = max(1, -(-total // shard_slots))
+    dealt = shard_counts(sources, shards, seed).withColumn("start", _before(F.col("slots"), ["src"], [F.col("shard")])).join(sources, "src")
+    numbered = dealt.repartition(_tasks(sources, shards), "src", "shard").withColumn("slot", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("slots") - 1)))
     placed = numbered.select("src", "shard", "slot", F.pmod("slot", "each").alias("rank"), F.floor(F.col("slot") / F.col("each")).alias("turn"), "passes", "rest")
     whole = F.col("turn") < F.col("passes")
     lacking = F.least(F.col("words"), F.col("rest") - F.col("rank") * block)
-    return placed.join(mixed.blocks, ["src", "rank"]).select("shard", "src", "slot", "block", "turn", F.when(whole, F.col("words")).otherwise(lacking).cast("long").alias("words"), whole.alias("whole"))
+    # Spark takes the slots to be as few as the rows that they are numbered from, and would broadcast them
+    return placed.join(mixed.blocks.hint("merge"), ["src", "rank"]).select("shard", "src", "slot", "block", "turn", F.when(whole, F.col("words")).otherwise(lacking).cast("long").alias("words"), whole.alias("whole"))
 
 
 def block_uses(mixed: Mix) -> DataFrame:
