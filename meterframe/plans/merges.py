@@ -52,14 +52,20 @@ def w1_arbitration(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t2_t3_merged_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All versions in two batches, later ones of an identity before earlier ones, merged into a stored table by month; the second batch twice."""
     from meterframe.streaming import ingest
-    from meterframe.streaming.versions import Versions
+    from meterframe.llm.shared import removed
+    from meterframe.streaming.versions import Versions, shuffles_removed
 
     rows = versions(spark, sf_dir).select(*_KEYS, *_ORDER, "source_revision", "lifecycle_rank", "content")
     place = f"{stored.folder(spark)}/meterframe-versions/{uuid.uuid4().hex}"
     table = Versions(spark, place, _KEYS, _ORDER, F.trunc(ingest.local_day(ZONE), "month"))
+    with shuffles_removed(spark):
+        rows.write.option("compression", "zstd").parquet(f"{place}/rows")  # a merge reads them several times
+    rows = spark.read.parquet(f"{place}/rows")
     part = F.pmod(F.col("part_key"), F.lit(3))
     for batch in (rows.where(part == 2), rows.where(part < 2), rows.where(part < 2)):
         table.merge(batch)
+    removed(spark, f"{place}/rows")
+    table.vacuum(keep=1)
     return table.current().select(*_KEYS, "versions", "part_key", "source_revision", "lifecycle_rank", "content", "conflict", "replaced")
 
 

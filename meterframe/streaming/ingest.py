@@ -38,8 +38,12 @@ def merge_batch(table: Versions, floor_ms: int = 0) -> Callable[[DataFrame, int]
 
     def write(batch: DataFrame, number: int) -> None:
         accepted = F.coalesce(F.col("occurred_at_ms") >= floor_ms, F.lit(False))
-        rejected(table).merge(batch.where(~accepted))
-        table.merge(batch.where(accepted))
+        batch.persist()  # a merge reads it several times
+        try:
+            rejected(table).merge(batch.where(~accepted))
+            table.merge(batch.where(accepted))
+        finally:
+            batch.unpersist()
 
     return write
 
